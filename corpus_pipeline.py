@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.llm import decontaminate, quality
+from groundspark.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from groundspark.llm.common import written
 
 
@@ -13,14 +13,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their source."""
+    return line_dedup.clean_documents(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard_join.keep_first(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't contain benchmark text."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
+    return packing.report(docs)
+
+
 STAGES = [
     ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", jaccard_stage),
     ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
 ]
 
 #: The classifier and the packing can't be expressed in SQL; the stages are tested against brute force instead.

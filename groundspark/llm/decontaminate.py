@@ -321,3 +321,28 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", is_contaminated("n_hit", "n_words").alias("contaminated"), "longest_match")
 
 
+
+
+REPORT_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+items AS (
+  SELECT DISTINCT item_id, list_slice(w, s, s + 12) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS s FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM items),
+starts AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n),
+hits AS (SELECT d.doc_id, d.s, d.n, i.item_id FROM starts d JOIN items i ON list_slice(d.w, d.s, d.s + d.n - 1) = i.win),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM hits)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id),
+follow AS (
+  SELECT h.doc_id, h.s, row_number() OVER (PARTITION BY h.doc_id, h.item_id, h.k - h.s ORDER BY h.s) - h.s AS run, h.item_id, h.k - h.s AS shift
+  FROM (SELECT DISTINCT d.doc_id, d.s, b.item_id, b.k FROM (SELECT doc_id, w, s, n FROM starts) d
+        JOIN (SELECT item_id, k, list_slice(w, k, k + least(13, len(w)) - 1) AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) AS k FROM bw WHERE len(w) > 0)) b
+        ON list_slice(d.w, d.s, d.s + d.n - 1) = b.win) h),
+longest AS (
+  SELECT doc_id, max(n) AS m FROM (SELECT doc_id, count(*) - 1 + any_value(least(13, l.n)) AS n FROM follow JOIN (SELECT item_id, len(w) AS n FROM bw) l USING (item_id) GROUP BY doc_id, item_id, shift, run) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       (coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w)) AS contaminated, coalesce(m, 0)::BIGINT AS longest_match
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest USING (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.llm import ann, decontaminate, jaccard_join, language_id, packing, quality, substring_dedup, token_store
+from groundspark.llm import ann, decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, quality, substring_dedup, token_store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "pages"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_decontamination,
         op2_quality_classifier,
         op3_jaccard_join,
+        op4_licence_scan,
+        op5_line_dedup,
         op6_token_store,
         op7_packing,
         op8_substring_dedup,
@@ -59,4 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": decontaminate.REPORT_SQL,
+    "op3_jaccard_join": jaccard_join.REPORT_SQL,
+    "op5_line_dedup": line_dedup.REPORT_SQL,
+    "op8_substring_dedup": substring_dedup.REPORT_SQL,
+}
