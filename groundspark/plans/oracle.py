@@ -1,3 +1,5 @@
 """DuckDB SQL by query name."""
 
-SQL = {}
+from groundspark.plans.registry import SQL
+
+__all__ = ["SQL"]

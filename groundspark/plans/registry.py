@@ -1,3 +1,716 @@
-"""Every query by name."""
+"""Every query by name, each over whole tables, with its SQL twin where SQL can express it.
 
-QUERIES = {}
+Names begin with the inventory's identifiers: a for sources, b for cleaning and chunking, and so on.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from groundspark.functions import text as tx
+from groundspark.functions.vectors import cosine
+from groundspark.operators import chat, chunking, confidence, corpus, evaluate, feedback, guards, lexical, search, vectors
+from groundspark.plans import base as b
+from groundspark.plans.base import sql, table
+from groundspark.sources import files
+from groundspark.streaming import jobs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, twin: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if twin:
+            SQL[name] = twin
+        return f
+
+    return add
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked chunks for every question, with confidence and decision."""
+    asked, chunks = b.embedded_questions(spark, d), b.embedded_chunks(spark, d)
+    hits = search.hybrid_search(asked, chunks, width=b.WIDTH)
+    gated = confidence.gate(confidence.confidence(asked, hits))
+    out = gated.join(hits.select("question_id", "rank", "chunk_id", "score", "vector_score"), "question_id", "left")
+    return out.select("question_id", "question", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("confidence", 6).alias("confidence"), "escalate")
+
+
+query("flagship", sql("conf hits", """SELECT c.question_id, c.question, h.rank, h.chunk_id, round(h.score, 6) AS score, round(h.vector_score, 6) AS vector_score, round(c.confidence, 6) AS confidence, (c.n_hits = 0 OR c.confidence < 0.45) AS escalate FROM conf c LEFT JOIN hits h USING (question_id)"""))(flagship)
+
+
+# --- a: sources and sinks
+
+
+@query("a3_content_type", "SELECT page_id, CASE WHEN regexp_matches(lower(p), '\\.(html|htm)$') THEN 'html' WHEN regexp_matches(lower(p), '\\.(md|markdown|rst)$') THEN 'markdown' ELSE 'text' END AS content_type FROM (SELECT page_id, url || ['.html', '.md', '.TXT', ''][page_id % 4 + 1] AS p FROM pages)")
+def a3(spark, d):
+    suffix = F.element_at(F.array(*map(F.lit, [".html", ".md", ".TXT", ""])), (F.col("page_id") % 4 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", files.content_type(F.concat("url", suffix)).alias("content_type"))
+
+
+@query("a6_subtree", "WITH RECURSIVE p AS (SELECT 'd' || doc_id AS id, 'd' || (doc_id // 3) AS parent FROM documents), t(id, depth) AS (SELECT id, 0 FROM p WHERE id = 'd1' UNION ALL SELECT p.id, t.depth + 1 FROM p JOIN t ON p.parent = t.id WHERE p.id <> p.parent) SELECT id AS doc_id, min(depth) AS depth FROM t GROUP BY id")
+def a6(spark, d):
+    pages = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string")).alias("parent"))
+    return files.subtree(pages, "d1")
+
+
+@query("a7_cap_docs", sql("docs", "SELECT doc_id, space FROM docs ORDER BY doc_id LIMIT 100"))
+def a7(spark, d):
+    return files.cap_docs(b.docs(spark, d), 100)[0].select("doc_id", "space")
+
+
+@query("a8_union_sources", "SELECT 'documents' AS source, count(*) AS docs FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'missing', 0")
+def a8(spark, d):
+    missing = table(spark, d, "pages").select(F.raise_error(F.lit("gone")).cast("string").alias("doc_id")).where("doc_id = ''")
+    sources = {"documents": table(spark, d, "documents").select(F.col("doc_id").cast("string")), "pages": table(spark, d, "pages").select(F.col("page_id").cast("string").alias("doc_id")), "missing": missing}
+    return files.union_sources(sources)[1].select("source", "docs")
+
+
+@query("a9_chunk_store", sql("docs chunks", "SELECT space, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY space"))
+def a9(spark, d):
+    import tempfile
+
+    from groundspark.sources.store import ChunkStore
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
+    import uuid
+
+    store = ChunkStore(spark, f"{folder.rstrip('/')}/chunks-{uuid.uuid4().hex}")
+    docs = corpus.with_hash(b.docs(spark, d))
+    store.commit(b.chunks(spark, d), docs.select("doc_id", "content_hash"))
+    return store.chunks().groupBy("space").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query("a12_validate_questions", "SELECT conv_id, turn, CASE WHEN trim(q) = '' THEN 'blank question' WHEN length(q) > 2000 THEN 'question too long' WHEN v NOT IN ('up', 'down') THEN 'unknown verdict' END AS rejected FROM (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN ' ' ELSE coalesce(text, '') END AS q, ['up', 'down', 'maybe'][turn % 3 + 1] AS v FROM conversations)")
+def a12(spark, d):
+    verdict = F.element_at(F.array(*map(F.lit, ["up", "down", "maybe"])), (F.col("turn") % 3 + 1).cast("int"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 5 == 4, " ").otherwise(F.col("text")).alias("question"), verdict.alias("verdict"), F.lit(None).cast("string").alias("answer"))
+    return files.validate_questions(rows).select("conv_id", "turn", "rejected")
+
+
+# --- b: cleaning and chunking
+
+
+@query("b1_clean_html", "WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<head\\b[^>]*>.*?</head>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?is)<h1\\b[^>]*>(.*?)</h1>', chr(10) || chr(10) || '# \\1' || chr(10), 'g') AS t FROM pages), s AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)</(?:td|th)\\s*>', ' | ', 'g'), '(?i)</(?:p|div|li|h[1-6]|tr|table|ul|ol|blockquote|pre)\\s*>', chr(10), 'g'), '(?i)<(?:li|br)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS t FROM t), u AS (SELECT page_id, replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM s) SELECT page_id, trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9))), chr(10)), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM u")
+def b1(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.clean_html(F.col("html")).alias("text"))
+
+
+@query("b2_normalise_ws", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9))), chr(10)), '[ \\t]{2,}', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM (SELECT conv_id, turn, '  ' || replace(coalesce(text, ''), '. ', '.   ' || chr(10) || chr(10) || chr(10) || chr(10) || chr(9)) || ' ' AS t FROM conversations)")
+def b2(spark, d):
+    spread = F.concat(F.lit("  "), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".   \n\n\n\n\t")), F.lit(" "))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.normalise_ws(spread).alias("text"))
+
+
+@query("b3_token_windows", sql("docs", "SELECT id AS doc_id, i::INT AS n, array_to_string(toks[i * 440 + 1 : i * 440 + 500], ' ') AS piece FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 500) / 440.0)::BIGINT))) AS i FROM docs WHERE len(toks) > 0)"))
+def b3(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.token_windows(F.col("text"))).alias("n", "piece"))
+
+
+_MARKED = "m AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: CASE WHEN (i - 1) % 7 = 6 THEN '```' || chr(10) || x WHEN (i - 1) % 3 = 0 THEN '## ' || x ELSE x END), chr(10)), chr(10)) AS l FROM documents)), f AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS fences FROM m), h AS (SELECT *, CASE WHEN NOT starts_with(line, '```') AND fences % 2 = 0 AND regexp_matches(trim(line), '^#{1,6}\\s+.+$') THEN trim(regexp_extract(trim(line), '^#{1,6}\\s+(.+)$', 1)) END AS heading FROM f), s AS (SELECT *, count(heading) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h), sec AS (SELECT doc_id, section, max(heading) AS heading, trim(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE heading IS NULL), ''), ' ' || chr(10)) AS body FROM s GROUP BY 1, 2)"
+
+
+@query("b4_sections", f"WITH {_MARKED} SELECT doc_id, section, heading, body FROM sec WHERE heading IS NOT NULL OR body <> ''")
+def b4(spark, d):
+    return chunking.sections(b.marked_docs(spark, d), "doc_id", "body")
+
+
+@query("b5_header_windows", f"WITH {_MARKED}, w AS (SELECT *, list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '') AS toks FROM sec WHERE heading IS NOT NULL OR body <> ''), p AS (SELECT doc_id, section, i, trim(coalesce(heading || chr(10), '') || array_to_string(toks[i * 40 + 1 : i * 40 + 50], ' '), ' ' || chr(10)) AS piece FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 50) / 40.0)::BIGINT))) AS i FROM w)) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, i) - 1)::INT AS ordinal, piece FROM p WHERE piece <> ''")
+def b5(spark, d):
+    return chunking.header_windows(b.marked_docs(spark, d), "doc_id", "body", 50, 10)
+
+
+@query("b6_chunk_documents", sql("chunks", "SELECT chunk_id, doc_id, title, url, space, ordinal, text FROM chunks"))
+def b6(spark, d):
+    return b.chunks(spark, d)
+
+
+@query("b7_content_hash", sql("docs", "SELECT doc_id, sha256(concat_ws(chr(0), title, 'text', '500:60:', url, space, body)) AS content_hash FROM docs"))
+def b7(spark, d):
+    return corpus.with_hash(b.docs(spark, d)).select("doc_id", "content_hash")
+
+
+@query("b8_char_windows", "SELECT doc_id, i::INT AS n, substr(t, (i * 800 + 1)::BIGINT, 1000) AS piece FROM (SELECT doc_id, t, unnest(range(0, 1 + greatest(0, ceil((length(t) - 1000) / 800.0)::BIGINT))) AS i FROM (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(10) || chr(9)) AS t FROM documents))")
+def b8(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(chunking.char_windows(F.col("text"))).alias("n", "piece"))
+
+
+@query("b9_cap_chunks", sql("chunks", "SELECT doc_id, count(*) AS pieces, count(*) > 5 AS too_large FROM chunks GROUP BY doc_id"))
+def b9(spark, d):
+    kept, large = chunking.cap_chunks(b.chunks(spark, d), 5)
+    small = kept.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.lit(False).alias("too_large"))
+    return small.unionByName(large.withColumn("too_large", F.lit(True)))
+
+
+# --- c: vectors
+
+
+def _items(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").alias("doc_id"), "embedding", "vec_id")
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), F.col("label").alias("doc_id"), "embedding")
+
+
+_SIM = "list_dot_product(a.embedding::DOUBLE[], c.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])))"
+_KNN = f"SELECT question_id, chunk_id, round(s, 6) AS vector_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM (SELECT a.vec_id AS question_id, c.vec_id::VARCHAR AS chunk_id, {_SIM} AS s FROM embeddings a JOIN embeddings c ON {{on}} WHERE a.vec_id % 50 = 0)) WHERE rank <= 10"
+
+
+def _rounded(df):
+    return df.select("question_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "rank")
+
+
+@query("c1_hash_embedding", sql("vec", "SELECT chunk_id, round(embedding[1], 5)::DOUBLE AS first, round(embedding[64], 5)::DOUBLE AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS length FROM vec"))
+def c1(spark, d):
+    e = b.embedded_chunks(spark, d)
+    part = lambda i: F.round(F.get("embedding", F.lit(i)), 5).cast("double")
+    return e.select("chunk_id", part(0).alias("first"), part(63).alias("last"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
+
+
+@query("c3_check_width", "SELECT vec_id, len(CASE WHEN vec_id % 9 = 0 THEN embedding[1:63] ELSE embedding END) = 64 AS fits FROM embeddings")
+def c3(spark, d):
+    cut = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    fits, other = vectors.check_width(cut, 64)
+    return fits.select("vec_id", F.lit(True).alias("fits")).unionByName(other.select("vec_id", F.lit(False).alias("fits")))
+
+
+@query("c4_current_dimensions", "SELECT DISTINCT len(embedding)::INT AS dimensions FROM embeddings")
+def c4(spark, d):
+    return vectors.current_dimensions(table(spark, d, "embeddings"))
+
+
+@query("c5_fp16_recall")
+def c5(spark, d):
+    exact = vectors.knn(_asked(spark, d), _items(spark, d), 10)
+    half = vectors.knn(_asked(spark, d), _items(spark, d).withColumn("embedding", vectors.to_fp16("embedding")), 10)
+    return vectors.recall_at_k(exact, half, 10)
+
+
+@query("c5_recall_at_k", f"WITH k AS ({_KNN.format(on='true')}), o AS (SELECT * FROM k WHERE chunk_id::BIGINT % 3 <> 0) SELECT k.question_id, count(o.chunk_id) / count(*) AS recall FROM k LEFT JOIN o ON k.question_id = o.question_id AND k.chunk_id = o.chunk_id GROUP BY 1")
+def c5r(spark, d):
+    exact = vectors.knn(_asked(spark, d), _items(spark, d), 10)
+    return vectors.recall_at_k(exact, exact.where(F.col("chunk_id").cast("long") % 3 != 0), 10)
+
+
+@query("c6_cosine", f"SELECT a.vec_id, round({_SIM}, 6) AS cosine FROM embeddings a JOIN embeddings c ON c.vec_id = a.vec_id + 1")
+def c6(spark, d):
+    t = table(spark, d, "embeddings")
+    after = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return t.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other"), 64), 6).alias("cosine"))
+
+
+@query("c7_knn", _KNN.format(on="true"))
+def c7(spark, d):
+    return _rounded(vectors.knn(_asked(spark, d), _items(spark, d), 10))
+
+
+@query("c8_approx_knn")
+def c8(spark, d):
+    return _rounded(vectors.approx_knn(_asked(spark, d), _items(spark, d), 10))
+
+
+@query("c9_knn_within", _KNN.format(on="a.label = c.label"))
+def c9(spark, d):
+    return _rounded(vectors.knn_within(_asked(spark, d), _items(spark, d), 10))
+
+
+# --- d: lexical retrieval
+
+
+@query("d1_postings", sql("postings", "SELECT chunk_id, term, pos::INT AS pos FROM postings"))
+def d1(spark, d):
+    return b.postings(spark, d)
+
+
+def _web(spark, d):
+    """Questions with a phrase, an alternative and an excluded word."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.concat(F.lit('"'), at(2), F.lit(" "), at(3), F.lit('" '), at(4), F.lit(" or "), at(9), F.lit(" -zz"), at(5)).alias("question"))
+
+
+_WEB = "w AS (SELECT item_id AS question_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), q AS (SELECT question_id, '\"' || coalesce(w[3], 'x') || ' ' || coalesce(w[4], 'x') || '\" ' || coalesce(w[5], 'x') || ' or ' || coalesce(w[10], 'x') || ' -zz' || coalesce(w[6], 'x') AS question FROM w), r AS (SELECT question_id, regexp_extract_all(lower(question), '-?\"[^\"]*\"|-?[^\\s\"]+') AS raws FROM q), p AS (SELECT question_id, unnest(raws) AS raw, generate_subscripts(raws, 1) - 1 AS n FROM r), j AS (SELECT *, coalesce(lag(raw) OVER (PARTITION BY question_id ORDER BY n) = 'or', false) AND raw <> 'or' AS joins FROM p), g AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY question_id ORDER BY n)::BIGINT AS grp FROM j WHERE raw <> 'or'), x AS (SELECT question_id, grp, n, CASE WHEN starts_with(raw, '-') THEN 'not' WHEN contains(raw, '\"') THEN 'phrase' ELSE 'word' END AS kind, regexp_extract_all(raw, '[a-z0-9]+') AS ts FROM g), terms AS (SELECT question_id, grp, n::INT AS n, term, kind, (place - 1)::INT AS place FROM (SELECT question_id, grp, n, kind, unnest(ts) AS term, generate_subscripts(ts, 1) AS place FROM x) WHERE term NOT IN (SELECT unnest(string_split('{stops}', ' '))))"
+
+
+@query("d2_query_terms", sql("", f"WITH {_WEB} SELECT question_id, grp, n, term, kind, place FROM terms"))
+def d2(spark, d):
+    return lexical.query_terms(_web(spark, d))
+
+
+@query("d3_match_all", sql("matched", "SELECT question_id, chunk_id FROM matched"))
+def d3(spark, d):
+    return lexical.match_all(lexical.query_terms(b.questions(spark, d)), b.postings(spark, d))
+
+
+@query("d3_match_web", sql("postings", f", {_WEB}, sized AS (SELECT *, count(*) OVER (PARTITION BY question_id, n) AS size FROM terms), near AS (SELECT s.question_id, s.grp, s.n, s.kind, s.size, p.chunk_id, p.pos - s.place AS at, count(DISTINCT s.place) AS m FROM sized s JOIN postings p USING (term) GROUP BY ALL), parts AS (SELECT DISTINCT question_id, grp, kind, chunk_id FROM near WHERE m = size), need AS (SELECT question_id, count(DISTINCT grp) AS g FROM terms WHERE kind <> 'not' GROUP BY 1) SELECT p.question_id, p.chunk_id FROM parts p JOIN need USING (question_id) WHERE kind <> 'not' AND NOT EXISTS (SELECT 1 FROM parts x WHERE x.kind = 'not' AND x.question_id = p.question_id AND x.chunk_id = p.chunk_id) GROUP BY p.question_id, p.chunk_id, g HAVING count(DISTINCT p.grp) = g").replace(") , w AS", "), w AS"))
+def d3w(spark, d):
+    return lexical.match_all(lexical.query_terms(_web(spark, d)), b.postings(spark, d))
+
+
+@query("d4_or_fallback", sql("loose", "SELECT question_id, term FROM loose"))
+def d4(spark, d):
+    asked = b.questions(spark, d)
+    return lexical.or_fallback(asked, lexical.match_all(lexical.query_terms(asked), b.postings(spark, d)))
+
+
+@query("d5_cover_density", sql("lexed", "SELECT question_id, chunk_id, round(lex_score, 6) AS lex_score FROM lexed"))
+def d5(spark, d):
+    asked, postings = b.questions(spark, d), b.postings(spark, d)
+    terms = lexical.query_terms(asked)
+    matched = lexical.match_all(terms, postings)
+    out = lexical.cover_density(matched, terms, lexical.or_fallback(asked, matched), postings)
+    return out.withColumn("lex_score", F.round("lex_score", 6))
+
+
+@query("d6_lexical_topk", sql("words", "SELECT question_id, chunk_id, round(lex_score, 6) AS lex_score, rank FROM words"))
+def d6(spark, d):
+    return lexical.search(b.questions(spark, d), b.postings(spark, d), 32).withColumn("lex_score", F.round("lex_score", 6))
+
+
+# --- e: hybrid search
+
+
+@query("e1_rrf_fuse", sql("fused", "SELECT question_id, chunk_id, round(score, 9) AS score FROM fused"))
+def e1(spark, d):
+    dense = vectors.knn(b.embedded_questions(spark, d), b.embedded_chunks(spark, d), 32, b.WIDTH)
+    return search.rrf_fuse(dense, lexical.search(b.questions(spark, d), b.postings(spark, d), 32)).withColumn("score", F.round("score", 9))
+
+
+@query("e2_filters", sql("chunks", "SELECT chunk_id, space FROM chunks WHERE space IN ('src1', 'src2') AND doc_id <> 'd0' AND title <> ''"))
+def e2(spark, d):
+    return search.with_filters(b.chunks(spark, d), {"space": ["src1", "src2"]}).where("doc_id <> 'd0' AND title <> ''").select("chunk_id", "space")
+
+
+@query("e3_hybrid_search", sql("hits", "SELECT question_id, rank, chunk_id, doc_id, title, space, round(score, 9) AS score, round(vector_score, 6) AS vector_score FROM hits"))
+def e3(spark, d):
+    return b.hits(spark, d).select("question_id", "rank", "chunk_id", "doc_id", "title", "space", F.round("score", 9).alias("score"), F.round("vector_score", 6).alias("vector_score"))
+
+
+_LEADS = ["please tell me about ", "Show me ", "what is ", "kindly "]
+
+
+@query("e4_normalize_questions", sql("questions", "SELECT question_id, CASE WHEN question_id % 4 = 2 THEN 'what is ' || q ELSE q END AS question FROM (SELECT question_id, array_to_string(list_transform(range(1, 9), lambda i: 'w' || question_id || 'x' || i), ' ') AS q FROM questions)"))
+def e4(spark, d):
+    lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("question_id") % 4 + 1).cast("int"))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(F.lit("w"), F.col("question_id").cast("string"), F.lit("x"), i.cast("string"))), " ")
+    return search.with_normalized(b.questions(spark, d).select("question_id", F.concat(lead, body, F.lit(" thanks!")).alias("question")))
+
+
+@query("e5_parse_variants", sql("questions", "SELECT question_id, question || ' again' AS first, CASE WHEN question_id % 2 = 0 THEN 'other ' || question END AS second FROM questions"))
+def e5(spark, d):
+    q = F.col("question")
+    model = F.concat(F.lit('1. "'), q, F.lit(' again"\n2) '), q, F.lit("\n\n- "), q, F.lit(" AGAIN\n"), F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("3. other "), q)).otherwise(""))
+    return b.questions(spark, d).select("question_id", search.parse_variants(model, q).alias("v")).select("question_id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"))
+
+
+@query("e6_accept_rewrite", sql("questions", "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'better ' || question ELSE question END AS question FROM questions"))
+def e6(spark, d):
+    q = F.col("question")
+    model = F.when(F.col("question_id") % 3 == 0, F.concat(F.lit('"better '), q, F.lit('"\nbecause'))).when(F.col("question_id") % 3 == 1, F.repeat(F.lit("long "), F.lit(400)))
+    return b.questions(spark, d).select("question_id", search.accept_rewrite(model, q).alias("question"))
+
+
+@query("e7_union_variants", sql("dense", "SELECT question_id, chunk_id, variant, row_number() OVER (PARTITION BY question_id ORDER BY variant, rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY variant, rank) AS n FROM (SELECT question_id, chunk_id, 0 AS variant, rank FROM dense WHERE rank <= 20 UNION ALL SELECT question_id, chunk_id, 1, 33 - rank FROM dense)) WHERE n = 1"))
+def e7(spark, d):
+    dense = vectors.knn(b.embedded_questions(spark, d), b.embedded_chunks(spark, d), 32, b.WIDTH).select("question_id", "chunk_id", "rank")
+    both = dense.where("rank <= 20").withColumn("variant", F.lit(0)).unionByName(dense.withColumn("variant", F.lit(1)).withColumn("rank", (33 - F.col("rank")).cast("int")))
+    return search.union_variants(both)
+
+
+@query("e8_rerank", sql("hits", "SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY round(s, 9) DESC, rank) AS rank, round(s, 6) AS rerank_score FROM (SELECT question_id, chunk_id, rank, max(CASE WHEN len(a) = 0 THEN 0 ELSE 8.0::DOUBLE * len(list_intersect(a, list_filter(regexp_extract_all(lower(w), '[a-z0-9]+'), lambda x: len(x) >= 2))) / len(a) - 4 END) AS s FROM (SELECT question_id, chunk_id, rank, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda x: len(x) >= 2 AND NOT list_contains(string_split('{stops}', ' '), x))) AS a, substr(t, (i * 800 + 1)::BIGINT, 1000) AS w FROM (SELECT h.*, q.question, h.title || chr(10) || h.text AS t, unnest(range(0, 1 + greatest(0, ceil((length(h.title || chr(10) || h.text) - 1000) / 800.0)::BIGINT))) AS i FROM hits h JOIN questions q USING (question_id))) GROUP BY 1, 2, 3)"))
+def e8(spark, d):
+    out = search.rerank(b.hits(spark, d), b.questions(spark, d), 8)
+    return out.select("question_id", "chunk_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+@query("e9_retrieve", sql("hits", "SELECT question_id, rank, chunk_id, round(score, 9) AS score FROM hits"))
+def e9(spark, d):
+    return search.retrieve(b.questions(spark, d), b.embedded_chunks(spark, d), reranked=False, width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
+@query("e9_retrieve_reranked")
+def e9r(spark, d):
+    return search.retrieve(b.questions(spark, d), b.embedded_chunks(spark, d), width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("e10_dedup_chunk_ids", sql("chunks", "SELECT chunk_id, CASE WHEN ordinal = 0 THEN 'v2' ELSE 'v0' END AS version FROM chunks"))
+def e10(spark, d):
+    old = b.chunks(spark, d).select("chunk_id", "ordinal", F.lit("v0").alias("version"), F.lit(0).alias("seq"))
+    first = old.where("ordinal = 0")
+    new = first.withColumn("version", F.lit("v1")).withColumn("seq", F.lit(1)).unionByName(first.withColumn("version", F.lit("v2")).withColumn("seq", F.lit(2)))
+    return search.dedup_chunk_ids(old, new, "seq").select("chunk_id", "version")
+
+
+# --- f: confidence
+
+
+@query("f1_content_tokens", "SELECT doc_id, len(t) AS n, array_to_string(list_sort(t), ' ') AS tokens FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda w: len(w) >= 2 AND NOT list_contains(string_split('{stops}', ' '), w))) AS t FROM documents)".replace("{stops}", " ".join(tx.STOP_WORDS)))
+def f1(spark, d):
+    t = table(spark, d, "documents").select("doc_id", tx.content_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@query("f2_confidence", sql("conf", "SELECT question_id, n_hits, round(confidence, 6) AS confidence FROM conf"))
+def f2(spark, d):
+    out = confidence.confidence(b.questions(spark, d), b.hits(spark, d))
+    return out.select("question_id", "n_hits", F.round("confidence", 6).alias("confidence"))
+
+
+@query("f3_gate", sql("conf", "SELECT question_id, (n_hits = 0 OR confidence < 0.45) AS escalate, n_hits AS returned FROM conf"))
+def f3(spark, d):
+    hits = b.hits(spark, d)
+    out = confidence.search_results(confidence.gate(confidence.confidence(b.questions(spark, d), hits)), hits)
+    return out.select("question_id", "escalate", F.coalesce(F.size("hits"), F.lit(0)).cast("long").alias("returned"))
+
+
+@query("f4_rerank_range", "SELECT count(*) FILTER (WHERE m > 1.01) AS mismatches, count(*) AS questions FROM (SELECT conv_id, max(turn / 4.0) AS m FROM conversations GROUP BY 1)")
+def f4(spark, d):
+    return confidence.rerank_range_check(table(spark, d, "conversations").select(F.col("conv_id").alias("question_id"), (F.col("turn") / 4.0).alias("rerank_score")))
+
+
+# --- g: guards
+
+
+def _facts(spark, d):
+    return b.drafts(spark, d), b.draft_hits(spark, d)
+
+
+@query("g1_is_refusal", sql("drafts", "SELECT question_id, question_id % 8 IN (2, 4, 6) AND (question_id % 8 <> 6) AS refusal FROM drafts"))
+def g1(spark, d):
+    return b.drafts(spark, d).select("question_id", guards.is_refusal(F.col("answer")).alias("refusal"))
+
+
+@query("g2_strip_trailing_refusal", sql("drafts", "SELECT question_id, CASE WHEN question_id % 8 = 6 THEN regexp_replace(answer, chr(10) || 'I don''t know$', '') ELSE answer END AS answer FROM drafts"))
+def g2(spark, d):
+    return b.drafts(spark, d).select("question_id", guards.strip_trailing_refusal(F.col("answer")).alias("answer"))
+
+
+_IDS = r"list_distinct(regexp_extract_all({t}, '\b[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z][A-Za-z0-9_]*){2,}\b'))"
+
+
+@query("g3_fabricated_specifics", sql("drafts dhits", f"SELECT s.question_id, s.token FROM (SELECT question_id, unnest({_IDS.replace('{t}', 'answer')}) AS token FROM drafts) s WHERE s.question_id IN (SELECT question_id FROM dhits) AND lower(s.token) NOT IN ('e.g', 'i.e', 'etc', 'a.k.a', 'p.m', 'a.m', 'u.s', 'u.s.a') AND NOT EXISTS (SELECT 1 FROM (SELECT question_id, unnest({_IDS.replace('{t}', chr(39) + ' ' + chr(39) + ' || lower(title || chr(32) || text)')}) AS t FROM dhits) k WHERE k.question_id = s.question_id AND regexp_replace(k.t, '[^a-z0-9]', '', 'g') = regexp_replace(lower(s.token), '[^a-z0-9]', '', 'g'))"))
+def g3(spark, d):
+    return guards.fabricated_specifics(*_facts(spark, d))
+
+
+@query("g4_fabricated_numbers")
+def g4(spark, d):
+    return guards.fabricated_numbers(*_facts(spark, d))
+
+
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: len(w) >= 2 AND NOT list_contains(string_split('{stops}', ' '), w)))"
+
+
+@query("g5_grounding_overlap", sql("drafts dhits", f"SELECT question_id, round(o, 6) AS overlap, o < 0.48 AND len(said) >= 12 AND coalesce(len(seen), 0) >= 200 AS weak FROM (SELECT a.question_id, said, seen, CASE WHEN len(said) = 0 THEN 1 ELSE len(list_intersect(said, coalesce(seen, []))) / len(said) END AS o FROM (SELECT question_id, {_TOK.replace('{t}', 'answer')} AS said FROM drafts) a LEFT JOIN (SELECT question_id, list_distinct(flatten(list({_TOK.replace('{t}', 'title || chr(32) || text')}))) AS seen FROM dhits GROUP BY 1) h USING (question_id))"))
+def g5(spark, d):
+    out = guards.grounding_overlap(*_facts(spark, d))
+    return out.withColumn("overlap", F.round("overlap", 6))
+
+
+@query("g6_unsupported_sentences")
+def g6(spark, d):
+    return guards.unsupported_sentences(*_facts(spark, d)).withColumn("best", F.round("best", 5))
+
+
+@query("g7_parse_verdicts", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' ELSE 'open' END AS verdict FROM conversations")
+def g7(spark, d):
+    said = F.element_at(F.array(*map(F.lit, ["**FAIL** pass", "I think: Pass.", "fail", "failing 42"])), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", guards.parse_verdict(said).alias("verdict"))
+
+
+@query("g8_tidy_answers")
+def g8(spark, d):
+    return b.drafts(spark, d).select("question_id", guards.tidy_answer(F.col("answer")).alias("answer"))
+
+
+@query("g9_strip_sources_block", sql("drafts", "SELECT question_id, CASE WHEN question_id % 8 = 5 THEN regexp_replace(answer, '\\nSources:\\n.*', '', 's') ELSE answer END AS answer FROM drafts"))
+def g9(spark, d):
+    return b.drafts(spark, d).select("question_id", guards.strip_sources_block(F.col("answer")).alias("answer"))
+
+
+@query("g10_finalize_citations")
+def g10(spark, d):
+    out = guards.finalize_citations(*_facts(spark, d))
+    return out.select("question_id", "answer", F.size("citations").alias("n_citations"), F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls"))
+
+
+@query("g11_dedup_citations", sql("dhits", "SELECT question_id, string_agg(url, ' ' ORDER BY rank) AS urls FROM (SELECT question_id, url, min(rank) AS rank FROM dhits GROUP BY 1, 2) GROUP BY 1"))
+def g11(spark, d):
+    return guards.dedup_citations(b.draft_hits(spark, d)).select("question_id", F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls"))
+
+
+@query("g12_decide")
+def g12(spark, d):
+    answers, hits = _facts(spark, d)
+    gated = answers.select("question_id", (F.col("question_id") % 11 == 0).alias("escalate"))
+    return guards.decide(answers, gated, hits, answers.select("question_id", F.when(F.col("question_id") % 13 == 0, "FAIL").otherwise("PASS").alias("verdict")), sentence_floor=0.2)
+
+
+@query("g13_label_curated", sql("drafts dhits", "SELECT question_id, answer || CASE WHEN question_id IN (SELECT question_id FROM dhits WHERE space = 'src3') THEN ' *' ELSE '' END AS answer FROM drafts"))
+def g13(spark, d):
+    answers, hits = _facts(spark, d)
+    return guards.label_curated(answers, hits, "src3", " *").select("question_id", "answer")
+
+
+@query("g14_build_prompts", sql("drafts dhits", "SELECT question_id, 'Question: ' || question || chr(10) || chr(10) || 'Sources:' || chr(10) || coalesce(s, '(no sources found)') AS prompt FROM drafts LEFT JOIN (SELECT question_id, string_agg('[' || rank || '] ' || CASE WHEN title = '' THEN doc_id ELSE title END || ' (' || url || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS s FROM dhits GROUP BY 1) USING (question_id)"))
+def g14(spark, d):
+    return guards.build_prompts(*_facts(spark, d))
+
+
+@query("g15_escalations", sql("drafts dhits", "SELECT question_id, 'Could not answer: ' || trim(regexp_replace(question, '\\s+', ' ', 'g')) AS title, 'Question: ' || question || chr(10) || 'Confidence: 0.125' || chr(10) || chr(10) || CASE WHEN s IS NULL THEN 'No relevant sources were retrieved.' ELSE 'Closest sources retrieved:' || chr(10) || s END AS body FROM drafts LEFT JOIN (SELECT question_id, string_agg('  ' || rank || '. ' || title || ', ' || url || ' (score ' || printf('%.3f', score) || ')', chr(10) ORDER BY rank) AS s FROM dhits GROUP BY 1) USING (question_id)"))
+def g15(spark, d):
+    answers, hits = _facts(spark, d)
+    return guards.escalations(answers.withColumn("confidence", F.lit(0.125)), hits).select("question_id", "title", "body")
+
+
+@query("g16_answer_with", sql("drafts", "SELECT question_id, question AS prompt, CASE WHEN question_id % 2 = 0 THEN answer END AS answer FROM drafts"))
+def g16(spark, d):
+    drafts = b.drafts(spark, d)
+    return guards.answer_with(drafts.select("question_id", F.col("question").alias("prompt")), drafts.where("question_id % 2 = 0"))
+
+
+@query("g17_verdict_prompts", sql("drafts dhits", "SELECT question_id, 'Question: ' || question || chr(10) || 'Answer: ' || answer || chr(10) || 'Sources:' || chr(10) || s AS prompt, s IS NULL AS fails FROM drafts LEFT JOIN (SELECT question_id, string_agg('[' || rank || '] ' || substr(text, 1, 2400), chr(10) || chr(10) ORDER BY rank) AS s FROM dhits GROUP BY 1) USING (question_id)"))
+def g17(spark, d):
+    return guards.verdict_prompts(*_facts(spark, d))
+
+
+# --- h: keeping the corpus in step
+
+
+def _hashes(spark, d):
+    """Hashes of an earlier run: one document in five is missing, one in seven has changed."""
+    h = corpus.with_hash(b.docs(spark, d)).where("id % 5 <> 0")
+    return h.select("doc_id", F.when(F.col("id") % 7 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"))
+
+
+_CHANGE = "CASE WHEN id % 5 = 0 THEN 'new' WHEN id % 7 = 0 THEN 'changed' ELSE 'unchanged' END"
+
+
+@query("h1_diff_corpus", sql("docs", f"SELECT doc_id, {_CHANGE} AS change FROM docs"))
+def h1(spark, d):
+    return corpus.diff_corpus(corpus.with_hash(b.docs(spark, d)), _hashes(spark, d)).select("doc_id", "change")
+
+
+@query("h2_replace_docs", sql("chunks", "SELECT c.doc_id, count(*) AS chunks FROM chunks c GROUP BY 1"))
+def h2(spark, d):
+    done = corpus.ingest(b.docs(spark, d).drop("id"), b.embedded_chunks(spark, d).where("doc_id LIKE '%3'"), _hashes(spark, d).where("doc_id LIKE '%3'"), b.TARGET, b.OVERLAP, b.WIDTH)
+    return done["chunks"].groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+@query("h3_delete_docs", sql("chunks", "SELECT chunk_id FROM chunks WHERE doc_id NOT LIKE '%3'"))
+def h3(spark, d):
+    chunks = b.chunks(spark, d)
+    return corpus.delete_docs(chunks, _hashes(spark, d), b.docs(spark, d).where("doc_id LIKE '%3'").select("doc_id"))[0].select("chunk_id")
+
+
+@query("h4_prune", sql("chunks", "SELECT count(DISTINCT doc_id) AS n_docs, (SELECT count(*) FROM docs WHERE id % 4 <> 0) AS n_seen, count(DISTINCT doc_id) FILTER (WHERE substr(doc_id, 2)::BIGINT % 4 = 0) AS n_gone, 'prune' AS decision FROM chunks"))
+def h4(spark, d):
+    return corpus.prune_plan(b.chunks(spark, d), b.docs(spark, d).where("id % 4 <> 0").select("doc_id"))
+
+
+@query("h5_doc_hashes", sql("docs", "SELECT doc_id, CASE WHEN id % 10 = 0 THEN 'set' WHEN id % 7 = 0 THEN 'old' ELSE sha256(concat_ws(chr(0), title, 'text', '500:60:', url, space, body)) END AS content_hash FROM docs WHERE id % 5 <> 0 OR id % 10 = 0"))
+def h5(spark, d):
+    new = b.docs(spark, d).where("id % 10 = 0").select("doc_id", F.lit("set").alias("content_hash"))
+    return corpus.set_doc_hash(_hashes(spark, d), new)
+
+
+@query("h6_reindex", sql("chunks", "SELECT (SELECT count(*) FROM chunks) + (SELECT count(*) FROM (SELECT user_id FROM events GROUP BY 1) WHERE user_id % 4 IN (0, 3) AND user_id % 5 <> 0) AS chunks"))
+def h6(spark, d):
+    approved = feedback.curated_docs(b.candidates(spark, d))
+    chunks = b.embedded_chunks(spark, d)
+    done = corpus.reindex(b.docs(spark, d).drop("id"), approved, chunks, _hashes(spark, d), b.TARGET, b.OVERLAP, b.WIDTH)
+    return done["chunks"].agg(F.count("*").alias("chunks"))
+
+
+@query("h7_ingest_summary", sql("chunks", f"SELECT count(*) AS docs, count(*) FILTER (WHERE change = 'new') AS new, count(*) FILTER (WHERE change = 'changed') AS changed, count(*) FILTER (WHERE change = 'unchanged') AS unchanged, count(*) FILTER (WHERE change <> 'unchanged' AND len(toks) = 0) AS empty, coalesce(sum(CASE WHEN change <> 'unchanged' AND len(toks) > 0 THEN 1 + greatest(0, ceil((len(toks) - 500) / 440.0)) ELSE 0 END), 0)::BIGINT AS chunks, 0::BIGINT AS failed FROM (SELECT *, {_CHANGE} AS change FROM docs)"))
+def h7(spark, d):
+    none = b.embedded_chunks(spark, d).limit(0)
+    return corpus.ingest(b.docs(spark, d).drop("id"), none, _hashes(spark, d))["summary"]
+
+
+@query("h8_quarantine_bad_docs", sql("docs", "SELECT doc_id, CASE WHEN id % 9 = 0 THEN 'no body' ELSE 'unknown type' END AS error FROM docs WHERE id % 9 = 0 OR id % 11 = 0"))
+def h8(spark, d):
+    broken = b.docs(spark, d).withColumn("body", F.when(F.col("id") % 9 != 0, F.col("body"))).withColumn("content_type", F.when(F.col("id") % 11 == 0, "zip").otherwise("text"))
+    return corpus.quarantine_bad_docs(broken)[1]
+
+
+# --- i: telemetry and the curated loop
+
+
+@query("i1_ask_events", sql("asks", "SELECT id, sha256(question) AS question_sha256, '' AS question, escalated FROM asks"))
+def i1(spark, d):
+    return feedback.ask_events(b.ask_log(spark, d), keep_text=False).select("id", "question_sha256", "question", "escalated")
+
+
+@query("i2_gaps", sql("asks", "SELECT regexp_replace(lower(question), '\\s+', ' ', 'g') AS question_key, count(*) AS asked, max(asked_at) AS last_asked, round(avg(confidence), 6) AS avg_confidence FROM asks WHERE escalated AND question <> '' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 50"))
+def i2(spark, d):
+    return feedback.gaps(b.ask_log(spark, d)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("i3_metrics", sql("asks votes", "SELECT 'asks' AS metric, count(*)::DOUBLE AS value FROM asks UNION ALL SELECT 'escalations', count(*) FILTER (WHERE escalated) FROM asks UNION ALL SELECT 'cache_hits', count(*) FILTER (WHERE cache_hit) FROM asks UNION ALL SELECT 'duration_count', count(*) FILTER (WHERE NOT cache_hit) FROM asks UNION ALL SELECT 'duration_ms_sum', coalesce(sum(duration_ms) FILTER (WHERE NOT cache_hit), 0) FROM asks UNION ALL SELECT 'feedback_' || verdict, count(*) FROM votes GROUP BY verdict"))
+def i3(spark, d):
+    return feedback.metrics(b.ask_log(spark, d), b.feedback_log(spark, d))
+
+
+@query("i3_daily_metrics", sql("asks", "SELECT asked_at::DATE AS day, count(*) AS asks, count(*) FILTER (WHERE escalated) AS escalations FROM asks GROUP BY ROLLUP (asked_at::DATE)"))
+def i3d(spark, d):
+    return feedback.daily_metrics(b.ask_log(spark, d))
+
+
+@query("i4_feedback_events", sql("votes asks", "SELECT verdict, count(*) AS n, max(length(question)) AS longest FROM (SELECT verdict, substr(question, 1, 1000) AS question FROM votes UNION ALL SELECT 'escalate', question FROM asks WHERE escalated) GROUP BY 1"))
+def i4(spark, d):
+    handed = b.ask_log(spark, d).where("escalated").select("question", F.lit("x").alias("reporter"), F.col("asked_at").alias("created_at"))
+    out = feedback.feedback_events(b.feedback_log(spark, d), handed)
+    return out.groupBy("verdict").agg(F.count("*").alias("n"), F.max(F.length("question")).cast("long").alias("longest"))
+
+
+_BUSTS = "busts AS (SELECT ts AS at FROM events WHERE event_id % 500 = 0)"
+
+
+@query("i5_cache_hits", sql("asks", f", {_BUSTS}, e AS (SELECT a.id, a.asked_at, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key, escalated, (SELECT max(at) FROM busts x WHERE x.at <= a.asked_at) AS epoch FROM asks a) SELECT id, key, coalesce(max(CASE WHEN NOT escalated THEN 1 ELSE 0 END) OVER (PARTITION BY key, epoch ORDER BY asked_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS hit FROM e").replace(") , busts", "), busts"))
+def i5(spark, d):
+    busts = table(spark, d, "events").where("event_id % 500 = 0").select(F.col("ts").alias("at"))
+    return feedback.cache_hits(b.ask_log(spark, d), busts).select("id", "key", "hit")
+
+
+@query("i6_downvotes", sql("votes cands", "SELECT c.id, count(*) AS votes FROM cands c JOIN votes v ON lower(c.question) = v.question WHERE c.status = 'approved' AND v.verdict = 'down' GROUP BY 1"))
+def i6(spark, d):
+    return feedback.downvotes(b.feedback_log(spark, d), b.candidates(spark, d))
+
+
+_QUAR = "SELECT id, at FROM (SELECT *, sum(CASE WHEN kind = 'down' THEN 1 ELSE 0 END) OVER (PARTITION BY id, span ORDER BY at, seq) AS votes FROM (SELECT *, sum(CASE WHEN kind = 'approve' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY at, seq) AS span FROM cevents WHERE kind IN ('approve', 'down'))) WHERE kind = 'down' AND span > 0 AND votes = 3"
+
+
+@query("i7_quarantine", sql("cevents", _QUAR))
+def i7(spark, d):
+    return feedback.quarantine(b.candidate_events(spark, d).where("kind IN ('approve', 'down')"))
+
+
+@query("i8_candidate_state")
+def i8(spark, d):
+    return feedback.candidate_state(b.candidate_events(spark, d).where("kind <> 'down'"))
+
+
+@query("i9_curated_docs", sql("cands", "SELECT 'curated:' || id AS doc_id, trim(question) AS title, trim(question) || chr(10) || chr(10) || trim(answer) AS body, 'curated' AS space FROM cands WHERE status = 'approved' AND trim(answer) <> ''"))
+def i9(spark, d):
+    return feedback.curated_docs(b.candidates(spark, d)).select("doc_id", "title", "body", "space")
+
+
+@query("i10_list_candidates", sql("cands", "SELECT id, created_at, status FROM cands WHERE status = 'pending' ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 5"))
+def i10(spark, d):
+    return feedback.list_candidates(b.candidates(spark, d), "pending", 20, 5).select("id", "created_at", "status")
+
+
+# --- j: conversations
+
+
+@query("j1_follow_ups", sql("chat", "SELECT thread_id, sender, turn, CASE WHEN p <> '' AND (starts_with(l, 'and ') OR starts_with(l, 'what about') OR starts_with(l, 'how about') OR starts_with(l, 'what else') OR starts_with(l, 'tell me more') OR starts_with(l, 'more about') OR starts_with(l, 'also ') OR starts_with(l, 'what''s ') OR starts_with(l, 'explain ') OR (len(w) <= 4 AND list_has_any(w, ['it', 'that', 'this', 'they', 'those', 'these', 'them']))) THEN text || ' (in the context of: ' || p || ')' ELSE text END AS query FROM (SELECT *, trim(lower(text)) AS l, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w, lag(text) OVER (PARTITION BY thread_id, sender ORDER BY turn) AS p FROM chat)"))
+def j1(spark, d):
+    return chat.follow_ups(b.chat_log(spark, d)).select("thread_id", "sender", "turn", "query")
+
+
+@query("j2_route_activities", "SELECT CASE WHEN turn % 4 = 0 THEN 'feedback' WHEN turn % 4 = 3 OR trim(coalesce(text, '')) = '' THEN 'ignore' ELSE 'message' END AS route, count(*) AS n FROM conversations GROUP BY 1")
+def j2(spark, d):
+    c = table(spark, d, "conversations")
+    value = F.when(F.col("turn") % 4 == 0, F.struct(F.lit("feedback").alias("callback_keyword"), F.lit("up").alias("verdict"), F.col("text").alias("question")))
+    body = F.struct(F.when(F.col("turn") % 4 == 3, "typing").otherwise("message").alias("type"), F.concat(F.lit("<at>Bot</at> "), F.coalesce("text", F.lit(""))).alias("text"), F.struct(F.col("role").alias("id")).alias("from"), value.alias("value"))
+    routes = chat.route_activities(c.select(F.to_json(body).alias("value")))
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("route"), "n") for k, df in routes.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).where("n > 0")
+
+
+# --- k: evaluation
+
+
+def _cases(spark, d):
+    """labels as graded cases: good documents are answerable, bad ones must escalate; the expected fact is a word."""
+    t = table(spark, d, "labels").where("quality IS NOT NULL")
+    fact = F.array(F.concat(F.lit("Fact"), (F.col("doc_id") % 3).cast("string")))
+    return t.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "in_scope").otherwise("out_of_scope").alias("category"), fact.alias("expect_any"), (F.col("quality") == 0).alias("expect_escalate"))
+
+
+def _given(spark, d):
+    t = table(spark, d, "documents").where("doc_id % 17 <> 0")
+    return t.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, "none").otherwise(F.concat(F.lit("the fact"), (F.col("doc_id") % 3).cast("string"))).alias("answer"), (F.col("doc_id") % 5 == 0).alias("escalated"))
+
+
+_GRADE = "g AS (SELECT l.doc_id AS id, CASE WHEN quality = 1 THEN 'in_scope' ELSE 'out_of_scope' END AS category, CASE WHEN d.doc_id IS NULL THEN 'ERROR' WHEN quality = 0 AND d.doc_id % 5 = 0 THEN 'OK-ESCALATED' WHEN quality = 0 THEN 'WRONG' WHEN d.doc_id % 5 = 0 THEN 'ABSTAINED' WHEN d.doc_id % 4 = 0 THEN 'REVIEW' WHEN d.doc_id % 7 = 0 THEN 'GROUNDING?' ELSE 'PASS' END AS verdict FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0) d USING (doc_id))"
+
+
+def _graded(spark, d):
+    cases = _cases(spark, d)
+    return evaluate.grade(cases, _given(spark, d), cases.select("id", (F.col("id") % 7 != 0).alias("grounded")))
+
+
+@query("k1_grade", f"WITH {_GRADE} SELECT id, category, verdict FROM g")
+def k1(spark, d):
+    return _graded(spark, d).select("id", "category", "verdict")
+
+
+@query("k2_grounded_check", sql("chunks", "SELECT id, bool_or(contains(lower(text), w)) AS grounded FROM (SELECT d.id, d.title AS t, lower(d.toks[3]) AS w FROM docs d JOIN labels l ON l.doc_id = d.id WHERE len(d.toks) >= 3) x JOIN chunks c ON c.title = x.t GROUP BY id"))
+def k2(spark, d):
+    own = b.docs(spark, d).join(table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id").withColumn("w", tx.words(F.col("body"))).where("size(w) >= 3")
+    cases = own.select("id", F.lit("in_scope").alias("category"), F.array(F.get("w", F.lit(2))).alias("expect_any"))
+    return evaluate.grounded_check(cases, own.select("id", "title"), b.chunks(spark, d))
+
+
+@query("k3_summary", f"WITH {_GRADE} SELECT category, verdict, count(*) AS cases, count(*) FILTER (WHERE verdict = 'WRONG') = 0 AS sound FROM g GROUP BY ROLLUP (category, verdict)")
+def k3(spark, d):
+    return evaluate.summary(_graded(spark, d))
+
+
+@query("k4_recall_sweep")
+def k4(spark, d):
+    """Every benchmark item's nearest page title asked as a question."""
+    chunks = b.embedded_chunks(spark, d)
+    titles = b.docs(spark, d).join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id").where("title <> ''").groupBy("title").agg(F.min("id").alias("question_id"))
+    asked = vectors.with_hash_embedding(titles.withColumn("question", F.col("title")), "question", b.WIDTH)
+    hits = search.hybrid_search(asked.drop("title"), chunks, width=b.WIDTH)
+    return evaluate.recall_sweep(titles, hits, confidence.confidence(asked, hits)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("k5_richest_titles", sql("chunks", "SELECT title, sum(length(text))::BIGINT AS chars FROM chunks GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"))
+def k5(spark, d):
+    return evaluate.richest_titles(b.chunks(spark, d), 20, ["Index"])
+
+
+@query("k6_scoping_leaks", "SELECT 'toxic' || toxic AS kind, count(*) AS probes, count(*) FILTER (WHERE doc_id % 3 <> 0) AS leaks FROM labels GROUP BY 1")
+def k6(spark, d):
+    t = table(spark, d, "labels")
+    probes = t.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("toxic"), F.col("toxic").cast("string")).alias("kind"))
+    return evaluate.scoping_leaks(probes, t.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") % 3 == 0).alias("escalate")))
+
+
+@query("k7_quality_flags")
+def k7(spark, d):
+    return b.drafts(spark, d).select("question_id", F.array_join(evaluate.quality_flags(F.col("answer"), F.lit(1)), " ").alias("flags"))
+
+
+@query("k8_flag_summary")
+def k8(spark, d):
+    return evaluate.flag_summary(b.drafts(spark, d).select(evaluate.quality_flags(F.col("answer"), F.lit(1)).alias("flags")))
+
+
+# --- l: batch twins of the streams; the streams themselves are run in the tests
+
+
+@query("l2_window_metrics", sql("asks", "SELECT time_bucket(INTERVAL 1 HOUR, asked_at) AS window_start, count(*) AS asks, count(*) FILTER (WHERE escalated) AS escalations, sum(duration_ms)::BIGINT AS duration_ms_sum FROM asks GROUP BY 1"))
+def l2(spark, d):
+    return jobs.stream_metrics(b.ask_log(spark, d), window="1 hour")
+
+
+@query("l5_window_gaps", sql("asks", "SELECT time_bucket(INTERVAL 1 HOUR, asked_at) AS window_start, regexp_replace(lower(question), '\\s+', ' ', 'g') AS question_key, count(*) AS asked, max(asked_at) AS last_asked FROM asks WHERE escalated GROUP BY 1, 2"))
+def l5(spark, d):
+    return jobs.stream_gaps(b.ask_log(spark, d), window="1 hour")
+
+
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The best hit of each question."""
+    one = Window.partitionBy("question_id").orderBy("rank")
+    return b.hits(spark, d).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
