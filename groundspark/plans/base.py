@@ -170,7 +170,7 @@ CTE: dict[str, str] = {
     "asks": """SELECT event_id AS id, ts AS asked_at, 'Topic  ' || user_id || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END AS question, event_type = 'error' AS escalated, value / 200 AS confidence, floor(value)::BIGINT AS duration_ms, event_id % 7 = 0 AS cache_hit FROM events""",
     "votes": """SELECT 'topic ' || user_id AS question, CASE WHEN event_id % 3 = 0 THEN 'down' ELSE 'up' END AS verdict, 'u' || user_id AS reporter, ts AS created_at, event_id FROM events""",
     "cands": """SELECT user_id AS id, min(ts) AS created_at, 'Topic ' || user_id AS question, CASE WHEN user_id % 5 = 0 THEN ' ' ELSE 'Answer ' || user_id END AS answer, ['approved', 'pending', 'rejected', 'approved'][user_id % 4 + 1] AS status FROM events GROUP BY user_id""",
-    "cevents": """SELECT user_id AS id, ts AS at, event_id AS seq, ['submit', 'approve', 'reject', 'down', 'revoke', 'down', 'down', 'quarantine'][event_id % 8 + 1] AS kind, 'u' || (user_id % 3) AS author, 'U' || (event_id % 5) AS approver FROM events""",
+    "cevents": """SELECT user_id AS id, ts AS "at", event_id AS seq, ['submit', 'approve', 'reject', 'down', 'revoke', 'down', 'down', 'quarantine'][event_id % 8 + 1] AS kind, 'u' || (user_id % 3) AS author, 'U' || (event_id % 5) AS approver FROM events""",
     "chat": """SELECT conv_id::VARCHAR AS thread_id, role AS sender, turn, CASE WHEN turn % 3 = 2 THEN 'what about ' || substr(text, 1, 20) ELSE text END AS text FROM conversations""",
 }
 _NEEDS = {

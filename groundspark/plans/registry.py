@@ -558,9 +558,9 @@ def i3(spark, d):
     return feedback.metrics(b.ask_log(spark, d), b.feedback_log(spark, d))
 
 
-@query("i3_daily_metrics", sql("asks", "SELECT asked_at::DATE AS day, count(*) AS asks, count(*) FILTER (WHERE escalated) AS escalations FROM asks GROUP BY ROLLUP (asked_at::DATE)"))
+@query("i3_daily_metrics", sql("asks", "SELECT strftime(asked_at, '%Y-%m-%d') AS day, count(*) AS asks, count(*) FILTER (WHERE escalated) AS escalations FROM asks GROUP BY ROLLUP (strftime(asked_at, '%Y-%m-%d'))"))
 def i3d(spark, d):
-    return feedback.daily_metrics(b.ask_log(spark, d))
+    return feedback.daily_metrics(b.ask_log(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("i4_feedback_events", sql("votes asks", "SELECT verdict, count(*) AS n, max(length(question)) AS longest FROM (SELECT verdict, substr(question, 1, 1000) AS question FROM votes UNION ALL SELECT 'escalate', question FROM asks WHERE escalated) GROUP BY 1"))
@@ -570,10 +570,10 @@ def i4(spark, d):
     return out.groupBy("verdict").agg(F.count("*").alias("n"), F.max(F.length("question")).cast("long").alias("longest"))
 
 
-_BUSTS = "busts AS (SELECT ts AS at FROM events WHERE event_id % 500 = 0)"
+_BUSTS = "busts AS (SELECT ts AS bust FROM events WHERE event_id % 500 = 0)"
 
 
-@query("i5_cache_hits", sql("asks", f", {_BUSTS}, e AS (SELECT a.id, a.asked_at, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key, escalated, (SELECT max(at) FROM busts x WHERE x.at <= a.asked_at) AS epoch FROM asks a) SELECT id, key, coalesce(max(CASE WHEN NOT escalated THEN 1 ELSE 0 END) OVER (PARTITION BY key, epoch ORDER BY asked_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS hit FROM e").replace(") , busts", "), busts"))
+@query("i5_cache_hits", sql("asks", f", {_BUSTS}, e AS (SELECT a.id, a.asked_at, trim(regexp_replace(lower(question), '\\s+', ' ', 'g')) AS key, escalated, (SELECT max(bust) FROM busts x WHERE x.bust <= a.asked_at) AS epoch FROM asks a) SELECT id, key, coalesce(max(CASE WHEN NOT escalated THEN 1 ELSE 0 END) OVER (PARTITION BY key, epoch ORDER BY asked_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS hit FROM e").replace(") , busts", "), busts"))
 def i5(spark, d):
     busts = table(spark, d, "events").where("event_id % 500 = 0").select(F.col("ts").alias("at"))
     return feedback.cache_hits(b.ask_log(spark, d), busts).select("id", "key", "hit")
@@ -584,7 +584,7 @@ def i6(spark, d):
     return feedback.downvotes(b.feedback_log(spark, d), b.candidates(spark, d))
 
 
-_QUAR = "SELECT id, at FROM (SELECT *, sum(CASE WHEN kind = 'down' THEN 1 ELSE 0 END) OVER (PARTITION BY id, span ORDER BY at, seq) AS votes FROM (SELECT *, sum(CASE WHEN kind = 'approve' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY at, seq) AS span FROM cevents WHERE kind IN ('approve', 'down'))) WHERE kind = 'down' AND span > 0 AND votes = 3"
+_QUAR = '''SELECT id, "at" FROM (SELECT *, sum(CASE WHEN kind = 'down' THEN 1 ELSE 0 END) OVER (PARTITION BY id, span ORDER BY "at", seq) AS votes FROM (SELECT *, sum(CASE WHEN kind = 'approve' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY "at", seq) AS span FROM cevents WHERE kind IN ('approve', 'down'))) WHERE kind = 'down' AND span > 0 AND votes = 3'''
 
 
 @query("i7_quarantine", sql("cevents", _QUAR))
