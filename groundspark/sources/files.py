@@ -95,7 +95,7 @@ def scan_wiki_export(spark: SparkSession, path: str, base_url: str) -> DataFrame
     url = F.when(F.coalesce("p._links.webui", F.lit("")) != "", web).otherwise(F.concat(F.lit(base_url), F.lit("/pages/viewpage.action?pageId="), page))
     labels = F.filter(F.transform(F.coalesce("p.metadata.labels.results", F.array().cast("array<struct<name:string>>")), lambda x: x["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
     body = F.when(F.coalesce("p.body.storage.value", F.lit("")) != "", F.col("p.body.storage.value"))
-    return pages.select(F.concat(host, F.lit(":"), page).alias("doc_id"), F.when(F.coalesce("p.title", F.lit("")) == "", page).otherwise(F.col("p.title")).alias("title"), url.alias("url"), body.alias("body"), F.coalesce("p.space.key", F.lit("")).alias("space"), labels.alias("labels"), F.coalesce("p.version.when", F.lit("")).alias("updated"), F.lit("html").alias("content_type"), F.concat(host, F.lit(":"), F.element_at("p.ancestors", -1)["id"]).alias("parent"))
+    return pages.select(F.concat(host, F.lit(":"), page).alias("doc_id"), F.when(F.coalesce("p.title", F.lit("")) == "", page).otherwise(F.col("p.title")).alias("title"), url.alias("url"), body.alias("body"), F.coalesce("p.space.key", F.lit("")).alias("space"), labels.alias("labels"), F.coalesce("p.version.when", F.lit("")).alias("updated"), F.lit("html").alias("content_type"), F.concat(host, F.lit(":"), F.try_element_at("p.ancestors", F.lit(-1))["id"]).alias("parent"))
 
 
 def subtree(pages: DataFrame, root: str) -> DataFrame:

@@ -39,9 +39,16 @@ def _tables(store: ChunkStore, batch: DataFrame, width: int, empty: bool) -> tup
     return spark.createDataFrame([], chunks), spark.createDataFrame([], "doc_id string, content_hash string")
 
 
+def _watermarked(events: DataFrame, watermark: str) -> DataFrame:
+    """A stream with its watermark, which needs a timestamp with a zone; a batch as it is."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn("asked_at", F.col("asked_at").cast("timestamp")).withWatermark("asked_at", watermark)
+
+
 def stream_metrics(events: DataFrame, watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
     """L2: counters of asks (asked_at, escalated, duration_ms) per tumbling window; rows later than the watermark are dropped."""
-    late = events.withWatermark("asked_at", watermark) if events.isStreaming else events
+    late = _watermarked(events, watermark)
     out = late.groupBy(F.window("asked_at", window).alias("w")).agg(F.count("*").alias("asks"), F.count_if("escalated").alias("escalations"), F.sum("duration_ms").alias("duration_ms_sum"))
     return out.select(F.col("w.start").alias("window_start"), "asks", "escalations", "duration_ms_sum")
 
@@ -49,7 +56,7 @@ def stream_metrics(events: DataFrame, watermark: str = WATERMARK, window: str =
 def stream_gaps(events: DataFrame, watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
     """Escalated questions per key and window."""
     rows = events.where("escalated AND question <> ''").withColumn("question_key", question_key(F.col("question")))
-    late = rows.withWatermark("asked_at", watermark) if events.isStreaming else rows
+    late = _watermarked(rows, watermark)
     out = late.groupBy(F.window("asked_at", window).alias("w"), "question_key").agg(F.count("*").alias("asked"), F.max("asked_at").alias("last_asked"))
     return out.select(F.col("w.start").alias("window_start"), "question_key", "asked", "last_asked")
 

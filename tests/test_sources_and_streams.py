@@ -1,6 +1,7 @@
 """Files, exports, the chunk store, and the streams against their batch twins."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,27 +66,40 @@ def test_store_and_stream_ingest(spark, tmp_path):
 
 
 def drain(spark, stream, name, mode="append"):
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    query.processAllAvailable()
-    query.stop()
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert query.awaitTermination(240)
     return spark.table(name)
 
 
-def test_streams_equal_their_batch_twins(spark, tmp_path):
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_windowed_streams_equal_their_batch_twins(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    asks = events.select(F.col("ts").cast("timestamp").alias("asked_at"), (F.col("event_type") == "error").alias("escalated"), F.col("value").cast("long").alias("duration_ms"), F.col("user_id").cast("string").alias("question"))
+    asks.coalesce(1).write.parquet(str(tmp_path / "asks"))
+    stream = lambda: spark.readStream.schema(asks.schema).parquet(str(tmp_path / "asks"))
+    assert rows(drain(spark, jobs.stream_metrics(stream()), "metrics", "complete")) == rows(jobs.stream_metrics(asks))
+    assert rows(drain(spark, jobs.stream_gaps(stream()), "gaps", "complete")) == rows(jobs.stream_gaps(asks))
+
+
+def test_stateful_streams_equal_their_batch_twins(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     kinds = F.element_at(F.array(*map(F.lit, ["approve", "down", "down", "down"])), (F.col("event_id") % 4 + 1).cast("int"))
-    life = events.select((F.col("user_id") % 40).alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kinds.alias("kind")).orderBy("at", "seq")
+    life = events.select((F.col("user_id") % 40).alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kinds.alias("kind")).orderBy("at", "seq")
     life.coalesce(1).write.parquet(str(tmp_path / "life"))
     stream = spark.readStream.schema(life.schema).parquet(str(tmp_path / "life"))
-    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(drain(spark, jobs.stream_quarantine(stream), "quarantined").select("id", "at")) == rows(feedback.quarantine(life)) != []
     chat_log = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("sender"), F.col("turn").cast("long").alias("turn"), F.when(F.col("turn") > 2, F.concat(F.lit("and "), F.col("text"))).otherwise(F.col("text")).alias("text"))
     chat_log.coalesce(1).write.parquet(str(tmp_path / "chat"))
-    said = drain(spark, jobs.stream_follow_ups(spark.readStream.schema(chat_log.schema).parquet(str(tmp_path / "chat"))), "follow_ups")
+    stream = jobs.stream_follow_ups(spark.readStream.schema(chat_log.schema).parquet(str(tmp_path / "chat")))
+    query = stream.writeStream.format("memory").queryName("follow_ups").start()  # its clock never lets it end by itself
+    until = time.time() + 120
+    while spark.table("follow_ups").count() < chat_log.count() and time.time() < until:
+        time.sleep(1)
+    query.stop()
+    said = spark.table("follow_ups")
     assert rows(said.select("thread_id", "sender", "turn", "text", "query")) == rows(chat.follow_ups(chat_log))
-    asks = events.select(F.col("ts").alias("asked_at"), (F.col("event_type") == "error").alias("escalated"), F.col("value").cast("long").alias("duration_ms"), F.col("user_id").cast("string").alias("question"))
-    asks.coalesce(1).write.parquet(str(tmp_path / "asks"))
-    stream = lambda: spark.readStream.schema(asks.schema).parquet(str(tmp_path / "asks"))
-    assert rows(drain(spark, jobs.stream_metrics(stream()), "metrics", "complete")) == rows(jobs.stream_metrics(asks))
-    assert rows(drain(spark, jobs.stream_gaps(stream()), "gaps", "complete")) == rows(jobs.stream_gaps(asks))
