@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 class WordHashes(dict):
