@@ -31,25 +31,34 @@ REMEMBERED = 200_000
 _MIX = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(ROLL)], np.uint32)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of chunks: where the rolling hash of the last ids is 0 modulo MEAN, but no shorter than LEAST or longer than MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    rolled = np.zeros(n, np.uint32)
+def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """For each of the documents that lie in ids one after another up to their ends: the ends of its chunks.
+
+    A chunk ends where the rolling hash of the last ids is 0 modulo MEAN, but is no shorter than LEAST (but for the
+    last one) and no longer than MOST. The hash is computed over all documents at once: as LEAST is larger than ROLL, no
+    cut depends on what stands before its document.
+    """
+    rolled = np.zeros(len(ids), np.uint32)
     for i in range(ROLL):
-        rolled[i:] += (ids[: n - i].astype(np.uint32) + np.uint32(1)) * _MIX[i]
+        rolled[i:] += (ids[: len(ids) - i] + np.uint32(1)) * _MIX[i]
     found = np.flatnonzero((rolled >> np.uint32(9)) % np.uint32(MEAN) == 0) + 1
-    ends, last = [], 0
-    for end in [*found.tolist(), n]:
-        while end - last > MOST:
-            last += MOST
-            ends.append(last)
-        if end - last >= LEAST or end == n:
-            if end > last:
-                ends.append(end)
-            last = end
-    return ends
+    places = np.searchsorted(found, ends, side="right").tolist()
+    found, out, last, at = found.tolist(), [], 0, 0
+    for end, to in zip(ends, places, strict=True):
+        own = []
+        if end - last > LEAST:
+            for stop in [*found[at:to], end]:
+                while stop - last > MOST:
+                    last += MOST
+                    own.append(last)
+                if stop - last >= LEAST and stop < end:
+                    own.append(stop)
+                    last = stop
+        if last < end or not own:
+            own.append(end)
+        last, at = end, to
+        out.append(own)
+    return out
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -82,17 +91,19 @@ class TokenStore:
 
         def make():
             encoder, end, seen = Encoder(vocabulary), np.array([end_id], "<u4").tobytes(), set()
-            row = pa.struct([("hash", pa.binary()), ("n", pa.int32())])
 
             def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-                tokens, recipes, roots, names, sizes, payloads = [], [], [], [], [], []
-                for raw in encoder.encode(texts):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    packed, last, recipe = ids.astype(f"<u{width}").tobytes(), 0, []
-                    for stop in cuts(ids):
+                raws = [raw + end for raw in encoder.encode(texts)]
+                tokens = [len(raw) // 4 for raw in raws]
+                ids = np.frombuffer(b"".join(raws), "<u4")
+                packed = ids.astype(f"<u{width}").tobytes()
+                recipe_ends, recipe_names, recipe_sizes, roots, names, sizes, payloads, last = [0], [], [], [], [], [], [], 0
+                for own in cuts(ids, np.cumsum(tokens).tolist()):
+                    for stop in own:
                         payload = packed[last * width : stop * width]
                         name = name_of(payload)
-                        recipe.append({"hash": name, "n": stop - last})
+                        recipe_names.append(name)
+                        recipe_sizes.append(stop - last)
                         if name not in seen:
                             if len(seen) > REMEMBERED:
                                 seen.clear()
@@ -101,13 +112,14 @@ class TokenStore:
                             sizes.append(stop - last)
                             payloads.append(payload)
                         last = stop
-                    tokens.append(len(ids))
-                    recipes.append(recipe)
-                    roots.append(merkle([x["hash"] for x in recipe]))
+                    roots.append(merkle(recipe_names[recipe_ends[-1] :]))
+                    recipe_ends.append(len(recipe_names))
                 a, b = len(texts), len(names)
                 docs_ = pa.concat_arrays([part.column(0), pa.nulls(b, part.column(0).type)])
+                row = pa.StructArray.from_arrays([pa.array(recipe_names, pa.binary()), pa.array(recipe_sizes, pa.int32())], names=["hash", "n"])
+                recipes = pa.ListArray.from_arrays(pa.array([*recipe_ends[:-1], *[None] * b, recipe_ends[-1]], pa.int32()), row)
                 return pa.RecordBatch.from_arrays(
-                    [docs_, pa.array([*tokens, *[None] * b], pa.int64()), pa.array([*recipes, *[None] * b], pa.list_(row)), pa.array([*roots, *[None] * b], pa.binary()), pa.array([*[None] * a, *names], pa.binary()), pa.array([*[None] * a, *sizes], pa.int32()), pa.array([*[None] * a, *payloads], pa.binary())],
+                    [docs_, pa.array([*tokens, *[None] * b], pa.int64()), recipes, pa.array([*roots, *[None] * b], pa.binary()), pa.array([*[None] * a, *names], pa.binary()), pa.array([*[None] * a, *sizes], pa.int32()), pa.array([*[None] * a, *payloads], pa.binary())],
                     names=["doc", "n_tokens", "chunks", "root", "hash", "n", "payload"],
                 )
 
@@ -200,7 +212,8 @@ class TokenStore:
         def joined(parts: pd.Series) -> pd.Series:
             return pd.Series([np.concatenate([np.frombuffer(x["payload"], f"<u{width}") for x in sorted(p, key=lambda x: x["pos"])]).astype(np.int64) for p in parts])
 
-        recipes = self.recipes().select("doc", F.monotonically_increasing_id().alias("row"), F.posexplode("chunks").alias("pos", "chunk"))
+        recipes = self.recipes().withColumn("row", F.monotonically_increasing_id())
+        recipes = recipes.select("doc", "row", F.posexplode("chunks").alias("pos", "chunk"))
         found = recipes.select("doc", "row", "pos", "chunk.hash").join(self.chunks(), "hash", "left")
         found = found.withColumn("payload", F.when(F.col("payload").isNull(), F.raise_error(F.lit("a chunk is missing"))).otherwise(F.col("payload")))
         return found.groupBy("row", "doc").agg(F.collect_list(F.struct("pos", "payload")).alias("parts")).select("doc", joined("parts").alias("ids"))
