@@ -264,7 +264,7 @@ def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
 def test_licences_are_found_and_inherited(spark):
     rows = [
         ("a/LICENSE", "The MIT License (MIT)"), ("a/b/x", "alpha beta gamma delta epsilon zeta eta theta\nReleased under the MIT License.\nmore lines of other words are here"), ("a/b/c/y", "nothing here"), ("z", "nothing"),
-        ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/q", None), (None, "This work is licensed under the GNU General Public License, version 3."), ("a/r", "the license of this version is under the general public"),
+        ("a/b/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/q", None), (None, "This work is licensed under the GNU General Public License, version 3."), ("a/r", "general words about some version that nobody gives away"),
     ]
     docs = spark.createDataFrame(rows, "path string, text string")
     out, _ = licenses.scan(docs, "path")
