@@ -94,7 +94,8 @@ def clean_documents(docs: DataFrame, host_col: str = "source", text_col: str = "
 def report(pages: DataFrame) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text of every page, blank lines out."""
     lines = F.array_join(F.filter(F.transform(F.split(html_lines(F.col("html")), "\n"), _trimmed), lambda x: x != ""), "\n")
-    texts = pages.select("page_id", host_of(F.col("url")).alias("host"), lines.alias("text"))
+    # the HTML is read once: both the counts and the result start from the lines
+    texts = written(pages.select("page_id", host_of(F.col("url")).alias("host"), lines.alias("text")), "page-lines")
     out, (n_lines, n_dropped) = drop_lines(texts, F.col("host"), F.col("text"), "text")
     return out.select("page_id", "host", n_lines, n_dropped, "text")
 
