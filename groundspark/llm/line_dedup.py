@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 A line that more than a share of a host's pages hold is boilerplate there and is dropped from all of that host's pages.
-Lines are counted as hashes with partial sums before the shuffle. A host's boilerplate is small by construction: its
+Pages of a host with the same lines are copies and count once, for the line and for the host: a document that was copied
+often is no boilerplate. Lines are counted as hashes with partial sums before the shuffle. A host's boilerplate is small by construction: its
 lines per page divided by the ratio bound the number of lines above it.
 """
 
@@ -46,10 +47,11 @@ def _trimmed(line: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """host, lines (hashes of the lines above the ratio), from pages with columns _host and _hashes."""
-    pages = pages.where(F.col("_host").isNotNull())
+    """host, lines (hashes of the lines above the ratio), from pages with columns _host and _hashes; copies count once."""
+    pages = pages.where(F.col("_host").isNotNull()).groupBy("_host", F.xxhash64("_hashes").alias("_page")).agg(F.first(F.array_distinct("_hashes")).alias("_hashes"))
+    pages = written(pages, "distinct-pages")
     totals = pages.groupBy(F.col("_host").alias("h")).agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
-    counts = pages.select("_host", F.explode(F.array_distinct("_hashes")).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
+    counts = pages.select("_host", F.explode("_hashes").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
     # a line on no more pages than this can't be above the ratio of any judged host
     counts = counts.where(F.col("n") > ratio * least_pages)
     above = counts.join(totals, F.col("_host") == F.col("h")).where(F.col("n") > ratio * F.col("total"))
@@ -61,8 +63,8 @@ def drop_lines(docs: DataFrame, host: Column, text: Column, text_col: str, ratio
 
     The added columns are the counts of non-blank lines and of dropped ones. Lines are compared trimmed, with runs of
     blanks as one; blank lines are never counted or dropped, and kept lines stay as they are. Rows without host, of
-    hosts with fewer than least_pages rows, or with null text keep everything. Every row counts as a page, repeated
-    ones too; a document whose lines all go keeps an empty text.
+    hosts with fewer than least_pages pages, or with null text keep everything. Rows of a host with the same lines are
+    one page; a document whose lines all go keeps an empty text.
     """
     n_lines, n_dropped = fresh_names(docs, ["n_lines", "n_dropped"])
     lines = F.split(text, "\n")

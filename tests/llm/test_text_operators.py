@@ -253,6 +253,14 @@ def test_line_dedup_by_host(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_keeps_a_document_of_which_a_third_are_copies(spark):
+    copied = "first line of the copied\nsecond line of it"
+    rows = [(k, "h", f"menu\nown line {k}") for k in range(60)] + [(100 + k, "h", copied) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.clean_documents(docs).collect()}
+    assert got == {k: copied if k >= 100 else f"own line {k}" for k, *_ in rows}
+
+
 def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
     rows = [(k, "h", f"menu\nown line {k}\nfooter") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
