@@ -1,6 +1,7 @@
 """License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-The vectoriser is fitted on the templates. Every line and every run of lines without a blank one is a header unit of
+The vectoriser is fitted on the templates. Headers are compared to short notices, whole texts to the notices and to the
+licences' own whole texts; what a unit states of version and variant must agree with the licence. Every line and every run of lines without a blank one is a header unit of
 its document; the whole text is the unit that makes a document a licence file. A document without a licence of its own
 inherits that of the nearest directory above it that holds a licence file: directories (not documents) are joined to
 their ancestors' paths.
@@ -11,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from groundspark.llm.common import annotate, fresh_names
 
-#: Cosine from which a unit bears a template's licence: headers, and whole texts as licence files.
-HEADER, FILE = 0.75, 0.6
+#: Cosine from which a unit bears a template's licence: headers, whole texts to notices, and to whole licence texts.
+HEADER, FILE, FILE_TEXT = 0.75, 0.6, 0.8
 #: Notices that public licences ask for or are known by.
 TEMPLATES = {
     "Apache-2.0": [
@@ -33,6 +35,21 @@ TEMPLATES = {
         "The MIT License (MIT)",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "ISC": ["ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "EPL-2.0": [
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "GPL-2.0-only": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2.",
+    ],
+    "GPL-2.0-or-later": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0-or-later": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0-only": ["This work is licensed under the GNU Affero General Public License, version 3.", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "LGPL-2.1-only": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
     "GPL-3.0-only": [
         "This work is licensed under the GNU General Public License, version 3.",
         "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
@@ -43,14 +60,53 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Mozilla Public License Version 2.0",
     ],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
     "CC0-1.0": ["CC0 1.0 Universal Public Domain Dedication"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
+_VERSION = re.compile(r"(?:[al]?gpl)?v?([0-9](?:\.[0-9]+)*)").fullmatch
+#: Words that state a variant, by what the names of a family's licences hold for it.
+VARIANTS = {
+    "GPL": {"AGPL": {"affero", "agpl", "agplv3"}, "LGPL": {"lesser", "library", "lgpl", "lgplv2", "lgplv2.1", "lgplv3"}, "later": {"later"}},
+    "CC-BY": {"-NC": {"nc", "noncommercial", "commercial"}, "-SA": {"sa", "sharealike", "alike"}, "-ND": {"nd", "noderivatives", "noderivs", "derivatives"}},
+}
+
+
+def licence_texts() -> dict[str, str]:
+    """Whole texts of licences by name; read on the driver."""
+    folder = resources.files("groundspark.llm") / "licence_texts"
+    texts = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    # the Affero licence is the general one but for its name and a section
+    texts["AGPL-3.0-only"] = re.sub("(?i)GNU General Public", "GNU Affero General Public", texts["GPL-3.0-only"])
+    # the variants of Creative Commons are told apart by their titles
+    for variant in ("", "-NC", "-ND", "-NC-SA", "-NC-ND"):
+        texts[f"CC-BY{variant}-4.0"] = texts["CC-BY-SA-4.0"]
+    return texts
+
+
+def _versions(terms) -> set[str]:
+    return {m[1].removesuffix(".0") for m in map(_VERSION, terms) if m}
+
+
+def agrees(name: str, terms, must_state: bool = True) -> bool:
+    """Whether version and variant in the terms are those of the licence; without must_state a version can be missing."""
+    own = re.search(r"-([0-9]+\.[0-9]+)", name)
+    found = _versions(terms)
+    if own and (found or must_state) and own[1].removesuffix(".0") not in found:
+        return False
+    if "clause" in terms and name.startswith("BSD-") and found and name[4] not in found:
+        return False
+    for family, variants in VARIANTS.items():
+        if family in name and any((mark in name) == words.isdisjoint(terms) for mark, words in variants.items()):
+            return False
+    return True
 
 
 class Templates:
@@ -70,8 +126,11 @@ class Templates:
         # terms of few templates; a unit without one shares too little for a cosine of 0.5
         self.telling = {t for t, n in df.items() if n <= max(1, len(rows) // 4)} or set(df)
 
-    def best(self, terms: Counter) -> tuple[str | None, float]:
-        """Nearest template's name and cosine; of equal ones the first in order of name."""
+    def best(self, terms: Counter, least: float = 0.0, fits=None) -> tuple[str | None, float]:
+        """Nearest template's name and cosine; of equal ones the first in order of name.
+
+        With fits (a function of names) only templates that fit count, and none below the cosine least.
+        """
         norm, dots = 0.0, {}
         for t, c in terms.items():
             w = c * self.idf.get(t, self.unseen)
@@ -80,11 +139,74 @@ class Templates:
                 dots[i] = dots.get(i, 0.0) + w * v
         if not dots:
             return None, 0.0
+        if fits:
+            dots = {i: dot for i, dot in dots.items() if dot / math.sqrt(norm) >= least and fits(self.names[i])}
+            if not dots:
+                return None, 0.0
         i, dot = min(dots.items(), key=lambda x: (-round(x[1], 12), self.names[x[0]]))
         return self.names[i], dot / math.sqrt(norm)
 
 
-def own_licences(texts: list[str | None], templates: Templates) -> list[tuple]:
+class LicenceTexts:
+    """TF-IDF vectors of whole licence texts; a term counts 1 + ln of its count, so that common words don't rule."""
+
+    def __init__(self, texts: dict[str, str]) -> None:
+        rows = {}
+        for name, text in texts.items():
+            rows.setdefault(text, []).append(name)
+        self.names = list(rows.values())
+        terms = [Counter(_WORDS(text.lower())) for text in rows]
+        df = Counter(t for x in terms for t in x)
+        self.idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items()}
+        self.unseen = math.log(1 + len(rows)) + 1
+        self.vectors = [self._weights(x) for x in terms]
+        self.least = 0
+        if rows:
+            needed = []
+            for v in self.vectors:
+                norm = math.sqrt(sum(w * w for w in v.values()))
+                for t in v:
+                    v[t] /= norm
+                masses = np.cumsum(sorted((w * w for w in v.values()), reverse=True))
+                needed.append(int(np.searchsorted(masses, FILE_TEXT**2)))
+            # the cosine is at most the length of the text's part that is shared: fewer terms can't reach the threshold
+            self.least = min(needed)
+
+    def _weights(self, terms: Counter) -> dict[str, float]:
+        return {t: (1 + math.log(c)) * self.idf.get(t, self.unseen) for t, c in terms.items()}
+
+    def best(self, terms: Counter, text: str) -> tuple[str | None, float]:
+        """Name and cosine of the nearest licence that agrees with the title and reaches FILE_TEXT."""
+        if not self.idf or len(self.idf.keys() & terms.keys()) < self.least:
+            return None, 0.0
+        own = self._weights(terms)
+        norm = math.sqrt(sum(w * w for w in own.values()))
+        title = title_of(text)
+        found = []
+        for names, v in zip(self.names, self.vectors, strict=True):
+            cosine = sum(w * v[t] for t, w in own.items() if t in v) / norm
+            if cosine >= FILE_TEXT:
+                found += [(-round(cosine, 12), name) for name in names if self._fits(name, title, terms)]
+        return (min(found)[1], -min(found)[0]) if found else (None, 0.0)
+
+    @staticmethod
+    def _fits(name: str, title: set[str], terms: Counter) -> bool:
+        if name.startswith("BSD-"):
+            return ("endorse" in terms) == (name == "BSD-3-Clause") and "advertising" not in terms
+        # without a title the text alone tells the GNU licences apart, and none of the Creative Commons variants
+        return agrees(name, title, False) if title else not name.startswith("CC-BY")
+
+
+def title_of(text: str) -> set[str]:
+    """Words of the first of the upper lines that names a licence, and of the next line."""
+    lines = [x for x in (set(_WORDS(line.lower())) for line in text[:4000].split("\n")) if x][:10]
+    for k, line in enumerate(lines):
+        if not line.isdisjoint({"license", "licence", "attribution", "legal"}) and "permission" not in line:
+            return line.union(*lines[k + 1 : k + 2])
+    return set()
+
+
+def own_licences(texts: list[str | None], templates: Templates, licences: LicenceTexts) -> list[tuple]:
     """(header licence, cosine, file licence, cosine) of each text; the best unit at or above the threshold."""
     out = []
     for text in texts:
@@ -106,30 +228,33 @@ def own_licences(texts: list[str | None], templates: Templates) -> list[tuple]:
                 block, lines_in_block = Counter(), 0
             for unit in units:
                 if not templates.telling.isdisjoint(unit):
-                    name, cosine = templates.best(unit)
-                    if cosine >= HEADER and (-cosine, name) < (-score, header or "~"):
+                    name, cosine = templates.best(unit, HEADER, lambda n, unit=unit: agrees(n, unit))
+                    if name and cosine >= HEADER and (-cosine, name) < (-score, header or "~"):
                         header, score = name, cosine
-        file, likeness = templates.best(whole) if not templates.telling.isdisjoint(whole) else (None, 0.0)
-        out.append((header, score, *((file, likeness) if likeness >= FILE else (None, 0.0))))
+        file, likeness = licences.best(whole, text or "")
+        if not file and not templates.telling.isdisjoint(whole):
+            file, likeness = templates.best(whole, FILE, lambda n, whole=whole: agrees(n, whole))
+        out.append((header, score, file, likeness))
     return out
 
 
-def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict[str, list[str]] | None = None) -> tuple[DataFrame, list[str]]:
+def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
     """Append licence, cosine, origin (file, header, inherited, none) and directory (from which it is inherited).
 
     path_col has paths separated by "/"; a document lies in the directory that its path names but for the last part.
     A directory's licence is that of most of its licence files, of equals the first in order of name; a licence file
     speaks for itself. Null texts have no licence of their own; null paths inherit nothing. Repeated rows each have
-    their result and each count as a licence file. Returns the table and the four columns' names.
+    their result and each count as a licence file. templates are notices, texts whole licences; those of this module by
+    default, own templates without texts have none. Returns the table and the four columns' names.
     """
     names = fresh_names(docs, ["licence", "cosine", "origin", "directory"])
-    chosen = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    chosen = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, texts if texts is not None else {} if templates else licence_texts()))
 
     def make():
-        own = Templates(chosen.value)
+        own, whole = Templates(chosen.value[0]), LicenceTexts(chosen.value[1])
 
         def rows(texts: list[str | None], _: pa.RecordBatch) -> list[pa.Array]:
-            found = own_licences(texts, own)
+            found = own_licences(texts, own, whole)
             return [pa.array([x[0] for x in found], pa.string()), pa.array(np.array([x[1] for x in found], float)), pa.array([x[2] for x in found], pa.string()), pa.array(np.array([x[3] for x in found], float))]
 
         return rows

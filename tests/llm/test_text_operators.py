@@ -283,6 +283,32 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.scan(docs.limit(0), "path")[0].count() == 0
 
 
+def test_whole_licence_files_are_found_and_inherited(spark):
+    texts = licenses.licence_texts()
+    real = [n for n in texts if n != "AGPL-3.0-only" and (not n.startswith("CC-BY") or n == "CC-BY-SA-4.0")]
+    filled = {n: re.sub("<[^>\\n]*>", "2024 Some Person", texts[n]) for n in real}
+    affero = texts["GPL-3.0-only"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1)
+    filled |= {"AGPL-3.0-only": affero, "CC-BY-NC-ND-4.0": texts["CC-BY-SA-4.0"].replace("Attribution-ShareAlike", "Attribution-NonCommercial-NoDerivatives", 1)}
+    rows = [r for n, t in filled.items() for r in ((f"{n}/LICENSE", t), (f"{n}/src/x", "plain words of a file"))]
+    docs = spark.createDataFrame([*rows, ("one/LICENSE", texts["GPL-2.0-only"].replace("Version 2,", "Version 1,", 1))], "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licenses.scan(docs, "path")[0].collect()}
+    for n in filled:
+        assert got[f"{n}/LICENSE"] == (n, "file") and got[f"{n}/src/x"] == (n, "inherited"), n
+    assert got["one/LICENSE"][1] != "file"
+
+
+def test_headers_agree_in_version_and_variant():
+    own, whole = licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(licenses.licence_texts())
+    filler = "\n\n" + prose(1, 100)
+    lines = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-only", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0-only", "This work is licensed under the GNU General Public License, version 1.": None,
+        "Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "Licensed under CC BY-ND 4.0.": "CC-BY-ND-4.0", "Licensed under CC BY-SA 3.0.": None,
+    }
+    got = licenses.own_licences([x + filler for x in lines], own, whole)
+    assert [r[0] for r in got] == list(lines.values()) and all(r[2] is None for r in got)
+
+
 def test_cosine_equals_brute_force():
     import math
     from collections import Counter
