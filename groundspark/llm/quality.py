@@ -89,7 +89,9 @@ class Machine:
 
 
 def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """AdaGrad on the log loss in mini-batches; each class has half of the weight."""
+    """AdaGrad on the log loss in mini-batches; each class has half of the weight. Without rows every score is 0.5."""
+    if not rows:
+        return Machine(0.0, np.zeros(FEATURES), np.zeros((FEATURES, FACTORS)))
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, FACTORS)), 0.0
     gw, gv, gb, rate, decay = np.full(FEATURES, 1e-3), np.full((FEATURES, FACTORS), 1e-3), 1e-3, 0.15, 1e-5

@@ -30,6 +30,13 @@ def test_rejects_what_scores_low(spark):
     assert kept == {i for i, s in scores.items() if s >= 0.5}
 
 
+def test_no_labels_keep_all(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality.report(docs, labels).collect()} == {0.5}
+    assert quality.keep_good(docs, labels).count() == docs.count()
+
+
 def test_one_of_each_component(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = {r.doc_id: r.component_id for r in jaccard_join.report(docs).collect()}
