@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from groundspark.llm.common import fresh_names, written
 
-#: Share of the host's pages above which a line is dropped, and pages that a host needs to be judged.
-RATIO, LEAST_PAGES = 0.1, 20
+#: Share of the host's pages above which a line is dropped, and distinct pages that must hold it at least.
+RATIO, LEAST_HOLDERS = 0.1, 3
+#: Pages that a host needs to be judged by the query op5, whose SQL twin asks for them.
+LEAST_PAGES = 20
 #: Boilerplate lines (8 bytes each) that may be broadcast with their hosts; beyond, pages are joined by a shuffle.
 BROADCAST_LINES = 200_000
 #: Salts over which a host's pages are dealt in that shuffle.
@@ -53,17 +55,18 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     totals = pages.groupBy(F.col("_host").alias("h")).agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
     counts = pages.select("_host", F.explode("_hashes").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
     # a line on no more pages than this can't be above the ratio of any judged host
-    counts = counts.where(F.col("n") > ratio * least_pages)
+    counts = counts.where((F.col("n") > ratio * least_pages) & (F.col("n") >= LEAST_HOLDERS))
     above = counts.join(totals, F.col("_host") == F.col("h")).where(F.col("n") > ratio * F.col("total"))
     return above.groupBy("_host").agg(F.collect_set("line").alias("_drop"))
 
 
-def drop_lines(docs: DataFrame, host: Column, text: Column, text_col: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> tuple[DataFrame, list[str]]:
+def drop_lines(docs: DataFrame, host: Column, text: Column, text_col: str, ratio: float = RATIO, least_pages: int = 1) -> tuple[DataFrame, list[str]]:
     """Replace text_col by the text without boilerplate lines; returns the table and the names of two more columns.
 
     The added columns are the counts of non-blank lines and of dropped ones. Lines are compared trimmed, with runs of
     blanks as one; blank lines are never counted or dropped, and kept lines stay as they are. Rows without host, of
-    hosts with fewer than least_pages pages, or with null text keep everything. Rows of a host with the same lines are
+    hosts with fewer than least_pages pages, or with null text keep everything; a line on fewer than LEAST_HOLDERS pages
+    stays. Rows of a host with the same lines are
     one page; a document whose lines all go keeps an empty text.
     """
     n_lines, n_dropped = fresh_names(docs, ["n_lines", "n_dropped"])
@@ -98,7 +101,7 @@ def report(pages: DataFrame) -> DataFrame:
     lines = F.array_join(F.filter(F.transform(F.split(html_lines(F.col("html")), "\n"), _trimmed), lambda x: x != ""), "\n")
     # the HTML is read once: both the counts and the result start from the lines
     texts = written(pages.select("page_id", host_of(F.col("url")).alias("host"), lines.alias("text")), "page-lines")
-    out, (n_lines, n_dropped) = drop_lines(texts, F.col("host"), F.col("text"), "text")
+    out, (n_lines, n_dropped) = drop_lines(texts, F.col("host"), F.col("text"), "text", least_pages=LEAST_PAGES)
     return out.select("page_id", "host", n_lines, n_dropped, "text")
 
 

@@ -261,6 +261,13 @@ def test_line_dedup_keeps_a_document_of_which_a_third_are_copies(spark):
     assert got == {k: copied if k >= 100 else f"own line {k}" for k, *_ in rows}
 
 
+def test_line_dedup_judges_small_hosts(spark):
+    rows = [(k, "small", f"menu\nown line {k}") for k in range(5)] + [(10 + k, "two", f"shared\nown line {k}") for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.clean_documents(docs).collect()}
+    assert got == {i: f"own line {i}" if i < 10 else t for i, _, t in rows}
+
+
 def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
     rows = [(k, "h", f"menu\nown line {k}\nfooter") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
