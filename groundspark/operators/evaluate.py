@@ -46,7 +46,7 @@ def summary(graded: DataFrame) -> DataFrame:
 
 def recall_sweep(titles: DataFrame, hits: DataFrame, scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """K4: question_id, title, confidence, found: titles asked as questions find their own page with enough confidence."""
-    own = hits.join(titles, "question_id").where(hits["title"] == titles["title"]).select("question_id").distinct().withColumn("own", F.lit(True))
+    own = hits.join(titles.select("question_id", F.col("title").alias("_asked")), "question_id").where(F.col("title") == F.col("_asked")).select("question_id").distinct().withColumn("own", F.lit(True))
     out = titles.join(scored.select("question_id", "confidence"), "question_id").join(own, "question_id", "left")
     return out.select("question_id", "title", "confidence", (F.coalesce("own", F.lit(False)) & (F.col("confidence") >= threshold)).alias("found"))
 

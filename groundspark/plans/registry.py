@@ -667,9 +667,9 @@ def k3(spark, d):
 
 @query("k4_recall_sweep")
 def k4(spark, d):
-    """Every benchmark item's nearest page title asked as a question."""
+    """Every title of a page that isn't empty asked as a question over all chunks."""
     chunks = b.embedded_chunks(spark, d)
-    titles = b.docs(spark, d).join(table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id").where("title <> ''").groupBy("title").agg(F.min("id").alias("question_id"))
+    titles = b.docs(spark, d).where("title <> ''").groupBy("title").agg(F.min("id").alias("question_id"))
     asked = vectors.with_hash_embedding(titles.withColumn("question", F.col("title")), "question", b.WIDTH)
     hits = search.hybrid_search(asked.drop("title"), chunks, width=b.WIDTH)
     return evaluate.recall_sweep(titles, hits, confidence.confidence(asked, hits)).withColumn("confidence", F.round("confidence", 6))

@@ -38,6 +38,14 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_recall_sweep_asks_every_title(spark):
+    from groundspark.plans import base
+
+    titles = {r.title for r in base.docs(spark, SF).collect() if r.title}
+    got = registry.QUERIES["k4_recall_sweep"](spark, SF).collect()
+    assert {r.title for r in got} == titles and len(got) == len(titles)
+
+
 def test_filters_reach_the_scan(spark):
     plan = registry.QUERIES["e2_filters"](spark, SF)._jdf.queryExecution().toString()
     assert "PushedFilters: [In(source" in plan.replace("PushedFilters: [Or(", "PushedFilters: [In(source") or "In(source" in plan
