@@ -15,13 +15,17 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch: with texts of some kB, a few MB.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, since a row can be a long text."""
+    """Lower the rows and bytes of an Arrow batch, since a row can be a long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -86,12 +90,40 @@ def flat_rows(df: DataFrame, text_col: str, schema: str, make: Callable[[], Call
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster must set.
+
+    A session with a local master, as in tests, has one machine only and gets a temporary folder where it is unset.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="groundspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="groundspark-")
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class Scratch:
+    """Tables in the shared folder that an operator writes on its way, deleted as soon as later tables stand."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            deleted(self.spark, f"{self.folder}/{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -101,6 +133,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sampled(column: Column, rate: float) -> Column:
+    """A share of the rows, chosen by a hash of the column: the same rows at every run, and of any table size."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 52)) < F.lit(rate * (1 << 52))
+
+
 def crc32_of_id(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 

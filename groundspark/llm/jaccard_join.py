@@ -1,20 +1,25 @@
 """Exact Jaccard join of documents on word shingles by a token-group matrix.
 
-1. Every document becomes a set of hashed shingles; equal sets are one set from here on. A set brings its prefix (the
-   tokens of which a partner of enough similarity must hold one, common tokens last) and a row of bins: one bit for
-   the hash of each token.
+1. Every document becomes a set of hashed shingles; equal sets are one set from here on. A set brings its prefix: the
+   tokens of which a partner of enough similarity must hold one, rare tokens first.
 2. Similar sets are partitioned into groups: of the sets that share a prefix token and are about as large, each is
    compared with the first one only; what is verified as similar is one group (their links connect it).
-3. The token-group matrix holds each group's token union in bins. A set is a query to the groups that it shares a
-   prefix token with: its tokens that miss the union bound the overlap, and only groups that can still hold a partner
-   are opened; then the same bound holds for each member, and the rest is verified exactly.
-4. Groups that a verified link joins are one component.
+3. The token-group matrix is worked on in units: the sets of a token, with their groups, in one task; a token of very
+   many sets is dealt to one unit for each pair of its blocks. A unit compares sizes and positions first. Of what is
+   left it takes each set as a query to the groups: the group's token union (in bins: one bit for the hash of each
+   token) bounds the overlap, only groups that can still hold a partner are opened, and then the same bound holds for
+   each member. No pair leaves a unit: it returns its sets that still have a possible partner, each with the likeliest.
+4. The likeliest pairs are verified exactly, and groups that a link joins are merged. After some rounds hardly a link
+   between groups is left to find; whatever the bounds still leave between groups is then verified pair by pair.
+5. Groups that verified links join are one component.
 
 Copies and near copies never meet pair by pair: equal sets are one, and sets of one group aren't compared again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,18 +28,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.llm.common import flat_rows, fresh_names, written
+from groundspark.llm.common import Scratch, flat_rows, fresh_names, sampled
 from groundspark.llm.components import components
 from groundspark.llm.hashed import WordHashes, runs
 
 SHINGLE = 5
-#: Two sets link when NUMERATOR * size of union <= 100 * size of intersection.
+#: Two sets link when PERCENT * size of union <= 100 * size of intersection.
 PERCENT = 80
-#: Documents sampled for common tokens, and in how many of them a token must be.
-SAMPLE_DOCS, COMMON = 20_000, 2
-#: Set numbers that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
+#: Documents sampled for common tokens, in how many of them a token must be at least, and tokens kept at most: those of
+#: the largest counts. What is kept changes the order of prefixes and so the work, never the result.
+SAMPLE_DOCS, COMMON, COMMON_KEPT = 20_000, 2, 1_000_000
+#: Set numbers or tokens that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-TOKEN_BYTES = 5
+#: Bins for each token at least; a set has up to twice as many.
+BINS = 8
+#: Sets of a token in one block; rounds of merging groups by likeliest pairs.
+BLOCK, ROUNDS = 1024, 2
+#: Bytes of bins that a unit compares at a time.
+COMPARED = 16 << 20
+#: Copies of a small table to be joined with a side of which one key may hold most rows.
+SALTS = 32
 REMEMBERED = 50_000
 
 
@@ -50,35 +63,60 @@ def shingle_set(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) ->
     return np.unique(runs(hashes.of(words), min(size, len(words))) ^ np.uint64(0 if len(words) >= size else len(words)))
 
 
-def set_number(tokens: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes())).view(np.int64))
-
-
-def _bin_count(n: int) -> int:
-    """Bins for a set of n tokens: a power of two, twice as many at least."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+def set_number(tokens: np.ndarray, seed: int = 0) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), seed)).view(np.int64))
 
 
 def bins_of(tokens: np.ndarray) -> bytes:
-    count = _bin_count(len(tokens))
+    """Bins of a set: their number is a power of two."""
+    count = max(64, 1 << int(BINS * len(tokens) - 1).bit_length())
     bits = np.zeros(count, bool)
     bits[(tokens % np.uint64(count)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
-def _fold(raw: np.ndarray, size: int) -> np.ndarray:
-    while len(raw) > size:
-        half = len(raw) // 2
-        raw = raw[:half] | raw[half:]
-    return raw
-
-
-def missing(query: bytes, union: bytes) -> int:
-    """At least so many tokens of the query aren't in the union: its bins that the union lacks."""
-    a, b = np.frombuffer(query, np.uint8), np.frombuffer(union, np.uint8)
-    size = min(len(a), len(b))
-    a, b = _fold(a, size), _fold(b, size)
-    return int(np.bitwise_count(a & ~b).sum())
+class Bins:
+    """Bins of several sets, folded to whatever width a comparison needs."""
+
+    def __init__(self, raws: list[bytes]) -> None:
+        self.rows = [np.frombuffer(x, np.uint64) for x in raws]
+        self.words = np.array([len(x) for x in self.rows], np.int64)
+
+    def at(self, rows: np.ndarray, words: int) -> np.ndarray:
+        out = np.empty((len(rows), words), np.uint64)
+        for k, r in enumerate(rows.tolist()):
+            raw = self.rows[r]
+            while len(raw) > words:
+                raw = raw[: len(raw) // 2] | raw[len(raw) // 2 :]
+            out[k] = raw
+        return out
+
+    def missing(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At least so many tokens of set a[k] aren't in set b[k], and the other way round: bins that the other lacks."""
+        out = np.zeros((2, len(a)), np.int64)
+        width = np.minimum(self.words[a], self.words[b])
+        for words in np.unique(width).tolist():
+            some = np.flatnonzero(width == words)
+            used, at = np.unique(np.concatenate([a[some], b[some]]), return_inverse=True)
+            own, left, right = self.at(used, words), at[: len(some)], at[len(some) :]
+            step = max(1, COMPARED // (8 * words))
+            for k in range(0, len(some), step):
+                x, y = own[left[k : k + step]], own[right[k : k + step]]
+                out[0, some[k : k + step]] = np.bitwise_count(x & ~y).sum(1)
+                out[1, some[k : k + step]] = np.bitwise_count(y & ~x).sum(1)
+        return out[0], out[1]
+
+    def unions(self, owner: np.ndarray, count: int) -> Bins:
+        """Bins of the unions of the sets with the same owner (0 to count - 1, each with a set at least)."""
+        words = np.full(count, np.iinfo(np.int64).max)
+        np.minimum.at(words, owner, self.words)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=count))
+        out = Bins([])
+        for k, (end, width) in enumerate(zip(ends.tolist(), words.tolist(), strict=True)):
+            out.rows.append(np.bitwise_or.reduce(self.at(order[ends[k - 1] if k else 0 : end], width), axis=0))
+        out.words = words
+        return out
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -86,53 +124,20 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
-@F.pandas_udf(T.BooleanType())
-def may_link(n: pd.Series, bins: pd.Series, m: pd.Series, others: pd.Series, percent: pd.Series) -> pd.Series:
-    """Whether the bins leave room for enough shared tokens, seen from both sets."""
-    need = least_overlap(n.to_numpy(), m.to_numpy(), percent.to_numpy())
-    out = np.zeros(len(n), bool)
-    for i, (x, a, y, b, k) in enumerate(zip(n, bins, m, others, need, strict=True)):
-        out[i] = x - missing(a, b) >= k and y - missing(b, a) >= k
-    return pd.Series(out)
-
-
-@F.pandas_udf(T.BooleanType())
-def may_hold(n: pd.Series, bins: pd.Series, unions: pd.Series, percent: pd.Series) -> pd.Series:
-    """Whether a group with this union can hold a partner: a set of n tokens shares percent % of them with it."""
-    need = -(-percent.to_numpy() * n.to_numpy() // 100)
-    return pd.Series([x - missing(a, b) >= k for x, a, b, k in zip(n, bins, unions, need, strict=True)], dtype=bool)
-
-
 @F.pandas_udf(T.BooleanType())
 def linked(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     """Exact test on two sets' tokens."""
     out = np.zeros(len(a), bool)
     for i, (x, y, p) in enumerate(zip(a, b, percent, strict=True)):
-        x, y = (np.frombuffer(v, np.uint8).reshape(-1, TOKEN_BYTES) for v in (x, y))
-        x, y = (np.pad(v, ((0, 0), (0, 8 - TOKEN_BYTES))).copy().view("<u8").ravel() for v in (x, y))
+        x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
         both = len(np.intersect1d(x, y, assume_unique=True))
         out[i] = 100 * both >= int(p) * (len(x) + len(y) - both)
     return pd.Series(out)
 
 
-@F.pandas_udf(T.BinaryType())
-def union_of(rows: pd.Series) -> pd.Series:
-    """Bins of a group: those of its members (one row for each size of bins), folded to the least size."""
-    out = []
-    for several in rows:
-        raws = [np.frombuffer(x, np.uint8) for x in several]
-        size = min(map(len, raws))
-        out.append(np.bitwise_or.reduce([_fold(x, size) for x in raws]).tobytes())
-    return pd.Series(out)
-
-
-def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
-    """Tokens of several documents of a bounded sample, sorted; they are the last ones in every prefix's order.
-
-    Which they are changes the work only, never the result.
-    """
-    rate = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * rate) + (rate == 1.0))
+def _common_tokens(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of several documents of a bounded sample, sorted, and in how many documents of it each is."""
+    some = docs.where(sampled(F.col("doc"), min(1.0, SAMPLE_DOCS / max(1, docs.count()))))
 
     def make():
         hashes = WordHashes()
@@ -143,47 +148,75 @@ def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
 
         return rows
 
-    counted = flat_rows(some, "text", "token long", make).groupBy("token").count().where(F.col("count") >= COMMON).select("token")
-    return np.sort(np.array(counted.toArrow()["token"].to_numpy()).view(np.uint64))
+    counted = flat_rows(some, "text", "token long", make).groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= COMMON)
+    counted = counted.persist()
+    try:
+        steps = sorted(counted.groupBy("n").agg(F.count("*").alias("tokens")).collect(), key=lambda r: -r["n"])
+        least, total = COMMON, 0
+        for step in steps:
+            total += step["tokens"]
+            if total > COMMON_KEPT:
+                least = step["n"] + 1
+                break
+        kept = counted.where(F.col("n") >= least).toArrow()
+    finally:
+        counted.unpersist()
+    tokens, counts = kept["token"].to_numpy().view(np.uint64), kept["n"].to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], counts[order]
 
 
 def sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: doc, set (a number that equal sets share; null if empty), n, bins and prefix.
+    """One row per document: doc, key (a hash of its text), set (a number that equal sets share; null if empty), twin (a
+    second number of the set), n and prefix.
 
-    bins and prefix stand at the first row at least that a task sees of a set. A prefix is in the order of the tokens,
-    common ones last.
+    The prefix stands at the first row at least that a task sees of a set. It is in the order of the tokens' counts in
+    the sample, then of the tokens.
     """
     common = docs.sparkSession.sparkContext.broadcast(_common_tokens(docs, size))
-    schema = f"doc {dict(docs.dtypes)['doc']}, set long, n int, bins binary, prefix array<long>"
+    schema = f"doc {dict(docs.dtypes)['doc']}, key long, set long, twin long, n int, prefix array<long>"
 
     def make():
         hashes, seen = WordHashes(), set()
+        known, counts = common.value
 
         def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-            numbers, counts, bins, prefixes = [], [], [], []
+            numbers, twins, sizes, prefixes = [], [], [], []
             for text in texts:
                 tokens = shingle_set(split_words(text), hashes, size)
                 n = len(tokens)
                 number = set_number(tokens) if n else None
-                counts.append(n)
+                sizes.append(n)
                 numbers.append(number)
+                twins.append(set_number(tokens, 1) if n else None)
                 if not n or number in seen:
-                    bins.append(None)
                     prefixes.append(None)
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 seen.add(number)
-                place = np.searchsorted(common.value, tokens)
-                last = common.value[np.minimum(place, len(common.value) - 1)] == tokens if len(common.value) else np.zeros(n, bool)
-                order = np.concatenate([tokens[~last], tokens[last]])
+                often = np.zeros(n, np.int64)
+                if len(known):
+                    place = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                    often = np.where(known[place] == tokens, counts[place], 0)
+                order = tokens[np.argsort(often, kind="stable")]
                 prefixes.append(order[: n - -(-percent * n // 100) + 1].view(np.int64))
-                bins.append(bins_of(tokens))
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(numbers, pa.int64()), pa.array(counts, pa.int32()), pa.array(bins, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "set", "n", "bins", "prefix"])
+            return pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(numbers, pa.int64()), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc", "key", "set", "twin", "n", "prefix"]
+            )
 
         return rows
 
-    return flat_rows(docs.select("doc", "text"), "text", schema, make)
+    return flat_rows(docs.select("doc", "text", F.xxhash64("text").alias("key")), "text", schema, make)
+
+
+def _told_apart(found: DataFrame) -> DataFrame:
+    """found, where different sets with one number (64 bits can do that in very large tables) get numbers of their own."""
+    twice = found.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi")).where("lo <> hi").select(F.col("set").alias("_twice"))
+    if twice.isEmpty():
+        return found.drop("twin")
+    found = found.join(twice, F.col("set") == F.col("_twice"), "left")
+    return found.withColumn("set", F.when(F.col("_twice").isNull(), F.col("set")).otherwise(F.xxhash64("set", "twin"))).drop("_twice", "twin")
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -191,116 +224,280 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
-def _fits(n: str, rest: str, m: str, other_rest: str, percent: int) -> Column:
-    """Sizes that can link, and enough tokens from a shared one on in both orders."""
-    n, rest, m, other_rest = map(F.col, (n, rest, m, other_rest))
-    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return sizes & ((100 + percent) * F.least(rest, other_rest) >= percent * (n + m))
+def fits(n, rest, m, other_rest, percent: int, least):
+    """Sizes that can link, and enough tokens from a shared one on in both orders; for columns and for arrays."""
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * least(rest, other_rest) >= percent * (n + m))
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int) -> DataFrame:
-    """set and its tokens (TOKEN_BYTES each) for the wanted sets, from the text of one document each."""
-    chosen = representative.join(wanted, "set")
-    ids = written(chosen.select(F.col("doc").alias("_doc"), F.col("set").alias("_set")), "opened")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, F.col("doc").eqNullSafe(F.col("_doc"))).select("_set", "text")
+def _tokens_of(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """set, tokens (8 bytes each) and bins for the wanted sets, from the text of one document each; written."""
+    ids = scratch.write(representative.join(wanted, "set").select(F.col("at.doc").alias("_doc"), F.col("at.key").alias("_key"), F.col("set").alias("_set")), f"ids-{name}")
+    few = ids.count() <= BROADCAST_IDS
+    here = F.col("doc").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
+    texts = docs.join(F.broadcast(ids) if few else ids, here).select("_set", "text")
 
     def make():
         hashes = WordHashes()
 
         def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-            raws, same = [], []
-            for text, number in zip(texts, part.column(0).to_pylist(), strict=True):
-                tokens = shingle_set(split_words(text), hashes, size)
-                same.append(set_number(tokens) == number)
-                raws.append(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes())
-            keep = pa.array(same)
-            return pa.RecordBatch.from_arrays([part.column(0).filter(keep), pa.array(raws, pa.binary()).filter(keep)], names=["set", "tokens"])
+            found = [shingle_set(split_words(t), hashes, size) for t in texts]
+            raws = [x.astype("<u8").tobytes() for x in found]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(raws, pa.binary()), pa.array(list(map(bins_of, found)), pa.binary())], names=["set", "tokens", "bins"])
 
         return rows
 
-    return flat_rows(texts, "text", "set long, tokens binary", make).dropDuplicates(["set"])
+    made = scratch.write(flat_rows(texts, "text", "set long, tokens binary, bins binary", make).dropDuplicates(["set"]), f"tokens-{name}")
+    scratch.drop(f"ids-{name}")
+    return made
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, representative: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b) those that link, written."""
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    tokens = written(_tokens_of(docs, wanted, representative, size), f"tokens-{name}")
     left, right = (tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     tested = pairs.join(left, "a").join(right, "b").where(linked("ta", "tb", F.lit(percent)))
-    return written(tested.select("a", "b"), f"links-{name}")
+    return scratch.write(tested.select("a", "b"), f"links-{name}")
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    """Deal rows (token, set, ...) to units: token, lo, hi, block. A unit has all sets of a token, or two of its blocks."""
+    large = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    dealt = rows.join(large.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return dealt.withColumns({"lo": F.least("block", "_with"), "hi": F.greatest("block", "_with")}).drop("_token", "_blocks", "_with")
+
+
+class Unit:
+    """Some whole units: rows in their order, and all pairs of rows of one unit and different groups."""
+
+    def __init__(self, table: pa.Table, percent: int) -> None:
+        self.table, self.percent = table, percent
+        self.set, self.n, self.rest, self.group = (table[c].to_numpy().astype(np.int64) for c in ("set", "n", "rest", "group"))
+        keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("token", "lo", "hi")])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(0)))
+        sizes = np.diff(np.append(starts, len(self.set)))
+        self.unit = np.repeat(np.arange(len(starts)), sizes)
+        block, across = table["block"].to_numpy(), keys[1] != keys[2]
+        end = np.repeat(starts + sizes, sizes)
+        many = end - np.arange(len(end)) - 1
+        parts, at = [], 0
+        # about as many pairs at a time as one large unit has
+        while at < len(many):
+            to = at + max(1, int(np.searchsorted(np.cumsum(many[at:]), BLOCK * BLOCK)))
+            own = many[at:to]
+            a = np.repeat(np.arange(at, at + len(own)), own)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own) + a + 1
+            keep = (self.group[a] != self.group[b]) & (~across[a] | (block[a] != block[b]))
+            keep &= fits(self.n[a], self.rest[a], self.n[b], self.rest[b], percent, np.minimum)
+            parts.append((a[keep], b[keep]))
+            at += len(own)
+        self.a, self.b = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+
+    def open_groups(self, bins: Bins) -> None:
+        """Drop the pairs of a query and a group whose token union can't hold a partner of it."""
+        kinds, owner = np.unique(np.stack([self.unit, self.group]), axis=1, return_inverse=True)
+        owner = owner.ravel()
+        several = np.bincount(owner) > 1
+        if not len(self.a) or not several.any():
+            return
+        # unions follow the rows in one list of bins
+        members = np.flatnonzero(several[owner])
+        place = np.cumsum(several) - 1
+        unions = Bins([])
+        some = Bins([])
+        some.rows, some.words = [bins.rows[r] for r in members.tolist()], bins.words[members]
+        unions = some.unions(place[owner[members]], int(several.sum()))
+        both = Bins([])
+        both.rows, both.words = bins.rows + unions.rows, np.concatenate([bins.words, unions.words])
+        keep = np.ones(len(self.a), bool)
+        for query, other in ((self.a, self.b), (self.b, self.a)):
+            asked = np.flatnonzero(several[owner[other]])
+            if len(asked):
+                pair, back = np.unique(np.stack([query[asked], owner[other[asked]]]), axis=1, return_inverse=True)
+                lacks, _ = both.missing(pair[0], len(bins.rows) + place[pair[1]])
+                n = self.n[pair[0]]
+                keep[asked] &= (n - lacks >= -(-self.percent * n // 100))[back.ravel()]
+        self.a, self.b = self.a[keep], self.b[keep]
+
+    def bound(self, bins: Bins) -> np.ndarray:
+        """Keep the pairs whose bins leave room for enough shared tokens; returns how likely each of them looks."""
+        n, m = self.n[self.a], self.n[self.b]
+        need = least_overlap(n, m, self.percent)
+        x, y = bins.missing(self.a, self.b)
+        keep = np.minimum(n - x, m - y) >= need
+        self.a, self.b = self.a[keep], self.b[keep]
+        return ((n + m - x - y) / (2 * need))[keep]
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[Unit]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "lo", "hi")])
+        first = int(np.flatnonzero((keys != keys[:, -1:]).any(0)).max(initial=-1)) + 1
+        same = held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in ("token", "lo", "hi"))
+        if held and not same:
+            yield Unit(pa.Table.from_batches(held), percent)
+            held = []
+        if first:
+            yield Unit(pa.Table.from_batches([*held, batch.slice(0, first)]), percent)
+            held = []
+        held.append(batch.slice(first))
+    if held:
+        yield Unit(pa.Table.from_batches(held), percent)
+
+
+def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, bins: DataFrame | None = None) -> DataFrame:
+    """Deal rows (token, set, n, rest) with their groups, and their bins if given, to units and work on these."""
+    labelled = rows.join(groups, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("label", "set")).drop("node", "label")
+    dealt = _units(labelled)
+    columns = ["token", "lo", "hi", "block", "set", "n", "rest", "group"]
+    if bins is not None:
+        dealt, columns = dealt.join(bins.select(F.col("set").alias("_set"), "bins"), F.col("set") == F.col("_set")), [*columns, "bins"]
+    dealt = dealt.select(*columns).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return dealt.mapInArrow(work, schema)
+
+
+ROWS = "token long, set long, n int, rest int"
+
+
+def _asked(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a partner of another group which fits in size and position."""
+
+    def work(batches):
+        for unit in _whole_units(batches, percent):
+            some = np.union1d(unit.a, unit.b)
+            yield unit.table.select(["token", "set", "n", "rest"]).take(pa.array(some)).combine_chunks().to_batches()[0] if len(some) else _no_rows(ROWS)
+
+    return _worked(rows, groups, ROWS, work).distinct()
+
+
+def _no_rows(schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [tuple(f.split()) for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([], kinds[t]) for _, t in fields], names=[n for n, _ in fields])
+
+
+def _opened(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """The rows that have a partner of another group which the bounds leave, with the likeliest one."""
+    schema = f"{ROWS}, best long, score double"
+
+    def work(batches):
+        for unit in _whole_units(batches, percent):
+            own = Bins(unit.table["bins"].to_pylist())
+            unit.open_groups(own)
+            score = unit.bound(own)
+            a, b, score = np.concatenate([unit.a, unit.b]), np.concatenate([unit.b, unit.a]), np.concatenate([score, score])
+            order = np.lexsort((unit.set[b], -score, a))
+            rows, first = np.unique(a[order], return_index=True)
+            if not len(rows):
+                yield _no_rows(schema)
+                continue
+            found = unit.table.select(["token", "set", "n", "rest"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(unit.set[b[order][first]]), pa.array(score[order][first])], names=["token", "set", "n", "rest", "best", "score"])
+
+    return _worked(rows, groups, schema, work, bins)
+
+
+def _left_over(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different groups that the bounds leave: a, b (a < b)."""
+
+    def work(batches):
+        sent: set[tuple[int, int]] = set()
+        for unit in _whole_units(batches, percent):
+            own = Bins(unit.table["bins"].to_pylist())
+            unit.open_groups(own)
+            unit.bound(own)
+            x, y = unit.set[unit.a], unit.set[unit.b]
+            found = set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True)) - sent
+            if len(sent) > REMEMBERED:
+                sent = set()
+            sent |= found
+            a, b = zip(*sorted(found), strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _worked(rows, groups, "a long, b long", work, bins).distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Similar sets: one row per document (doc, set, n), and set -> component for sets with a link to another one.
+    """Similar sets: one row per document (doc, key, set, n), and set -> component for sets with a link to another one.
 
     Documents link where 100 * intersection >= percent * union of their shingles (of `size` words; a shorter text is
-    one). A null or word-free text has an empty set and links with nothing. All links between different sets are
-    found, however many share a token; equal sets are linked by being one.
+    one). A null or word-free text has an empty set and links with nothing. Sets that links connect, however many share
+    a token, are one component; links within a group that is connected already aren't listed. Equal sets are linked by
+    being one.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    found = written(sets(docs, size, percent), "sets")
-    percent_ = F.lit(percent)
-    some = found.where(F.col("bins").isNotNull())
-    rows = some.groupBy("set").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
-    representative = some.groupBy("set").agg(F.min("doc").alias("doc"))
-
-    # sets by token; tokens of one set only are dropped behind the one shuffle
-    listed = some.dropDuplicates(["set"]).select("set", "n", F.posexplode("prefix").alias("pos", "token"))
-    listed = listed.select("token", "set", "n", (F.col("n") - F.col("pos")).alias("rest"), _size_class(F.col("n"), percent).alias("class"))
-    by_class = Window.partitionBy("token", "class").orderBy("set")
-    by_token = Window.partitionBy("token").orderBy("class", "set")
-    listed = listed.withColumn("_b", F.lag("set").over(by_token)).withColumn("_a", F.lead("set").over(by_token))
-    listed = listed.where(F.col("_b").isNotNull() | F.col("_a").isNotNull()).drop("_a", "_b")
-    first = F.first(F.struct("set", "n", "rest")).over(by_class)
-    listed = written(listed.withColumn("first", first), "shared")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    found = _told_apart(scratch.write(sets(docs, size, percent), "sets"))
+    some = found.where(F.col("prefix").isNotNull())
+    representative = some.groupBy("set").agg(F.min(F.struct("doc", "key")).alias("at"))
+
+    # tokens of several sets; all others are counted map-side and go
+    shared = some.select("set", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("set").alias("lo"), F.max("set").alias("hi"))
+    shared = scratch.write(shared.where("lo <> hi").select("token"), "shared")
+    few = shared.count() <= BROADCAST_IDS
+    listed = some.select("set", "n", F.posexplode("prefix").alias("pos", "token")).join(F.broadcast(shared) if few else shared, "token")
+    listed = listed.select("token", "set", "n", (F.col("n") - F.col("pos")).alias("rest")).distinct()
+    listed = scratch.write(listed, "listed")
 
     # groups: each set with the first one of its size class that shares a token
-    near = listed.where(F.col("set") != F.col("first.set")).select("set", "n", "rest", F.col("first.set").alias("to"), F.col("first.n").alias("m"), F.col("first.rest").alias("other"))
-    near = near.where(_fits("n", "rest", "m", "other", percent)).select(F.col("set").alias("a"), F.col("to").alias("b")).distinct()
-    left, right = (rows.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("bins").alias(f"bins{x}")) for x in "ab")
-    near = written(near.join(left, "a").join(right, "b").where(may_link("na", "binsa", "nb", "binsb", percent_)).select("a", "b"), "near")
-    links = _verified(docs, near, representative, size, percent, "near")
+    by_class = listed.withColumn("class", _size_class(F.col("n"), percent))
+    first = scratch.write(by_class.groupBy("token", "class").agg(F.min(F.struct("set", "n", "rest")).alias("first")), "first")
+    near = by_class.join(first, ["token", "class"]).where(F.col("set") != F.col("first.set"))
+    near = near.where(fits(F.col("n"), F.col("rest"), F.col("first.n"), F.col("first.rest"), percent, F.least))
+    near = scratch.write(near.select(F.col("set").alias("a"), F.col("first.set").alias("b")).distinct(), "near")
+    wanted = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
+    tokens = _tokens_of(docs, wanted, representative, size, scratch, "near")
+    links = _verified(near, tokens, percent, scratch, "near")
     groups = components(links, "groups")
-
-    # the matrix: token -> groups, with the room that the group's best member leaves
-    labelled = listed.drop("first").join(groups, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("label", "set")).drop("node", "label")
-    labelled = written(labelled, "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
-    labelled = labelled.join(mixed, "token")
-    matrix = labelled.groupBy("token", "class", "group").agg(F.max("rest").alias("most"), F.min("n").alias("m"), F.max("n").alias("m_most"))
-    matrix = matrix.select(F.col("token").alias("t"), F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])).alias("c"), F.col("group").alias("g"), "most", "m", "m_most")
-    room = (100 + percent) * F.least("rest", "most") >= percent * (F.col("n") + F.greatest("m", F.ceil(percent * F.col("n") / 100)))
-    room = room & (100 * F.col("m_most") >= percent * F.col("n")) & (percent * F.col("m") <= 100 * F.col("n"))
-    meets = (F.col("token") == F.col("t")) & (F.col("class") == F.col("c")) & (F.col("group") < F.col("g")) & room
-    asked = labelled.join(matrix, meets).select(F.col("set").alias("a"), F.col("g").alias("group")).distinct()
-
-    member = rows.select("set", "n", "bins").join(groups, F.col("set") == F.col("node"), "left").select("set", "n", "bins", F.coalesce("label", "set").alias("group"))
-    # a group's bins are merged by a running OR of rows, at most one for each size of bins and slice of members
-    sliced = member.groupBy("group", F.length("bins").alias("_w"), F.pmod(F.xxhash64("set"), F.lit(64)).alias("_s")).agg(F.collect_list("bins").alias("x"))
-    unions = sliced.select("group", union_of("x").alias("u")).groupBy("group").agg(F.collect_list("u").alias("x")).select("group", union_of("x").alias("union"))
-    opened = asked.join(left, "a").join(unions, "group").where(may_hold("na", "binsa", "union", percent_)).select("a", "na", "binsa", "group")
-    inside = member.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("bins").alias("binsb"), "group")
-    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    pairs = opened.join(inside, "group").where(sizes).where(may_link("na", "binsa", "nb", "binsb", percent_)).select("a", "b")
-    pairs = written(pairs.distinct(), "pairs")
-    if pairs.isEmpty():
-        whole = groups
-    else:
-        across = _verified(docs, pairs, representative, size, percent, "across")
-        whole = components(links.union(across), "joined")
-    return found.select("doc", "set", "n"), whole.select(F.col("node").alias("set"), F.col("label").alias("component"))
+    scratch.drop("shared", "first", "near", "tokens-near")
+
+    # the matrix: units of a token's sets and groups
+    rows = scratch.write(_asked(listed, groups, percent), "asked")
+    scratch.drop("listed")
+    tokens = _tokens_of(docs, rows.select("set").distinct(), representative, size, scratch, "asked")
+    for turn in range(ROUNDS):
+        opened = scratch.write(_opened(rows, groups, tokens, percent), f"opened-{turn}")
+        rows = opened.select("token", "set", "n", "rest").distinct()
+        if opened.isEmpty():
+            break
+        best = opened.groupBy("set").agg(F.max_by("best", F.struct("score", "best")).alias("best"))
+        pairs = best.select(F.least("set", "best").alias("a"), F.greatest("set", "best").alias("b")).distinct()
+        new = _verified(pairs, tokens, percent, scratch, f"round-{turn}")
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        groups = components(links, f"groups-{turn}")
+    if not rows.isEmpty():
+        pairs = scratch.write(_left_over(rows, groups, tokens, percent), "pairs")
+        new = _verified(pairs, tokens, percent, scratch, "left")
+        if not new.isEmpty():
+            groups = components(links.union(new), "joined")
+    scratch.drop("asked", "tokens-asked")
+    return found.select("doc", "key", "set", "n"), groups.select(F.col("node").alias("set"), F.col("label").alias("component"))
+
+
+def _least_of(found: DataFrame, merged: DataFrame, what: Column) -> DataFrame:
+    """set and the least value of `what` in its component, for the sets of documents with an id."""
+    per_set = found.where(F.col("set").isNotNull() & F.col("doc").isNotNull()).groupBy("set").agg(F.min(what).alias("least"))
+    # one component may hold a third of all sets: its least value is counted up map-side and dealt out salted
+    per_component = per_set.join(merged, "set").groupBy("component").agg(F.min("least").alias("all"))
+    salted = per_component.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked_sets = merged.withColumn("_salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")).join(salted, ["component", "_salt"]).select("set", "all")
+    return per_set.join(linked_sets, "set", "left").select("set", F.coalesce("all", "least").alias("least"))
 
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: doc, n_shingles, component_id (the least document reachable by links, itself included)."""
+    """One row per document: doc, n_shingles, component_id (the least document reachable by links, itself included).
+
+    A row without id has the least id of its component too, and null where none has an id; rows with equal ids each
+    have their result.
+    """
     found, merged = join(docs, id_col, text_col, **options)
-    per_set = found.where(F.col("set").isNotNull()).groupBy("set").agg(F.min("doc").alias("least"))
-    per_set = per_set.join(merged, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = per_set.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_set = per_set.join(least, "component").select("set", "component_id")
-    out = found.join(per_set, "set", "left")
-    return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    out = found.join(_least_of(found, merged, F.col("doc")), "set", "left")
+    return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -309,14 +506,20 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, with its columns: the least id, and of rows with equal ids one. Rows without id,
-    and those with an empty set, stay."""
-    names = fresh_names(docs, ["_least", "_nth"])
-    out = labelled(docs, id_col, text_col, **options)
-    kept = out.where(F.col("doc").eqNullSafe(F.col("component_id"))).select(F.col("doc").alias(names[0])).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col(names[0]), "left_semi")
-    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    rows = rows.withColumn(names[1], F.row_number().over(again)).where(F.col(names[1]) == 1).drop(names[1])
+    """One document of each component, with its columns: the least id, and of its texts that of the least hash.
+
+    Of equal rows (id and text) one stays; rows with one id and different texts are documents of their own. Rows
+    without id, and those with an empty set, stay.
+    """
+    names = fresh_names(docs, ["_doc", "_key", "_nth"])
+    found, merged = join(docs, id_col, text_col, **options)
+    least = _least_of(found, merged, F.struct("doc", "key")).select("least.*")
+    empty = found.where(F.col("set").isNull() & F.col("doc").isNotNull()).select("doc", "key")
+    kept = least.union(empty).select(F.col("doc").alias(names[0]), F.col("key").alias(names[1])).distinct()
+    same = (F.col(id_col) == F.col(names[0])) & (F.xxhash64(text_col) == F.col(names[1]))
+    rows = docs.join(kept, same, "left_semi")
+    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
+    rows = rows.withColumn(names[2], F.row_number().over(again)).where(F.col(names[2]) == 1).drop(names[2])
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 

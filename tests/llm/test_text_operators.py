@@ -141,6 +141,36 @@ def test_jaccard_join_of_random_near_copies(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_jaccard_join_of_a_large_group_in_blocks(spark, monkeypatch, rounds):
+    """Copies of one text that differ so much that only some link, dealt to units by blocks of few sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    r, base, rows = np.random.default_rng(9), prose(300, 100).split(), []
+    for k in range(60):
+        own = base.copy()
+        for at in r.integers(0, len(own), int(r.integers(0, 7))):
+            own[at] = f"y{r.integers(0, 5)}"
+        rows.append((k, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.report(table).collect()}
+    assert got == brute_components(rows) and 2 < len({c for _, c in got.values()}) < 60
+
+
+def test_sets_with_one_number_are_told_apart(spark, monkeypatch):
+    found = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 3), (5, None, None)], "doc long, set long, twin long")
+    apart = {x.doc: x.set for x in jaccard_join._told_apart(found).collect()}
+    assert apart[1] == apart[3] != apart[2] and apart[4] == 8 and apart[5] is None
+
+
+def test_keep_first_with_equal_ids_and_clashing_names(spark):
+    rows = [(1, prose(30, 30), "a"), (1, prose(31, 30), "b"), (1, prose(30, 30), "a"), (2, prose(30, 30), "c"), (3, None, "d"), (3, None, "d"), (None, prose(30, 30), "e")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _doc string").selectExpr("*", "_doc AS _key", "_doc AS _nth")
+    kept = jaccard_join.keep_first(table)
+    assert kept.columns == table.columns
+    assert sorted(((x.doc_id or 0, x["_doc"]) for x in kept.collect())) == [(0, "e"), (1, "a"), (1, "b"), (3, "d")]
+
+
 def test_substring_dedup_equals_brute_force(spark, docs):
     out, _ = substring_dedup.dedup(docs.select("doc_id", "text"))
     got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_words, r.n_removed, r.kept) for r in out.collect())
