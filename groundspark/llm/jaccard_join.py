@@ -229,30 +229,39 @@ def fits(n, rest, m, other_rest, percent: int, least):
     return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * least(rest, other_rest) >= percent * (n + m))
 
 
-def _tokens_of(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """set, tokens (8 bytes each) and bins for the wanted sets, from the text of one document each; written."""
-    ids = scratch.write(representative.join(wanted, "set").select(F.col("at.doc").alias("_doc"), F.col("at.key").alias("_key"), F.col("set").alias("_set")), f"ids-{name}")
+def _contents(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int, scratch: Scratch, name: str, column: str) -> DataFrame:
+    """set and its bins, or its tokens (8 bytes each), for the wanted sets from the text of one document each; written."""
+    ids = representative.join(wanted, "set").select(F.col("at.doc").alias("_doc"), F.col("at.key").alias("_key"), F.col("set").alias("_set"))
+    ids = scratch.write(ids, f"ids-{name}")
     few = ids.count() <= BROADCAST_IDS
     here = F.col("doc").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
     texts = docs.join(F.broadcast(ids) if few else ids, here).select("_set", "text")
+    content = bins_of if column == "bins" else lambda x: x.astype("<u8").tobytes()
 
     def make():
         hashes = WordHashes()
 
         def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shingle_set(split_words(t), hashes, size) for t in texts]
-            raws = [x.astype("<u8").tobytes() for x in found]
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(raws, pa.binary()), pa.array(list(map(bins_of, found)), pa.binary())], names=["set", "tokens", "bins"])
+            found = [content(shingle_set(split_words(t), hashes, size)) for t in texts]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["set", column])
 
         return rows
 
-    made = scratch.write(flat_rows(texts, "text", "set long, tokens binary, bins binary", make).dropDuplicates(["set"]), f"tokens-{name}")
+    made = scratch.write(flat_rows(texts, "text", f"set long, {column} binary", make), f"{column}-{name}")
     scratch.drop(f"ids-{name}")
-    return made
+    if made.groupBy("set").count().where("count > 1").isEmpty():
+        return made
+    # rows of equal id and text are there several times
+    once = scratch.write(made.dropDuplicates(["set"]), f"{column}-{name}-once")
+    scratch.drop(f"{column}-{name}")
+    return once
 
 
-def _verified(pairs: DataFrame, tokens: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, representative: DataFrame, size: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of pairs (a, b) those that link, written."""
+    pairs = scratch.write(pairs, f"pairs-{name}")
+    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
+    tokens = _contents(docs, wanted, representative, size, scratch, name, "tokens")
     left, right = (tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     tested = pairs.join(left, "a").join(right, "b").where(linked("ta", "tb", F.lit(percent)))
     return scratch.write(tested.select("a", "b"), f"links-{name}")
@@ -447,35 +456,32 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     first = scratch.write(by_class.groupBy("token", "class").agg(F.min(F.struct("set", "n", "rest")).alias("first")), "first")
     near = by_class.join(first, ["token", "class"]).where(F.col("set") != F.col("first.set"))
     near = near.where(fits(F.col("n"), F.col("rest"), F.col("first.n"), F.col("first.rest"), percent, F.least))
-    near = scratch.write(near.select(F.col("set").alias("a"), F.col("first.set").alias("b")).distinct(), "near")
-    wanted = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
-    tokens = _tokens_of(docs, wanted, representative, size, scratch, "near")
-    links = _verified(near, tokens, percent, scratch, "near")
+    near = near.select(F.col("set").alias("a"), F.col("first.set").alias("b")).distinct()
+    links = _verified(docs, near, representative, size, percent, scratch, "near")
     groups = components(links, "groups")
-    scratch.drop("shared", "first", "near", "tokens-near")
+    scratch.drop("shared", "first", "pairs-near")
 
     # the matrix: units of a token's sets and groups
     rows = scratch.write(_asked(listed, groups, percent), "asked")
     scratch.drop("listed")
-    tokens = _tokens_of(docs, rows.select("set").distinct(), representative, size, scratch, "asked")
+    bins = _contents(docs, rows.select("set").distinct(), representative, size, scratch, "asked", "bins")
     for turn in range(ROUNDS):
-        opened = scratch.write(_opened(rows, groups, tokens, percent), f"opened-{turn}")
+        opened = scratch.write(_opened(rows, groups, bins, percent), f"opened-{turn}")
         rows = opened.select("token", "set", "n", "rest").distinct()
         if opened.isEmpty():
             break
         best = opened.groupBy("set").agg(F.max_by("best", F.struct("score", "best")).alias("best"))
         pairs = best.select(F.least("set", "best").alias("a"), F.greatest("set", "best").alias("b")).distinct()
-        new = _verified(pairs, tokens, percent, scratch, f"round-{turn}")
+        new = _verified(docs, pairs, representative, size, percent, scratch, f"round-{turn}")
         if new.isEmpty():
             break
         links = links.union(new)
         groups = components(links, f"groups-{turn}")
     if not rows.isEmpty():
-        pairs = scratch.write(_left_over(rows, groups, tokens, percent), "pairs")
-        new = _verified(pairs, tokens, percent, scratch, "left")
+        new = _verified(docs, _left_over(rows, groups, bins, percent), representative, size, percent, scratch, "left")
         if not new.isEmpty():
             groups = components(links.union(new), "joined")
-    scratch.drop("asked", "tokens-asked")
+    scratch.drop("asked")
     return found.select("doc", "key", "set", "n"), groups.select(F.col("node").alias("set"), F.col("label").alias("component"))
 
 
