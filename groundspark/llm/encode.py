@@ -2,9 +2,9 @@
 
 Where a vocabulary splits texts into runs of letters, single digits and runs of signs and drops white space (the word
 BPE), the ids of a text are those of its pieces one after another. Pieces repeat, so each task keeps the ids of those
-it has seen; new ones go to the tokenizers library many at a time. Pieces with other characters than those of
-_PLAIN (apostrophes, other scripts, combining marks, spelled-out special tokens) are encoded by the whole tokenizer,
-word by word. Other vocabularies encode whole texts.
+it has seen; a new one goes to the tokenizers library's model. Pieces with other characters than those of _PLAIN
+(apostrophes, other scripts, combining marks, spelled-out special tokens) are encoded by the whole tokenizer, word by
+word. Other vocabularies encode whole texts.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 #: Pieces in each of the two generations of the cache; about 150 MB in all.
 CACHE_PIECES = 400_000
-#: New pieces in one string for the library.
-TOGETHER = 1000
 _LETTERS, _SIGNS = "a-zß-öø-ÿœ", "!-&(-/:-@\\[-`{-~"
 _PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+").findall
 _ODD = re.compile(f"[^ \\n\\t0-9A-ZÀ-ÖØ-ÞŒ{_LETTERS}{_SIGNS}]|<\\|").search
@@ -30,12 +29,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_signs() -> dict[int, int]:
+    """The sign by which a byte-level vocabulary writes each byte: printable ones as they are, the rest from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Piece -> its ids as little-endian unsigned 32-bit bytes. Of two generations the older one goes."""
+
+    def __init__(self, model) -> None:
+        self.tokenize, self.signs, self.old = model.tokenize, _byte_signs(), {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.signs)
+            found = array("I", [t.id for t in self.tokenize(written)]).tobytes()
+        self[piece] = found
+        return found
+
+    def aged(self) -> None:
+        if len(self) > CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; a null text has none."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -43,72 +69,22 @@ class Encoder:
         splits = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         drops_space = splits[0].get("type") == "Split" and splits[0].get("behavior") == "Removed" and splits[0].get("invert")
         self.by_pieces = bool(config["model"].get("end_of_word_suffix") and drops_space)
-        self.pieces = Tokenizer(self.tokenizer.model)  # for pieces that are split, folded and normalised already
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = _Pieces(self.tokenizer.model)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, wanted: set[str]) -> None:
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for p in wanted.difference(young):
-            if (known := old.get(p)) is not None:
-                young[p] = known
-            else:
-                new.append(p)
-        for i in range(0, len(new), TOGETHER):
-            group = new[i : i + TOGETHER]
-            # "." is one id that ends a word and no other piece has inside: it sets the pieces apart
-            ids = np.array(self.pieces.encode_batch_fast([" . ".join(group)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self._stop), len(ids))
-            if len(ends) != len(group):  # "." is itself among them
-                young.update(zip(group, self._whole(group), strict=True))
-                continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(group, ends.tolist(), strict=True):
-                young[piece] = raw[4 * start : 4 * end]
-                start = end + 1
-
-    @property
-    def _stop(self) -> int:
-        return self.tokenizer.token_to_id(".</w>")
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_pieces:
             return self._whole([t or "" for t in texts])
-        split, odd, wanted = [], set(), set()
-        for text in texts:
-            if not text:
-                own = []
-            elif _ODD(text):
-                own = []
-                for word in text.replace("\n", " ").split(" "):
-                    if _ODD(word):
-                        own.append(word)
-                        odd.add(word)
-                    else:
-                        own += _PIECES(word.lower())
-            else:
-                own = _PIECES(text.lower())
-            wanted.update(own)
-            split.append(own)
-        odd_ids = dict(zip(odd, self._whole(list(odd)), strict=True)) if odd else {}
-        wanted -= odd
-        self._learn(wanted)
-        known = self.young if not odd_ids else _Both(odd_ids, self.young)
-        ids = known.__getitem__
-        return [b"".join(map(ids, own)) for own in split]
-
-
-class _Both:
-    def __init__(self, first: dict, second: dict) -> None:
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+        self.known.aged()
+        ids = self.known.__getitem__
+        return [b"" if not t else self._odd(t) if _ODD(t) else b"".join(map(ids, _PIECES(t.lower()))) for t in texts]
+
+    def _odd(self, text: str) -> bytes:
+        """Word by word: those with other characters by the whole tokenizer, all of a text's at once."""
+        words = text.replace("\n", " ").split(" ")
+        odd = list({w for w in words if _ODD(w)})
+        own = dict(zip(odd, self._whole(odd), strict=True))
+        ids = self.known.__getitem__
+        return b"".join(own[w] if w in own else b"".join(map(ids, _PIECES(w.lower()))) for w in words)
