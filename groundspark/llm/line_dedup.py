@@ -2,8 +2,8 @@
 
 A line that more than a share of a host's pages hold is boilerplate there and is dropped from all of that host's pages.
 Pages of a host with the same lines are copies and count once, for the line and for the host: a document that was copied
-often is no boilerplate. Lines are counted as hashes with partial sums before the shuffle. A host's boilerplate is small by construction: its
-lines per page divided by the ratio bound the number of lines above it.
+often is no boilerplate. Lines are counted as hashes with partial sums before the shuffle. A host's boilerplate is small
+by construction: its lines per page divided by the ratio bound the number of lines above it.
 """
 
 from __future__ import annotations
@@ -11,25 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import fresh_names, written
+from groundspark.llm.common import Scratch, fresh_names
 
 #: Share of the host's pages above which a line is dropped, and distinct pages that must hold it at least.
 RATIO, LEAST_HOLDERS = 0.1, 3
-#: Pages that a host needs to be judged by the query op5, whose SQL twin asks for them.
-LEAST_PAGES = 20
 #: Boilerplate lines (8 bytes each) that may be broadcast with their hosts; beyond, pages are joined by a shuffle.
 BROADCAST_LINES = 200_000
 #: Salts over which a host's pages are dealt in that shuffle.
 SALTS = 32
 
-#: What ends a line in HTML, and what is no text; also in the SQL twin.
-NOT_TEXT = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
-LINE_END = r"(?i)</(p|div|li|h[1-6]|title|footer|nav|tr|article|section)>|<br[^>]*>"
+#: What is no text, what ends a line in HTML, and tags. Each begins with "<", so that other characters cost little.
+NOT_TEXT = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)"
+LINE_END = r"(?i)<(?:/(?:p|div|li|h[1-6]|title|footer|nav|tr|article|section)|br[^>]*)>"
 TAG = r"<[^>]*>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
-def html_lines(html: Column) -> Column:
+def html_text(html: Column) -> Column:
     """Text of a page: one line for each block element, tags and scripts out, common entities replaced."""
     text = F.regexp_replace(F.regexp_replace(html, NOT_TEXT, ""), LINE_END, "\n")
     text = F.regexp_replace(text, TAG, "")
@@ -44,65 +42,84 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def _trimmed(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
+def trimmed_lines(text: Column) -> Column:
+    """The text's lines, trimmed and with runs of blanks as one; done on the whole text, not line by line."""
+    text = F.regexp_replace(text, r"[ \t\r]+", " ")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.split(F.trim(text), "\n")
 
 
-def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """host, lines (hashes of the lines above the ratio), from pages with columns _host and _hashes; copies count once."""
-    pages = pages.where(F.col("_host").isNotNull()).groupBy("_host", F.xxhash64("_hashes").alias("_page")).agg(F.first(F.array_distinct("_hashes")).alias("_hashes"))
-    pages = written(pages, "distinct-pages")
-    totals = pages.groupBy(F.col("_host").alias("h")).agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
-    counts = pages.select("_host", F.explode("_hashes").alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n"))
-    # a line on no more pages than this can't be above the ratio of any judged host
-    counts = counts.where((F.col("n") > ratio * least_pages) & (F.col("n") >= LEAST_HOLDERS))
-    above = counts.join(totals, F.col("_host") == F.col("h")).where(F.col("n") > ratio * F.col("total"))
-    return above.groupBy("_host").agg(F.collect_set("line").alias("_drop"))
+def line_hashes(lines: Column) -> Column:
+    """Hash of each line; null for a blank one."""
+    return F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x)))
 
 
-def drop_lines(docs: DataFrame, host: Column, text: Column, text_col: str, ratio: float = RATIO, least_pages: int = 1) -> tuple[DataFrame, list[str]]:
+def boilerplate(pages: DataFrame, ratio: float, scratch: Scratch) -> DataFrame:
+    """host, drop (hashes of the host's lines above the ratio), from pages with columns host and hashes; copies count
+    once. A line on fewer than LEAST_HOLDERS pages isn't above it."""
+    pages = pages.where(F.col("host").isNotNull()).select("host", F.array_compact("hashes").alias("hashes"))
+    pages = pages.groupBy("host", F.xxhash64("hashes").alias("page")).agg(F.first(F.array_distinct("hashes")).alias("hashes"))
+    pages = scratch.write(pages, "distinct-pages")
+    totals = pages.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("total"))
+    counts = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HOLDERS)
+    above = counts.join(totals, F.col("host") == F.col("h")).where(F.col("n") > ratio * F.col("total"))
+    return above.groupBy("host").agg(F.collect_set("line").alias("drop"))
+
+
+def _without_boilerplate(pages: DataFrame, ratio: float, scratch: Scratch) -> DataFrame:
+    """pages with columns host, lines and hashes (one for each line): appends kept, the lines that stay."""
+    found = scratch.write(boilerplate(pages.select("host", "hashes"), ratio, scratch), "boilerplate")
+    scratch.drop("distinct-pages")
+    total = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0)).alias("n")).first()["n"]
+    if total <= BROADCAST_LINES:
+        joined = pages.join(F.broadcast(found), "host", "left")
+    else:
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn("salt", F.pmod(F.xxhash64("hashes"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left").drop("salt")
+    gone = lambda i: F.coalesce(F.array_contains("drop", F.get("hashes", i)), F.lit(False))
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda _, i: ~gone(i)))
+    return joined.withColumn("kept", kept).drop("drop")
+
+
+def drop_lines(docs: DataFrame, host: Column, text_col: str, ratio: float = RATIO) -> tuple[DataFrame, list[str]]:
     """Replace text_col by the text without boilerplate lines; returns the table and the names of two more columns.
 
     The added columns are the counts of non-blank lines and of dropped ones. Lines are compared trimmed, with runs of
-    blanks as one; blank lines are never counted or dropped, and kept lines stay as they are. Rows without host, of
-    hosts with fewer than least_pages pages, or with null text keep everything; a line on fewer than LEAST_HOLDERS pages
-    stays. Rows of a host with the same lines are
-    one page; a document whose lines all go keeps an empty text.
+    blanks as one; blank lines are never counted or dropped, and kept lines stay as they are. Rows without host or with
+    null text keep everything; a line on fewer than LEAST_HOLDERS distinct pages stays. Rows of a host with the same
+    lines are one page; a document whose lines all go keeps an empty text. Other columns may have any name.
     """
     n_lines, n_dropped = fresh_names(docs, ["n_lines", "n_dropped"])
-    lines = F.split(text, "\n")
-    hashed = F.transform(F.filter(lines, lambda x: _trimmed(x) != ""), lambda x: F.xxhash64(_trimmed(x)))
-    marked = docs.withColumn("_host", host).withColumn("_lines", lines)
-    found = written(boilerplate(docs.select(host.alias("_host"), hashed.alias("_hashes")), ratio, least_pages), "boilerplate")
-    total = found.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0)).alias("n")).first()["n"]
-    if total <= BROADCAST_LINES:
-        marked = marked.join(F.broadcast(found), "_host", "left")
-    else:
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        marked = marked.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
-    gone = lambda x: F.col("_drop").isNotNull() & (_trimmed(x) != "") & F.array_contains("_drop", F.xxhash64(_trimmed(x)))
-    kept = F.filter("_lines", lambda x: ~F.coalesce(gone(x), F.lit(False)))
-    size = lambda c: F.coalesce(F.size(F.filter(c, lambda x: _trimmed(x) != "")), F.lit(0))
-    out = marked.withColumn("_kept", kept)
-    out = out.withColumn(n_lines, F.when(text.isNull(), 0).otherwise(size("_lines")).cast("long"))
-    out = out.withColumn(n_dropped, F.when(text.isNull(), 0).otherwise(size("_lines") - size("_kept")).cast("long"))
-    out = out.withColumn(text_col, F.array_join("_kept", "\n"))
-    return out.select(*docs.columns, n_lines, n_dropped), [n_lines, n_dropped]
+    scratch = Scratch(docs.sparkSession, "lines")
+    # the table's own columns travel in one, so that none can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_"))
+    hashes = line_hashes(trimmed_lines(F.col(text_col)))
+    pages = docs.select(host.alias("host"), F.split(text_col, "\n").alias("lines"), hashes.alias("hashes"), row.alias("row"))
+    out = _without_boilerplate(pages, ratio, scratch)
+    there = F.col("lines").isNotNull()
+    total = F.when(there, F.size(F.array_compact("hashes"))).otherwise(0).cast("long")
+    dropped = F.when(there, F.size("lines") - F.size("kept")).otherwise(0).cast("long")
+    own = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*own, total.alias(n_lines), dropped.alias(n_dropped)), [n_lines, n_dropped]
 
 
 def clean_documents(docs: DataFrame, host_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """Documents with their columns, text without the boilerplate lines of their host."""
-    out, _ = drop_lines(docs, F.col(host_col), F.col(text_col), text_col, **options)
+    out, _ = drop_lines(docs, F.col(host_col), text_col, **options)
     return out.select(*docs.columns)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """page_id, host, n_lines, n_dropped and text of every page, blank lines out."""
-    lines = F.array_join(F.filter(F.transform(F.split(html_lines(F.col("html")), "\n"), _trimmed), lambda x: x != ""), "\n")
-    # the HTML is read once: both the counts and the result start from the lines
-    texts = written(pages.select("page_id", host_of(F.col("url")).alias("host"), lines.alias("text")), "page-lines")
-    out, (n_lines, n_dropped) = drop_lines(texts, F.col("host"), F.col("text"), "text", least_pages=LEAST_PAGES)
-    return out.select("page_id", "host", n_lines, n_dropped, "text")
+    """page_id, host, n_lines, n_dropped and text of every page, blank lines out; null html has no lines and no text."""
+    scratch = Scratch(pages.sparkSession, "page-lines")
+    lines = F.array_remove(trimmed_lines(html_text(F.col("html"))), "")
+    # the HTML is read and each line hashed once: both the counts and the result start from what is written here
+    texts = pages.select("page_id", host_of(F.col("url")).alias("host"), lines.alias("lines")).withColumn("hashes", line_hashes(F.col("lines")))
+    out = _without_boilerplate(scratch.write(texts, "lines"), RATIO, scratch)
+    there = F.col("lines").isNotNull()
+    total = F.when(there, F.size("lines")).otherwise(0).cast("long").alias("n_lines")
+    dropped = F.when(there, F.size("lines") - F.size("kept")).otherwise(0).cast("long").alias("n_dropped")
+    return out.select("page_id", "host", total, dropped, F.array_join("kept", "\n").alias("text"))
 
 
 REPORT_SQL = r"""
@@ -117,14 +134,17 @@ split AS (
   SELECT page_id, host, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM texts),
 lines AS (
   SELECT page_id, host, pos, trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' ') AS line FROM split WHERE trim(regexp_replace(line, '[ \t\r]+', ' ', 'g'), ' ') <> ''),
-totals AS (SELECT host, count(*) AS total FROM raw WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 20),
-bad AS (
-  SELECT l.host, l.line FROM (SELECT host, line, count(DISTINCT page_id) AS n FROM lines GROUP BY host, line) l JOIN totals t ON l.host = t.host
-  WHERE l.n > 0.1 * t.total),
+whole AS (
+  SELECT r.page_id, r.host, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos), '') AS t
+  FROM raw r LEFT JOIN lines l USING (page_id) WHERE r.host IS NOT NULL GROUP BY r.page_id, r.host),
+once AS (SELECT host, min(page_id) AS page_id FROM whole GROUP BY host, t),
+totals AS (SELECT host, count(*) AS total FROM once GROUP BY host),
+held AS (SELECT l.host, l.line, count(DISTINCT l.page_id) AS n FROM lines l JOIN once o ON l.host = o.host AND l.page_id = o.page_id GROUP BY l.host, l.line),
+bad AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host WHERE h.n > 0.1 * t.total AND h.n >= 3),
 marked AS (SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.line = b.line),
 told AS (
   SELECT page_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
   FROM marked GROUP BY page_id)
-SELECT r.page_id, r.host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(text, '') AS text
+SELECT r.page_id, r.host, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN r.t IS NOT NULL THEN coalesce(text, '') END AS text
 FROM raw r LEFT JOIN told USING (page_id)
 """
