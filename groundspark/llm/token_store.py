@@ -2,11 +2,15 @@
 
 A rolling hash over the last ids cuts each document's id stream where its content says so, so equal passages give equal
 chunks. A chunk is named by the hash of its ids and stored once; a document is a recipe, the list of its chunks with
-a Merkle root. Recipes are written in ascending order of document; a manifest holds a root for each recipe file.
+a Merkle root over their names. Recipes are written in ascending order of document, a part to a file; a manifest holds
+for each part a Merkle root over its documents (in blocks of BLOCK_DOCS, then over the blocks' roots), and a seal the
+root over all parts. Reading starts with the seal: lost or changed files are found before any document is rebuilt.
 
-    <path>/recipes/*.parquet   doc, n_tokens, chunks (list of hash and count), root; files and rows in order of doc
+    <path>/recipes/*.parquet   part, place (in the part), before (tokens before it in the part), doc, n_tokens, chunks
+                               (list of hash, count and place), root; parts and places in order of doc
     <path>/chunks/*.parquet    hash, n, payload: little-endian ids of `width` bytes; one row for each hash
-    <path>/manifest/*.parquet  file, first document, documents, tokens, root over the documents' roots
+    <path>/manifest/*.parquet  part, first document, documents, tokens, root over the documents
+    <path>/seal/*.parquet      parts, documents, tokens, root over the parts: one row
 """
 
 from __future__ import annotations
@@ -18,16 +22,20 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from groundspark.llm.common import flat_rows, running_total_of_files, shared_folder
+from groundspark.llm.common import deleted, flat_rows, shared_folder
 from groundspark.llm.encode import Encoder, default_vocabulary
 
 #: Ids in the rolling hash, and in a chunk: on average, at least and at most.
 ROLL, MEAN, LEAST, MOST = 8, 512, 128, 4096
 #: Hashes that a task remembers, to send equal chunks on once.
 REMEMBERED = 200_000
+#: Documents under one node of the lowest level of a part's Merkle tree.
+BLOCK_DOCS = 1024
 _MIX = np.array([pow(0x9E3779B1, i + 1, 1 << 32) for i in range(ROLL)], np.uint32)
 
 
@@ -39,7 +47,7 @@ def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
     cut depends on what stands before its document.
     """
     rolled = np.zeros(len(ids), np.uint32)
-    for i in range(ROLL):
+    for i in range(min(ROLL, len(ids))):
         rolled[i:] += (ids[: len(ids) - i] + np.uint32(1)) * _MIX[i]
     found = np.flatnonzero((rolled >> np.uint32(9)) % np.uint32(MEAN) == 0) + 1
     places = np.searchsorted(found, ends, side="right").tolist()
@@ -61,6 +69,9 @@ def cuts(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
     return out
 
 
+CHUNKS = "chunks array<struct<hash:binary,n:int,at:int>>"
+
+
 def merkle(leaves: list[bytes]) -> bytes:
     """Root over the leaves, paired level by level; an odd one out goes up unpaired."""
     level = list(leaves) or [b""]
@@ -69,6 +80,11 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@F.pandas_udf(T.BinaryType())
+def merkle_root(leaves: pd.Series) -> pd.Series:
+    return pd.Series([merkle([bytes(x) for x in own]) for own in leaves])
+
+
 def name_of(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -87,7 +103,7 @@ class TokenStore:
         """
         vocabulary, width = vocabulary or default_vocabulary(), self.width
         kind = dict(docs.dtypes)[id_col]
-        schema = f"doc {kind}, n_tokens long, chunks array<struct<hash:binary,n:int>>, root binary, hash binary, n int, payload binary"
+        schema = f"doc {kind}, n_tokens long, {CHUNKS}, root binary, hash binary, n int, payload binary"
 
         def make():
             encoder, end, seen = Encoder(vocabulary), np.array([end_id], "<u4").tobytes(), set()
@@ -96,10 +112,14 @@ class TokenStore:
                 raws = [raw + end for raw in encoder.encode(texts)]
                 tokens = [len(raw) // 4 for raw in raws]
                 ids = np.frombuffer(b"".join(raws), "<u4")
+                if width < 4 and len(ids) and int(ids.max()) >> (8 * width):
+                    raise ValueError(f"id {ids.max()} doesn't fit in {width} bytes")
                 packed = ids.astype(f"<u{width}").tobytes()
-                recipe_ends, recipe_names, recipe_sizes, roots, names, sizes, payloads, last = [0], [], [], [], [], [], [], 0
+                recipe_ends, recipe_names, recipe_sizes, recipe_places, roots, names, sizes, payloads, last = [0], [], [], [], [], [], [], [], 0
                 for own in cuts(ids, np.cumsum(tokens).tolist()):
+                    first = last
                     for stop in own:
+                        recipe_places.append(last - first)
                         payload = packed[last * width : stop * width]
                         name = name_of(payload)
                         recipe_names.append(name)
@@ -116,7 +136,7 @@ class TokenStore:
                     recipe_ends.append(len(recipe_names))
                 a, b = len(texts), len(names)
                 docs_ = pa.concat_arrays([part.column(0), pa.nulls(b, part.column(0).type)])
-                row = pa.StructArray.from_arrays([pa.array(recipe_names, pa.binary()), pa.array(recipe_sizes, pa.int32())], names=["hash", "n"])
+                row = pa.StructArray.from_arrays([pa.array(recipe_names, pa.binary()), pa.array(recipe_sizes, pa.int32()), pa.array(recipe_places, pa.int32())], names=["hash", "n", "at"])
                 recipes = pa.ListArray.from_arrays(pa.array([*recipe_ends[:-1], *[None] * b, recipe_ends[-1]], pa.int32()), row)
                 return pa.RecordBatch.from_arrays(
                     [docs_, pa.array([*tokens, *[None] * b], pa.int64()), recipes, pa.array([*roots, *[None] * b], pa.binary()), pa.array([*[None] * a, *names], pa.binary()), pa.array([*[None] * a, *sizes], pa.int32()), pa.array([*[None] * a, *payloads], pa.binary())],
@@ -130,12 +150,22 @@ class TokenStore:
         landed = self.spark.read.schema(schema).parquet(landing)
         order = ["doc", "root"]
         recipes = landed.where(F.col("root").isNotNull()).select("doc", "n_tokens", "chunks", "root")
-        recipes.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/recipes")
+        recipes = recipes.repartitionByRange(*order).sortWithinPartitions(*order)
+
+        def placed(batches):
+            part, place, before = TaskContext.get().partitionId(), 0, 0
+            for batch in batches:
+                n, tokens = batch.num_rows, batch.column(1).to_numpy()
+                starts = before + np.cumsum(tokens) - tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part, np.int32)), pa.array(np.arange(place, place + n)), pa.array(starts, pa.int64()), *batch.columns], names=["part", "place", "before", *batch.schema.names])
+                place, before = place + n, before + int(tokens.sum())
+
+        recipes.mapInArrow(placed, f"part int, place long, before long, doc {kind}, n_tokens long, {CHUNKS}, root binary").write.parquet(f"{self.path}/recipes")
         chunks = landed.where(F.col("hash").isNotNull()).select("hash", "n", "payload")
         chunks.dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{self.path}/chunks")
-        self._manifest(kind).write.parquet(f"{self.path}/manifest")
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(landing)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self._rooted_parts().write.parquet(f"{self.path}/manifest")
+        self._sealed().write.parquet(f"{self.path}/seal")
+        deleted(self.spark, landing)
         return self
 
     def recipes(self) -> DataFrame:
@@ -147,38 +177,47 @@ class TokenStore:
     def manifest(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/manifest")
 
-    def _manifest(self, kind: str) -> DataFrame:
-        """One row for each recipe file; its root hashes the documents' roots in order."""
+    def seal(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/seal")
 
-        def roots(batches):
-            digest, n, tokens, first, name = hashlib.sha256(), 0, 0, None, None
-            out = []
-            for batch in batches:
-                for file, doc, root, m in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    if file != name:
-                        if name is not None:
-                            out.append((name, first, n, tokens, digest.digest()))
-                        digest, n, tokens, first, name = hashlib.sha256(), 0, 0, doc, file
-                    digest.update(root)
-                    n, tokens = n + 1, tokens + m
-            if name is not None:
-                out.append((name, first, n, tokens, digest.digest()))
-            yield pa.RecordBatch.from_pylist([dict(zip(["file", "first_doc", "n_docs", "n_tokens", "root"], x, strict=True)) for x in out], schema=pa.schema([("file", pa.string()), ("first_doc", first_type), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())]))
-
-        first_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-        name = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
-        whole = self.recipes().select(name, "doc", "root", "n_tokens")
-        # a recipe file can be read in parts; each part's rows have a root of their own, named by the file
-        return whole.mapInArrow(roots, f"file string, first_doc {kind}, n_docs long, n_tokens long, root binary")
+    def _rooted_parts(self) -> DataFrame:
+        """One row for each part of the recipes, in the form of the manifest, from what the recipe files hold now.
+
+        A leaf is the hash of a document's root, its tokens and those before it; a node never has more than BLOCK_DOCS
+        documents or one part's blocks, and how the files are read in parts changes nothing.
+        """
+        leaf = F.unhex(F.sha2(F.concat(F.col("root"), F.encode(F.format_string("|%d|%d|%d", "place", "n_tokens", "before"), "utf-8")), 256))
+        docs = self.recipes().select("part", F.floor(F.col("place") / BLOCK_DOCS).alias("block"), "doc", "n_tokens", F.struct("place", leaf.alias("leaf")).alias("x"))
+        blocks = docs.groupBy("part", "block").agg(F.array_sort(F.collect_list("x"))["leaf"].alias("x"), F.min("doc").alias("first_doc"), F.count("*").alias("n"), F.sum("n_tokens").alias("m"))
+        blocks = blocks.select("part", "first_doc", "n", "m", F.struct("block", merkle_root("x").alias("root")).alias("x"))
+        parts = blocks.groupBy("part").agg(F.array_sort(F.collect_list("x"))["root"].alias("x"), F.min("first_doc").alias("first_doc"), F.sum("n").alias("n_docs"), F.sum("m").alias("n_tokens"))
+        return parts.select("part", "first_doc", "n_docs", "n_tokens", merkle_root("x").alias("root"))
+
+    def _sealed(self) -> DataFrame:
+        """One row over all parts of the manifest; 0 parts for an empty store."""
+        rows = self.manifest().agg(F.array_sort(F.collect_list(F.struct("part", "root")))["root"].alias("x"), F.count("*").alias("n_parts"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
+        return rows.select("n_parts", "n_docs", "n_tokens", merkle_root("x").alias("root"))
+
+    def damaged_parts(self) -> DataFrame:
+        """Parts whose recipe files are lost or differ from the manifest; part -1 stands for the manifest itself."""
+        now, then = self._rooted_parts(), self.manifest()
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("n_docs", "n_tokens", "root")]
+        both = now.alias("a").join(then.alias("b"), F.col("a.part") == F.col("b.part"), "full").where(~(same[0] & same[1] & same[2]))
+        seals = self._sealed().exceptAll(self.seal()).select(F.lit(-1).alias("part"))
+        return both.select(F.coalesce("a.part", "b.part").alias("part")).union(seals)
 
     def digests(self) -> DataFrame:
         """Read every file back: doc, start (tokens of all documents before it), n_tokens, ids_crc32, complete.
 
+        A recipe file that is lost or changed raises ValueError, for its documents' number and order can't be told.
         Each chunk is read once and checked against its name; a document's crc32 is combined from those of its
         chunks (crc32 is linear over appended bytes), so that no payload is shuffled. complete is false where a chunk
         is missing or damaged, the counts disagree, or the Merkle root isn't that of the recipe.
         """
-        width = self.width
+        lost = [r["part"] for r in self.damaged_parts().limit(10).collect()]
+        if lost:
+            raise ValueError(f"recipe files differ from the manifest: parts {lost}")
+        width, kind = self.width, dict(self.recipes().dtypes)["doc"]
 
         @F.pandas_udf("struct<crc:long,good:boolean>")
         def check(names: pd.Series, counts: pd.Series, payloads: pd.Series) -> pd.DataFrame:
@@ -190,19 +229,33 @@ class TokenStore:
         def shifted(crc: pd.Series, following: pd.Series) -> pd.Series:
             return pd.Series(crc_shift(crc.to_numpy(np.int64).astype(np.uint64), 4 * following.to_numpy(np.int64)).astype(np.int64))
 
-        @F.pandas_udf("boolean")
-        def rooted(chunks: pd.Series, roots: pd.Series) -> pd.Series:
-            return pd.Series([merkle([bytes(c["hash"]) for c in x]) == bytes(r) for x, r in zip(chunks, roots, strict=True)])
+        def listed(batches):
+            """A row for each chunk of each recipe, with the tokens that follow it in its document."""
+            for batch in batches:
+                lists = batch.column("chunks")
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                chunks = lists.flatten()
+                names, n, at = (chunks.field(k) for k in range(3))
+                n, at = n.to_numpy().astype(np.int64), at.to_numpy().astype(np.int64)
+                tokens, edges = batch.column("n_tokens").to_numpy(), np.searchsorted(owner, np.arange(batch.num_rows + 1))
+                raws, fit = names.to_pylist(), []
+                for k, root in enumerate(batch.column("root").to_pylist()):
+                    a, b = int(edges[k]), int(edges[k + 1])
+                    ends = np.cumsum(n[a:b])
+                    fit.append(b > a and int(ends[-1]) == tokens[k] and bool((ends - n[a:b] == at[a:b]).all()) and merkle(raws[a:b]) == root)
+                own = pa.array(owner)
+                columns = [batch.column(c).take(own) for c in ("part", "place", "before", "doc", "n_tokens")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.array(fit, bool)[owner]), names, pa.array(tokens[owner] - at - n, pa.int64())], names=["part", "place", "before", "doc", "n_tokens", "fits", "hash", "following"])
 
         stored = self.chunks().select("hash", check("hash", "n", "payload").alias("c")).select("hash", "c.crc", "c.good")
-        recipes = running_total_of_files(self.recipes(), "n_tokens", ["doc", "root"], "start").withColumn("row", F.monotonically_increasing_id())
-        size = F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + c["n"])
-        recipes = recipes.withColumn("fits", rooted("chunks", "root") & (size == F.col("n_tokens")))
-        following = F.transform(F.sequence(F.lit(1), F.size("chunks")), lambda i: F.struct(F.element_at("chunks", i)["hash"].alias("hash"), F.aggregate(F.slice("chunks", i + 1, F.size("chunks")), F.lit(0).cast("long"), lambda a, c: a + c["n"]).alias("following")))
-        parts = recipes.select("doc", "start", "n_tokens", "row", "fits", F.explode(following).alias("p")).select("doc", "start", "n_tokens", "row", "fits", "p.*")
+        parts = self.recipes().mapInArrow(listed, f"part int, place long, before long, doc {kind}, n_tokens long, fits boolean, hash binary, following long")
         joined = parts.join(stored, "hash", "left").withColumn("crc", shifted(F.coalesce("crc", F.lit(0)), "following"))
-        whole = joined.groupBy("row", "doc", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.min(F.col("fits") & F.coalesce("good", F.lit(False))).alias("complete"))
-        return whole.select("doc", "start", "n_tokens", "ids_crc32", "complete")
+        whole = joined.groupBy("part", "place", "before", "doc", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.min(F.col("fits") & F.coalesce("good", F.lit(False))).alias("complete"))
+        # a row for each recipe file: few
+        earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = self.manifest().select(F.col("part").alias("_part"), F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("_start"))
+        whole = whole.join(F.broadcast(starts), F.col("part") == F.col("_part"))
+        return whole.select("doc", (F.col("_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "complete")
 
     def documents(self) -> DataFrame:
         """Rebuild every document: doc, ids (array of long). A missing chunk fails the job."""
@@ -212,11 +265,10 @@ class TokenStore:
         def joined(parts: pd.Series) -> pd.Series:
             return pd.Series([np.concatenate([np.frombuffer(x["payload"], f"<u{width}") for x in sorted(p, key=lambda x: x["pos"])]).astype(np.int64) for p in parts])
 
-        recipes = self.recipes().withColumn("row", F.monotonically_increasing_id())
-        recipes = recipes.select("doc", "row", F.posexplode("chunks").alias("pos", "chunk"))
-        found = recipes.select("doc", "row", "pos", "chunk.hash").join(self.chunks(), "hash", "left")
+        recipes = self.recipes().select("doc", "part", "place", F.posexplode("chunks").alias("pos", "chunk"))
+        found = recipes.select("doc", "part", "place", "pos", "chunk.hash").join(self.chunks(), "hash", "left")
         found = found.withColumn("payload", F.when(F.col("payload").isNull(), F.raise_error(F.lit("a chunk is missing"))).otherwise(F.col("payload")))
-        return found.groupBy("row", "doc").agg(F.collect_list(F.struct("pos", "payload")).alias("parts")).select("doc", joined("parts").alias("ids"))
+        return found.groupBy("part", "place", "doc").agg(F.collect_list(F.struct("pos", "payload")).alias("parts")).select("doc", joined("parts").alias("ids"))
 
 
 def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groundspark.llm import decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, quality, substring_dedup, token_store
 from groundspark.llm.encode import Encoder, default_vocabulary
@@ -217,14 +218,55 @@ def test_token_store_round_trip(spark, docs, tmp_path):
     assert token_store.report(docs.limit(0)).count() == 0
 
 
-def test_token_store_finds_damage(spark, docs, tmp_path):
+def test_token_store_finds_a_lost_chunk(spark, docs, tmp_path):
     store = token_store.TokenStore(spark, str(tmp_path / "a")).write(docs.where("doc_id = 11"), 2)
     other = token_store.TokenStore(spark, str(tmp_path / "b"))
-    store.recipes().write.parquet(f"{other.path}/recipes")
+    for name in ("recipes", "manifest", "seal"):
+        getattr(store, name)().write.parquet(f"{other.path}/{name}")
     store.chunks().orderBy("hash").offset(1).write.parquet(f"{other.path}/chunks")
     assert [r.complete for r in other.digests().collect()] == [False]
 
 
+def test_token_store_finds_lost_and_changed_recipes(spark, docs, tmp_path):
+    rows = docs.where("doc_id IS NOT NULL").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store = token_store.TokenStore(spark, str(tmp_path / "a")).write(rows, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [r.part for r in store.manifest().orderBy("part").collect()]
+    assert len(parts) > 2 and store.damaged_parts().count() == 0
+    changed = store.recipes().where("part <> 1").withColumn("n_tokens", F.expr("n_tokens + if(part = 2 and place = 0, 1, 0)"))
+    other = token_store.TokenStore(spark, str(tmp_path / "b"))
+    changed.write.parquet(f"{other.path}/recipes")
+    store.chunks().write.parquet(f"{other.path}/chunks")
+    store.seal().write.parquet(f"{other.path}/seal")
+    store.manifest().write.parquet(f"{other.path}/manifest")
+    assert sorted(r.part for r in other.damaged_parts().collect()) == [1, 2]
+    with pytest.raises(ValueError, match="parts"):
+        other.digests()
+    third = token_store.TokenStore(spark, str(tmp_path / "c"))
+    store.recipes().where("part <> 1").write.parquet(f"{third.path}/recipes")
+    store.manifest().where("part <> 1").write.parquet(f"{third.path}/manifest")
+    store.seal().write.parquet(f"{third.path}/seal")
+    assert [r.part for r in third.damaged_parts().collect()] == [-1]
+
+
+def test_token_store_of_short_texts_beside_a_long_one(spark, tmp_path):
+    long = prose(40, 600_000, 30_000)
+    assert len(long) > 3_000_000
+    for k, texts in enumerate((["text number 0"], [None], ["hi there", long, "hi there"])):
+        table = spark.createDataFrame([(float(i), x) for i, x in enumerate(texts)], "doc_id double, text string").coalesce(1)
+        store = token_store.TokenStore(spark, str(tmp_path / f"s{k}")).write(table, 2)
+        want = [(float(i), zlib.crc32(np.array(ids_of(x, 2), "<u4").tobytes())) for i, x in enumerate(texts)]
+        assert sorted((r.doc, r.ids_crc32) for r in store.digests().collect()) == want
+
+
+def test_token_store_refuses_ids_that_do_not_fit(spark, docs, tmp_path):
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_store.TokenStore(spark, str(tmp_path / "w"), width=1).write(docs, 2)
+
+
 def test_cuts_depend_on_their_own_document_only():
     r = np.random.default_rng(0)
     ids = r.integers(0, 49000, 30000).astype("<u4")
