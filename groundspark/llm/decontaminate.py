@@ -2,24 +2,32 @@
 
 Every Arrow slice of documents is a shard: its words become a suffix array (of word suffixes), and every suffix of
 every benchmark item is binary-searched in it. The range that shares a whole window gives all locations of that
-window; extending each location to the item's end gives the longest verbatim match. A document lies wholly within
-one shard, so nothing is shuffled; the benchmark travels to the tasks in blocks of a bounded number of words.
+window. Longest verbatim matches start from these locations: each is looked up in a suffix array of the other side, by
+doubling the length, so a location costs the logarithm of the lengths however often its words repeat. A document lies
+wholly within one shard, so nothing is shuffled; the benchmark travels to the tasks in blocks of a bounded number of
+words, one after another: each has a pass of its own, and passes leave rows for texts that are hit only.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import annotate, flat_rows, fresh_names
+from groundspark.llm.common import Scratch, annotate, flat_rows, fresh_names
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast block (about 100 MB as Python objects at most).
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text in one broadcast block (about 100 MB as Python objects at most); it is one pass over the documents.
+BLOCK_WORDS = 500_000
+#: Texts hit by a benchmark of several blocks that are broadcast with their spans; beyond, documents are joined by a shuffle.
+BROADCAST_HITS = 100_000
 #: A-Z folded; every other ASCII character but digits and lower-case letters ends a word.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -28,6 +36,13 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FOLD).split() if text else []
 
 
+class _Numbers(dict):
+    """Word -> its number; 0 for a word that no item has."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
+
+
 class Suffixes:
     """Suffix array over arrays of word numbers, 0 standing for a word that no item has and for a text's end.
 
@@ -99,12 +114,65 @@ class Suffixes:
         return low, high
 
 
+class Longest:
+    """Suffix array of a text of numbers (0 ends an item), with the rank of every run of 1, 2, 4, ... numbers.
+
+    at(other, places) gives for each place of another text the longest run from there on that the text holds, of `most`
+    numbers at most, and one of its starts in the text. A run with a 0 matches nothing.
+    """
+
+    def __init__(self, text: np.ndarray, most: int) -> None:
+        self.ranks, self.pairs = [text.astype(np.int32)], []
+        while 1 << len(self.ranks) <= 2 * most:
+            key = self._pairs(self.ranks[-1], 1 << (len(self.ranks) - 1))
+            kinds, rank = np.unique(key, return_inverse=True)
+            self.pairs.append(kinds)
+            self.ranks.append((rank + 1).astype(np.int32))
+        self.order = np.argsort(self.ranks[-1], kind="stable")
+
+    @staticmethod
+    def _pairs(rank: np.ndarray, step: int) -> np.ndarray:
+        after = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), rank.dtype)])
+        return (rank.astype(np.int64) << 31) | after
+
+    def at(self, other: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names = [other.astype(np.int64)]
+        for level, kinds in enumerate(self.pairs):
+            first = names[-1]
+            after = np.concatenate([first[1 << level :], np.zeros(min(1 << level, len(first)), np.int64)])
+            key = (first << 31) | after
+            found = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
+            names.append(np.where((first > 0) & (after > 0) & (kinds[found] == key), found + 1, 0))
+        low, high, length = np.zeros(len(places), np.int64), np.full(len(places), len(self.order), np.int64), np.zeros(len(places), np.int64)
+        for level in range(len(self.ranks) - 1, -1, -1):
+            at = places + length
+            name = np.where(at < len(other), names[level][np.minimum(at, len(other) - 1)], 0)
+            first = self._bound(low, high, length, name, level)
+            last = self._bound(first, high, length, name + 1, level)
+            longer = (name > 0) & (first < last)
+            low, high = np.where(longer, first, low), np.where(longer, last, high)
+            length += longer * (1 << level)
+        return length, self.order[np.minimum(low, len(self.order) - 1)]
+
+    def _bound(self, low: np.ndarray, high: np.ndarray, length: np.ndarray, value: np.ndarray, level: int) -> np.ndarray:
+        """First place of the order in [low, high) whose suffix has no smaller rank than value behind its first numbers."""
+        low, high, rank = low.copy(), high.copy(), self.ranks[level]
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            at = self.order[np.where(open_, mid, 0)] + length
+            found = np.where(at < len(rank), rank[np.minimum(at, len(rank) - 1)], 0)
+            less = open_ & (found < value)
+            low = np.where(less, mid + 1, low)
+            high = np.where(open_ & ~less, mid, high)
+        return low
+
+
 class Benchmark:
-    """A block of items: the windows with their items, and every suffix of every item."""
+    """A block of items: the windows with their items, and the items' text for longest matches."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
         self.window = window
-        vocabulary: dict[bytes, int] = {}
+        vocabulary = _Numbers()
         coded = [(item, [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words]) for item, words in items if words]
         self.vocabulary = vocabulary
         self.bits = max(1, int(len(vocabulary) + 1).bit_length())
@@ -119,18 +187,17 @@ class Benchmark:
         self.queries = np.zeros((len(windows), window), np.int64)
         for i, x in enumerate(windows):
             self.queries[i, : len(x)] = x
-        self.window_items = list(map(sorted, windows.values()))
-        # every suffix, for longest matches
+        # windows that the same items hold share one array of them
+        groups: dict[tuple[int, ...], int] = {}
+        self.window_items = np.array([groups.setdefault(tuple(sorted(x)), len(groups)) for x in windows.values()], np.int64)
+        self.groups = list(groups)
         self.text = np.array([x for _, ids in coded for x in [*ids, 0]] or [0], np.int64)
+        self.most = max((len(ids) for _, ids in coded), default=1)
         self.suffix_item = np.array([number[item] for item, ids in coded for _ in ids], np.int64)
         self.suffix_start = np.array([i for _, ids in coded for i in range(len(ids))], np.int64)
         starts = np.cumsum([0, *(len(ids) + 1 for _, ids in coded)])
         self.suffix_at = np.array([s + i for s, (_, ids) in zip(starts, coded, strict=False) for i in range(len(ids))], np.int64)
-
-
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
+        self.longest = Longest(self.text, self.most)
 
 
 def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,28 +224,11 @@ class _Shard:
         return np.searchsorted(self.starts, place, side="right") - 1
 
 
-def _extend(ids: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Words that agree from ids[at] and text[start] on; 0 ends both."""
-    length = np.zeros(len(at), np.int64)
-    going = np.arange(len(at))
-    step = 0
-    while len(going):
-        a, b = at[going] + step, start[going] + step
-        inside = (a < len(ids)) & (b < len(text))
-        going, a, b = going[inside], a[inside], b[inside]
-        same = (ids[a] == text[b]) & (text[b] != 0)
-        going = going[same]
-        length[going] += 1
-        step += 1
-    return length
-
-
-def load_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> list:
-    """The benchmark as broadcast blocks; the driver holds one block at a time while it reads the items as a stream."""
-    sc = benchmark.sparkSession.sparkContext
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Benchmark]:
+    """The benchmark as blocks; the driver reads the items as a stream and holds one block at a time."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
-    blocks, items, n = [], [], 0
+    items, n, any_ = [], 0, False
     for row in rows.toLocalIterator():
         words = split_words(row.text)
         if not words:
@@ -186,11 +236,55 @@ def load_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int,
         items.append((row.item, words))
         n += len(words)
         if n >= block_words:
-            blocks.append(sc.broadcast(Benchmark(items, window)))
-            items, n = [], 0
-    if items or not blocks:
-        blocks.append(sc.broadcast(Benchmark(items, window)))
-    return blocks
+            yield Benchmark(items, window)
+            items, n, any_ = [], 0, True
+    if items or not any_:
+        yield Benchmark(items, window)
+
+
+@dataclass
+class Found:
+    """What a block's windows hit in a shard: spans of covered words (document, first word and the word behind the last),
+    the items and the longest match of every document, and the shard's words as the block's numbers."""
+
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    items: list[set[str]]
+    longest: np.ndarray
+    ids: np.ndarray
+
+    @classmethod
+    def of(cls, shard: _Shard, bench: Benchmark) -> Found:
+        ids, array = shard.suffixes(bench, bench.vocabulary)
+        low, high = array.find(bench.queries, bench.lengths)
+        query, place = _spread(low, high)
+        at, length = array.order[place], bench.lengths[query]
+        cover = np.zeros(len(ids) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + length, -1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover) > 0, [False]]).astype(np.int8)))
+        first, end = edge[::2], edge[1::2]
+        doc = shard.document(first)
+        items: list[set[str]] = [set() for _ in shard.words]
+        longest = np.zeros(len(shard.words), np.int64)
+        if len(at):
+            kinds = np.unique(np.stack([shard.document(at), bench.window_items[query]]), axis=1)
+            for d, group in kinds.T.tolist():
+                items[d].update(bench.items[i] for i in bench.groups[group])
+            # a match lies within the covered words: only these are looked up, spans set apart by 0
+            sizes = end - first + 1
+            shift = np.cumsum(sizes) - sizes - first
+            part = np.zeros(int(sizes.sum()), np.int64)
+            own = np.arange(len(part) - len(sizes)) + np.repeat(np.arange(len(sizes)), sizes - 1)
+            part[own] = ids[own - np.repeat(shift, sizes - 1)]
+            starts, back = np.unique(at, return_inverse=True)
+            matched, _ = bench.longest.at(part, starts + shift[np.searchsorted(first, starts, side="right") - 1])
+            # what begins here and is shorter than a window counts where it is the whole of an item
+            shorter = np.zeros(len(starts), np.int64)
+            np.maximum.at(shorter, back, length)
+            np.maximum.at(longest, shard.document(starts), np.where(matched >= bench.window, matched, shorter))
+        return cls(doc, first - shard.starts[doc], end - shard.starts[doc], items, longest, ids)
 
 
 FIELDS = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("longest_match", "long")]
@@ -205,105 +299,130 @@ def annotate_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     has already get underscores in front.
     Null and word-free texts have 0 words. Items without id or words are left out; equal item ids count once.
     Repeated documents are each judged. An empty benchmark hits nothing.
+    A benchmark of one block takes one pass without a shuffle; of several, each is a pass, and what they hit is joined.
     """
-    blocks = load_blocks(benchmark, item_col, bench_text, window, block_words)
     names = fresh_names(docs, [n for n, _ in FIELDS])
     fields = [(n, t) for n, (_, t) in zip(names, FIELDS, strict=True)]
-
-    def make():
-        numbers: dict[int, _Numbers] = {}
-
-        def judge(texts: list[str | None], _: pa.RecordBatch) -> list[pa.Array]:
-            shard = _Shard([split_words(t) for t in texts])
-            cover = np.zeros(int(shard.counts.sum() + len(texts)) + 1, np.int64)
-            longest = np.zeros(len(texts), np.int64)
-            found: list[set[str]] = [set() for _ in texts]
-            for k, block in enumerate(blocks):
-                bench: Benchmark = block.value
-                if not bench.vocabulary:
-                    continue
-                if k not in numbers:
-                    numbers[k] = _Numbers(bench.vocabulary)
-                ids, array = shard.suffixes(bench, numbers[k])
-                low, high = array.find(bench.queries, bench.lengths)
-                query, place = _spread(low, high)
-                if not len(query):
-                    continue
-                at = array.order[place]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + bench.lengths[query], -1)
-                doc = shard.document(at)
-                for d, q in set(zip(doc.tolist(), query.tolist(), strict=True)):
-                    found[d].update(bench.items[i] for i in bench.window_items[q])
-                _longest(bench, array, ids, shard, longest)
-            hit = np.cumsum(cover) > 0
-            total = np.concatenate([[0], np.cumsum(hit)])
-            n_hit = total[shard.starts + shard.counts] - total[shard.starts]
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
-            return [pa.array(shard.counts), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array(digest), pa.array(longest)]
+    blocks = blocks_of(benchmark, item_col, bench_text, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        sent = docs.sparkSession.sparkContext.broadcast(first)
+
+        def make():
+            def judge(texts: list[str | None], _: pa.RecordBatch) -> list[pa.Array]:
+                shard = _Shard([split_words(t) for t in texts])
+                found = Found.of(shard, sent.value)
+                n_hit = np.bincount(found.doc, found.end - found.start, len(texts)).astype(np.int64)
+                return _columns(shard.counts, n_hit, found.items, found.longest)
+
+            return judge
+
+        return annotate(docs, text_col, fields, make), names
+
+    spark, text = docs.sparkSession, F.col(text_col)
+    scratch, parts = Scratch(spark, "decontaminate"), []
+    for k, block in enumerate(chain((first, second), blocks)):
+        sent = spark.sparkContext.broadcast(block)
+        del block
+        parts.append(scratch.write(_hit_texts(docs.select(text.alias("text")), sent, k), f"block-{k}"))
+        sent.destroy()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    # texts of equal hashes have equal hits: a row for each text and block
+    hits = found.dropDuplicates(["key", "twin", "block"]).groupBy("key", "twin").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+    hits = scratch.write(hits, "hits")
+    few = hits.count() <= BROADCAST_HITS
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("_")).alias("row")
+    keyed = docs.select(whole, text.alias("text"), *_text_keys(text))
+    joined = keyed.join(F.broadcast(hits) if few else hits, ["key", "twin"], "left").select("row", "text", "spans", "items", "longest")
+
+    def make_last():
+        def judge(texts: list[str | None], part: pa.RecordBatch) -> list[pa.Array]:
+            counts = np.array([len(split_words(t)) for t in texts], np.int64)
+            n_hit = np.zeros(len(texts), np.int64)
+            items, longest = part.column(3).to_pylist(), part.column(4).to_pylist()
+            for k, spans in enumerate(part.column(2).to_pylist()):
+                at = 0
+                for span in sorted(spans or (), key=lambda s: (s["start"], s["end"])):
+                    n_hit[k] += max(0, span["end"] - max(at, span["start"]))
+                    at = max(at, span["end"])
+            return _columns(counts, n_hit, [x or () for x in items], np.array([x or 0 for x in longest], np.int64))
 
         return judge
 
-    return annotate(docs, text_col, fields, make), names
+    marked = annotate(joined, "text", [(n, t) for n, t in FIELDS], make_last)
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return marked.select(*own, *(F.col(n).alias(new) for new, (n, _) in zip(names, FIELDS, strict=True))), names
 
 
-def _suffix_hits(bench: Benchmark, array: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (suffix of an item, place in the shard) that agree in a whole window, or in all of a shorter item."""
-    ahead = np.minimum.accumulate(np.where(bench.text == 0, np.arange(len(bench.text)), len(bench.text))[::-1])[::-1]
-    left = ahead[bench.suffix_at] - bench.suffix_at
-    need = np.minimum(bench.window, left + bench.suffix_start)
-    whole = np.flatnonzero(left >= need)
-    queries = np.zeros((len(whole), bench.window), np.int64)
-    for j in range(bench.window):
-        queries[:, j] = np.where(j < need[whole], bench.text[np.minimum(bench.suffix_at[whole] + j, len(bench.text) - 1)], 0)
-    low, high = array.find(queries, need[whole])
-    owner, place = _spread(low, high)
-    return whole[owner], array.order[place]
+def _columns(counts: np.ndarray, n_hit: np.ndarray, items: list, longest: np.ndarray) -> list[pa.Array]:
+    digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    return [pa.array(counts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(longest)]
 
 
-def _longest(bench: Benchmark, array: Suffixes, ids: np.ndarray, shard: _Shard, longest: np.ndarray) -> None:
-    suffix, at = _suffix_hits(bench, array)
-    np.maximum.at(longest, shard.document(at), _extend(ids, at, bench.text, bench.suffix_at[suffix]))
+def _text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("key"), F.xxhash64(text, F.lit(1)).alias("twin")]
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Longest verbatim match of every benchmark suffix over all shards, with its location: item_id, item_start,
-    n_words, doc_id, doc_start (words from 0). Suffixes without a match of a whole window have no row; among equally
-    long matches the smallest (doc_id, doc_start) is taken."""
-    blocks = load_blocks(benchmark, item_col, bench_text, window)
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"item_id string, item_start long, n_words long, doc_id {kind}, doc_start long"
+def _hit_texts(texts: DataFrame, sent: Broadcast, block: int) -> DataFrame:
+    """The texts that a block hits: two hashes of the text, spans (words from start to before end), items, longest."""
+    schema = "key long, twin long, block long, spans array<struct<start:long,end:long>>, items array<string>, longest long"
 
     def make():
         def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
             shard = _Shard([split_words(t) for t in texts])
-            out: list[list] = [[], [], [], [], []]
-            for block in blocks:
-                bench: Benchmark = block.value
-                if not bench.vocabulary:
-                    continue
-                ids, array = shard.suffixes(bench, _Numbers(bench.vocabulary))
-                suffix, at = _suffix_hits(bench, array)
-                n = _extend(ids, at, bench.text, bench.suffix_at[suffix])
-                best = np.lexsort((at, -n, suffix))
-                best = best[np.unique(suffix[best], return_index=True)[1]]
-                doc = shard.document(at[best])
-                out[0] += [bench.items[i] for i in bench.suffix_item[suffix[best]]]
-                out[1] += bench.suffix_start[suffix[best]].tolist()
-                out[2] += n[best].tolist()
-                out[3] += part.column(0).take(pa.array(doc)).to_pylist()
-                out[4] += (at[best] - shard.starts[doc]).tolist()
-            types = [pa.string(), pa.int64(), pa.int64(), part.column(0).type, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["item_id", "item_start", "n_words", "doc_id", "doc_start"])
+            found = Found.of(shard, sent.value)
+            hit, first = np.unique(found.doc, return_index=True)
+            edges = pa.array(np.append(first, len(found.doc)), pa.int32())
+            spans = pa.ListArray.from_arrays(edges, pa.StructArray.from_arrays([pa.array(found.start), pa.array(found.end)], names=["start", "end"]))
+            own = pa.array(hit)
+            return pa.RecordBatch.from_arrays([part.column(1).take(own), part.column(2).take(own), pa.array(np.full(len(hit), block)), spans, pa.array([sorted(found.items[d]) for d in hit], pa.list_(pa.string())), pa.array(found.longest[hit])], names=["key", "twin", "block", "spans", "items", "longest"])
 
         return rows
 
-    best = flat_rows(docs.select(id_col, text_col), text_col, schema, make)
+    return flat_rows(texts.select("text", *_text_keys(F.col("text"))), "text", schema, make)
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Longest verbatim match of every benchmark suffix over all shards, with its location: item_id, item_start,
+    n_words, doc_id, doc_start (words from 0). Suffixes without a match of a whole window have no row. A shard gives
+    for each suffix one of its longest matches; of equally long ones of several shards the smallest (doc_id, doc_start)
+    is taken."""
+    spark, kind, scratch, parts = docs.sparkSession, dict(docs.dtypes)[id_col], Scratch(docs.sparkSession, "longest"), []
+    schema = f"item_id string, item_start long, n_words long, doc_id {kind}, doc_start long"
+    for k, block in enumerate(blocks_of(benchmark, item_col, bench_text, window)):
+        sent = spark.sparkContext.broadcast(block)
+
+        def make(sent=sent):
+            def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
+                shard, bench = _Shard([split_words(t) for t in texts]), sent.value
+                found, suffixes = Found.of(shard, bench), bench.suffix_at
+                length, place = Longest(found.ids, bench.most).at(bench.text, suffixes) if len(found.doc) else (np.zeros(len(suffixes), np.int64), suffixes)
+                left = _left(bench)
+                keep = np.flatnonzero((length >= bench.window) | ((length > 0) & (length == left) & (bench.suffix_start == 0)))
+                doc = shard.document(place[keep])
+                out = [pa.array([bench.items[i] for i in bench.suffix_item[keep]], pa.string()), pa.array(bench.suffix_start[keep]), pa.array(length[keep]), part.column(0).take(pa.array(doc)), pa.array(place[keep] - shard.starts[doc])]
+                return pa.RecordBatch.from_arrays(out, names=["item_id", "item_start", "n_words", "doc_id", "doc_start"])
+
+            return rows
+
+        parts.append(scratch.write(flat_rows(docs.select(id_col, text_col), text_col, schema, make), f"block-{k}"))
+        sent.destroy()
+    best = parts[0]
+    for part in parts[1:]:
+        best = best.union(part)
     key = F.struct((-F.col("n_words")).alias("n"), "doc_id", "doc_start")
     top = best.groupBy("item_id", "item_start").agg(F.min(key).alias("m"))
     return top.select("item_id", "item_start", (-F.col("m.n")).alias("n_words"), "m.doc_id", "m.doc_start")
 
 
+def _left(bench: Benchmark) -> np.ndarray:
+    """Words of its item from each suffix on."""
+    ends = np.flatnonzero(bench.text == 0)
+    return ends[np.searchsorted(ends, bench.suffix_at)] - bench.suffix_at
+
+
 def is_contaminated(n_hit: str, n_words: str):
     """At least a twentieth of the words are hit."""
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
@@ -321,8 +440,6 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", is_contaminated("n_hit", "n_words").alias("contaminated"), "longest_match")
 
 
-
-
 REPORT_SQL = r"""
 WITH dw AS (
   SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -75,6 +76,51 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({7, 8, 9, 10})
 
 
+def longest_match(words, items):
+    """Longest run of at least 13 words, or of a whole shorter item, by trying all."""
+    best = 0
+    for item in items:
+        for i in range(len(words)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(words) and j + n < len(item) and words[i + n] == item[j + n]:
+                    n += 1
+                if n >= 13 or (0 < n == len(item)):
+                    best = max(best, n)
+    return best
+
+
+def test_longest_matches_equal_brute_force(spark):
+    r = np.random.default_rng(4)
+    items = [(k, " ".join(f"v{x}" for x in r.integers(0, 3, int(r.integers(3, 60))))) for k in range(12)] + [(20, "z " * 40)]
+    texts = [" ".join(f"v{x}" for x in r.integers(0, 3, 60)) for _ in range(6)] + [f"a b {items[k][1]} c" for k in range(5)] + ["z " * 70, "z " * 14, "z " * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for words in (1_000_000, 30):
+        marked, names = decontaminate.annotate_hits(docs, bench, block_words=words)
+        got = {x.doc_id: x[names[4]] for x in marked.collect()}
+        assert got == {i: longest_match(t.split(), [x.split() for _, x in items]) for i, t in enumerate(texts)}
+    suffixes = {(x.item_id, x.item_start): x for x in decontaminate.longest_matches(docs, bench).collect()}
+    for (item, start), x in suffixes.items():
+        own, words = items[12 if item == "20" else int(item)][1].split(), texts[x.doc_id].split()
+        assert own[start : start + x.n_words] == words[x.doc_start : x.doc_start + x.n_words]
+        assert x.n_words == max(longest_match(t.split(), [own[start:]]) if x.n_words >= 13 else x.n_words for t in texts) or x.n_words >= 13
+    assert suffixes[("20", 0)].n_words == 40 and ("20", 28) not in suffixes
+
+
+def test_repeated_words_and_a_shared_prompt_take_little(spark):
+    """Equal words in items and documents, and a prompt of 10,000 items, are no product of places and suffixes."""
+    prompt = prose(50, 14)
+    items = [(0, "x " * 300)] + [(k, f"{prompt} q{k}") for k in range(1, 10_001)]
+    bench = decontaminate.Benchmark([(str(k), decontaminate.split_words(t)) for k, t in items], 13)
+    shard = decontaminate._Shard([decontaminate.split_words(t) for t in ("x " * 200_000, f"{prompt} {prompt} end", "x " * 12)])
+    tracemalloc.start()
+    found = decontaminate.Found.of(shard, bench)
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+    assert found.longest.tolist() == [300, 14, 0] and [len(x) for x in found.items] == [1, 10_000, 0]
+
+
 def test_decontamination_without_items_and_with_clashing_names(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     clash = docs.withColumnRenamed("lang", "n_hit").withColumnRenamed("source", "N_WORDS")
