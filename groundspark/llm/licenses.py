@@ -1,10 +1,11 @@
 """License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
 The vectoriser is fitted on the templates. Headers are compared to short notices, whole texts to the notices and to the
-licences' own whole texts; what a unit states of version and variant must agree with the licence. Every line and every run of lines without a blank one is a header unit of
+licences' own whole texts; what a unit states of version and variant must agree with the licence, and a unit that says
+that something is not licensed so bears none. Every line and every run of lines without a blank one is a header unit of
 its document; the whole text is the unit that makes a document a licence file. A document without a licence of its own
 inherits that of the nearest directory above it that holds a licence file: directories (not documents) are joined to
-their ancestors' paths.
+their ancestors' paths. Texts are scanned once.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import annotate, fresh_names
+from groundspark.llm.common import Scratch, annotate, fresh_names
 
 #: Cosine from which a unit bears a template's licence: headers, whole texts to notices, and to whole licence texts.
 HEADER, FILE, FILE_TEXT = 0.75, 0.6, 0.8
@@ -70,6 +71,9 @@ TEMPLATES = {
     "CC0-1.0": ["CC0 1.0 Universal Public Domain Dedication"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Directories with a licence that are broadcast (a path and a name each); beyond, documents are joined by a salted shuffle.
+BROADCAST_DIRECTORIES, SALTS = 100_000, 32
+_DENIES = re.compile(r"\b(?:not|never|no longer|isn't|aren't|wasn't)\s+(?:\w+\s+){0,2}?(?:licen[sc]ed|released|distributed|available|offered|covered|published|under)\b").search
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
 _VERSION = re.compile(r"(?:[al]?gpl)?v?([0-9](?:\.[0-9]+)*)").fullmatch
 #: Words that state a variant, by what the names of a family's licences hold for it.
@@ -213,42 +217,47 @@ def own_licences(texts: list[str | None], templates: Templates, licences: Licenc
         header, score = None, 0.0
         whole: Counter = Counter()
         block: Counter = Counter()
-        lines_in_block = 0
+        lines: list[str] = []
         for line in [*(text or "").split("\n"), ""]:
             terms = Counter(_WORDS(line.lower()))
             units = []
             if terms:
                 block.update(terms)
-                lines_in_block += 1
-                units = [terms]
+                lines.append(line)
+                units = [(terms, line)]
             else:
-                if lines_in_block > 1:
-                    units = [block]
+                if len(lines) > 1:
+                    units = [(block, "\n".join(lines))]
                 whole.update(block)
-                block, lines_in_block = Counter(), 0
-            for unit in units:
+                block, lines = Counter(), []
+            for unit, words in units:
                 if not templates.telling.isdisjoint(unit):
                     name, cosine = templates.best(unit, HEADER, lambda n, unit=unit: agrees(n, unit))
-                    if name and cosine >= HEADER and (-cosine, name) < (-score, header or "~"):
+                    if name and cosine >= HEADER and (-cosine, name) < (-score, header or "~") and not _DENIES(words.lower()):
                         header, score = name, cosine
         file, likeness = licences.best(whole, text or "")
         if not file and not templates.telling.isdisjoint(whole):
             file, likeness = templates.best(whole, FILE, lambda n, whole=whole: agrees(n, whole))
+            if file and _DENIES(text.lower()):
+                file, likeness = None, 0.0
         out.append((header, score, file, likeness))
     return out
 
 
-def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, str] | None = None) -> tuple[DataFrame, list[str]]:
+def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, str] | None = None, keep_text: bool = True) -> tuple[DataFrame, list[str]]:
     """Append licence, cosine, origin (file, header, inherited, none) and directory (from which it is inherited).
 
-    path_col has paths separated by "/"; a document lies in the directory that its path names but for the last part.
+    path_col has paths separated by "/"; a document lies in the directory that its path names but for the last part, a
+    relative path without "/" in ".", which is above all relative directories as "" is above the absolute ones.
     A directory's licence is that of most of its licence files, of equals the first in order of name; a licence file
     speaks for itself. Null texts have no licence of their own; null paths inherit nothing. Repeated rows each have
-    their result and each count as a licence file. templates are notices, texts whole licences; those of this module by
-    default, own templates without texts have none. Returns the table and the four columns' names.
+    their result and each count as a licence file. Other columns may have any name. templates are notices, texts whole
+    licences; those of this module by default, own templates without texts have none. The annotated rows are written
+    once to the shared folder, without the text if keep_text is off. Returns the table and the four columns' names.
     """
     names = fresh_names(docs, ["licence", "cosine", "origin", "directory"])
-    chosen = docs.sparkSession.sparkContext.broadcast((templates or TEMPLATES, texts if texts is not None else {} if templates else licence_texts()))
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licences")
+    chosen = spark.sparkContext.broadcast((templates or TEMPLATES, texts if texts is not None else {} if templates else licence_texts()))
 
     def make():
         own, whole = Templates(chosen.value[0]), LicenceTexts(chosen.value[1])
@@ -259,27 +268,40 @@ def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict
 
         return rows
 
-    fields = [("_header", "string"), ("_header_cosine", "double"), ("_file", "string"), ("_file_cosine", "double")]
-    found = annotate(docs, text_col, fields, make)
-    found = found.withColumn("_dir", F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1))
-    votes = found.where(F.col("_file").isNotNull() & F.col("_dir").isNotNull()).groupBy("_dir", "_file").agg(F.count("*").alias("n"))
-    holders = votes.groupBy(F.col("_dir").alias("_holder")).agg(F.min_by("_file", F.struct(-F.col("n"), "_file")).alias("_given"))
-    parts = F.split("_dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    dirs = docs.select(F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1).alias("_dir")).where(F.col("_dir").isNotNull()).distinct()
-    near = dirs.select("_dir", F.explode(above).alias("_holder")).join(holders, "_holder")
-    near = near.groupBy("_dir").agg(F.max_by(F.struct("_holder", "_given"), F.length("_holder")).alias("_near"))
-    out = found.join(near, "_dir", "left")
-    licence = F.coalesce("_file", "_header", "_near._given")
-    origin = F.when(F.col("_file").isNotNull(), "file").when(F.col("_header").isNotNull(), "header").when(F.col("_near").isNotNull(), "inherited").otherwise("none")
-    cosine = F.when(F.col("_file").isNotNull(), F.col("_file_cosine")).when(F.col("_header").isNotNull(), F.col("_header_cosine")).otherwise(0.0)
-    directory = F.when(F.col("_file").isNull() & F.col("_header").isNull(), F.col("_near._holder"))
+    # the table's own columns travel in one, so that none can clash
+    columns = [c for c in docs.columns if keep_text or c != text_col]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col], F.lit(0).alias("_")).alias("row")
+    place = F.when(F.contains(F.col(path_col), F.lit("/")), F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).when(F.col(path_col).isNotNull(), ".").alias("dir")
+    fields = [("header", "string"), ("header_cosine", "double"), ("file", "string"), ("file_cosine", "double")]
+    found = annotate(docs.select(row, place, F.xxhash64(path_col).alias("salt"), F.col(text_col).alias("text")), "text", fields, make)
+    found = scratch.write(found if keep_text else found.drop("text"), "found")
+
+    votes = found.where(F.col("file").isNotNull() & F.col("dir").isNotNull()).groupBy("dir", "file").agg(F.count("*").alias("n"))
+    holders = votes.groupBy(F.col("dir").alias("holder")).agg(F.min_by("file", F.struct(-F.col("n"), "file")).alias("given"))
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("holder")))
+    root = F.array(F.struct(F.lit(0).alias("depth"), F.lit(".").alias("holder")))
+    above = F.when(F.startswith(F.col("dir"), F.lit("/")) | (F.col("dir") == "") | (F.col("dir") == "."), above).otherwise(F.concat(root, above))
+    dirs = found.select("dir").where(F.col("dir").isNotNull()).distinct()
+    near = dirs.select("dir", F.explode(above).alias("a")).select("dir", "a.*").join(holders, "holder")
+    near = near.groupBy("dir").agg(F.max_by(F.struct("holder", "given"), "depth").alias("near"))
+    near = scratch.write(near, "near")
+    if near.count() <= BROADCAST_DIRECTORIES:
+        out = found.join(F.broadcast(near), "dir", "left")
+    else:  # a directory may hold a third of all rows
+        salted = near.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        out = found.withColumn("salt", F.pmod("salt", F.lit(SALTS))).join(salted, ["dir", "salt"], "left")
+    licence = F.coalesce("file", "header", "near.given")
+    origin = F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
+    cosine = F.when(F.col("file").isNotNull(), F.col("file_cosine")).when(F.col("header").isNotNull(), F.col("header_cosine")).otherwise(0.0)
+    directory = F.when(F.col("file").isNull() & F.col("header").isNull(), F.col("near.holder"))
     values = [licence, cosine, origin, directory]
-    return out.select(*docs.columns, *(v.alias(n) for v, n in zip(values, names, strict=True))), names
+    own = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns]
+    return out.select(*own, *(v.alias(n) for v, n in zip(values, names, strict=True))), names
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, path, licence, cosine, origin, directory of every document; its path is source/language/document."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path")
-    out, names = scan(docs.select("doc_id", "text", path), "path")
+    out, names = scan(docs.select("doc_id", "text", path), "path", keep_text=False)
     return out.select("doc_id", "path", *names)

@@ -408,6 +408,61 @@ def test_licences_are_found_and_inherited(spark):
     assert licenses.scan(docs.limit(0), "path")[0].count() == 0
 
 
+def brute_inheritance(rows, own):
+    """licence, origin, directory of each (path, text), by walking up the directories."""
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else "."
+    given = {}
+    for (path, _), found in zip(rows, own, strict=True):
+        if path is not None and found[2]:
+            given.setdefault(folder(path), []).append(found[2])
+    given = {d: min(set(x), key=lambda n: (-x.count(n), n)) for d, x in given.items()}
+    out = []
+    for (path, _), found in zip(rows, own, strict=True):
+        if found[2] or found[0]:
+            out.append((found[2] or found[0], "file" if found[2] else "header", None))
+            continue
+        at = None if path is None else folder(path)
+        while at is not None and at not in given:
+            at = at.rsplit("/", 1)[0] if "/" in at else None if at in (".", "") or path.startswith("/") else "."
+        out.append((given[at], "inherited", at) if at is not None else (None, "none", None))
+    return out
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_licence_query_equals_brute_force(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(licenses, "BROADCAST_DIRECTORIES", -1)
+    texts = licenses.licence_texts()
+    words = "plain words of a file that say nothing"
+    rows = [
+        ("LICENSE", texts["MIT"]), ("src/x.py", words), ("src/deep/er/y.py", words), ("top.py", words), ("/LICENSE", texts["BSD-2-Clause"]), ("/abs/x", words), ("/y", words),
+        ("lib/LICENSE", texts["Apache-2.0"]), ("lib/COPYING", texts["MIT"]), ("lib/MIT", texts["MIT"]), ("lib/z", None), ("lib/z", None), ("lib/sub/LICENSE", "This code is not released under the MIT License."),
+        ("lib/long", words * 50_000), ("lib/h", f"Released under the MIT License.\n{words}\n{words}"), (None, words), ("", ""), ("g/LICENSE", texts["GPL-2.0-only"]), ("g/x", words),
+    ]
+    docs = spark.createDataFrame([(p, t, k, "keep", k) for k, (p, t) in enumerate(rows)], "path string, text string, _dir int, licence string, file int")
+    out, names = licenses.scan(docs, "path")
+    assert out.columns == [*docs.columns, *names] and names[0] == "_licence"
+    got = {r["_dir"]: tuple(r[n] for n in (names[0], names[2], names[3])) for r in out.collect()}
+    want = brute_inheritance(rows, licenses.own_licences([t for _, t in rows], licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(texts)))
+    assert [got[k] for k in range(len(rows))] == want
+    assert got[1] == got[2] == ("MIT", "inherited", ".") and got[5] == ("BSD-2-Clause", "inherited", "") and got[10] == ("MIT", "inherited", "lib") and got[12][1] == "inherited"
+    assert {r["file"] for r in out.where("licence = 'keep'").collect()} == set(range(len(rows)))
+
+
+def test_licence_report_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(f"{r.source or '-'}/{r.lang or '-'}/{r.doc_id}", r.text) for r in docs.orderBy("doc_id").collect()]
+    rows_out = {r.path: (r.licence, r.origin, r.directory) for r in licenses.report(docs).collect()}
+    want = brute_inheritance(rows, licenses.own_licences([t for _, t in rows], licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(licenses.licence_texts())))
+    assert [rows_out[p] for p, _ in rows] == want
+
+
+def test_denials_bear_no_licence():
+    own, whole = licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(licenses.licence_texts())
+    texts = ["This code is not released under the MIT License.", "It isn't licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0."]
+    assert [(r[0], r[2]) for r in licenses.own_licences(texts, own, whole)] == [(None, None), (None, None), ("Apache-2.0", "Apache-2.0")]
+
+
 def test_whole_licence_files_are_found_and_inherited(spark):
     texts = licenses.licence_texts()
     real = [n for n in texts if n != "AGPL-3.0-only" and (not n.startswith("CC-BY") or n == "CC-BY-SA-4.0")]
