@@ -40,8 +40,9 @@ PERCENT = 80
 SAMPLE_DOCS, COMMON, COMMON_KEPT = 20_000, 2, 1_000_000
 #: Set numbers or tokens that may be broadcast (8 bytes each); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Bins for each token at least; a set has up to twice as many.
-BINS = 8
+#: Bins for each token at least, in the coarse rows that most comparisons need and in the fine ones that few still need;
+#: a set has up to twice as many.
+COARSE, FINE = 2, 8
 #: Sets of a token in one block; rounds of merging groups by likeliest pairs.
 BLOCK, ROUNDS = 1024, 2
 #: Bytes of bins that a unit compares at a time.
@@ -67,9 +68,9 @@ def set_number(tokens: np.ndarray, seed: int = 0) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(tokens.tobytes(), seed)).view(np.int64))
 
 
-def bins_of(tokens: np.ndarray) -> bytes:
-    """Bins of a set: their number is a power of two."""
-    count = max(64, 1 << int(BINS * len(tokens) - 1).bit_length())
+def bins_of(tokens: np.ndarray, each: int) -> bytes:
+    """Bins of a set, `each` for a token at least: their number is a power of two."""
+    count = max(64, 1 << int(each * len(tokens) - 1).bit_length())
     bits = np.zeros(count, bool)
     bits[(tokens % np.uint64(count)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
@@ -124,6 +125,15 @@ def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (n + m) // (100 + percent))
 
 
+@F.pandas_udf(T.BooleanType())
+def may_link(n: pd.Series, bins: pd.Series, m: pd.Series, others: pd.Series, percent: pd.Series) -> pd.Series:
+    """Whether the bins leave room for enough shared tokens, seen from both sets."""
+    both, k = Bins([*bins, *others]), np.arange(len(n))
+    x, y = both.missing(k, k + len(n))
+    n, m = n.to_numpy().astype(np.int64), m.to_numpy().astype(np.int64)
+    return pd.Series(np.minimum(n - x, m - y) >= least_overlap(n, m, percent.to_numpy()))
+
+
 @F.pandas_udf(T.BooleanType())
 def linked(a: pd.Series, b: pd.Series, percent: pd.Series) -> pd.Series:
     """Exact test on two sets' tokens."""
@@ -229,31 +239,34 @@ def fits(n, rest, m, other_rest, percent: int, least):
     return (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * least(rest, other_rest) >= percent * (n + m))
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int, scratch: Scratch, name: str, column: str) -> DataFrame:
-    """set and its bins, or its tokens (8 bytes each), for the wanted sets from the text of one document each; written."""
+#: What can be had from a set's tokens: columns of _contents.
+CONTENTS = {"tokens": lambda x: x.astype("<u8").tobytes(), "coarse": lambda x: bins_of(x, COARSE), "fine": lambda x: bins_of(x, FINE)}
+
+
+def _contents(docs: DataFrame, wanted: DataFrame, representative: DataFrame, size: int, scratch: Scratch, name: str, columns: list[str]) -> DataFrame:
+    """set and its tokens (8 bytes each) or bins for the wanted sets from the text of one document each; written."""
     ids = representative.join(wanted, "set").select(F.col("at.doc").alias("_doc"), F.col("at.key").alias("_key"), F.col("set").alias("_set"))
     ids = scratch.write(ids, f"ids-{name}")
     few = ids.count() <= BROADCAST_IDS
     here = F.col("doc").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_key"))
     texts = docs.join(F.broadcast(ids) if few else ids, here).select("_set", "text")
-    content = bins_of if column == "bins" else lambda x: x.astype("<u8").tobytes()
 
     def make():
         hashes = WordHashes()
 
         def rows(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-            found = [content(shingle_set(split_words(t), hashes, size)) for t in texts]
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["set", column])
+            found = [shingle_set(split_words(t), hashes, size) for t in texts]
+            return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(map(CONTENTS[c], found), pa.binary()) for c in columns)], names=["set", *columns])
 
         return rows
 
-    made = scratch.write(flat_rows(texts, "text", f"set long, {column} binary", make), f"{column}-{name}")
+    made = scratch.write(flat_rows(texts, "text", ", ".join(["set long", *(f"{c} binary" for c in columns)]), make), f"contents-{name}")
     scratch.drop(f"ids-{name}")
     if made.groupBy("set").count().where("count > 1").isEmpty():
         return made
     # rows of equal id and text are there several times
-    once = scratch.write(made.dropDuplicates(["set"]), f"{column}-{name}-once")
-    scratch.drop(f"{column}-{name}")
+    once = scratch.write(made.dropDuplicates(["set"]), f"contents-{name}-once")
+    scratch.drop(f"contents-{name}")
     return once
 
 
@@ -261,7 +274,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, representative: DataFrame, size
     """Of pairs (a, b) those that link, written."""
     pairs = scratch.write(pairs, f"pairs-{name}")
     wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    tokens = _contents(docs, wanted, representative, size, scratch, name, "tokens")
+    tokens = _contents(docs, wanted, representative, size, scratch, name, ["tokens"])
     left, right = (tokens.select(F.col("set").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
     tested = pairs.join(left, "a").join(right, "b").where(linked("ta", "tb", F.lit(percent)))
     return scratch.write(tested.select("a", "b"), f"links-{name}")
@@ -363,7 +376,7 @@ def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, bins: DataFra
     dealt = _units(labelled)
     columns = ["token", "lo", "hi", "block", "set", "n", "rest", "group"]
     if bins is not None:
-        dealt, columns = dealt.join(bins.select(F.col("set").alias("_set"), "bins"), F.col("set") == F.col("_set")), [*columns, "bins"]
+        dealt, columns = dealt.join(bins.withColumnRenamed("set", "_set"), F.col("set") == F.col("_set")), [*columns, "bins"]
     dealt = dealt.select(*columns).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     return dealt.mapInArrow(work, schema)
 
@@ -456,17 +469,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     first = scratch.write(by_class.groupBy("token", "class").agg(F.min(F.struct("set", "n", "rest")).alias("first")), "first")
     near = by_class.join(first, ["token", "class"]).where(F.col("set") != F.col("first.set"))
     near = near.where(fits(F.col("n"), F.col("rest"), F.col("first.n"), F.col("first.rest"), percent, F.least))
-    near = near.select(F.col("set").alias("a"), F.col("first.set").alias("b")).distinct()
+    near = near.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("first.set").alias("b"), F.col("first.n").alias("nb")).distinct()
+    bins = _contents(docs, listed.select("set").distinct(), representative, size, scratch, "bins", ["coarse", "fine"])
+    left, right = (bins.select(F.col("set").alias(x), F.col("coarse").alias(f"bins{x}")) for x in "ab")
+    near = near.join(left, "a").join(right, "b").where(may_link("na", "binsa", "nb", "binsb", F.lit(percent))).select("a", "b")
     links = _verified(docs, near, representative, size, percent, scratch, "near")
     groups = components(links, "groups")
-    scratch.drop("shared", "first", "pairs-near")
+    scratch.drop("shared", "first", "pairs-near", "contents-near")
 
     # the matrix: units of a token's sets and groups
     rows = scratch.write(_asked(listed, groups, percent), "asked")
     scratch.drop("listed")
-    bins = _contents(docs, rows.select("set").distinct(), representative, size, scratch, "asked", "bins")
+    coarse, fine = (bins.select("set", F.col(c).alias("bins")) for c in ("coarse", "fine"))
     for turn in range(ROUNDS):
-        opened = scratch.write(_opened(rows, groups, bins, percent), f"opened-{turn}")
+        opened = scratch.write(_opened(rows, groups, fine if turn else coarse, percent), f"opened-{turn}")
         rows = opened.select("token", "set", "n", "rest").distinct()
         if opened.isEmpty():
             break
@@ -478,7 +494,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         links = links.union(new)
         groups = components(links, f"groups-{turn}")
     if not rows.isEmpty():
-        new = _verified(docs, _left_over(rows, groups, bins, percent), representative, size, percent, scratch, "left")
+        new = _verified(docs, _left_over(rows, groups, fine, percent), representative, size, percent, scratch, "left")
         if not new.isEmpty():
             groups = components(links.union(new), "joined")
     scratch.drop("asked")
@@ -502,7 +518,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     have their result.
     """
     found, merged = join(docs, id_col, text_col, **options)
-    out = found.join(_least_of(found, merged, F.col("doc")), "set", "left")
+    # written, so that a set of very many documents can be split in this join
+    least = Scratch(docs.sparkSession, "jaccard-least").write(_least_of(found, merged, F.col("doc")), "least")
+    out = found.join(least, "set", "left")
     return out.select("doc", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
