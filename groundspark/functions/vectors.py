@@ -2,47 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from groundspark.functions.text import let, words
+from groundspark.functions.text import words
 
-#: Up to this width a dot product is written out, so that it stays in generated code.
-UNROLLED = 256
 
-
-def dot(a: Column, b: Column, width: int | None = None) -> Column:
+def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
-    if width and width <= UNROLLED:
-        out = F.lit(0.0)
-        for i in range(width):
-            out = out + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
-        return out
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column, width: int | None = None) -> Column:
+def norm(a: Column) -> Column:
     """Euclidean length; 1 for a zero vector."""
-    length = F.sqrt(dot(a, a, width))
+    length = F.sqrt(dot(a, a))
     return F.when(length == 0, 1.0).otherwise(length)
 
 
-def cosine(a: Column, b: Column, width: int | None = None) -> Column:
+def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; a zero vector's length counts as 1."""
-    return dot(a, b, width) / (norm(a, width) * norm(b, width))
+    return dot(a, b) / (norm(a) * norm(b))
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _scaled_counts(buckets: pd.Series, width: pd.Series) -> pd.Series:
+    """How often each of `width` numbers is in a row, scaled to length 1."""
+    n = int(width.iloc[0]) if len(width) else 1
+    sizes = np.array([len(x) for x in buckets], np.int64)
+    flat = np.concatenate([np.asarray(x, np.int64) for x in buckets]) if sizes.sum() else np.zeros(0, np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * n + flat, minlength=n * len(sizes)).reshape(-1, n).astype(float)
+    length = np.sqrt((counts**2).sum(1, keepdims=True))
+    return pd.Series(list((counts / np.where(length == 0, 1, length)).astype(np.float32)))
 
 
 def hash_embedding(text: Column, width: int = 64) -> Column:
     """Words (lower case, between white space) counted by the first byte of their sha256, scaled to length 1.
 
-    Each word becomes one letter of an alphabet of `width`; the count of a letter is what removing it takes away.
+    Words are hashed in the JVM; the counts of a batch of texts are one pass in NumPy.
     """
-    alphabet = "".join(chr(0x4E00 + i) for i in range(width))
-    letter = lambda w: F.substring(F.lit(alphabet), F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % width + 1, F.lit(1))
-    line = F.array_join(F.transform(words(F.lower(text)), letter), "")
-    letters = F.array(*map(F.lit, alphabet))
-    counts = let(line, lambda w: F.transform(letters, lambda c: (F.length(w) - F.length(F.replace(w, c, F.lit("")))).cast("double")))
-    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    scaled = lambda v: let(F.when(length(v) == 0, 1.0).otherwise(length(v)), lambda n: F.transform(v, lambda x: (x / n).cast("float")))
-    return let(counts, scaled)
+    bucket = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % width
+    return _scaled_counts(F.transform(words(F.lower(text)), bucket), F.lit(width))

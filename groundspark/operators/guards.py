@@ -173,7 +173,7 @@ def unsupported_sentences(answers: DataFrame, hits: DataFrame, floor: float = SE
     parts = parts.where(F.size(content_tokens(F.col("s"))) >= LEAST_SENTENCE_TOKENS).select("question_id", "n", _strip(F.col("s")).alias("sentence"))
     said = embedder(parts, "sentence").withColumnRenamed("embedding", "a")
     held = embedder(hits.select("question_id", F.concat_ws(". ", "title", "text").alias("t")), "t").select("question_id", F.col("embedding").alias("b"))
-    best = said.join(held, "question_id").groupBy("question_id", "n", "sentence").agg(F.max(cosine(F.col("a"), F.col("b"), width)).alias("best"))
+    best = said.join(held, "question_id").groupBy("question_id", "n", "sentence").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("best"))
     return best.where(F.col("best") < floor)
 
 

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.functions.text import STOP_WORDS
+from groundspark.functions.text import STOP_WORDS, let
+from groundspark.sources.scratch import written
 
 #: Terms of a question that the fallback uses.
 FALLBACK_TERMS = 12
@@ -75,17 +76,17 @@ def cover_density(matched: DataFrame, terms: DataFrame, fallback: DataFrame, pos
     hits = wanted.join(postings, "term").join(matched, ["question_id", "chunk_id"], "left_semi")
     # last place of every term so far, folded over the occurrences in order
     ordered = hits.groupBy("question_id", "chunk_id", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("o"))
-    empty = F.struct(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda _: F.lit(-1)).alias("last"), F.array().cast("array<struct<l:int,r:int>>").alias("covers"))
+    zero = F.struct(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
 
     def step(state, o):
         last = F.transform(state["last"], lambda v, i: F.when(i + 1 == o["k"], o["pos"]).otherwise(v))
-        left = F.array_min(last)
-        whole = F.when(left >= 0, F.concat(state["covers"], F.array(F.struct(left.alias("l"), o["pos"].alias("r"))))).otherwise(state["covers"])
-        return F.struct(last.alias("last"), whole.alias("covers"))
+        # places come in order, so the left end never goes back: a new one begins a cover, and this is its first end
+        return let(F.struct(last.alias("last"), F.array_min(last).alias("left")), lambda s: F.struct(
+            s["last"].alias("last"), s["left"].alias("left"),
+            (state["score"] + F.when(s["left"] > state["left"], 1 / (1 + F.greatest(F.lit(0), o["pos"] - s["left"] + 1 - F.col("size")))).otherwise(0.0)).alias("score"),
+        ))
 
-    covers = ordered.select("question_id", "chunk_id", "size", F.explode(F.aggregate("o", empty, step)["covers"]).alias("c"))
-    least = covers.groupBy("question_id", "chunk_id", "size", F.col("c.l").alias("l")).agg(F.min("c.r").alias("r"))
-    strict = least.groupBy("question_id", "chunk_id").agg(F.sum(1 / (1 + F.greatest(F.lit(0), F.col("r") - F.col("l") + 1 - F.col("size")))).alias("lex_score"))
+    strict = ordered.select("question_id", "chunk_id", F.aggregate("o", zero, step)["score"].alias("lex_score")).where("lex_score > 0")
     loose = fallback.join(postings, "term").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("lex_score"))
     return strict.unionByName(loose)
 
@@ -98,6 +99,9 @@ def lexical_topk(scores: DataFrame, pool: int) -> DataFrame:
 
 def search(questions: DataFrame, postings: DataFrame, pool: int, keep: DataFrame | None = None) -> DataFrame:
     """D2 to D6 together; keep (chunk_id) filters what is ranked, but not which questions fall back."""
+    # only the asked words' places are kept, once, for the three uses of them
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0)))
+    postings = written(postings.join(questions.select(found.alias("term")).distinct(), "term", "left_semi"), "asked-postings")
     terms = query_terms(questions)
     matched = match_all(terms, postings)
     loose = or_fallback(questions, matched)

@@ -50,7 +50,7 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, postings: DataFrame |
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     best = rrf_fuse(dense, words).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     hits = best.join(chunks, "chunk_id").join(questions.select("question_id", F.col("embedding").alias("q")), "question_id")
-    score = cosine(F.col("q"), F.col("embedding"), width)
+    score = cosine(F.col("q"), F.col("embedding"))
     return hits.select("question_id", "rank", "chunk_id", "doc_id", "title", "url", "space", "text", "score", score.alias("vector_score"), F.lit(None).cast("double").alias("rerank_score"))
 
 

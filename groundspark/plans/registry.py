@@ -5,6 +5,7 @@ Names begin with the inventory's identifiers: a for sources, b for cleaning and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,8 @@ from groundspark.operators import chat, chunking, confidence, corpus, evaluate,
 from groundspark.plans import base as b
 from groundspark.plans.base import sql, table
 from groundspark.sources import files
+from groundspark.sources.scratch import shared_folder, spread, written
+from groundspark.sources.store import ChunkStore
 from groundspark.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,8 +37,8 @@ def query(name: str, twin: str | None = None):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Ranked chunks for every question, with confidence and decision."""
-    asked, chunks = b.embedded_questions(spark, d), b.embedded_chunks(spark, d)
-    hits = search.hybrid_search(asked, chunks, width=b.WIDTH)
+    asked, chunks = b.embedded_questions(spark, d), b.stored_chunks(spark, d)
+    hits = written(search.hybrid_search(asked, chunks, width=b.WIDTH), "hits")
     gated = confidence.gate(confidence.confidence(asked, hits))
     out = gated.join(hits.select("question_id", "rank", "chunk_id", "score", "vector_score"), "question_id", "left")
     return out.select("question_id", "question", "rank", "chunk_id", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("confidence", 6).alias("confidence"), "escalate")
@@ -73,14 +76,7 @@ def a8(spark, d):
 
 @query("a9_chunk_store", sql("docs chunks", "SELECT space, count(*) AS chunks, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY space"))
 def a9(spark, d):
-    import tempfile
-
-    from groundspark.sources.store import ChunkStore
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="store-")
-    import uuid
-
-    store = ChunkStore(spark, f"{folder.rstrip('/')}/chunks-{uuid.uuid4().hex}")
+    store = ChunkStore(spark, f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}")
     docs = corpus.with_hash(b.docs(spark, d))
     store.commit(b.chunks(spark, d), docs.select("doc_id", "content_hash"))
     return store.chunks().groupBy("space").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
@@ -202,7 +198,7 @@ def c5r(spark, d):
 def c6(spark, d):
     t = table(spark, d, "embeddings")
     after = t.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return t.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other"), 64), 6).alias("cosine"))
+    return t.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
 
 
 @query("c7_knn", _KNN.format(on="true"))
@@ -331,12 +327,12 @@ def e8(spark, d):
 
 @query("e9_retrieve", sql("hits", "SELECT question_id, rank, chunk_id, round(score, 9) AS score FROM hits"))
 def e9(spark, d):
-    return search.retrieve(b.questions(spark, d), b.embedded_chunks(spark, d), reranked=False, width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+    return search.retrieve(b.questions(spark, d), b.stored_chunks(spark, d), reranked=False, width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query("e9_retrieve_reranked")
 def e9r(spark, d):
-    return search.retrieve(b.questions(spark, d), b.embedded_chunks(spark, d), width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return search.retrieve(b.questions(spark, d), b.stored_chunks(spark, d), width=b.WIDTH).select("question_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query("e10_dedup_chunk_ids", sql("chunks", "SELECT chunk_id, CASE WHEN ordinal = 0 THEN 'v2' ELSE 'v0' END AS version FROM chunks"))
