@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import small_batches, written
+from groundspark.llm.common import sampled, small_batches, written
 
 #: Rows that the codebooks are fitted on, about, and rounds of fitting.
 SAMPLE_ROWS, ROUNDS = 8000, 8
@@ -104,7 +104,7 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def fit(rows: DataFrame, count: int, sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
     """Fit on about sample_rows rows, chosen by a hash of the id: the same at every run."""
     rate = min(1.0, sample_rows / max(1, count))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(rate * 1_000_000) + (rate == 1.0))
+    some = rows.where(sampled(F.col("id"), rate))
     found = sorted(some.toArrow().to_pylist(), key=lambda r: (r["id"], r["vec"]))
     return fit_sample(np.array([r["vec"] for r in found])) if found else None
 

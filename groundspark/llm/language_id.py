@@ -7,24 +7,24 @@ training sample and takes the codeword with the least loss; a narrow margin flag
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.llm.common import annotate, crc32_of_id, fresh_names
 
-#: Rows that the classifiers are fitted on, about; of more, those with the smallest hashes of their id.
-SAMPLE_ROWS = 3000
-#: Languages that are learned at most: those with the most rows.
-MAX_LANGUAGES = 500
+#: Rows that the classifiers are fitted on, about, and of each language at least (where it has them); of more, those
+#: with the smallest hashes of their id. Every language is learned: the driver holds about 32 kB for each of these rows.
+SAMPLE_ROWS, LEAST_ROWS = 3000, 8
 GRAMS = 1 << 12
 #: Below this lead of the best codeword's probability over the second's a text is ambiguous.
 MARGIN = 0.2
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter: of \w neither a digit nor a number sign such as a fraction.
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters folded; digits, punctuation and controls are all a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -52,9 +52,11 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
         return np.array(columns).T
     rng, length = np.random.default_rng(seed), max(15, int(np.ceil(8 * np.log2(n))))
     best, far = None, -1
-    for _ in range(200):
+    for _ in range(max(3, 20_000 // n)):
         code = rng.choice([-1, 1], (n, length))
-        apart = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        alike = code.astype(np.float32) @ code.T.astype(np.float32)
+        np.fill_diagonal(alike, -length)
+        apart = int(length - alike.max()) // 2
         if apart > far and (np.abs(code.sum(0)) < n).all():
             best, far = code, apart
     return best if best is not None else rng.choice([-1, 1], (n, length))
@@ -79,15 +81,19 @@ class Codes:
         return loss.argmin(1), order[:, -1], order[:, -1] - (order[:, -2] if p.shape[1] > 1 else 0)
 
 
-def fit_codes(texts: list[str], langs: list[str], steps: int = 100) -> Codes:
-    """Fit all bits at once by gradient descent with momentum; a short piece of each text is a row too."""
+def sample_text(text: str) -> list[str]:
+    """A text as it is learned from: whole, and a short piece of it."""
+    return [text, " ".join(text.split()[2:10]) or text]
+
+
+def fit_codes(rows: np.ndarray, langs: list[str], steps: int = 100) -> Codes:
+    """Fit all bits at once by gradient descent with momentum on rows of grams and their languages."""
     languages = sorted(set(langs))
     code = codewords(len(languages))
-    if not texts:
+    if not len(rows):
         return Codes([], code, np.zeros((GRAMS, 1)), np.zeros(1), code)
-    pieces = [" ".join(t.split()[2:10]) for t in texts]
-    x = np.stack([grams(t) for t in [*texts, *(p or t for p, t in zip(pieces, texts, strict=True))]])
-    y = np.array([languages.index(v) for v in langs] * 2)
+    x, number = rows, {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for v in langs])
     size = np.bincount(y, minlength=len(languages))
     cost = (1 / size)[y][:, None] / len(languages)
     target = code[y].astype(np.float32)
@@ -103,16 +109,36 @@ def fit_codes(texts: list[str], langs: list[str], steps: int = 100) -> Codes:
 
 
 def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Codes:
-    """Fit on about sample_rows rows with text and language for which learn_from holds; the same rows at every run."""
+    """Fit on about sample_rows rows with text and language for which learn_from holds; the same rows at every run.
+
+    The rows' grams are counted in tasks; texts don't come to the driver.
+    """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn_from is not None:
         rows = rows.where(learn_from)
-    per = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES).collect()
-    rates = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, sample_rows / len(per) / r["_n"])) for r in per], "_lang string, _rate double")
-    some = F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < F.col("_rate") * 1_000_000
-    found = rows.join(F.broadcast(rates), F.col(lang_col) == F.col("_lang")).where(some).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).toArrow().to_pylist()
-    found = sorted((x for x in found if _LETTER.search(x["text"])), key=lambda x: (x["id"], x["lang"], x["text"]))
-    return fit_codes([x["text"] for x in found], [x["lang"] for x in found])
+    per = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
+    wanted = F.greatest(F.lit(sample_rows) / F.lit(max(1, per.count())), F.lit(LEAST_ROWS))
+    rates = per.select("_lang", F.least(F.lit(1.0), wanted / F.col("_n")).alias("_rate"))
+    chosen = F.pmod(F.xxhash64(id_col), F.lit(1 << 52)) < F.col("_rate") * (1 << 52)
+    some = rows.join(rates, F.col(lang_col) == F.col("_lang")).where(chosen)
+    some = some.select(F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"))
+
+    def make():
+        def counted(texts: list[str], _: pa.RecordBatch) -> list[pa.Array]:
+            found = [[g for x in sample_text(t) for g in (grams(x),)] if _LETTER.search(t) else [] for t in texts]
+            sparse = [[(np.flatnonzero(g).astype("<u2").tobytes(), g[g != 0].tobytes()) for g in own] for own in found]
+            return [pa.array([[x for pair in own for x in pair] for own in sparse], pa.list_(pa.binary()))]
+
+        return counted
+
+    found = annotate(some, "text", [("grams", "array<binary>")], make).where("size(grams) > 0").select("id", "lang", F.xxhash64("text").alias("key"), "grams").toArrow()
+    order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["lang"][i].as_py(), found["key"][i].as_py()))
+    rows_, langs = np.zeros((2 * len(order), GRAMS), np.float32), [found["lang"][i].as_py() for i in order]
+    for k, i in enumerate(order):
+        own = found["grams"][i].as_py()
+        for half in range(2):
+            rows_[k + half * len(order), np.frombuffer(own[2 * half], "<u2")] = np.frombuffer(own[2 * half + 1], np.float32)
+    return fit_codes(rows_, langs * 2)
 
 
 def identify(docs: DataFrame, codes: Codes, text_col: str = "text", unknown: str = "und", margin: float = MARGIN) -> tuple[DataFrame, list[str]]:

@@ -4,7 +4,7 @@ Documents become pieces of at most `capacity` tokens. Pieces are dealt to blocks
 islands each evolve a population of packings: crossover injects whole well-filled bins of one parent into the other,
 bins that hold an injected piece again are opened, and the displaced pieces are put back by best fit, longest first.
 Between epochs each island's best packing moves on to the next island. Bins that stay loose are opened and their
-pieces packed again, together with those of other blocks, until one block is left.
+pieces packed again, together with those of other blocks, until one block is left or a turn closes hardly any of them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ BLOCK = 8192
 ISLANDS, POPULATION, CROSSOVERS, EPOCHS = 3, 4, 6, 2
 #: Bins with more than this share free are packed again with other blocks' ones.
 LOOSE = 0.01
+#: Share of a turn's pieces that must get into tight bins for another turn.
+WORTHWHILE = 0.02
 
 
 class Packing:
@@ -197,8 +199,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     while count:
         placed = written(pack_blocks(rest, count, capacity, level), f"packed-{level}")
         sequence = (F.col("block") * BLOCK * 16 + F.col("bin")).alias("sequence_id")
-        last = count <= BLOCK or level >= 6
-        tight = F.lit(True) if last else F.col("free") <= int(capacity * LOOSE)
+        close = F.col("free") <= int(capacity * LOOSE)
+        # the blocks of a turn are dealt anew, so what one turn can't close the next may; if it closes nothing, none will
+        last = count <= BLOCK or (level > 0 and placed.where(close).count() < WORTHWHILE * count)
+        tight = F.lit(True) if last else close
         done.append(placed.where(tight).select("item", sequence, "offset", F.lit(level).alias("level")))
         if last:
             break
@@ -207,7 +211,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("item", (F.col("sequence_id") * 8 + F.col("level") + 1).alias("sequence_id"), "offset")
+    return out.select("item", (F.col("sequence_id") * 1024 + F.col("level") + 1).alias("sequence_id"), "offset")
 
 
 def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:

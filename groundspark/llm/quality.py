@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from groundspark.llm.common import annotate, crc32_of_id, fresh_names
+from groundspark.llm.common import annotate, crc32_of_id, fresh_names, sampled
 
 #: Labelled rows that the machine is fitted on, about; of more, those with the smallest hashes of their id.
 SAMPLE_ROWS = 6000
@@ -57,6 +57,12 @@ def structure(raw: bytes, slots: np.ndarray, distinct: int, n_chars: int | None)
     return [WORDS + i * LEVELS + level for i, level in enumerate(levels)]
 
 
+def values_of(numbers: np.ndarray) -> np.ndarray:
+    """A row's values: words, and statistics behind them, each share a length of 1."""
+    words = len(numbers) - STATS
+    return np.concatenate([np.full(words, 1 / np.sqrt(max(1, words))), np.full(STATS, 1 / np.sqrt(STATS))])
+
+
 def features(texts: list[str | None], n_chars: list[int | None], slots: _Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows as starts, feature numbers and values; each has its statistics at least."""
     starts, numbers, values, at = [], [], [], 0
@@ -69,7 +75,7 @@ def features(texts: list[str | None], n_chars: list[int | None], slots: _Slots)
         starts.append(at)
         at += len(kinds) + len(stats)
         numbers += [kinds, np.array(stats, np.int64)]
-        values += [np.full(len(kinds), 1 / np.sqrt(max(1, len(kinds)))), np.full(len(stats), 1 / np.sqrt(len(stats)))]
+        values.append(values_of(np.concatenate(numbers[-2:])))
     return np.array(starts, np.int64), np.concatenate(numbers), np.concatenate(values)
 
 
@@ -127,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id
     """Fit on about sample_rows labelled rows for which learn_from (over id_col) holds.
 
     The sample is taken by a hash of the id at a rate set from the count of labels, so it is the same at every run and
-    its rows are bounded; it is broadcast to the documents and its features come to the driver. Rows with a null id or
+    its rows are bounded; it is broadcast to the documents, and its features' numbers come to the driver (66 kB a row at
+    most). Rows with a null id or
     label aren't used; an id with several labels counts as its mean, at least a half as 1.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
@@ -135,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id
         rows = rows.withColumnRenamed("_id", id_col).where(learn_from).withColumnRenamed(id_col, "_id")
     count = rows.count()
     rate = min(1.0, sample_rows / max(1, count))
-    rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    rows = rows.where(sampled(F.col("_id"), rate)).groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     chars = F.col(chars_col).cast("long") if chars_col and chars_col in docs.columns else F.lit(None).cast("long")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), chars.alias("_chars"))
     sample = texts.join(F.broadcast(rows), "_id").select("_id", "_text", "_chars", "_y")
@@ -144,17 +151,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id
         slots = _Slots()
 
         def rows_of(texts: list[str | None], part: pa.RecordBatch) -> list[pa.Array]:
-            starts, numbers, values = features(texts, part.column(2).to_pylist(), slots)
-            ends = pa.array([*starts, len(numbers)], pa.int32())
-            return [pa.ListArray.from_arrays(ends, pa.array(numbers, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(values, pa.float64()))]
+            starts, numbers, _ = features(texts, part.column(2).to_pylist(), slots)
+            ends = [*starts.tolist(), len(numbers)]
+            return [pa.array([numbers[a:b].astype("<u2").tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())]
 
         return rows_of
 
-    found = annotate(sample, "_text", [("_numbers", "array<int>"), ("_values", "array<double>")], make).select("_id", "_y", "_numbers", "_values").toArrow()
-    order = np.lexsort((np.array([len(x) for x in found["_numbers"]]), np.array(found["_id"].to_pylist(), dtype=object).astype(str))) if found.num_rows else np.array([], np.int64)
-    numbers, values = found["_numbers"].combine_chunks(), found["_values"].combine_chunks()
-    data = [(np.asarray(numbers[int(i)].values), np.asarray(values[int(i)].values)) for i in order]
-    return fit_rows([(a.astype(np.int64), b) for a, b in data], np.array(found["_y"].to_pylist(), float)[order] if found.num_rows else np.zeros(0))
+    # two bytes for each distinct feature: a row has FEATURES of them at most, however long its text
+    found = annotate(sample, "_text", [("_numbers", "binary")], make).select("_id", "_y", "_numbers").toArrow()
+    raws = found["_numbers"].to_pylist()
+    order = np.lexsort((np.array([len(x) for x in raws]), np.array(found["_id"].to_pylist(), dtype=object).astype(str))) if found.num_rows else np.array([], np.int64)
+    data = [np.frombuffer(raws[int(i)], "<u2") for i in order]
+    return fit_rows([(x.astype(np.int64), values_of(x)) for x in data], np.array(found["_y"].to_pylist(), float)[order] if found.num_rows else np.zeros(0))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", chars_col: str | None = "n_chars") -> tuple[DataFrame, str]:
