@@ -116,7 +116,10 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def candidate_events(spark: SparkSession, d: str) -> DataFrame:
     """events as the life of candidates: id, at, seq, kind, author, approver."""
-    e = table(spark, d, "events")
+    return as_candidate_events(table(spark, d, "events"))
+
+
+def as_candidate_events(e: DataFrame) -> DataFrame:
     kinds = F.array(*map(F.lit, ["submit", "approve", "reject", "down", "revoke", "down", "down", "quarantine"]))
     return e.select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.element_at(kinds, (F.col("event_id") % 8 + 1).cast("int")).alias("kind"), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")).alias("author"), F.concat(F.lit("U"), (F.col("event_id") % 5).cast("string")).alias("approver"))
 

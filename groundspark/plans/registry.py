@@ -395,7 +395,14 @@ def g3(spark, d):
     return guards.fabricated_specifics(*_facts(spark, d))
 
 
-@query("g4_fabricated_numbers")
+_NUMBERS = r"regexp_extract_all({t}, '\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?')"
+_RUNLESS = r"regexp_replace({t}, '\bv?\d+(?:\.\d+){2,}\b', ' ', 'g')"
+_VALUE = "CASE WHEN regexp_full_match({p}, '[0-9]+') THEN regexp_replace({p}, '^0+([0-9])', '\\1') ELSE coalesce(CASE WHEN isinf(try_cast({p} AS DOUBLE)) THEN {p} WHEN try_cast({p} AS DOUBLE) % 1 = 0 AND abs(try_cast({p} AS DOUBLE)) < 1e37 THEN try_cast(try_cast({p} AS DOUBLE) AS DECIMAL(38, 0))::VARCHAR ELSE try_cast({p} AS DOUBLE)::VARCHAR END, {p}) END".replace("{p}", "replace({t}, ',', '')")
+_SOURCE_NUMBERS = "unnest(list_concat(" + _NUMBERS.replace("{t}", "src") + ", " + _NUMBERS.replace("{t}", _RUNLESS.replace("{t}", "src")) + "))"
+_STATED = _NUMBERS.replace("{t}", _RUNLESS.replace("{t}", r"regexp_replace(answer, '\[[0-9]+\]', ' ', 'g')"))
+
+
+@query("g4_fabricated_numbers", sql("drafts dhits", f"SELECT question_id, arg_min(token, pos) AS token FROM (SELECT question_id, token, pos, {_VALUE.replace('{t}', 'token')} AS v FROM (SELECT question_id, unnest(n) AS token, generate_subscripts(n, 1) AS pos FROM (SELECT question_id, {_STATED} AS n FROM drafts WHERE question_id IN (SELECT question_id FROM dhits))) WHERE regexp_matches(token, '[,.eE]') OR length(regexp_extract(replace(token, ',', ''), '^[0-9]+')) >= 5) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT question_id, {_VALUE.replace('{t}', 'n')} AS v FROM (SELECT question_id, {_SOURCE_NUMBERS} AS n FROM (SELECT question_id, title || ' ' || text AS src FROM dhits))) k WHERE k.question_id = s.question_id AND k.v = s.v) GROUP BY question_id"))
 def g4(spark, d):
     return guards.fabricated_numbers(*_facts(spark, d))
 
@@ -420,7 +427,12 @@ def g7(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", guards.parse_verdict(said).alias("verdict"))
 
 
-@query("g8_tidy_answers")
+_OPENERS = "based on the provided context sources,|based on the provided context source,|based on the provided context,|based on the context provided,|based on the provided context|based on the context,|according to the provided context,|according to the context,|based on the information provided,|from the provided context,|based on the sources provided,|based on the given context,"
+_TIDY = r"""opened AS (SELECT question_id, CASE WHEN rest = t THEN t ELSE upper(substr(rest, 1, 1)) || substr(rest, 2) END AS t FROM (SELECT question_id, t, regexp_replace(t, '(?i)^(?:{o})[ ,:\-]*', '') AS rest FROM (SELECT question_id, regexp_replace(answer, '^\s+|\s+$', '', 'g') AS t FROM drafts))),
+tidied AS (SELECT question_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(\S)[ \t]{2,}', '\1 ', 'g'), '[ \t]+([.,;:!?])', '\1', 'g'), '(^|[^.])\.\.([^.]|$)', '\1.\2', 'g'), '(\S)[ \t]{2,}', '\1 ', 'g') AS t FROM opened WHERE NOT regexp_matches(t, '\(\s*\)|\[\s*\]|`'))""".replace("{o}", _OPENERS)
+
+
+@query("g8_tidy_answers", sql("drafts", "").rstrip() + f", {_TIDY} SELECT question_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS answer FROM tidied")
 def g8(spark, d):
     return b.drafts(spark, d).select("question_id", guards.tidy_answer(F.col("answer")).alias("answer"))
 
@@ -588,7 +600,16 @@ def i7(spark, d):
     return feedback.quarantine(b.candidate_events(spark, d).where("kind IN ('approve', 'down')"))
 
 
-@query("i8_candidate_state")
+_STATE = """e AS MATERIALIZED (SELECT id, seq, kind, lower(trim(author)) AS author, lower(trim(approver)) AS approver, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM cevents WHERE kind <> 'down'),
+s AS (SELECT DISTINCT id, 0::BIGINT AS n, '' AS status, 0 AS accepted, 0 AS refused FROM e
+  UNION ALL SELECT id, n, CASE WHEN fine THEN CASE kind WHEN 'submit' THEN 'pending' WHEN 'approve' THEN 'approved' WHEN 'revoke' THEN 'revoked' WHEN 'quarantine' THEN 'quarantined' ELSE CASE WHEN status = 'revoked' THEN status ELSE 'rejected' END END ELSE status END,
+    accepted + fine::INT, refused + (NOT fine)::INT FROM (
+    SELECT e.id, e.n, e.kind, s.status, s.accepted, s.refused, CASE e.kind WHEN 'submit' THEN s.status = '' WHEN 'approve' THEN s.status <> '' AND (s.status = 'approved' OR (e.approver <> '' AND e.approver <> e.author))
+      WHEN 'reject' THEN s.status NOT IN ('', 'approved') WHEN 'revoke' THEN s.status = 'approved' WHEN 'quarantine' THEN s.status = 'approved' ELSE false END AS fine FROM s JOIN e ON e.id = s.id AND e.n = s.n + 1))
+SELECT s.id, s.status, s.accepted, s.refused FROM s JOIN (SELECT id, max(n) AS n FROM e GROUP BY id) m ON s.id = m.id AND s.n = m.n"""
+
+
+@query("i8_candidate_state", f"WITH RECURSIVE cevents AS ({b.CTE['cevents']}), {_STATE}")
 def i8(spark, d):
     return feedback.candidate_state(b.candidate_events(spark, d).where("kind <> 'down'"))
 
@@ -683,12 +704,26 @@ def k6(spark, d):
     return evaluate.scoping_leaks(probes, t.select(F.col("doc_id").alias("question_id"), (F.col("doc_id") % 3 == 0).alias("escalate")))
 
 
-@query("k7_quality_flags")
+_MARKED_IN = r"list_transform(regexp_extract_all(answer, '\[([0-9]{1,9})\]', 1), lambda m: m::INT)"
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) > 25)"
+_FLAGS = "list_filter([" + ", ".join([
+    f"CASE WHEN coalesce(list_max({_MARKED_IN}), 0) > 1 THEN 'MARKER>SOURCES' END",
+    f"CASE WHEN coalesce(list_max({_MARKED_IN}) <> len(list_distinct({_MARKED_IN})), false) OR list_contains({_MARKED_IN}, 0) THEN 'MARKERS_NONCONTIGUOUS' END",
+    r"CASE WHEN regexp_matches(regexp_replace(answer, '\s+$', ''), '[^.!?" + '"' + r"''`)\]:]$', 's') THEN 'TRUNCATED_MIDSENTENCE' END",
+    "CASE WHEN regexp_matches(lower(ltrim(answer)), '^(based on the provided context|based on the context|according to the provided|the provided context|based on the information provided)') THEN 'EDITORIAL_OPENER' END",
+    r"CASE WHEN regexp_matches(answer, '\S[ \t]{2,}\S') THEN 'DOUBLE_SPACE' END",
+    r"CASE WHEN regexp_matches(answer, '(^|\s)\[\s*\]|(^|\s)\(\s*\)|[ \t][.,;]|\.\.([^.]|$)') THEN 'PUNCT_ARTIFACT' END",
+    f"CASE WHEN len({_SENT}) <> len(list_distinct({_SENT})) THEN 'REPEATED_SENTENCE' END",
+    "CASE WHEN length(answer) > 2600 THEN 'VERY_LONG' END",
+]) + "], lambda f: f IS NOT NULL)"
+
+
+@query("k7_quality_flags", sql("drafts", f"SELECT question_id, array_to_string({_FLAGS}, ' ') AS flags FROM drafts"))
 def k7(spark, d):
     return b.drafts(spark, d).select("question_id", F.array_join(evaluate.quality_flags(F.col("answer"), F.lit(1)), " ").alias("flags"))
 
 
-@query("k8_flag_summary")
+@query("k8_flag_summary", sql("drafts", f"SELECT flag, count(*) AS answers FROM (SELECT unnest({_FLAGS}) AS flag FROM drafts) GROUP BY flag"))
 def k8(spark, d):
     return evaluate.flag_summary(b.drafts(spark, d).select(evaluate.quality_flags(F.col("answer"), F.lit(1)).alias("flags")))
 
@@ -706,6 +741,22 @@ def l5(spark, d):
     return jobs.stream_gaps(b.ask_log(spark, d), window="1 hour")
 
 
+def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream gives for the files that are there, as a table."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    done = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@query("l3_stream_quarantine", sql("cevents", _QUAR))
+def l3(spark, d):
+    """All events of candidates as a stream with state: kinds other than approve and down change nothing."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return _drained(spark, jobs.stream_quarantine(b.as_candidate_events(events).withColumn("at", F.col("at").cast("timestamp"))), "l3").select("id", F.col("at").cast("timestamp_ntz").alias("at"))
+
+
 def first_hits(spark: SparkSession, d: str) -> DataFrame:
     """The best hit of each question."""
     one = Window.partitionBy("question_id").orderBy("rank")

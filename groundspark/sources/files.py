@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundspark.sources.scratch import written
+
 # File types that are read, folders that never are.
 MARKDOWN, PLAIN, HTML, PDF = ["md", "markdown", "rst"], ["txt", "text", "log"], ["html", "htm"], ["pdf"]
 SKIP_DIRS = [".git", ".hg", ".svn", ".bzr", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".idea", ".vscode", "dist", "build"]
@@ -99,16 +101,21 @@ def scan_wiki_export(spark: SparkSession, path: str, base_url: str) -> DataFrame
 
 
 def subtree(pages: DataFrame, root: str) -> DataFrame:
-    """doc_id, depth of a root page (by id or exact title) and all pages below it. pages: doc_id, title, parent. A page that is
-    its own ancestor is listed once."""
-    pages.select("doc_id", "title", "parent").createOrReplaceTempView("_pages")
-    safe = root.replace("\\", "\\\\").replace("'", "\\'")
-    return pages.sparkSession.sql(f"""
-        WITH RECURSIVE tree(doc_id, depth) MAX RECURSION LEVEL 200 AS (
-          SELECT doc_id, 0 FROM _pages WHERE doc_id = '{safe}' OR title = '{safe}'
-          UNION ALL
-          SELECT p.doc_id, t.depth + 1 FROM _pages p JOIN tree t ON p.parent = t.doc_id WHERE p.doc_id <> p.parent)
-        SELECT doc_id, min(depth) AS depth FROM tree GROUP BY doc_id""")
+    """doc_id, depth of a root page (by id or exact title) and all pages below it, however deep. pages: doc_id, title,
+    parent. A page that is its own ancestor, by whatever loop, is listed once, at its least depth.
+
+    Level by level: the children of the last level that haven't been seen, each level written to the shared folder.
+    """
+    links = pages.select("doc_id", "parent").where("doc_id <> parent")
+    level = written(pages.where((F.col("doc_id") == root) | (F.col("title") == root)).select("doc_id").distinct().withColumn("depth", F.lit(0)), "subtree-0")
+    seen, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        above = level.select(F.col("doc_id").alias("parent"))
+        below = links.join(above, "parent", "left_semi").select("doc_id").distinct().join(seen, "doc_id", "left_anti")
+        level = written(below.withColumn("depth", F.lit(depth)), f"subtree-{depth}")
+        seen = seen.union(level)
+    return seen
 
 
 def cap_docs(docs: DataFrame, n: int) -> tuple[DataFrame, bool]:

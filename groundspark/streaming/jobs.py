@@ -62,7 +62,7 @@ def stream_gaps(events: DataFrame, watermark: str = WATERMARK, window: str = WIN
 
 
 class _Votes(StatefulProcessor):
-    """Down-votes since the last approval; a row when they first reach the threshold."""
+    """Down-votes since the last approval; a row when they first reach the threshold. Other kinds of events don't count."""
 
     def __init__(self, threshold: int) -> None:
         self.threshold = threshold
@@ -77,7 +77,7 @@ class _Votes(StatefulProcessor):
         for r in frame.itertuples():
             if r.kind == "approve":
                 approved, votes = True, 0
-            elif approved:
+            elif r.kind == "down" and approved:
                 votes += 1
                 if self.threshold > 0 and votes == self.threshold:
                     out.append(r.at)
@@ -89,7 +89,8 @@ class _Votes(StatefulProcessor):
 
 
 def stream_quarantine(events: DataFrame, threshold: int = QUARANTINE_AT) -> DataFrame:
-    """L3: id, at when a candidate's down-votes since its last approval reach the threshold (events: id, at, seq, kind)."""
+    """L3: id, at when a candidate's down-votes since its last approval reach the threshold (events: id, at, seq, kind;
+    other kinds than approve and down change nothing)."""
     return events.groupBy("id").transformWithStateInPandas(_Votes(threshold), "id long, at timestamp", "Append", "None")
 
 
