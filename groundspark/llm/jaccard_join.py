@@ -280,9 +280,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, representative: DataFrame, size
     return scratch.write(tested.select("a", "b"), f"links-{name}")
 
 
-def _units(rows: DataFrame) -> DataFrame:
+def _units(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Deal rows (token, set, ...) to units: token, lo, hi, block. A unit has all sets of a token, or two of its blocks."""
+    # tokens of very many sets are few; written, so that their rows needn't meet in one task
     large = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
+    large = scratch.write(large, f"large-{name}")
     dealt = rows.join(large.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
@@ -370,10 +372,10 @@ def _whole_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[Un
         yield Unit(pa.Table.from_batches(held), percent)
 
 
-def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, bins: DataFrame | None = None) -> DataFrame:
+def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, scratch: Scratch, name: str, bins: DataFrame | None = None) -> DataFrame:
     """Deal rows (token, set, n, rest) with their groups, and their bins if given, to units and work on these."""
     labelled = rows.join(groups, F.col("set") == F.col("node"), "left").withColumn("group", F.coalesce("label", "set")).drop("node", "label")
-    dealt = _units(labelled)
+    dealt = _units(labelled, scratch, name)
     columns = ["token", "lo", "hi", "block", "set", "n", "rest", "group"]
     if bins is not None:
         dealt, columns = dealt.join(bins.withColumnRenamed("set", "_set"), F.col("set") == F.col("_set")), [*columns, "bins"]
@@ -384,7 +386,7 @@ def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, bins: DataFra
 ROWS = "token long, set long, n int, rest int"
 
 
-def _asked(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _asked(rows: DataFrame, groups: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The rows that have a partner of another group which fits in size and position."""
 
     def work(batches):
@@ -392,7 +394,7 @@ def _asked(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
             some = np.union1d(unit.a, unit.b)
             yield unit.table.select(["token", "set", "n", "rest"]).take(pa.array(some)).combine_chunks().to_batches()[0] if len(some) else _no_rows(ROWS)
 
-    return _worked(rows, groups, ROWS, work).distinct()
+    return _worked(rows, groups, ROWS, work, scratch, "asked").distinct()
 
 
 def _no_rows(schema: str) -> pa.RecordBatch:
@@ -401,7 +403,7 @@ def _no_rows(schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], kinds[t]) for _, t in fields], names=[n for n, _ in fields])
 
 
-def _opened(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+def _opened(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The rows that have a partner of another group which the bounds leave, with the likeliest one."""
     schema = f"{ROWS}, best long, score double"
 
@@ -419,10 +421,10 @@ def _opened(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int) -
             found = unit.table.select(["token", "set", "n", "rest"]).take(pa.array(rows)).combine_chunks().to_batches()[0]
             yield pa.RecordBatch.from_arrays([*found.columns, pa.array(unit.set[b[order][first]]), pa.array(score[order][first])], names=["token", "set", "n", "rest", "best", "score"])
 
-    return _worked(rows, groups, schema, work, bins)
+    return _worked(rows, groups, schema, work, scratch, name, bins)
 
 
-def _left_over(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+def _left_over(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs of sets of different groups that the bounds leave: a, b (a < b)."""
 
     def work(batches):
@@ -439,7 +441,7 @@ def _left_over(rows: DataFrame, groups: DataFrame, bins: DataFrame, percent: int
             a, b = zip(*sorted(found), strict=True) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return _worked(rows, groups, "a long, b long", work, bins).distinct()
+    return _worked(rows, groups, "a long, b long", work, scratch, "left", bins).distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -478,11 +480,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     scratch.drop("shared", "first", "pairs-near", "contents-near")
 
     # the matrix: units of a token's sets and groups
-    rows = scratch.write(_asked(listed, groups, percent), "asked")
+    rows = scratch.write(_asked(listed, groups, percent, scratch), "asked")
     scratch.drop("listed")
     coarse, fine = (bins.select("set", F.col(c).alias("bins")) for c in ("coarse", "fine"))
     for turn in range(ROUNDS):
-        opened = scratch.write(_opened(rows, groups, fine if turn else coarse, percent), f"opened-{turn}")
+        opened = scratch.write(_opened(rows, groups, fine if turn else coarse, percent, scratch, f"opened-{turn}"), f"opened-{turn}")
         rows = opened.select("token", "set", "n", "rest").distinct()
         if opened.isEmpty():
             break
@@ -494,7 +496,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         links = links.union(new)
         groups = components(links, f"groups-{turn}")
     if not rows.isEmpty():
-        new = _verified(docs, _left_over(rows, groups, fine, percent), representative, size, percent, scratch, "left")
+        new = _verified(docs, _left_over(rows, groups, fine, percent, scratch), representative, size, percent, scratch, "left")
         if not new.isEmpty():
             groups = components(links.union(new), "joined")
     scratch.drop("asked")
