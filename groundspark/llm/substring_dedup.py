@@ -77,7 +77,7 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
         return rows
 
-    return flat_rows(docs.select(id_col, text_col, "_row"), text_col, schema, make)
+    return flat_rows(docs.select(id_col, text_col, "row"), text_col, schema, make)
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -118,16 +118,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     same one. Rows with equal ids count in the order of a hash of their text, null ids first; of rows that are equal in
     both, all but one lose every window. Null texts, and texts of fewer words than a window, lose nothing.
     """
-    rows = docs.withColumn("_row", F.hash(text_col))
-    marks = repeats(anchors(rows, id_col, text_col, window, seed))
+    # the table's own columns travel in one, so that none can clash
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row_")
+    rows = docs.select(own, F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.hash(text_col).alias("row"))
+    marks = repeats(anchors(rows, "doc", "text", window, seed))
     key = lambda doc, row: F.xxhash64(doc, row)  # noqa: E731  one column, so that the twins' window needs no further shuffle
-    per_row = marks.groupBy(key("doc", "row").alias("_mark_key"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "bits")).alias("_marks"))
-    same = F.coalesce(F.col(id_col) == F.col("_doc"), F.col(id_col).isNull() & F.col("_doc").isNull())
-    joined = rows.withColumn("_key", key(id_col, "_row")).join(per_row, (F.col("_key") == F.col("_mark_key")) & same, "left").drop("_doc", "_mark_key")
-    twins = Window.partitionBy("_key", id_col, "_row").orderBy("_key")
-    joined = joined.withColumn("_twin", F.row_number().over(twins) > 1)
+    per_row = marks.groupBy(key("doc", "row").alias("mark_key"), F.col("doc").alias("mark_doc")).agg(F.collect_list(F.struct("first", "bits")).alias("marks"))
+    same = F.coalesce(F.col("doc") == F.col("mark_doc"), F.col("doc").isNull() & F.col("mark_doc").isNull())
+    joined = rows.withColumn("key", key("doc", "row")).join(per_row, (F.col("key") == F.col("mark_key")) & same, "left").drop("mark_doc", "mark_key")
+    twins = Window.partitionBy("key", "doc", F.xxhash64("text")).orderBy("key")
+    joined = joined.withColumn("twin", F.row_number().over(twins) > 1)
     names = fresh_names(docs, ["n_words", "n_removed", "kept", "spans"])
-    at, twin = joined.columns.index("_marks"), joined.columns.index("_twin")
+    at, twin = joined.columns.index("marks"), joined.columns.index("twin")
 
     def make():
         def judge(texts: list[str | None], part: pa.RecordBatch) -> list[pa.Array]:
@@ -145,8 +147,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
         return judge
 
-    fields = list(zip(names, ["long", "long", "string", "array<struct<start:long,length:long>>"], strict=True))
-    return annotate(joined, text_col, fields, make).select(*docs.columns, *names), names
+    fields = list(zip(["n_words", "n_removed", "kept", "spans"], ["long", "long", "string", "array<struct<start:long,length:long>>"], strict=True))
+    marked = annotate(joined, "text", fields, make)
+    back = [F.col("text").alias(c) if c == text_col else F.col("row_").getField(c).alias(c) for c in docs.columns]
+    return marked.select(*back, *(F.col(n).alias(new) for new, (n, _) in zip(names, fields, strict=True))), names
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -235,6 +235,17 @@ def test_substring_dedup_equals_brute_force(spark, docs):
     assert substring_dedup.report(docs.limit(0)).count() == 0
 
 
+def test_substring_dedup_keeps_columns_of_any_name(spark):
+    shared = prose(60, 30)
+    rows = [(k, f"{shared} {k} own", k, "x", "y") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row long, twin string, n_words string")
+    out, names = substring_dedup.dedup(docs)
+    assert out.columns == [*docs.columns, *names] and names[0] == "_n_words"
+    got = {r.doc_id: r for r in out.collect()}
+    assert all((got[k]["_row"], got[k].twin, got[k].n_words) == (k, "x", "y") for k in got)
+    assert got[0].n_removed == 0 and got[1].kept == "1 own" and got[1].spans[0].length == 30
+
+
 def test_encoder_equals_the_library():
     encoder = Encoder(default_vocabulary())
     odd = ["a<|endoftext|>b x . .. ...", "  two\t\ttab nbsp ls\x1cfs\x85nel", "İstanbul ΣΑΣ ﬁ é ́x", "it's don't 'S 123 4.5", "", None, "<|startoftext|><|", "ÀÉß ŒUVRE x×y ªº a_b^c`d~e{f}|g", "mail@x.com +1-555 $$$ ***!!!"]
