@@ -1,53 +1,87 @@
-"""The chunk table as a sink and source: Parquet snapshots, of which a marker names the current one."""
+"""The chunk table as a sink and source: Parquet in buckets of documents, of which a marker names the current files."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16
+#: Buckets of a new store: the parts that a commit rewrites or leaves alone, and the tasks that write them.
+BUCKETS = 256
 
 
 class ChunkStore:
-    """chunks (partitioned by doc_bucket) and hashes under a path on any file system that Spark reads.
+    """chunks and hashes under a path on any file system that Spark reads, both partitioned by doc_bucket.
 
-    A commit writes a whole new snapshot beside the current one and then one marker row; readers take the newest marker,
-    so a job that fails in between changes nothing.
+    A commit writes the buckets that it touches into a folder of its own and then one marker row, which names the folder
+    of every bucket; readers take the newest marker, so a job that fails in between changes nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.spark, self.path = spark, path.rstrip("/")
+        found = self._marker()
+        self.buckets = found["buckets"] if found else buckets
 
     def _exists(self) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/markers")
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def current(self) -> str | None:
-        """Name of the current snapshot."""
+    def _marker(self, batch: str | None = None) -> dict | None:
+        """The newest marker, or that of a batch: seq, snapshot, batch, buckets, folders (JSON: folder -> its buckets)."""
         if not self._exists():
             return None
-        row = self.spark.read.json(f"{self.path}/markers").orderBy(F.desc("seq")).first()
-        return row["snapshot"] if row else None
-
-    def commit(self, chunks: DataFrame, hashes: DataFrame, batch: str = "") -> str:
-        """Write both tables and make them current; a batch that is committed already is not written again."""
-        seq = 0
-        if self._exists():
-            markers = self.spark.read.json(f"{self.path}/markers")
-            if batch and markers.where(F.col("batch") == batch).limit(1).count():
-                return self.current()
-            seq = markers.agg(F.max("seq")).first()[0] + 1
+        rows = self.spark.read.schema("seq long, snapshot string, batch string, buckets int, folders string").json(f"{self.path}/markers")
+        row = rows.where(F.lit(True) if batch is None else F.col("batch") == batch).orderBy(F.desc("seq")).first()
+        return row.asDict() if row else None
+
+    def current(self) -> str | None:
+        """Name of the current snapshot."""
+        found = self._marker()
+        return found["snapshot"] if found else None
+
+    def bucket(self, doc_id: Column) -> Column:
+        return F.pmod(F.xxhash64(doc_id), F.lit(self.buckets)).cast("int")
+
+    def buckets_of(self, docs: DataFrame) -> list[int]:
+        """The buckets of some documents (doc_id)."""
+        return sorted(r[0] for r in docs.select(self.bucket(F.col("doc_id")).alias("b")).distinct().collect())
+
+    def commit(self, chunks: DataFrame, hashes: DataFrame, batch: str = "", buckets: list[int] | None = None) -> str:
+        """Write both tables and make them current; a batch that is committed already is not written again.
+
+        buckets: those that the tables hold all documents of; all others stay as they are. Without it the tables are
+        the whole store.
+        """
+        last = self._marker()
+        if batch and self._marker(batch):
+            return last["snapshot"]
+        seq = last["seq"] + 1 if last else 0
         name = f"snapshot-{seq}-{uuid.uuid4().hex[:8]}"
-        bucketed = chunks.withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int"))
-        bucketed.repartition("doc_bucket").write.partitionBy("doc_bucket").parquet(f"{self.path}/{name}/chunks")
-        hashes.write.parquet(f"{self.path}/{name}/hashes")
-        self.spark.createDataFrame([(seq, name, batch)], "seq long, snapshot string, batch string").coalesce(1).write.mode("append").json(f"{self.path}/markers")
+        chosen = list(range(self.buckets)) if buckets is None else buckets
+        for table, rows in (("chunks", chunks), ("hashes", hashes)):
+            rows = rows.withColumn("doc_bucket", self.bucket(F.col("doc_id"))).where(F.col("doc_bucket").isin(chosen) if buckets is not None else F.lit(True))
+            rows.repartition("doc_bucket").write.partitionBy("doc_bucket").parquet(f"{self.path}/{name}/{table}")
+            self.spark.createDataFrame([], rows.drop("doc_bucket").schema).write.parquet(f"{self.path}/{name}/schema/{table}")
+        folders = {f: [b for b in held if b not in set(chosen)] for f, held in (json.loads(last["folders"]) if last else {}).items()}
+        folders = {f: held for f, held in folders.items() if held} | {name: chosen}
+        row = [(seq, name, batch, self.buckets, json.dumps(folders))]
+        self.spark.createDataFrame(row, "seq long, snapshot string, batch string, buckets int, folders string").coalesce(1).write.mode("append").json(f"{self.path}/markers")
         return name
 
-    def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/chunks")
+    def _table(self, table: str, buckets: list[int] | None) -> DataFrame:
+        marker, out = self._marker(), None
+        for folder, held in json.loads(marker["folders"]).items():
+            wanted = held if buckets is None else [b for b in held if b in set(buckets)]
+            schema = self.spark.read.parquet(f"{self.path}/{folder}/schema/{table}").schema.add("doc_bucket", "integer")
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/{table}").where(F.col("doc_bucket").isin(wanted))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+    def chunks(self, buckets: list[int] | None = None) -> DataFrame:
+        """The current chunks; of some buckets only those files are read."""
+        return self._table("chunks", buckets)
 
-    def hashes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/hashes")
+    def hashes(self, buckets: list[int] | None = None) -> DataFrame:
+        return self._table("hashes", buckets).drop("doc_bucket")

@@ -21,19 +21,22 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def stream_ingest(docs: DataFrame, store: ChunkStore, checkpoint: str, width: int = 64):
-    """L1: a stream of documents, diffed, chunked, embedded and replaced batch by batch; a batch is committed once."""
+    """L1: a stream of documents, diffed, chunked, embedded and replaced batch by batch; a batch is committed once.
+
+    A batch reads and rewrites only the buckets of its own documents.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        empty = store.current() is None
-        done = corpus.ingest(batch, *_tables(store, batch, width, empty), width=width)
-        store.commit(done["chunks"], done["hashes"], batch=f"{checkpoint}:{batch_id}")
+        touched = store.buckets_of(batch)
+        done = corpus.ingest(batch, *_tables(store, batch, touched), width=width)
+        store.commit(done["chunks"], done["hashes"], batch=f"{checkpoint}:{batch_id}", buckets=touched)
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _tables(store: ChunkStore, batch: DataFrame, width: int, empty: bool) -> tuple[DataFrame, DataFrame]:
-    if not empty:
-        return store.chunks().drop("doc_bucket"), store.hashes()
+def _tables(store: ChunkStore, batch: DataFrame, buckets: list[int]) -> tuple[DataFrame, DataFrame]:
+    if store.current() is not None:
+        return store.chunks(buckets).drop("doc_bucket"), store.hashes(buckets)
     spark = batch.sparkSession
     chunks = "chunk_id string, doc_id string, title string, url string, space string, ordinal int, text string, embedding array<float>"
     return spark.createDataFrame([], chunks), spark.createDataFrame([], "doc_id string, content_hash string")

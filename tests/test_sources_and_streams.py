@@ -65,6 +65,27 @@ def test_store_and_stream_ingest(spark, tmp_path):
     assert store.commit(store.chunks().drop("doc_bucket"), store.hashes(), batch=f"{tmp_path / 'cp'}:1") == name
 
 
+def test_a_commit_rewrites_only_the_buckets_of_its_documents(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=8)
+    table = lambda texts: spark.createDataFrame([(f"{k}#0", f"d{k}", t) for k, t in texts.items()], "chunk_id string, doc_id string, text string")
+    first = {k: f"text {k}" for k in range(40)}
+    store.commit(table(first), table(first).select("doc_id", F.lit("h").alias("content_hash")))
+    touched = store.buckets_of(table({3: ""}))
+    old = store.chunks(touched).drop("doc_bucket")
+    assert len(touched) == 1 and 0 < old.count() < 40
+    new = old.where("doc_id <> 'd3'").unionByName(table({3: "changed"}))
+    name = store.commit(new, store.hashes(touched), buckets=touched)
+    assert {r.doc_id: r.text for r in store.chunks().collect()} == {f"d{k}": "changed" if k == 3 else t for k, t in first.items()}
+    assert store.hashes().count() == 40 and spark.read.parquet(f"{store.path}/{name}/chunks").count() == old.count()
+    assert ChunkStore(spark, store.path, buckets=99).buckets == 8
+
+
+def test_subtree_of_pages_that_are_each_others_parents(spark):
+    pages = spark.createDataFrame([("a", "A", "c"), ("b", "B", "a"), ("c", "C", "b"), ("d", "D", "d"), ("e", "E", "b")], "doc_id string, title string, parent string")
+    assert {(r.doc_id, r.depth) for r in files.subtree(pages, "A").collect()} == {("a", 0), ("b", 1), ("c", 2), ("e", 2)}
+    assert files.subtree(pages, "d").count() == 1 and files.subtree(pages, "none").count() == 0
+
+
 def drain(spark, stream, name, mode="append"):
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     assert query.awaitTermination(240)
@@ -88,7 +109,7 @@ def test_stateful_streams_equal_their_batch_twins(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     spark.conf.set("spark.sql.shuffle.partitions", "2")
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    kinds = F.element_at(F.array(*map(F.lit, ["approve", "down", "down", "down"])), (F.col("event_id") % 4 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ["approve", "down", "reject", "down", "submit", "down", "down", "revoke"])), (F.col("event_id") % 8 + 1).cast("int"))
     life = events.select((F.col("user_id") % 40).alias("id"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), kinds.alias("kind")).orderBy("at", "seq")
     life.coalesce(1).write.parquet(str(tmp_path / "life"))
     stream = spark.readStream.schema(life.schema).parquet(str(tmp_path / "life"))
