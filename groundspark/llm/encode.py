@@ -20,7 +20,15 @@ import numpy as np
 CACHE_PIECES = 400_000
 _LETTERS, _SIGNS = "a-zß-öø-ÿœ", "!-&(-/:-@\\[-`{-~"
 _PIECES = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+").findall
-_ODD = re.compile(f"[^ \\n\\t0-9A-ZÀ-ÖØ-ÞŒ{_LETTERS}{_SIGNS}]|<\\|").search
+_ODD_SIGN = re.compile(f"[^ \\n\\t0-9A-ZÀ-ÖØ-ÞŒ{_LETTERS}{_SIGNS}]|<\\|").search
+_PLAIN_ASCII = bytes(c for c in range(128) if not _ODD_SIGN(chr(c)))
+
+
+def _odd(text: str) -> bool:
+    """Whether a text has a character, or the begin of a special token, that its pieces can't be told from."""
+    if text.isascii():
+        return bool(text.encode().translate(None, _PLAIN_ASCII)) or "<|" in text
+    return bool(_ODD_SIGN(text))
 
 
 def default_vocabulary() -> str:
@@ -79,12 +87,12 @@ class Encoder:
             return self._whole([t or "" for t in texts])
         self.known.aged()
         ids = self.known.__getitem__
-        return [b"" if not t else self._odd(t) if _ODD(t) else b"".join(map(ids, _PIECES(t.lower()))) for t in texts]
+        return [b"" if not t else self._by_word(t) if _odd(t) else b"".join(map(ids, _PIECES(t.lower()))) for t in texts]
 
-    def _odd(self, text: str) -> bytes:
+    def _by_word(self, text: str) -> bytes:
         """Word by word: those with other characters by the whole tokenizer, all of a text's at once."""
         words = text.replace("\n", " ").split(" ")
-        odd = list({w for w in words if _ODD(w)})
+        odd = list({w for w in words if _odd(w)})
         own = dict(zip(odd, self._whole(odd), strict=True))
         ids = self.known.__getitem__
         return b"".join(own[w] if w in own else b"".join(map(ids, _PIECES(w.lower()))) for w in words)

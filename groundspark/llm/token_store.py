@@ -227,7 +227,7 @@ class TokenStore:
 
         @F.pandas_udf("long")
         def shifted(crc: pd.Series, following: pd.Series) -> pd.Series:
-            return pd.Series(crc_shift(crc.to_numpy(np.int64).astype(np.uint64), 4 * following.to_numpy(np.int64)).astype(np.int64))
+            return pd.Series(shifted_crc(crc.to_numpy(np.int64), 4 * following.to_numpy(np.int64)))
 
         def listed(batches):
             """A row for each chunk of each recipe, with the tokens that follow it in its document."""
@@ -280,6 +280,24 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Bytes up to which zeros are appended one by one; beyond, lengths are doubled.
+_ZEROS = memoryview(bytes(1 << 16))
+
+
+def shifted_crc(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """crc_shift for many rows, of which most are followed by little."""
+    out, zero = crc.astype(np.int64), {}
+    far = np.flatnonzero(following > len(_ZEROS))
+    for i in np.flatnonzero((following > 0) & (following <= len(_ZEROS))).tolist():
+        n = int(following[i])
+        if n not in zero:
+            zero[n] = zlib.crc32(_ZEROS[:n])
+        out[i] = zlib.crc32(_ZEROS[:n], int(crc[i])) ^ zero[n]
+    if len(far):
+        out[far] = crc_shift(crc[far].astype(np.uint64), following[far]).astype(np.int64)
+    return out
+
+
 def crc_shift(crc: np.ndarray, following: np.ndarray) -> np.ndarray:
     """What a part's crc32 contributes to that of the whole when so many bytes follow it."""
     power = np.full(len(crc), 1 << 31, np.uint64)

@@ -324,6 +324,16 @@ def test_token_store_refuses_ids_that_do_not_fit(spark, docs, tmp_path):
         token_store.TokenStore(spark, str(tmp_path / "w"), width=1).write(docs, 2)
 
 
+def test_crc_of_parts_is_that_of_the_whole():
+    r = np.random.default_rng(1)
+    parts = [r.bytes(int(n)) for n in (0, 1, 4, 400, 65_532, 4, 70_000, 8)]
+    sizes = np.array([len(x) for x in parts])
+    following = sizes.sum() - np.cumsum(sizes)
+    got = token_store.shifted_crc(np.array([zlib.crc32(x) for x in parts]), following)
+    assert int(np.bitwise_xor.reduce(got)) == zlib.crc32(b"".join(parts))
+    assert (got == token_store.crc_shift(np.array([zlib.crc32(x) for x in parts], np.uint64), following).astype(np.int64)).all()
+
+
 def test_cuts_depend_on_their_own_document_only():
     r = np.random.default_rng(0)
     ids = r.integers(0, 49000, 30000).astype("<u4")
