@@ -48,8 +48,8 @@ def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """benchmark items as questions: their first eight words."""
-    found = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), 1, 8)
+    """benchmark items as questions: all their words but for `or`."""
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
     return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.filter(found, lambda w: w != "or"), " ").alias("question"))
 
 
@@ -66,9 +66,9 @@ def hits(spark: SparkSession, d: str, top_k: int = 8) -> DataFrame:
 
 
 def drafts(spark: SparkSession, d: str) -> DataFrame:
-    """An answer drafted from every document: its first 40 words, with what the guards look for, by the id."""
-    t = table(spark, d, "documents").where("text IS NOT NULL")
-    first = F.array_join(F.slice(words(F.col("text")), 1, 40), " ")
+    """An answer drafted from every document: all its words, with what the guards look for, by the id."""
+    t = spread(table(spark, d, "documents").where("text IS NOT NULL"))
+    first = F.array_join(words(F.col("text")), " ")
     kind = F.col("doc_id") % 8
     answer = (
         F.when(kind == 0, F.concat(first, F.lit(" [1].")))
@@ -80,15 +80,15 @@ def drafts(spark: SparkSession, d: str) -> DataFrame:
         .when(kind == 6, F.concat(F.lit("Based on the context, "), first, F.lit(" .. and  more [7][2].\nI don't know")))
         .otherwise(F.concat(first, F.lit(". It has nothing to do with any of these several entirely unrelated imaginary words.")))
     )
-    return t.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("what is "), F.substring(first, 1, 30)).alias("question"), answer.alias("answer"))
+    return t.select(F.col("doc_id").alias("question_id"), F.concat(F.lit("what is in "), "source", F.lit(" "), F.col("doc_id").cast("string")).alias("question"), answer.alias("answer"))
 
 
 def draft_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Two hits for each draft: its own document, and the next one."""
-    t = table(spark, d, "documents").where("text IS NOT NULL")
+    """Two hits for each draft: its own document, and the next one, both whole."""
+    t = spread(table(spark, d, "documents").where("text IS NOT NULL"))
     title = F.array_join(F.slice(words(F.col("text")), 1, 4), " ")
     url = F.concat(F.lit("https://kb.example.org/"), "source")
-    one = lambda shift, rank: t.select((F.col("doc_id") - shift).alias("question_id"), F.lit(rank).alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), title.alias("title"), url.alias("url"), F.col("source").alias("space"), F.array_join(F.slice(words(F.col("text")), 1, 300), " ").alias("text"), (1.0 / (60 + F.col("doc_id") % 5 + rank)).alias("score"), (F.col("doc_id") % 10 / 10.0).alias("vector_score"), F.lit(None).cast("double").alias("rerank_score"))
+    one = lambda shift, rank: t.select((F.col("doc_id") - shift).alias("question_id"), F.lit(rank).alias("rank"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), title.alias("title"), url.alias("url"), F.col("source").alias("space"), F.array_join(words(F.col("text")), " ").alias("text"), (1.0 / (60 + F.col("doc_id") % 5 + rank)).alias("score"), (F.col("doc_id") % 10 / 10.0).alias("vector_score"), F.lit(None).cast("double").alias("rerank_score"))
     return one(0, 1).unionByName(one(1, 2))
 
 
@@ -140,7 +140,7 @@ CTE: dict[str, str] = {
     "vec": """SELECT * EXCLUDE (c), list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))))::FLOAT) AS embedding FROM (
         SELECT * EXCLUDE (b), list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM (
         SELECT *, list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(sha256(w), 1, 2))::INT % 64) AS b FROM chunks))""",
-    "questions": """SELECT item_id AS question_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+')[1:8], lambda w: w <> 'or'), ' ') AS question FROM benchmark""",
+    "questions": """SELECT item_id AS question_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w <> 'or'), ' ') AS question FROM benchmark""",
     "qvec": """SELECT * EXCLUDE (c), list_transform(c, lambda x: (x / CASE WHEN list_sum(list_transform(c, lambda y: y * y)) = 0 THEN 1 ELSE sqrt(list_sum(list_transform(c, lambda y: y * y))) END)::FLOAT) AS q FROM (
         SELECT * EXCLUDE (b), list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM (
         SELECT *, list_transform(list_filter(string_split_regex(lower(question), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(sha256(w), 1, 2))::INT % 64) AS b FROM questions))""",
@@ -166,15 +166,15 @@ CTE: dict[str, str] = {
         CASE WHEN h.n IS NULL THEN 0 ELSE greatest(0, least(1, h.best)) * (0.5 + 0.5 * CASE WHEN len(q.toks) = 0 THEN greatest(0, least(1, h.best)) ELSE len(list_intersect(q.toks, h.seen)) / len(q.toks) END) END AS confidence
         FROM (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda w: len(w) >= 2 AND NOT list_contains(string_split('{stops}', ' '), w))) AS toks FROM questions) q
         LEFT JOIN (SELECT question_id, count(*) AS n, max(vector_score) AS best, list_distinct(flatten(list(regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+')))) AS seen FROM hits GROUP BY 1) h USING (question_id)""",
-    "drafts": """SELECT doc_id AS question_id, 'what is ' || substr(first, 1, 30) AS question, CASE doc_id % 8
+    "drafts": """SELECT doc_id AS question_id, 'what is in ' || source || ' ' || doc_id AS question, CASE doc_id % 8
         WHEN 0 THEN first || ' [1].' WHEN 1 THEN first || ' [2] in total 1,234,567 units.' WHEN 2 THEN 'I don''t know'
         WHEN 3 THEN first || ' uses org.example.Driver [1] and server.properties.' WHEN 4 THEN 'Unfortunately, the sources could not find it.'
         WHEN 5 THEN first || ' [1]' || chr(10) || 'Sources:' || chr(10) || '[1]' || chr(10) || '[2]'
         WHEN 6 THEN 'Based on the context, ' || first || ' .. and  more [7][2].' || chr(10) || 'I don''t know'
         ELSE first || '. It has nothing to do with any of these several entirely unrelated imaginary words.' END AS answer
-        FROM (SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[1:40], ' ') AS first FROM documents WHERE text IS NOT NULL)""",
+        FROM (SELECT doc_id, source, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' ') AS first FROM documents WHERE text IS NOT NULL)""",
     "dhits": """SELECT doc_id - s AS question_id, s + 1 AS rank, 'd' || doc_id AS doc_id, array_to_string(toks[1:4], ' ') AS title, 'https://kb.example.org/' || source AS url, source AS space,
-        array_to_string(toks[1:300], ' ') AS text, 1.0::DOUBLE / (60 + doc_id % 5 + s + 1) AS score, (doc_id % 10 / 10.0)::DOUBLE AS vector_score
+        array_to_string(toks, ' ') AS text, 1.0::DOUBLE / (60 + doc_id % 5 + s + 1) AS score, (doc_id % 10 / 10.0)::DOUBLE AS vector_score
         FROM (SELECT *, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS toks FROM documents WHERE text IS NOT NULL), (SELECT unnest([0, 1]) AS s)""",
     "asks": """SELECT event_id AS id, ts AS asked_at, 'Topic  ' || user_id || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END AS question, event_type = 'error' AS escalated, value / 200 AS confidence, floor(value)::BIGINT AS duration_ms, event_id % 7 = 0 AS cache_hit FROM events""",
     "votes": """SELECT 'topic ' || user_id AS question, CASE WHEN event_id % 3 = 0 THEN 'down' ELSE 'up' END AS verdict, 'u' || user_id AS reporter, ts AS created_at, event_id FROM events""",

@@ -291,11 +291,10 @@ def e3(spark, d):
 _LEADS = ["please tell me about ", "Show me ", "what is ", "kindly "]
 
 
-@query("e4_normalize_questions", sql("questions", "SELECT question_id, CASE WHEN question_id % 4 = 2 THEN 'what is ' || q ELSE q END AS question FROM (SELECT question_id, array_to_string(list_transform(range(1, 9), lambda i: 'w' || question_id || 'x' || i), ' ') AS q FROM questions)"))
+@query("e4_normalize_questions", sql("questions", "SELECT question_id, CASE WHEN question_id % 4 = 2 THEN 'what is ' || question ELSE question END AS question FROM questions"))
 def e4(spark, d):
     lead = F.element_at(F.array(*map(F.lit, _LEADS)), (F.col("question_id") % 4 + 1).cast("int"))
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.concat(F.lit("w"), F.col("question_id").cast("string"), F.lit("x"), i.cast("string"))), " ")
-    return search.with_normalized(b.questions(spark, d).select("question_id", F.concat(lead, body, F.lit(" thanks!")).alias("question")))
+    return search.with_normalized(b.questions(spark, d).select("question_id", F.concat(lead, "question", F.lit(" thanks!")).alias("question")))
 
 
 @query("e5_parse_variants", sql("questions", "SELECT question_id, question || ' again' AS first, CASE WHEN question_id % 2 = 0 THEN 'other ' || question END AS second FROM questions"))
@@ -377,12 +376,27 @@ def _facts(spark, d):
     return b.drafts(spark, d), b.draft_hits(spark, d)
 
 
-@query("g1_is_refusal", sql("drafts", "SELECT question_id, question_id % 8 IN (2, 4, 6) AND (question_id % 8 <> 6) AS refusal FROM drafts"))
+def _list(phrases: list[str]) -> str:
+    return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in phrases) + "]"
+
+
+def _refuses(answer: str) -> str:
+    """Whether an answer refuses, as SQL over an expression: phrase by phrase on its lower-case text."""
+    low = f"lower(regexp_replace({answer}, '^\\s+|\\s+$', '', 'g'))"
+    opener = f"regexp_replace({low}, '^[*_`\"'' ]+', '')"
+    hedge = "|".join(guards.HEDGES).replace("'", "''")
+    bare = f"CASE WHEN regexp_matches({opener}, '^(?:{hedge})') THEN ltrim(regexp_replace({opener}, '^(?:{hedge})', '')) ELSE {opener} END"
+    some = lambda phrases, test: f"list_bool_or(list_transform({_list(phrases)}, lambda p: {test}))"
+    strong, weak, anchors = (some(x, f"contains({low}, p)") for x in (guards.REFUSAL_STRONG, guards.REFUSAL_WEAK, guards.REFUSAL_ANCHORS))
+    return f"({low} = '' OR {some(guards.REFUSAL_OPENERS, f'starts_with({bare}, p)')} OR (NOT contains({low}, '[') AND ({strong} OR ({weak} AND {anchors}))))"
+
+
+@query("g1_is_refusal", sql("drafts", f"SELECT question_id, {_refuses('answer')} AS refusal FROM drafts"))
 def g1(spark, d):
     return b.drafts(spark, d).select("question_id", guards.is_refusal(F.col("answer")).alias("refusal"))
 
 
-@query("g2_strip_trailing_refusal", sql("drafts", "SELECT question_id, CASE WHEN question_id % 8 = 6 THEN regexp_replace(answer, chr(10) || 'I don''t know$', '') ELSE answer END AS answer FROM drafts"))
+@query("g2_strip_trailing_refusal", sql("drafts", f"SELECT question_id, CASE WHEN cut = '' THEN answer ELSE cut END AS answer FROM (SELECT question_id, answer, regexp_replace(array_to_string(list_filter(l, lambda x, i: i <= m), chr(10)), '\\s+$', '') AS cut FROM (SELECT d.question_id, answer, list(line ORDER BY pos) AS l, coalesce(max(pos) FILTER (WHERE NOT refuses), 0) AS m FROM drafts d JOIN (SELECT question_id, line, pos, {_refuses('line')} AS refuses FROM (SELECT question_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT question_id, string_split(regexp_replace(answer, '\\s+$', ''), chr(10)) AS l FROM drafts))) USING (question_id) GROUP BY 1, 2))"))
 def g2(spark, d):
     return b.drafts(spark, d).select("question_id", guards.strip_trailing_refusal(F.col("answer")).alias("answer"))
 
@@ -421,10 +435,14 @@ def g6(spark, d):
     return guards.unsupported_sentences(*_facts(spark, d)).withColumn("best", F.round("best", 5))
 
 
-@query("g7_parse_verdicts", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' ELSE 'open' END AS verdict FROM conversations")
+_SAID = ["**FAIL** pass", "I think: Pass.", "fail", "failing 42"]
+
+
+@query("g7_parse_verdicts", f"SELECT conv_id, turn, CASE WHEN list_contains(w, 'FAIL') THEN 'fail' WHEN list_contains(w, 'PASS') THEN 'pass' ELSE 'open' END AS verdict FROM (SELECT conv_id, turn, regexp_extract_all(upper(coalesce(text, '') || ' ' || {_list(_SAID)}[turn % 4 + 1]), '[A-Z]+') AS w FROM conversations)")
 def g7(spark, d):
-    said = F.element_at(F.array(*map(F.lit, ["**FAIL** pass", "I think: Pass.", "fail", "failing 42"])), (F.col("turn") % 4 + 1).cast("int"))
-    return table(spark, d, "conversations").select("conv_id", "turn", guards.parse_verdict(said).alias("verdict"))
+    """The turns of conversations as a model's verdicts, each with a word of its own at the end."""
+    said = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", guards.parse_verdict(F.concat_ws(" ", F.coalesce("text", F.lit("")), said)).alias("verdict"))
 
 
 _OPENERS = "based on the provided context sources,|based on the provided context source,|based on the provided context,|based on the context provided,|based on the provided context|based on the context,|according to the provided context,|according to the context,|based on the information provided,|from the provided context,|based on the sources provided,|based on the given context,"
@@ -437,7 +455,15 @@ def g8(spark, d):
     return b.drafts(spark, d).select("question_id", guards.tidy_answer(F.col("answer")).alias("answer"))
 
 
-@query("g9_strip_sources_block", sql("drafts", "SELECT question_id, CASE WHEN question_id % 8 = 5 THEN regexp_replace(answer, '\\nSources:\\n.*', '', 's') ELSE answer END AS answer FROM drafts"))
+_BLOCK_CUT = r"""l AS (SELECT question_id, answer, string_split(answer, chr(10)) AS raw, list_transform(string_split(answer, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS bare FROM drafts),
+e AS (SELECT *, coalesce(list_max(list_transform(range(1, len(bare) + 1), lambda i: CASE WHEN bare[i] <> '' THEN i ELSE 0 END)), 0) AS stop FROM l),
+s AS (SELECT *, coalesce(list_max(list_transform(range(1, stop + 1), lambda i: CASE WHEN NOT regexp_matches(bare[i], '^[-*]?\s*\[\d+\]') THEN i ELSE 0 END)), 0) AS start FROM e),
+h AS (SELECT *, coalesce(list_max(list_transform(range(1, start + 1), lambda i: CASE WHEN bare[i] <> '' THEN i ELSE 0 END)), 0) AS head FROM s),
+c AS (SELECT *, head > 0 AND regexp_matches(bare[head], '(?i)^[#>*_\s-]*(?:sources?|references?|citations?)[\s:*_#-]*$') AS named, len(list_filter(bare[start + 1 : stop], lambda x: NOT regexp_matches(x, '^\[\d+\]$'))) = 0 AS marks FROM h)
+SELECT question_id, CASE WHEN start = stop OR NOT (named OR marks) THEN answer ELSE regexp_replace(array_to_string(raw[1 : CASE WHEN named THEN head - 1 ELSE start END], chr(10)), '\s+$', '') END AS answer FROM c"""
+
+
+@query("g9_strip_sources_block", sql("drafts", "").rstrip() + ", " + _BLOCK_CUT)
 def g9(spark, d):
     return b.drafts(spark, d).select("question_id", guards.strip_sources_block(F.col("answer")).alias("answer"))
 
