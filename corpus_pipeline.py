@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundspark.llm import decontaminate, jaccard_join, line_dedup, packing, quality
 from groundspark.llm.common import written
@@ -14,8 +15,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source."""
-    return line_dedup.clean_documents(docs)
+    """Documents without the boilerplate lines of their source; n_chars follows the text."""
+    return line_dedup.clean_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
