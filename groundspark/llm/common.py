@@ -1,23 +1,22 @@
-"""What the operators share: columns computed from whole texts, tables in the shared folder, running sums."""
+"""What the operators share: columns computed from whole texts, tables in the shared folder, samples."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundspark.sources.scratch import deleted, shared_folder, written  # noqa: F401 - also for the other modules
+
 #: Bytes of text that a Python task holds as words at a time; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch: with texts of some kB, a few MB.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
-#: Folders of local sessions without spark.checkpoint.dir, by application.
-_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -89,28 +88,6 @@ def flat_rows(df: DataFrame, text_col: str, schema: str, make: Callable[[], Call
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, which a cluster must set.
-
-    A session with a local master, as in tests, has one machine only and gets a temporary folder where it is unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if context.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="groundspark-")
-    return _LOCAL_FOLDERS[context.applicationId]
-
-
-def deleted(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 class Scratch:
     """Tables in the shared folder that an operator writes on its way, deleted as soon as later tables stand."""
 
@@ -126,13 +103,6 @@ class Scratch:
             deleted(self.spark, f"{self.folder}/{name}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table as Parquet in the shared folder, read again: its lineage ends there, and lost executors don't matter."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sampled(column: Column, rate: float) -> Column:
     """A share of the rows, chosen by a hash of the column: the same rows at every run, and of any table size."""
     return F.pmod(F.xxhash64(column), F.lit(1 << 52)) < F.lit(rate * (1 << 52))
@@ -140,28 +110,3 @@ def sampled(column: Column, rate: float) -> Column:
 
 def crc32_of_id(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
-
-
-def running_total(df: DataFrame, value: str, order: list[str], out: str, name: str) -> DataFrame:
-    """out = sum of value over all rows before, in the given order, in parallel.
-
-    The rows are dealt by ranges of the order and written; totals of the files (as many as partitions) give each
-    file its start, and a window within a file does the rest.
-    """
-    stored = written(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
-    return running_total_of_files(stored, value, order, out)
-
-
-def running_total_of_files(stored: DataFrame, value: str, order: list[str], out: str) -> DataFrame:
-    """As running_total, over a table whose files are ranges of the order."""
-    stored = stored.withColumn("_file", F.input_file_name())
-    first = [F.min(F.struct(*order)).alias("_first")]
-    files = stored.groupBy("_file").agg(F.sum(value).alias("_sum"), *first)
-    before = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_file", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_file").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        stored.join(F.broadcast(files), "_file")
-        .withColumn(out, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .drop("_file", "_start")
-    )
