@@ -404,7 +404,10 @@ def g2(spark, d):
 _IDS = r"list_distinct(regexp_extract_all({t}, '\b[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z][A-Za-z0-9_]*){2,}\b'))"
 
 
-@query("g3_fabricated_specifics", sql("drafts dhits", f"SELECT s.question_id, s.token FROM (SELECT question_id, unnest({_IDS.replace('{t}', 'answer')}) AS token FROM drafts) s WHERE s.question_id IN (SELECT question_id FROM dhits) AND lower(s.token) NOT IN ('e.g', 'i.e', 'etc', 'a.k.a', 'p.m', 'a.m', 'u.s', 'u.s.a') AND NOT EXISTS (SELECT 1 FROM (SELECT question_id, unnest({_IDS.replace('{t}', chr(39) + ' ' + chr(39) + ' || lower(title || chr(32) || text)')}) AS t FROM dhits) k WHERE k.question_id = s.question_id AND regexp_replace(k.t, '[^a-z0-9]', '', 'g') = regexp_replace(lower(s.token), '[^a-z0-9]', '', 'g'))"))
+_SPECIFICS = f"SELECT s.question_id, s.token FROM (SELECT question_id, unnest({_IDS.replace('{t}', 'answer')}) AS token FROM drafts) s WHERE s.question_id IN (SELECT question_id FROM dhits) AND lower(s.token) NOT IN ('e.g', 'i.e', 'etc', 'a.k.a', 'p.m', 'a.m', 'u.s', 'u.s.a') AND NOT EXISTS (SELECT 1 FROM (SELECT question_id, unnest({_IDS.replace('{t}', chr(39) + ' ' + chr(39) + ' || lower(title || chr(32) || text)')}) AS t FROM dhits) k WHERE k.question_id = s.question_id AND regexp_replace(k.t, '[^a-z0-9]', '', 'g') = regexp_replace(lower(s.token), '[^a-z0-9]', '', 'g'))"
+
+
+@query("g3_fabricated_specifics", sql("drafts dhits", _SPECIFICS))
 def g3(spark, d):
     return guards.fabricated_specifics(*_facts(spark, d))
 
@@ -416,7 +419,10 @@ _SOURCE_NUMBERS = "unnest(list_concat(" + _NUMBERS.replace("{t}", "src") + ", "
 _STATED = _NUMBERS.replace("{t}", _RUNLESS.replace("{t}", r"regexp_replace(answer, '\[[0-9]+\]', ' ', 'g')"))
 
 
-@query("g4_fabricated_numbers", sql("drafts dhits", f"SELECT question_id, arg_min(token, pos) AS token FROM (SELECT question_id, token, pos, {_VALUE.replace('{t}', 'token')} AS v FROM (SELECT question_id, unnest(n) AS token, generate_subscripts(n, 1) AS pos FROM (SELECT question_id, {_STATED} AS n FROM drafts WHERE question_id IN (SELECT question_id FROM dhits))) WHERE regexp_matches(token, '[,.eE]') OR length(regexp_extract(replace(token, ',', ''), '^[0-9]+')) >= 5) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT question_id, {_VALUE.replace('{t}', 'n')} AS v FROM (SELECT question_id, {_SOURCE_NUMBERS} AS n FROM (SELECT question_id, title || ' ' || text AS src FROM dhits))) k WHERE k.question_id = s.question_id AND k.v = s.v) GROUP BY question_id"))
+_MADE_UP = f"SELECT question_id, arg_min(token, pos) AS token FROM (SELECT question_id, token, pos, {_VALUE.replace('{t}', 'token')} AS v FROM (SELECT question_id, unnest(n) AS token, generate_subscripts(n, 1) AS pos FROM (SELECT question_id, {_STATED} AS n FROM drafts WHERE question_id IN (SELECT question_id FROM dhits))) WHERE regexp_matches(token, '[,.eE]') OR length(regexp_extract(replace(token, ',', ''), '^[0-9]+')) >= 5) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT question_id, {_VALUE.replace('{t}', 'n')} AS v FROM (SELECT question_id, {_SOURCE_NUMBERS} AS n FROM (SELECT question_id, title || ' ' || text AS src FROM dhits))) k WHERE k.question_id = s.question_id AND k.v = s.v) GROUP BY question_id"
+
+
+@query("g4_fabricated_numbers", sql("drafts dhits", _MADE_UP))
 def g4(spark, d):
     return guards.fabricated_numbers(*_facts(spark, d))
 
@@ -424,13 +430,29 @@ def g4(spark, d):
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: len(w) >= 2 AND NOT list_contains(string_split('{stops}', ' '), w)))"
 
 
-@query("g5_grounding_overlap", sql("drafts dhits", f"SELECT question_id, round(o, 6) AS overlap, o < 0.48 AND len(said) >= 12 AND coalesce(len(seen), 0) >= 200 AS weak FROM (SELECT a.question_id, said, seen, CASE WHEN len(said) = 0 THEN 1 ELSE len(list_intersect(said, coalesce(seen, []))) / len(said) END AS o FROM (SELECT question_id, {_TOK.replace('{t}', 'answer')} AS said FROM drafts) a LEFT JOIN (SELECT question_id, list_distinct(flatten(list({_TOK.replace('{t}', 'title || chr(32) || text')}))) AS seen FROM dhits GROUP BY 1) h USING (question_id))"))
+_OVERLAP = f"SELECT question_id, round(o, 6) AS overlap, o < 0.48 AND len(said) >= 12 AND coalesce(len(seen), 0) >= 200 AS weak FROM (SELECT a.question_id, said, seen, CASE WHEN len(said) = 0 THEN 1 ELSE len(list_intersect(said, coalesce(seen, []))) / len(said) END AS o FROM (SELECT question_id, {_TOK.replace('{t}', 'answer')} AS said FROM drafts) a LEFT JOIN (SELECT question_id, list_distinct(flatten(list({_TOK.replace('{t}', 'title || chr(32) || text')}))) AS seen FROM dhits GROUP BY 1) h USING (question_id))"
+
+
+@query("g5_grounding_overlap", sql("drafts dhits", _OVERLAP))
 def g5(spark, d):
     out = guards.grounding_overlap(*_facts(spark, d))
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
-@query("g6_unsupported_sentences")
+_EMBEDDED = r"list_transform(list_transform([{t}], lambda z: list_transform(list_filter(string_split_regex(lower(z), '\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(sha256(w), 1, 2))::INT % 64)), lambda b: list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE))[1]"
+_UNIT = "list_transform({c}, lambda x: (x / CASE WHEN list_sum(list_transform({c}, lambda y: y * y)) = 0 THEN 1 ELSE sqrt(list_sum(list_transform({c}, lambda y: y * y))) END)::FLOAT::DOUBLE)"
+_SENTENCES = (
+    r"SELECT question_id, n, regexp_replace(s, '^\s+|\s+$', '', 'g') AS sentence FROM (SELECT question_id, unnest(p) AS s, generate_subscripts(p, 1) - 1 AS n FROM (SELECT question_id, string_split(regexp_replace(regexp_replace(answer, '(?s)```.*?(?:```|$)|`[^`\n]+`', ' ', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM drafts)) WHERE len("
+    + _TOK.replace("{t}", "s") + ") >= 6"
+)
+_COSINE = "list_dot_product(a, e) / ((CASE WHEN list_dot_product(a, a) = 0 THEN 1 ELSE sqrt(list_dot_product(a, a)) END) * (CASE WHEN list_dot_product(e, e) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END))"
+_UNSUPPORTED = (
+    f"SELECT question_id, n, sentence, best FROM (SELECT question_id, n, sentence, max({_COSINE}) AS best FROM (SELECT question_id, n, sentence, {_UNIT.replace('{c}', 'c')} AS a FROM (SELECT *, {_EMBEDDED.replace('{t}', 'sentence')} AS c FROM ({_SENTENCES}))) "
+    f"JOIN (SELECT question_id, {_UNIT.replace('{c}', 'c')} AS e FROM (SELECT question_id, {_EMBEDDED.replace('{t}', 'src')} AS c FROM (SELECT question_id, title || '. ' || text AS src FROM dhits))) USING (question_id) GROUP BY 1, 2, 3)"
+)
+
+
+@query("g6_unsupported_sentences", sql("drafts dhits", f"SELECT question_id, n::INT AS n, sentence, round(best, 5) AS best FROM ({_UNSUPPORTED}) WHERE best < 0.55"))
 def g6(spark, d):
     return guards.unsupported_sentences(*_facts(spark, d)).withColumn("best", F.round("best", 5))
 
@@ -479,7 +501,17 @@ def g11(spark, d):
     return guards.dedup_citations(b.draft_hits(spark, d)).select("question_id", F.array_join(F.transform("citations", lambda c: c["url"]), " ").alias("urls"))
 
 
-@query("g12_decide")
+_STRIPPED = SQL["g2_strip_trailing_refusal"].partition("FROM documents WHERE text IS NOT NULL)) ")[2].replace("drafts", "whole")
+_DECIDED = (
+    f"WITH whole AS MATERIALIZED ({b.CTE['drafts']}), dhits AS MATERIALIZED ({b.CTE['dhits']}), drafts AS MATERIALIZED (SELECT * FROM ({_STRIPPED}) WHERE question_id % 11 <> 0), "
+    f"s AS ({_SPECIFICS}), n AS ({_MADE_UP}), o AS ({_OVERLAP}), u AS ({_UNSUPPORTED}), "
+    f"d AS (SELECT w.question_id, CASE WHEN w.question_id % 11 = 0 THEN 'gate' WHEN {_refuses('c.answer')} THEN 'refusal' WHEN w.question_id IN (SELECT question_id FROM s) THEN 'specifics' WHEN w.question_id IN (SELECT question_id FROM n) THEN 'numbers' "
+    "WHEN w.question_id IN (SELECT question_id FROM o WHERE weak) THEN 'overlap' WHEN w.question_id IN (SELECT question_id FROM u WHERE best < 0.2) THEN 'sentences' WHEN w.question_id % 13 = 0 THEN 'verdict' END AS reason FROM whole w LEFT JOIN drafts c USING (question_id)) "
+    "SELECT question_id, reason IS NULL AS answered, reason FROM d"
+).replace("{stops}", " ".join(tx.STOP_WORDS))
+
+
+@query("g12_decide", _DECIDED)
 def g12(spark, d):
     answers, hits = _facts(spark, d)
     gated = answers.select("question_id", (F.col("question_id") % 11 == 0).alias("escalate"))
