@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
     """documents as plain-text documents; the title is the first eight words."""
-    t = spread(table(spark, d, "documents"))
+    return as_docs(spread(table(spark, d, "documents")))
+
+
+def as_docs(t: DataFrame) -> DataFrame:
     title = F.array_join(F.slice(words(F.col("text")), 1, 8), " ")
     return t.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), title.alias("title"),

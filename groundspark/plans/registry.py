@@ -50,6 +50,59 @@ query("flagship", sql("conf hits", """SELECT c.question_id, c.question, h.rank,
 # --- a: sources and sinks
 
 
+def _landed_files(spark: SparkSession, d: str) -> str:
+    """The texts of documents as text files, one for each source; returns their folder."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, d, "documents").where("text IS NOT NULL").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
+    return folder
+
+
+def _landed_json(rows: DataFrame, name: str) -> str:
+    """Rows as JSON documents of one list each, of up to 500 rows, one to a file; returns their folder. rows: id, item."""
+    folder = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    pages = rows.groupBy(F.floor(F.col("id") / 500).alias("page")).agg(F.collect_list("item").alias(name))
+    pages.repartition("page").write.partitionBy("page").json(folder)
+    return folder
+
+
+@query("a1_scan_files", "SELECT source, 1::BIGINT AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY source")
+def a1(spark, d):
+    scanned = files.scan_files(spark, _landed_files(spark, d), 1 << 30).where("status = 'ok'")
+    return scanned.groupBy(F.regexp_extract("doc_id", "^source=([^/]*)/", 1).alias("source")).agg(F.count("*").alias("files"), F.sum(F.length("body")).cast("long").alias("chars"))
+
+
+@query("a2_decode_bodies", "SELECT doc_id, CASE WHEN doc_id % 4 = 3 AND length(text) > 0 THEN regexp_replace(text, '[^\\x00-\\x7F]', 'é', 'g') ELSE text END AS body FROM documents")
+def a2(spark, d):
+    """Texts as bytes in UTF-8 with and without a mark, in UTF-16 and in a one-byte code."""
+    text, kind = F.col("text"), F.col("doc_id") % 4
+    utf8 = F.encode(text, "UTF-8")
+    one_byte = F.encode(F.regexp_replace(text, "[^\\x00-\\x7F]", "é"), "ISO-8859-1")
+    content = F.when(kind == 0, utf8).when((kind == 1) & (text != ""), F.concat(F.unhex(F.lit("EFBBBF")), utf8)).when((kind == 2) & (text != ""), F.encode(text, "UTF-16")).when(kind == 3, one_byte).otherwise(utf8)
+    return table(spark, d, "documents").select("doc_id", files.decode_bytes(content).alias("body"))
+
+
+@query("a4_skip_report", "SELECT 'too large' AS reason, count(*) AS files FROM (SELECT source FROM documents WHERE text IS NOT NULL GROUP BY source HAVING sum(strlen(text) + 1) > 100000) HAVING count(*) > 0")
+def a4(spark, d):
+    return files.skip_report(files.scan_files(spark, _landed_files(spark, d), 100_000))
+
+
+@query("a5_scan_wiki_export", sql("docs", "SELECT 'kb.example.org:' || id AS doc_id, CASE WHEN title = '' THEN id::VARCHAR ELSE title END AS title, 'https://kb.example.org/p/' || id AS url, space, CASE WHEN id % 3 > 0 THEN 'kb.example.org:' || (id // 3) END AS parent, length(nullif(body, '')) AS chars FROM docs"))
+def a5(spark, d):
+    one = F.when(F.col("id") % 3 > 0, F.array(F.struct(F.floor(F.col("id") / 3).cast("string").alias("id")))).otherwise(F.array().cast("array<struct<id:string>>"))
+    page = F.struct(F.col("id").cast("string").alias("id"), "title", F.struct(F.struct(F.col("body").alias("value")).alias("storage")).alias("body"), F.struct(F.col("space").alias("key")).alias("space"), one.alias("ancestors"), F.struct(F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("webui")).alias("_links"))
+    pages = files.scan_wiki_export(spark, _landed_json(b.docs(spark, d).select("id", page.alias("item")), "results"), "https://kb.example.org")
+    return pages.select("doc_id", "title", "url", "space", "parent", F.length("body").cast("long").alias("chars"))
+
+
+@query("a10_scan_golden", "SELECT doc_id::VARCHAR AS id, CASE WHEN quality = 1 THEN 'in_scope' ELSE 'out_of_scope' END AS category, len(CASE WHEN quality = 1 THEN ['fact', doc_id::VARCHAR] ELSE [] END)::INT AS facts, coalesce(quality = 0, false) AS expect_escalate FROM labels")
+def a10(spark, d):
+    t = table(spark, d, "labels")
+    facts = F.when(F.col("quality") == 1, F.array(F.lit("fact"), F.col("doc_id").cast("string")))
+    case = F.struct(F.col("doc_id").cast("string").alias("id"), F.when(F.col("quality") == 1, "in_scope").otherwise("out_of_scope").alias("category"), facts.alias("expect_any"), F.when(F.col("quality") == 0, True).alias("expect_escalate"))
+    cases = files.scan_golden(spark, _landed_json(t.select(F.col("doc_id").alias("id"), case.alias("item")), "cases"))
+    return cases.select("id", "category", F.size("expect_any").alias("facts"), "expect_escalate")
+
+
 @query("a3_content_type", "SELECT page_id, CASE WHEN regexp_matches(lower(p), '\\.(html|htm)$') THEN 'html' WHEN regexp_matches(lower(p), '\\.(md|markdown|rst)$') THEN 'markdown' ELSE 'text' END AS content_type FROM (SELECT page_id, url || ['.html', '.md', '.TXT', ''][page_id % 4 + 1] AS p FROM pages)")
 def a3(spark, d):
     suffix = F.element_at(F.array(*map(F.lit, [".html", ".md", ".TXT", ""])), (F.col("page_id") % 4 + 1).cast("int"))
@@ -169,6 +222,20 @@ def c1(spark, d):
     return e.select("chunk_id", part(0).alias("first"), part(63).alias("last"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """An embedder that refuses long texts."""
+    if any(len(t) > vectors.EMBED_CHARS for t in texts):
+        raise ValueError("too long")
+    return [[float(len(t))] for t in texts]
+
+
+@query("c2_embed_fallback", "SELECT doc_id, least(length(coalesce(text, '')), 1500)::DOUBLE AS chars, NULL::VARCHAR AS embed_error FROM documents")
+def c2(spark, d):
+    """Batches that an embedder refuses are tried text by text, and what it still refuses at 1500 characters."""
+    out = vectors.embed(spread(table(spark, d, "documents")).select("doc_id", "text"), "text", _lengths)
+    return out.select("doc_id", F.get("embedding", F.lit(0)).cast("double").alias("chars"), "embed_error")
+
+
 @query("c3_check_width", "SELECT vec_id, len(CASE WHEN vec_id % 9 = 0 THEN embedding[1:63] ELSE embedding END) = 64 AS fits FROM embeddings")
 def c3(spark, d):
     cut = table(spark, d, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
@@ -740,6 +807,16 @@ def k3(spark, d):
     return evaluate.summary(_graded(spark, d))
 
 
+@query("a11_write_report", f"WITH {_GRADE} SELECT category, verdict, count(*) AS cases, (SELECT count(*) FROM g) AS rows FROM g GROUP BY ROLLUP (category, verdict)")
+def a11(spark, d):
+    """Graded rows and totals written as a report and read back."""
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    graded = _graded(spark, d)
+    files.write_report(graded, evaluate.summary(graded), folder)
+    rows = spark.read.json(f"{folder}/rows").agg(F.count("*").alias("rows"))
+    return spark.read.schema("category string, verdict string, cases long").json(f"{folder}/summary").crossJoin(F.broadcast(rows))
+
+
 @query("k4_recall_sweep")
 def k4(spark, d):
     """Every title of a page that isn't empty asked as a question over all chunks."""
@@ -815,6 +892,16 @@ def l3(spark, d):
     return _drained(spark, jobs.stream_quarantine(b.as_candidate_events(events).withColumn("at", F.col("at").cast("timestamp"))), "l3").select("id", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
+@query("l1_stream_ingest", sql("docs", "SELECT space, sum(1 + greatest(0, ceil((len(toks) - 500) / 440.0)))::BIGINT AS chunks, count(*) AS docs FROM docs WHERE len(toks) > 0 GROUP BY space"))
+def l1(spark, d):
+    """documents as a stream into a chunk store."""
+    folder = f"{shared_folder(spark)}/l1-{uuid.uuid4().hex}"
+    store = ChunkStore(spark, f"{folder}/store", buckets=16)
+    stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
+    jobs.stream_ingest(b.as_docs(stream).drop("id"), store, f"{folder}/checkpoint").awaitTermination()
+    return store.chunks().groupBy("space").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
+
+
 def first_hits(spark: SparkSession, d: str) -> DataFrame:
     """The best hit of each question."""
     one = Window.partitionBy("question_id").orderBy("rank")
