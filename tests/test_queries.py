@@ -44,11 +44,6 @@ def reranked(got):
         assert (own["score"].diff().dropna() <= 1e-9).all() and own["score"].between(-4, 4).all()
 
 
-def sentences(got):
-    """Sentences below the floor, none of them the draft's own words."""
-    assert len(got) > 0 and (got["best"] < 0.55).all()
-
-
 def citations(got):
     """Marks in the text are 1 to the number of citations, each source once."""
     assert len(got) > 0
@@ -58,17 +53,6 @@ def citations(got):
         assert len(urls) == max(0, r.n_citations) and (not marks or marks == set(range(1, len(urls) + 1)))
 
 
-def decisions(got):
-    """The gate goes first, refusals by their drafts, and a reason is given wherever nothing is answered."""
-    assert set(got["reason"].dropna()) <= {"gate", "refusal", "specifics", "numbers", "overlap", "sentences", "verdict", "empty"}
-    assert (got["answered"] == got["reason"].isna()).all()
-    by = got.set_index("question_id")["reason"]
-    for i, reason in by.items():
-        assert (reason == "gate") == (i % 11 == 0)
-        if i % 11 and i % 8 in (2, 4):
-            assert reason == "refusal"
-
-
 def sweep(got):
     assert len(got) > 0 and got["title"].is_unique and got["confidence"].between(0, 1).all()
     assert not (got["found"] & (got["confidence"] < 0.45)).any() and got["found"].mean() > 0.5
@@ -76,8 +60,8 @@ def sweep(got):
 
 #: What must hold for the queries that have no SQL twin.
 CHECKS = {
-    "c5_fp16_recall": half_precision, "c8_approx_knn": neighbours, "e9_retrieve_reranked": reranked, "g6_unsupported_sentences": sentences,
-    "g10_finalize_citations": citations, "g12_decide": decisions, "k4_recall_sweep": sweep,
+    "c5_fp16_recall": half_precision, "c8_approx_knn": neighbours, "e9_retrieve_reranked": reranked,
+    "g10_finalize_citations": citations, "k4_recall_sweep": sweep,
 }
 
 
