@@ -97,11 +97,15 @@ def lexical_topk(scores: DataFrame, pool: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
 
 
+def asked_postings(questions: DataFrame, postings: DataFrame) -> DataFrame:
+    """The places of words that any question holds, written once: matching, fallback and ranking each read them."""
+    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0)))
+    return written(postings.join(questions.select(found.alias("term")).distinct(), "term", "left_semi"), "asked-postings")
+
+
 def search(questions: DataFrame, postings: DataFrame, pool: int, keep: DataFrame | None = None) -> DataFrame:
     """D2 to D6 together; keep (chunk_id) filters what is ranked, but not which questions fall back."""
-    # only the asked words' places are kept, once, for the three uses of them
-    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0)))
-    postings = written(postings.join(questions.select(found.alias("term")).distinct(), "term", "left_semi"), "asked-postings")
+    postings = asked_postings(questions, postings)
     terms = query_terms(questions)
     matched = match_all(terms, postings)
     loose = or_fallback(questions, matched)

@@ -324,7 +324,8 @@ def d4(spark, d):
 
 @query("d5_cover_density", sql("lexed", "SELECT question_id, chunk_id, round(lex_score, 6) AS lex_score FROM lexed"))
 def d5(spark, d):
-    asked, postings = b.questions(spark, d), b.postings(spark, d)
+    asked = b.questions(spark, d)
+    postings = lexical.asked_postings(asked, b.postings(spark, d))
     terms = lexical.query_terms(asked)
     matched = lexical.match_all(terms, postings)
     out = lexical.cover_density(matched, terms, lexical.or_fallback(asked, matched), postings)
