@@ -20,6 +20,8 @@ from groundspark.llm.common import annotate, crc32_of_id, fresh_names
 #: Rows that the classifiers are fitted on, about, and of each language at least (where it has them); of more, those
 #: with the smallest hashes of their id. Every language is learned: the driver holds about 32 kB for each of these rows.
 SAMPLE_ROWS, LEAST_ROWS = 3000, 8
+#: Languages whose rates are broadcast (a name and a number each); beyond, rows are joined by a shuffle.
+BROADCAST_LANGUAGES = 100_000
 GRAMS = 1 << 12
 #: Below this lead of the best codeword's probability over the second's a text is ambiguous.
 MARGIN = 0.2
@@ -117,10 +119,11 @@ def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id
     if learn_from is not None:
         rows = rows.where(learn_from)
     per = rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("_n"))
-    wanted = F.greatest(F.lit(sample_rows) / F.lit(max(1, per.count())), F.lit(LEAST_ROWS))
+    n = per.count()
+    wanted = F.greatest(F.lit(sample_rows) / F.lit(max(1, n)), F.lit(LEAST_ROWS))
     rates = per.select("_lang", F.least(F.lit(1.0), wanted / F.col("_n")).alias("_rate"))
     chosen = F.pmod(F.xxhash64(id_col), F.lit(1 << 52)) < F.col("_rate") * (1 << 52)
-    some = rows.join(rates, F.col(lang_col) == F.col("_lang")).where(chosen)
+    some = rows.join(F.broadcast(rates) if n <= BROADCAST_LANGUAGES else rates, F.col(lang_col) == F.col("_lang")).where(chosen)
     some = some.select(F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"))
 
     def make():
