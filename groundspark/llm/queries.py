@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundspark.llm import ann, decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, quality, substring_dedup, token_store
+from groundspark.llm import (
+    ann, centroids, decontaminate, jaccard_join, language_id, licenses, line_dedup, packing, pieces, quality, substring_dedup, token_store, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.report(table(spark, sf_dir, "embeddings"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_language_id,
         op10_nearest_neighbours,
+        op11_centroids,
+        op12_whitening,
+        op13_sentencepiece,
     )
 }
 
@@ -74,4 +91,5 @@ SQL: dict[str, str] = {
     "op3_jaccard_join": jaccard_join.REPORT_SQL,
     "op5_line_dedup": line_dedup.REPORT_SQL,
     "op8_substring_dedup": substring_dedup.REPORT_SQL,
+    "op11_centroids": centroids.REPORT_SQL,
 }
