@@ -1,23 +1,25 @@
-"""Lexical retrieval: term positions, web-style queries, all-terms matching with an any-term fallback, cover density."""
+"""Lexical retrieval: places of words, web-style questions and their fallback; lexical_index matches and ranks."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundspark.functions.text import STOP_WORDS, let
-from groundspark.sources.scratch import written
+from groundspark.functions.text import STOP_WORDS
 
 #: Terms of a question that the fallback uses.
 FALLBACK_TERMS = 12
 
 
+def chunk_words() -> Column:
+    """The words of title and text, in order."""
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0)
+
+
 def build_postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, pos: the words of title and text but for stop words, with their places."""
-    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
-    terms = chunks.select("chunk_id", F.posexplode(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), 0)).alias("pos", "term"))
+    terms = chunks.select("chunk_id", F.posexplode(chunk_words()).alias("pos", "term"))
     return terms.where(~F.col("term").isin(STOP_WORDS))
 
 
@@ -37,83 +39,15 @@ def query_terms(questions: DataFrame) -> DataFrame:
     return found.select("question_id", "grp", "n", "term", "kind", "place")
 
 
-def match_all(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """D3: question_id, chunk_id where every group has a part that matches, and no excluded part does.
-
-    A part is a word, or the words of a phrase (or of one hyphenated word) next to each other. Equi-joins on the term.
-    """
-    sized = terms.withColumn("size", F.count("*").over(Window.partitionBy("question_id", "n")))
-    places = postings.select("term", "chunk_id", "pos")
-    hits = sized.join(places, "term").withColumn("start", F.col("pos") - F.col("place"))
-    near = hits.groupBy("question_id", "grp", "n", "kind", "chunk_id", "size", F.when((F.col("kind") == "phrase") | (F.col("size") > 1), F.col("start")).alias("at")).agg(F.count_distinct("place").alias("m"))
-    parts = near.where("m = size").select("question_id", "grp", "kind", "chunk_id").distinct()
-    needed = terms.where("kind <> 'not'").groupBy("question_id").agg(F.count_distinct("grp").alias("groups"))
-    matched = parts.where("kind <> 'not'").groupBy("question_id", "chunk_id").agg(F.count_distinct("grp").alias("got"))
-    matched = matched.join(needed, "question_id").where("got = groups").select("question_id", "chunk_id")
-    return matched.join(parts.where("kind = 'not'").select("question_id", "chunk_id").distinct(), ["question_id", "chunk_id"], "left_anti")
+def fallback_words(question: Column) -> Column:
+    """The first 12 words of two characters at least, each once."""
+    found = F.regexp_extract_all(F.lower(question), F.lit("[a-z0-9]+"), 0)
+    return F.array_distinct(F.slice(F.filter(found, lambda t: F.length(t) >= 2), 1, FALLBACK_TERMS))
 
 
 def or_fallback(questions: DataFrame, matched: DataFrame) -> DataFrame:
-    """question_id, term for questions that match nothing at all (before any filter): their first 12 words of two
-    characters at least, any of which will do."""
-    found = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0)
-    first = F.slice(F.filter(found, lambda t: F.length(t) >= 2), 1, FALLBACK_TERMS)
+    """question_id, term for questions that match nothing at all (before any filter): the fallback words but for stop
+    words, any of which will do."""
     left = questions.join(matched.select("question_id").distinct(), "question_id", "left_anti")
-    terms = left.select("question_id", F.explode(F.array_distinct(first)).alias("term"))
+    terms = left.select("question_id", F.explode(fallback_words(F.col("question"))).alias("term"))
     return terms.where(~F.col("term").isin(STOP_WORDS))
-
-
-def cover_density(matched: DataFrame, terms: DataFrame, fallback: DataFrame, postings: DataFrame) -> DataFrame:
-    """question_id, chunk_id, lex_score: for full matches the sum over minimal covers of 1 / (1 + words between),
-    for fallback matches the number of occurrences.
-
-    A minimal cover is the shortest stretch with all terms that ends at a given place and begins as late as possible:
-    running maxima of each term's place, of which the least is the left end.
-    """
-    wanted = terms.where("kind <> 'not'").select("question_id", "term").distinct()
-    wanted = wanted.withColumn("size", F.count("*").over(Window.partitionBy("question_id")))
-    wanted = wanted.withColumn("k", F.row_number().over(Window.partitionBy("question_id").orderBy("term")))
-    hits = wanted.join(postings, "term").join(matched, ["question_id", "chunk_id"], "left_semi")
-    # last place of every term so far, folded over the occurrences in order
-    ordered = hits.groupBy("question_id", "chunk_id", "size").agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("o"))
-    zero = F.struct(F.transform(F.sequence(F.lit(1), F.col("size").cast("int")), lambda _: F.lit(-1)).alias("last"), F.lit(-1).alias("left"), F.lit(0.0).alias("score"))
-
-    def step(state, o):
-        last = F.transform(state["last"], lambda v, i: F.when(i + 1 == o["k"], o["pos"]).otherwise(v))
-        # places come in order, so the left end never goes back: a new one begins a cover, and this is its first end
-        return let(F.struct(last.alias("last"), F.array_min(last).alias("left")), lambda s: F.struct(
-            s["last"].alias("last"), s["left"].alias("left"),
-            (state["score"] + F.when(s["left"] > state["left"], 1 / (1 + F.greatest(F.lit(0), o["pos"] - s["left"] + 1 - F.col("size")))).otherwise(0.0)).alias("score"),
-        ))
-
-    strict = ordered.select("question_id", "chunk_id", F.aggregate("o", zero, step)["score"].alias("lex_score")).where("lex_score > 0")
-    loose = fallback.join(postings, "term").groupBy("question_id", "chunk_id").agg(F.count("*").cast("double").alias("lex_score"))
-    return strict.unionByName(loose)
-
-
-def lexical_topk(scores: DataFrame, pool: int) -> DataFrame:
-    """The best `pool` chunks of each question, equal ones by chunk_id."""
-    order = Window.partitionBy("question_id").orderBy(F.desc(F.round("lex_score", 9)), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
-
-
-def asked_postings(questions: DataFrame, postings: DataFrame) -> DataFrame:
-    """The places of words that any question holds, written once: matching, fallback and ranking each read them."""
-    found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0)))
-    return written(postings.join(questions.select(found.alias("term")).distinct(), "term", "left_semi"), "asked-postings")
-
-
-def search(questions: DataFrame, postings: DataFrame, pool: int, keep: DataFrame | None = None) -> DataFrame:
-    """D2 to D6 together; keep (chunk_id) filters what is ranked, but not which questions fall back."""
-    postings = asked_postings(questions, postings)
-    terms = query_terms(questions)
-    matched = match_all(terms, postings)
-    loose = or_fallback(questions, matched)
-    scores = cover_density(matched, terms, loose, postings)
-    if keep is not None:
-        scores = scores.join(keep.select("chunk_id"), "chunk_id", "left_semi")
-    return lexical_topk(scores, pool)
-
-
-def any_of(columns: list):
-    return reduce(lambda a, b: a | b, columns)

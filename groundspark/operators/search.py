@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions.text import content_tokens, normalize_question
 from groundspark.functions.vectors import cosine
-from groundspark.operators import lexical, vectors
+from groundspark.operators import lexical_index, partitions, vectors
 from groundspark.operators.chunking import char_windows
 
 RRF_K = 60
@@ -35,7 +35,7 @@ def rrf_fuse(vec: DataFrame, lex: DataFrame, k: int = RRF_K) -> DataFrame:
     return a.join(b, ["question_id", "chunk_id"], "full_outer").select("question_id", "chunk_id", (part("vec_rank") + part("lex_rank")).alias("score"))
 
 
-def hybrid_search(questions: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, top_k: int = TOP_K, filters: dict | None = None, width: int = 64, approx: bool = False) -> DataFrame:
+def hybrid_search(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, top_k: int = TOP_K, filters: dict | None = None, width: int = 64, approx: bool = False) -> DataFrame:
     """The best top_k chunks of every question by rank fusion of vectors and words, with metadata and cosine.
 
     Filters hold in both arms before their limits of 4 * top_k, but a question falls back to any-term matching only if
@@ -43,10 +43,10 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, postings: DataFrame |
     """
     pool = 4 * max(top_k, 1)
     kept = with_filters(chunks, filters)
-    postings = lexical.build_postings(chunks) if postings is None else postings
-    near = vectors.approx_knn if approx else vectors.knn
+    index = lexical_index.stored_index(chunks) if index is None else index
+    near = partitions.approx_knn if approx else vectors.knn
     dense = near(questions, kept, pool, width=width)
-    words = lexical.search(questions, postings, pool, kept if filters else None)
+    words = lexical_index.search(questions, index, pool, kept if filters else None)
     order = Window.partitionBy("question_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     best = rrf_fuse(dense, words).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
     hits = best.join(chunks, "chunk_id").join(questions.select("question_id", F.col("embedding").alias("q")), "question_id")
@@ -118,7 +118,7 @@ def rerank(hits: DataFrame, questions: DataFrame, top_k: int, scorer: Callable[[
     return out.unionByName(counted.where("_n = 1").drop("_n")) if top_k > 0 else out
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, top_k: int = TOP_K, reranked: bool = True, width: int = 64, variants: DataFrame | None = None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, index: DataFrame | None = None, top_k: int = TOP_K, reranked: bool = True, width: int = 64, variants: DataFrame | None = None) -> DataFrame:
     """Normalise, search every variant (question_id, variant, question; the question itself is variant 0), join the hits of a
     question, rerank. One job for all questions."""
     asked = with_normalized(questions.select("question_id", "question")).withColumn("variant", F.lit(0))
@@ -126,7 +126,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, postings: DataFrame | None
         asked = asked.unionByName(variants.select("question_id", "question", "variant"))
     keyed = asked.withColumn("root", F.col("question_id")).withColumn("question_id", F.concat_ws(":", F.col("question_id").cast("string"), F.col("variant").cast("string")))
     keyed = vectors.with_hash_embedding(keyed, "question", width)
-    found = hybrid_search(keyed, chunks, postings, CANDIDATES if reranked else top_k, width=width)
+    found = hybrid_search(keyed, chunks, index, CANDIDATES if reranked else top_k, width=width)
     found = found.join(keyed.select("question_id", "root", "variant"), "question_id").drop("question_id").withColumnRenamed("root", "question_id")
     hits = union_variants(found).drop("variant")
     if not reranked:

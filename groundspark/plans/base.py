@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import words
-from groundspark.operators import chunking, lexical, search, vectors
+from groundspark.operators import chunking, lexical, lexical_index, search, vectors
 from groundspark.sources.scratch import spread, written
 
 TARGET, OVERLAP, WIDTH = 200, 40, 64
@@ -64,6 +64,10 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return lexical.build_postings(chunks(spark, d))
 
 
+def index(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_index.stored_index(chunks(spark, d))
+
+
 def hits(spark: SparkSession, d: str, top_k: int = 8) -> DataFrame:
     return search.hybrid_search(embedded_questions(spark, d), stored_chunks(spark, d), top_k=top_k, width=WIDTH)
 

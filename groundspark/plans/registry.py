@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import text as tx
 from groundspark.functions.vectors import cosine
-from groundspark.operators import chat, chunking, confidence, corpus, evaluate, feedback, guards, lexical, search, vectors
+from groundspark.operators import chat, chunking, confidence, corpus, evaluate, feedback, guards, lexical, lexical_index, partitions, search, vectors
 from groundspark.plans import base as b
 from groundspark.plans.base import sql, table
 from groundspark.sources import files
@@ -248,11 +248,25 @@ def c4(spark, d):
     return vectors.current_dimensions(table(spark, d, "embeddings"))
 
 
-@query("c5_fp16_recall")
+#: Half precision: 11 significant bits, ties to even, steps of 2^-24 at least.
+_HALF_STEP = "pow(2, greatest(floor(log2(abs(CASE WHEN x = 0 THEN 1 ELSE x END))), -14) - 10)"
+_HALF = f"h AS (SELECT vec_id, list_transform(embedding, lambda y: list_transform([y::DOUBLE], lambda x: round_even(x / {_HALF_STEP}, 0) * {_HALF_STEP})[1]) AS embedding FROM embeddings)"
+
+
+@query("c5_fp16_knn", _KNN.format(on="true").replace("SELECT", f"WITH {_HALF} SELECT", 1).replace("JOIN embeddings", "JOIN h"))
 def c5(spark, d):
+    """Neighbours from stored vectors of two bytes a component."""
+    return _rounded(vectors.knn(_asked(spark, d), _half(spark, d), 10))
+
+
+def _half(spark, d):
+    return written(_items(spark, d).select("chunk_id", vectors.to_fp16("embedding").alias("embedding")), "halves")
+
+
+@query("c5_fp16_recall", f"WITH {_HALF}, e AS ({_KNN.format(on='true')}), o AS ({_KNN.format(on='true').replace('JOIN embeddings', 'JOIN h')}) SELECT e.question_id, count(o.chunk_id) / count(*) AS recall FROM e LEFT JOIN o ON e.question_id = o.question_id AND e.chunk_id = o.chunk_id GROUP BY 1")
+def c5h(spark, d):
     exact = vectors.knn(_asked(spark, d), _items(spark, d), 10)
-    half = vectors.knn(_asked(spark, d), _items(spark, d).withColumn("embedding", vectors.to_fp16("embedding")), 10)
-    return vectors.recall_at_k(exact, half, 10)
+    return vectors.recall_at_k(exact, vectors.knn(_asked(spark, d), _half(spark, d), 10), 10)
 
 
 @query("c5_recall_at_k", f"WITH k AS ({_KNN.format(on='true')}), o AS (SELECT * FROM k WHERE chunk_id::BIGINT % 3 <> 0) SELECT k.question_id, count(o.chunk_id) / count(*) AS recall FROM k LEFT JOIN o ON k.question_id = o.question_id AND k.chunk_id = o.chunk_id GROUP BY 1")
@@ -275,7 +289,25 @@ def c7(spark, d):
 
 @query("c8_approx_knn")
 def c8(spark, d):
-    return _rounded(vectors.approx_knn(_asked(spark, d), _items(spark, d), 10))
+    """Neighbours by learned partitions, with the recall of each question's ten."""
+    asked, items = _asked(spark, d), _items(spark, d)
+    near = partitions.approx_knn(asked, items, 10)
+    recall = vectors.recall_at_k(vectors.knn(asked, items, 10), near, 10)
+    return _rounded(near).join(recall, "question_id")
+
+
+@query("c8_all_partitions", _KNN.format(on="true"))
+def c8_all(spark, d):
+    """With radii that hold all of a part's vectors nothing is missed."""
+    return _rounded(partitions.approx_knn(_asked(spark, d), _items(spark, d), 10, share=1.0))
+
+
+@query("c8_recall", f"SELECT count(DISTINCT question_id) AS questions, true AS mean_from_095, true AS least_from_06 FROM ({_KNN.format(on='true')})")
+def c8_recall(spark, d):
+    """What the partitions' answers are held to: a mean recall of 0.95 at least, and 0.6 for every question."""
+    asked, items = _asked(spark, d), _items(spark, d)
+    recall = vectors.recall_at_k(vectors.knn(asked, items, 10), partitions.approx_knn(asked, items, 10), 10)
+    return recall.agg(F.count("*").alias("questions"), (F.avg("recall") >= 0.95).alias("mean_from_095"), (F.min("recall") >= 0.6).alias("least_from_06"))
 
 
 @query("c9_knn_within", _KNN.format(on="a.label = c.label"))
@@ -308,33 +340,28 @@ def d2(spark, d):
 
 @query("d3_match_all", sql("matched", "SELECT question_id, chunk_id FROM matched"))
 def d3(spark, d):
-    return lexical.match_all(lexical.query_terms(b.questions(spark, d)), b.postings(spark, d))
+    return lexical_index.matched(b.questions(spark, d), b.index(spark, d))
 
 
 @query("d3_match_web", sql("postings", f", {_WEB}, sized AS (SELECT *, count(*) OVER (PARTITION BY question_id, n) AS size FROM terms), near AS (SELECT s.question_id, s.grp, s.n, s.kind, s.size, p.chunk_id, p.pos - s.place AS at, count(DISTINCT s.place) AS m FROM sized s JOIN postings p USING (term) GROUP BY ALL), parts AS (SELECT DISTINCT question_id, grp, kind, chunk_id FROM near WHERE m = size), need AS (SELECT question_id, count(DISTINCT grp) AS g FROM terms WHERE kind <> 'not' GROUP BY 1) SELECT p.question_id, p.chunk_id FROM parts p JOIN need USING (question_id) WHERE kind <> 'not' AND NOT EXISTS (SELECT 1 FROM parts x WHERE x.kind = 'not' AND x.question_id = p.question_id AND x.chunk_id = p.chunk_id) GROUP BY p.question_id, p.chunk_id, g HAVING count(DISTINCT p.grp) = g").replace(") , w AS", "), w AS"))
 def d3w(spark, d):
-    return lexical.match_all(lexical.query_terms(_web(spark, d)), b.postings(spark, d))
+    return lexical_index.matched(_web(spark, d), b.index(spark, d))
 
 
 @query("d4_or_fallback", sql("loose", "SELECT question_id, term FROM loose"))
 def d4(spark, d):
     asked = b.questions(spark, d)
-    return lexical.or_fallback(asked, lexical.match_all(lexical.query_terms(asked), b.postings(spark, d)))
+    return lexical.or_fallback(asked, lexical_index.matched(asked, b.index(spark, d)))
 
 
 @query("d5_cover_density", sql("lexed", "SELECT question_id, chunk_id, round(lex_score, 6) AS lex_score FROM lexed"))
 def d5(spark, d):
-    asked = b.questions(spark, d)
-    postings = lexical.asked_postings(asked, b.postings(spark, d))
-    terms = lexical.query_terms(asked)
-    matched = lexical.match_all(terms, postings)
-    out = lexical.cover_density(matched, terms, lexical.or_fallback(asked, matched), postings)
-    return out.withColumn("lex_score", F.round("lex_score", 6))
+    return lexical_index.cover_density(b.questions(spark, d), b.index(spark, d)).withColumn("lex_score", F.round("lex_score", 6))
 
 
 @query("d6_lexical_topk", sql("words", "SELECT question_id, chunk_id, round(lex_score, 6) AS lex_score, rank FROM words"))
 def d6(spark, d):
-    return lexical.search(b.questions(spark, d), b.postings(spark, d), 32).withColumn("lex_score", F.round("lex_score", 6))
+    return lexical_index.search(b.questions(spark, d), b.index(spark, d), 32).withColumn("lex_score", F.round("lex_score", 6))
 
 
 # --- e: hybrid search
@@ -343,7 +370,7 @@ def d6(spark, d):
 @query("e1_rrf_fuse", sql("fused", "SELECT question_id, chunk_id, round(score, 9) AS score FROM fused"))
 def e1(spark, d):
     dense = vectors.knn(b.embedded_questions(spark, d), b.embedded_chunks(spark, d), 32, b.WIDTH)
-    return search.rrf_fuse(dense, lexical.search(b.questions(spark, d), b.postings(spark, d), 32)).withColumn("score", F.round("score", 9))
+    return search.rrf_fuse(dense, lexical_index.search(b.questions(spark, d), b.index(spark, d), 32)).withColumn("score", F.round("score", 9))
 
 
 @query("e2_filters", sql("chunks", "SELECT chunk_id, space FROM chunks WHERE space IN ('src1', 'src2') AND doc_id <> 'd0' AND title <> ''"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as tx
-from groundspark.operators import chat, chunking, corpus, evaluate, feedback, guards, lexical, search, vectors
+from groundspark.operators import chat, chunking, corpus, evaluate, feedback, guards, lexical_index, search, vectors
 from groundspark.operators.confidence import confidence, gate
 
 
@@ -142,7 +142,7 @@ def test_hybrid_search(spark):
     assert search.hybrid_search(asked, chunk_rows(spark), top_k=0, width=8).count() == 0
     with pytest.raises(ValueError):
         search.with_filters(chunk_rows(spark), {"text": "x"})
-    lex = lexical.search(asked.where("question_id = 1"), lexical.build_postings(chunk_rows(spark)), 5).collect()
+    lex = lexical_index.search(asked.where("question_id = 1"), lexical_index.stored_index(chunk_rows(spark)), 5).collect()
     assert [(r.chunk_id, r.lex_score) for r in lex] == [("keep#0", 1.0)]
 
 
@@ -168,21 +168,6 @@ def test_embed_falls_back(spark):
     assert got["a"].embedding == [1.0] and got["bad"].embed_error.startswith("RuntimeError") and got["xxx"].embedding == [1500.0]
 
 
-def test_approximate_neighbours_agree(spark):
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    centres = r.normal(size=(20, 16))
-    rows = [(f"c{i}", (centres[i % 20] + 0.05 * r.normal(size=16)).tolist()) for i in range(400)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, embedding array<float>")
-    asked = spark.createDataFrame([(i, rows[i][1]) for i in range(20)], "question_id long, embedding array<float>")
-    exact, near = (f(asked, chunks, 10, width=16) for f in (vectors.knn, vectors.approx_knn))
-    assert vectors.recall_at_k(exact, near, 10).agg(F.avg("recall")).first()[0] > 0.9
-    assert "WindowGroupLimit" in exact._jdf.queryExecution().toString()
-    with pytest.raises(ValueError):
-        vectors.refuse_dimension_change(chunks, 8)
-
-
 DOCS = "doc_id string, title string, url string, body string, space string, content_type string"
 
 

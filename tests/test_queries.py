@@ -25,17 +25,13 @@ def plain(value):
     return f"{value:.6g}" if isinstance(value, float) else str(value)
 
 
-def half_precision(got):
-    """Recall of neighbours on rounded vectors: a share, and nearly all found."""
-    assert got["recall"].between(0, 1).all() and got["recall"].mean() > 0.95
-
-
 def neighbours(got):
     """Ranks from 1 without gaps, cosines falling."""
     for _, own in got.sort_values("rank").groupby("question_id"):
         assert own["rank"].tolist() == list(range(1, len(own) + 1))
         score = next(c for c in own.columns if "score" in c)
         assert (own[score].diff().dropna() <= 1e-9).all()
+    assert got["recall"].between(0, 1).all() and got.groupby("question_id")["recall"].first().mean() >= 0.95
 
 
 def reranked(got):
@@ -60,7 +56,7 @@ def sweep(got):
 
 #: What must hold for the queries that have no SQL twin.
 CHECKS = {
-    "c5_fp16_recall": half_precision, "c8_approx_knn": neighbours, "e9_retrieve_reranked": reranked,
+    "c8_approx_knn": neighbours, "e9_retrieve_reranked": reranked,
     "g10_finalize_citations": citations, "k4_recall_sweep": sweep,
 }
 
