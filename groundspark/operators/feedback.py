@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import cache_key, question_key
 from groundspark.operators.corpus import CURATED_PREFIX, CURATED_SPACE
+from groundspark.operators.ordered import Slices
 
 QUARANTINE_AT = 3
 
@@ -52,29 +53,15 @@ def cache_hits(asks: DataFrame, busts: DataFrame) -> DataFrame:
     """Asks (id, asked_at, question, escalated) with `hit`: an earlier answered ask has the same trimmed key, and the
     index hasn't changed (busts: at) since.
 
-    The asks are given their last change by an as-of join on hourly buckets of time, so no task holds the whole log;
-    within a key and that change, any earlier answered ask makes a hit.
+    The last change before an ask is a running maximum over the log in order of time, and an earlier answer one over
+    the asks of a key and that change; both are scans by slices, so neither a busy hour nor a frequent key is one task.
     """
-    keyed = asks.withColumn("key", cache_key(F.col("question")))
-    with_epoch = _last_before(keyed, busts)
-    order = Window.partitionBy("key", "epoch").orderBy("asked_at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    served = F.coalesce(F.max((~F.col("escalated")).cast("int")).over(order), F.lit(0))
-    return with_epoch.select("id", "asked_at", "key", "escalated", (served == 1).alias("hit"))
-
-
-def _last_before(asks: DataFrame, busts: DataFrame) -> DataFrame:
-    """asks with epoch: the time of the last change at or before each. Per bucket of an hour the last change before it is carried
-    over from the (few) buckets; inside a bucket it is a running maximum."""
-    hour = lambda c: F.date_trunc("hour", c)
-    buckets = asks.select(hour("asked_at").alias("b")).union(busts.select(hour("at"))).distinct()
-    inside = busts.groupBy(hour("at").alias("b")).agg(F.max("at").alias("m"))
-    carry = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    before = buckets.join(inside, "b", "left").withColumn("before", F.max("m").over(carry)).select("b", "before")
-    log = asks.withColumn("at", F.col("asked_at")).withColumn("kind", F.lit(1))
-    log = log.unionByName(busts.select("at", F.lit(0).alias("kind")), allowMissingColumns=True).withColumn("b", hour("at")).join(before, "b")
-    run = Window.partitionBy("b").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    log = log.withColumn("epoch", F.coalesce(F.max(F.when(F.col("kind") == 0, F.col("at"))).over(run), "before"))
-    return log.where("kind = 1").drop("kind", "at", "b", "before")
+    log = asks.withColumn("at", F.col("asked_at")).withColumn("kind", F.lit(1)).withColumn("key", cache_key(F.col("question")))
+    log = log.unionByName(busts.select("at", F.lit(0).alias("kind")), allowMissingColumns=True)
+    timed = Slices(log, [], ["at", "kind", "id"]).running("epoch", F.when(F.col("kind") == 0, F.col("at")), "max").rows.where("kind = 1")
+    own = Slices(timed.select("id", "asked_at", "key", "escalated", "epoch"), ["key", "epoch"], ["asked_at", "id"])
+    served = own.running("served", (~F.col("escalated")).cast("int"), "max", before=True).rows
+    return served.select("id", "asked_at", "key", "escalated", (F.coalesce("served", F.lit(0)) == 1).alias("hit"))
 
 
 def downvotes(feedback: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -87,42 +74,11 @@ def downvotes(feedback: DataFrame, candidates: DataFrame) -> DataFrame:
 def quarantine(events: DataFrame, threshold: int = QUARANTINE_AT) -> DataFrame:
     """Candidate id, at: each time the down-votes since the last approval first reach the threshold. events: id, at,
     seq, kind (approve or down). A threshold of 0 never quarantines."""
-    order = Window.partitionBy("id").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = events.withColumn("span", F.sum((F.col("kind") == "approve").cast("int")).over(order))
-    inside = Window.partitionBy("id", "span").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = spans.withColumn("votes", F.sum((F.col("kind") == "down").cast("int")).over(inside))
-    reached = counted.where((F.col("kind") == "down") & (F.col("span") > 0) & (F.lit(threshold) > 0) & (F.col("votes") == threshold))
-    return reached.select("id", "at")
-
-
-def _transition(four_eyes: bool):
-    def step(state, e):
-        status, kind = state["status"], e["kind"]
-        approver = F.lower(F.trim(F.coalesce(e["approver"], F.lit(""))))
-        eyes = F.lit(not four_eyes) | ((approver != "") & (approver != F.lower(F.trim(F.coalesce(e["author"], F.lit(""))))))
-        fine = (
-            F.when(kind == "submit", status == "").when(kind == "approve", (status != "") & ((status == "approved") | eyes))
-            .when(kind == "reject", (status != "") & (status != "approved")).when(kind == "revoke", status == "approved")
-            .when(kind == "quarantine", status == "approved").otherwise(F.lit(False))
-        )
-        to = (
-            F.when(kind == "submit", "pending").when(kind == "approve", "approved").when(kind == "revoke", "revoked").when(kind == "quarantine", "quarantined")
-            .otherwise(F.when(status == "revoked", status).otherwise("rejected"))
-        )
-        return F.struct(F.when(fine, to).otherwise(status).alias("status"), F.when(fine, state["accepted"] + 1).otherwise(state["accepted"]).alias("accepted"), F.when(fine, state["refused"]).otherwise(state["refused"] + 1).alias("refused"))
-
-    return step
-
-
-def candidate_state(events: DataFrame, four_eyes: bool = True) -> DataFrame:
-    """I8: id, status, accepted, refused after all of a candidate's events (id, seq, kind, author, approver) in order of seq.
-
-    Approving again changes nothing; with four eyes an approver must be named and not be the author; what is approved
-    can't be rejected, only revoked. A candidate's events are folded in one row: they are few by nature.
-    """
-    ordered = events.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "author", "approver"))).alias("e"))
-    start = F.struct(F.lit("").alias("status"), F.lit(0).alias("accepted"), F.lit(0).alias("refused"))
-    return ordered.select("id", F.aggregate("e", start, _transition(four_eyes)).alias("s")).select("id", "s.*")
+    counted = Slices(events, ["id"], ["at", "seq"]).running("downs", (F.col("kind") == "down").cast("long"))
+    rows = counted.running("before", F.when(F.col("kind") == "approve", F.col("downs")), "max").rows
+    # down-votes never fall, so the latest approval is the one with the most before it
+    reached = (F.col("kind") == "down") & (F.lit(threshold) > 0) & (F.col("downs") - F.col("before") == threshold)
+    return rows.where(reached).select("id", "at")
 
 
 def curated_docs(candidates: DataFrame) -> DataFrame:

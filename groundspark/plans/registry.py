@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from groundspark.functions import text as tx
 from groundspark.functions.vectors import cosine
-from groundspark.operators import chat, chunking, confidence, corpus, evaluate, feedback, guards, lexical, lexical_index, partitions, search, vectors
+from groundspark.operators import chat, chunking, confidence, corpus, evaluate, feedback, guards, lexical, lexical_index, life, partitions, search, vectors
 from groundspark.plans import base as b
 from groundspark.plans.base import sql, table
 from groundspark.sources import files
@@ -764,7 +764,7 @@ SELECT s.id, s.status, s.accepted, s.refused FROM s JOIN (SELECT id, max(n) AS n
 
 @query("i8_candidate_state", f"WITH RECURSIVE cevents AS ({b.CTE['cevents']}), {_STATE}")
 def i8(spark, d):
-    return feedback.candidate_state(b.candidate_events(spark, d).where("kind <> 'down'"))
+    return life.candidate_state(b.candidate_events(spark, d).where("kind <> 'down'"))
 
 
 @query("i9_curated_docs", sql("cands", "SELECT 'curated:' || id AS doc_id, trim(question) AS title, trim(question) || chr(10) || chr(10) || trim(answer) AS body, 'curated' AS space FROM cands WHERE status = 'approved' AND trim(answer) <> ''"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundspark.functions import text as tx
-from groundspark.operators import chat, chunking, corpus, evaluate, feedback, guards, lexical_index, search, vectors
+from groundspark.operators import chat, chunking, corpus, evaluate, feedback, guards, lexical_index, life, search, vectors
 from groundspark.operators.confidence import confidence, gate
 
 
@@ -196,7 +196,7 @@ def test_prune_guards(spark):
 
 def test_candidate_life(spark):
     rows = [(1, 1, "submit", "ann", None), (1, 2, "approve", "ann", "Ann "), (1, 3, "approve", "ann", "bob"), (1, 4, "reject", "ann", None), (1, 5, "revoke", "ann", None), (2, 1, "approve", "x", "y")]
-    got = {r.id: r for r in feedback.candidate_state(spark.createDataFrame(rows, "id long, seq long, kind string, author string, approver string")).collect()}
+    got = {r.id: r for r in life.candidate_state(spark.createDataFrame(rows, "id long, seq long, kind string, author string, approver string")).collect()}
     assert (got[1].status, got[1].accepted, got[1].refused) == ("revoked", 3, 2) and got[2].status == ""
 
 
