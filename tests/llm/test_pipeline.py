@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from groundspark.llm import jaccard_join, quality
+from groundspark.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,7 +13,7 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "jaccard_join", "benchmark_decontamination", "best_fit_packing"]
     sizes = [len(kept)]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
+        docs = written(stage(spark, docs, SF), name)
         assert docs.columns == columns
         ids = {r.doc_id for r in docs.select("doc_id").collect()}
         assert ids <= kept

@@ -15,7 +15,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return {t: spark.read.parquet(f"{SF}/{t}.parquet").cache() for t in ("documents", "labels", "benchmark", "pages")}
+    own = {t: spark.read.parquet(f"{SF}/{t}.parquet").cache() for t in ("documents", "labels", "benchmark", "pages")}
+    yield own
+    for t in own.values():
+        t.unpersist()
 
 
 def odd_rows(spark, docs):

@@ -34,7 +34,9 @@ def corpus():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(corpus(), SCHEMA).cache()
+    own = spark.createDataFrame(corpus(), SCHEMA).cache()
+    yield own
+    own.unpersist()
 
 
 def by_id(df):
