@@ -5,7 +5,7 @@
 2. Similar sets are partitioned into groups: of the sets that share a prefix token and are about as large, each is
    compared with the first one only; what is verified as similar is one group (their links connect it).
 3. The token-group matrix is worked on in units: the sets of a token, with their groups, in one task; a token of very
-   many sets is dealt to one unit for each pair of its blocks. A unit compares sizes and positions first. Of what is
+   many sets is dealt to one unit for each pair of its blocks that aren't of one group. A unit compares sizes and positions first. Of what is
    left it takes each set as a query to the groups: the group's token union (in bins: one bit for the hash of each
    token) bounds the overlap, only groups that can still hold a partner are opened, and then the same bound holds for
    each member. No pair leaves a unit: it returns its sets that still have a possible partner, each with the likeliest.
@@ -281,14 +281,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, representative: DataFrame, size
 
 
 def _units(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Deal rows (token, set, ...) to units: token, lo, hi, block. A unit has all sets of a token, or two of its blocks."""
-    # tokens of very many sets are few; written, so that their rows needn't meet in one task
-    large = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")).where("_blocks > 1")
-    large = scratch.write(large, f"large-{name}")
-    dealt = rows.join(large.withColumnRenamed("token", "_token"), F.col("token") == F.col("_token"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
-    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return dealt.withColumns({"lo": F.least("block", "_with"), "hi": F.greatest("block", "_with")}).drop("_token", "_blocks", "_with")
+    """Deal rows (token, set, group, ...) to units: token, lo, hi, block. A unit has all sets of a token, or two of its blocks.
+
+    Of a token of very many sets each large group has blocks of its own, which meet those of other groups only: what is
+    one group already is dealt to no unit, and a large group beside few other sets once.
+    """
+    # tokens of very many sets and their large groups are few; written, so that their rows needn't meet in one task
+    large = scratch.write(rows.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > BLOCK).select("token"), f"large-{name}")
+    groups = rows.join(large, "token", "left_semi").groupBy("token", "group").agg(F.count("*").alias("_n"))
+    groups = scratch.write(groups.withColumn("_own", F.when(F.col("_n") > BLOCK, F.ceil(F.col("_n") / BLOCK).cast("int"))), f"groups-of-{name}")
+    blocks = groups.groupBy(F.col("token").alias("_token")).agg(F.ceil(F.coalesce(F.sum(F.when(F.col("_own").isNull(), F.col("_n"))), F.lit(0)) / BLOCK).cast("int").alias("_light"), F.coalesce(F.sum("_own"), F.lit(0)).cast("int").alias("_heavy"))
+    blocks = scratch.write(blocks, f"blocks-{name}")
+    before = Window.partitionBy("token").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = groups.where("_own IS NOT NULL").select(F.col("token").alias("_t"), F.col("group").alias("_g"), "_own", F.coalesce(F.sum("_own").over(before), F.lit(0)).cast("int").alias("_first"))
+    heavy = scratch.write(heavy, f"heavy-{name}")
+
+    dealt = rows.join(blocks, F.col("token") == F.col("_token"), "left").join(heavy, (F.col("token") == F.col("_t")) & (F.col("group") == F.col("_g")), "left")
+    first, light = F.col("_light") + F.col("_first"), F.coalesce("_light", F.lit(1))
+    spread = F.xxhash64("set")
+    dealt = dealt.withColumn("block", F.when(F.col("_own").isNull(), F.pmod(spread, F.greatest(light, F.lit(1)))).otherwise(first + F.pmod(spread, F.col("_own"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), light + F.coalesce("_heavy", F.lit(0)) - 1), lambda w: F.col("_own").isNull() | (w < first) | (w >= first + F.col("_own")))
+    dealt = dealt.withColumn("_with", F.explode(others))
+    return dealt.withColumns({"lo": F.least("block", "_with"), "hi": F.greatest("block", "_with")}).drop("_token", "_light", "_heavy", "_t", "_g", "_own", "_first", "_with")
 
 
 class Unit:
