@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from groundspark.functions.text import content_hash
 from groundspark.operators import vectors
 from groundspark.operators.chunking import OVERLAP, TARGET, chunk_documents
+from groundspark.sources.scratch import written
 
+#: Ids of documents that may be broadcast.
+BROADCAST_IDS = 500_000
 CURATED_PREFIX, CURATED_SPACE = "curated:", "curated"
 
 
@@ -18,6 +21,11 @@ def with_hash(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) ->
     return docs.withColumn("content_hash", content_hash(*columns, target, overlap))
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Ids of documents, broadcast up to BROADCAST_IDS rows: a join with them then leaves the other table where it is."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def diff_corpus(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """H1: doc_id, content_hash, change: new, changed or unchanged against the stored hashes."""
     old = hashes.select("doc_id", F.col("content_hash").alias("old"))
@@ -29,15 +37,18 @@ def diff_corpus(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 def replace_docs(chunks: DataFrame, hashes: DataFrame, new: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H2: chunks and hashes after all rows of the seen documents (doc_id, content_hash) are swapped for their new chunks.
 
-    A document that has no new chunks loses its rows, and no hash is kept for it.
+    A document that has no new chunks loses its rows, and no hash is kept for it. Of up to BROADCAST_IDS seen documents
+    the stored chunks aren't shuffled; beyond, both sides are.
     """
-    kept = chunks.join(seen, "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
+    ids = _bounded(seen.select("doc_id"))
+    kept = chunks.join(ids, "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
     stamped = seen.join(new.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "content_hash")
-    return kept, hashes.join(seen, "doc_id", "left_anti").unionByName(stamped)
+    return kept, hashes.join(ids, "doc_id", "left_anti").unionByName(stamped)
 
 
 def delete_docs(chunks: DataFrame, hashes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """H3: both tables without the documents."""
+    ids = _bounded(ids.select("doc_id"))
     return chunks.join(ids, "doc_id", "left_anti"), hashes.join(ids, "doc_id", "left_anti")
 
 
@@ -95,10 +106,11 @@ def ingest(docs: DataFrame, chunks: DataFrame, hashes: DataFrame, target: int =
     """H1, H2, H7 as one plan: chunks, hashes and summary after new and changed documents are chunked, embedded and replaced.
 
     Unchanged documents are neither chunked nor embedded; all embedding is in the plan of the new rows, before any swap.
+    The differences are written once: they bound what is chunked, and what the stored chunks are joined with.
     """
     good, bad = quarantine_bad_docs(docs)
     hashed = with_hash(good, target, overlap)
-    diff = diff_corpus(hashed, hashes)
+    diff = written(diff_corpus(hashed, hashes), "diff")
     todo = diff.where("change <> 'unchanged'").select("doc_id", "content_hash")
     new = vectors.with_hash_embedding(chunk_documents(hashed.join(todo.select("doc_id"), "doc_id", "left_semi"), target, overlap), "text", width)
     after, stamped = replace_docs(chunks, hashes, new, todo)

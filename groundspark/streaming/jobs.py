@@ -12,9 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from groundspark.functions.text import question_key
 from groundspark.operators import chat, corpus
 from groundspark.operators.feedback import QUARANTINE_AT
-from groundspark.sources.store import ChunkStore
+from groundspark.sources.store import ChunkStore, Conflict
 
 WATERMARK, WINDOW = "10 minutes", "5 minutes"
+#: Times that a batch is worked out when other writers come in between.
+ATTEMPTS = 20
 TTL_MS = 24 * 3600 * 1000
 #: State stores that transformWithState needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,13 +25,20 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def stream_ingest(docs: DataFrame, store: ChunkStore, checkpoint: str, width: int = 64):
     """L1: a stream of documents, diffed, chunked, embedded and replaced batch by batch; a batch is committed once.
 
-    A batch reads and rewrites only the buckets of its own documents.
+    A batch reads and rewrites only the buckets of its own documents. Several streams may write to one store: a batch
+    whose buckets another one has changed meanwhile is worked out again from the new rows.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        touched = store.buckets_of(batch)
-        done = corpus.ingest(batch, *_tables(store, batch, touched), width=width)
-        store.commit(done["chunks"], done["hashes"], batch=f"{checkpoint}:{batch_id}", buckets=touched)
+        for attempt in range(ATTEMPTS):
+            base, touched = store.seq(), store.buckets_of(batch)
+            done = corpus.ingest(batch, *_tables(store, batch, touched), width=width)
+            try:
+                store.commit(done["chunks"], done["hashes"], batch=f"{checkpoint}:{batch_id}", buckets=touched, base=base)
+                return
+            except Conflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
 
     return docs.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -3,11 +3,13 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from groundspark.operators import chat, feedback
+from groundspark.operators import chat, corpus, feedback
 from groundspark.sources import files
-from groundspark.sources.store import ChunkStore
+from groundspark.sources.scratch import put_if_absent
+from groundspark.sources.store import ChunkStore, Conflict
 from groundspark.streaming import jobs
 
 
@@ -80,6 +82,100 @@ def test_a_commit_rewrites_only_the_buckets_of_its_documents(spark, tmp_path):
     assert ChunkStore(spark, store.path, buckets=99).buckets == 8
 
 
+CHUNKS = "chunk_id string, doc_id string, text string"
+
+
+def some_chunks(spark, texts):
+    rows = spark.createDataFrame([(f"{k}#0", k, t) for k, t in texts.items()], CHUNKS)
+    return rows, rows.select("doc_id", F.lit("h").alias("content_hash"))
+
+
+def texts_of(store):
+    return {r.doc_id: r.text for r in store.chunks().collect()}
+
+
+def test_commits_of_two_writers_lose_neither(spark, tmp_path):
+    one, other = (ChunkStore(spark, str(tmp_path / "store"), buckets=8) for _ in range(2))
+    first = {f"d{k}": "old" for k in range(30)}
+    one.commit(*some_chunks(spark, first))
+    own = {k: one.buckets_of(some_chunks(spark, {k: ""})[0]) for k in first}
+    a = next(iter(first))
+    b = next(k for k in first if own[k] != own[a])
+
+    def changed(store, k, text):
+        base = store.seq()
+        old = store.chunks(own[k]).drop("doc_bucket")
+        return {"chunks": old.where(F.col("doc_id") != k).unionByName(some_chunks(spark, {k: text})[0]), "hashes": store.hashes(own[k]), "buckets": own[k], "base": base}
+
+    x, y = changed(one, a, "new a"), changed(other, b, "new b")
+    one.commit(**x)
+    other.commit(**y)  # another bucket: merged
+    assert texts_of(one) == first | {a: "new a", b: "new b"} and one.seq() == 2
+    x, y = changed(one, a, "third a"), changed(other, a, "fourth a")
+    one.commit(**x)
+    with pytest.raises(Conflict):  # the same bucket: to be read again
+        other.commit(**y)
+    other.commit(**changed(other, a, "fourth a"))
+    assert texts_of(one) == first | {a: "fourth a", b: "new b"} and one.hashes().count() == 30
+
+
+def test_markers_are_created_once(spark, tmp_path):
+    path = str(tmp_path / "m" / "0.json")
+    (tmp_path / "m").mkdir()
+    assert put_if_absent(spark, path, "one") and not put_if_absent(spark, path, "two")
+    assert [p.read_text() for p in (tmp_path / "m").glob("*.json")] == ["one"] and not list((tmp_path / "m").glob(".[0-9a-f]*[0-9a-f]"))
+
+
+def test_two_streams_into_one_store(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    streams = []
+    for k in "ab":
+        spark.createDataFrame([(f"{k}{i}", "T", "", f"body {i}", "s", "text") for i in range(6)], DOCS).repartition(3).write.parquet(str(tmp_path / k))
+        source = spark.readStream.schema(DOCS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / k))
+        streams.append(jobs.stream_ingest(source, store, str(tmp_path / f"cp-{k}")))
+    for s in streams:
+        s.awaitTermination()
+    assert {r.doc_id for r in store.chunks().collect()} == {f"{k}{i}" for k in "ab" for i in range(6)} == {r.doc_id for r in store.hashes().collect()}
+
+
+def test_buckets_grow_by_splitting(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    texts = {f"d{k}": "old" for k in range(40)}
+    store.commit(*some_chunks(spark, texts))
+    assert store.grow(4) == 8 == store.buckets and texts_of(store) == texts
+    parts = [store.chunks([b]) for b in range(8)]
+    assert sum(p.count() for p in parts) == 40 and all({r.doc_bucket for r in p.collect()} <= {b} for b, p in enumerate(parts))
+    own = store.buckets_of(some_chunks(spark, {"d3": ""})[0])
+    old = store.chunks(own).drop("doc_bucket").where("doc_id <> 'd3'")
+    store.commit(old.unionByName(some_chunks(spark, {"d3": "new"})[0]), store.hashes(own), buckets=own)
+    assert texts_of(store) == texts | {"d3": "new"} and store.hashes().count() == 40
+
+
+def test_cleaning_leaves_what_markers_name(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=2)
+    names = [store.commit(*some_chunks(spark, {"a": f"{k}"})) for k in range(4)]
+    assert store.clean() == []  # too young
+    assert set(store.clean(least_age=-5)) == set(names[:2]) and texts_of(store) == {"a": "3"}
+    assert store.commit(*some_chunks(spark, {"a": "4"})) and store.seq() == 4
+
+
+def test_stored_chunks_are_not_shuffled(spark, tmp_path):
+    """Replacing some documents joins the stored chunks with their broadcast ids, and reads their buckets only."""
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=8)
+    docs = spark.createDataFrame([(f"d{k}", "T", "", f"body {k}", "s", "text") for k in range(40)], DOCS)
+    done = corpus.ingest(docs, *jobs._tables(store, docs, []))
+    store.commit(done["chunks"], done["hashes"])
+    batch = docs.limit(1).withColumn("body", F.lit("changed"))
+    touched = store.buckets_of(batch)
+    chunks = corpus.ingest(batch, store.chunks(touched).drop("doc_bucket"), store.hashes(touched))["chunks"]
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    stored = plan[plan.index("LeftAnti") :].split("Union")[0]
+    assert "BroadcastHashJoin [doc_id" in plan and "LeftAnti" in plan
+    scan = stored[: stored.index("BroadcastExchange")]
+    assert "Exchange" not in scan.replace("BroadcastExchange", "") and f"[{touched[0]}]" in plan.replace("doc_bucket", "").replace("IN (", "[") or f"= {touched[0]})" in plan
+    assert "Exchange hashpartitioning(doc_id" not in scan
+
+
 def test_subtree_of_pages_that_are_each_others_parents(spark):
     pages = spark.createDataFrame([("a", "A", "c"), ("b", "B", "a"), ("c", "C", "b"), ("d", "D", "d"), ("e", "E", "b")], "doc_id string, title string, parent string")
     assert {(r.doc_id, r.depth) for r in files.subtree(pages, "A").collect()} == {("a", 0), ("b", 1), ("c", 2), ("e", 2)}
