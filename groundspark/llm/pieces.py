@@ -1,13 +1,13 @@
-"""SentencePiece ids of whole texts, and texts of ids, by a table of distinct marked words.
+"""SentencePiece ids of whole texts, and texts of ids, by tables of distinct marked words.
 
 A text's marked words are its runs of whitespace markers with what follows up to the next run; the library puts one
 marker in front of a text. Where no piece of the vocabulary holds a marker behind another character, no merge crosses
-from one marked word into the next, so a text's ids are those of its marked words one after another. Words are counted
-with partial sums; those that occur twice or more form the table, whose words are segmented and decoded once each, by
-Spark. The others occur once, and are segmented where they stand.
+from one marked word into the next, so a text's ids are those of its marked words one after another.
 
-A table of bounded size is broadcast, and texts aren't shuffled at all. Of a larger one the most frequent words are
-broadcast, and what they leave of a text travels as (row, place, word) to the table and back by row and place.
+All words are counted, with partial sums. The most frequent ones, as many as may be broadcast, form the table: Spark
+segments and decodes each of them once, and tasks join them back by position. The rest (in natural text a few per cent
+of the places, most of them words that occur once or twice) gets a table of its own in each task, from which words go in
+the order in which they came. So texts aren't shuffled, and nothing of a text is written.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundspark.llm.common import Scratch, annotate, flat_rows, fresh_names, small_batches
+from groundspark.llm.common import Scratch, annotate, fresh_names, small_batches
 
 MARK = "▁"
 #: Words, and bytes of words and ids, that may be broadcast.
-BROADCAST_WORDS, BROADCAST_BYTES = 600_000, 24 << 20
-#: Words that a task counts before it hands them on, and segments at a time.
-COUNTED, SEGMENTED = 100_000, 10_000
+BROADCAST_WORDS, BROADCAST_BYTES = 400_000, 40 << 20
+#: Words that a task counts before it hands them on, segments at a time, and keeps in either half of its own table.
+COUNTED, SEGMENTED, REMEMBERED = 100_000, 10_000, 100_000
 #: What a normaliser would change: compatibility forms, case, runs of blanks, blanks at the ends, controls.
 _PROBE = "  ﬁ Å ①  A\t\x01　​ İ "
 
@@ -112,66 +112,52 @@ def word_table(words: DataFrame, model: str) -> DataFrame:
     return words.mapInArrow(run, "word string, n long, ids binary, spelled string")
 
 
-class Known(dict):
-    """Word -> its ids; of words that decode to something else also what they decode to."""
-
-    def __init__(self, table: pa.Table) -> None:
-        words, ids, spelled = (table[c].to_pylist() for c in ("word", "ids", "spelled"))
-        super().__init__(zip(words, ids, strict=True))
-        self.spelled = {w: s for w, s in zip(words, spelled, strict=True) if s is not None}
-
-    def texts(self, model: Model, documents: list[list[str]], more: list[dict[int, tuple]]) -> list[tuple[bytes, str]]:
-        """Ids and decoded text of documents given as marked words. more: place -> (ids, spelled) of words that came
-        from the table by a join; words that are nowhere occur once and are segmented here."""
-        new = list(dict.fromkeys(w for words, own in zip(documents, more, strict=True) for i, w in enumerate(words) if w not in self and i not in own))
-        ids = dict(zip(new, model.segment(new), strict=True))
-        told = {w: s for w, s in zip(new, model.spell(list(ids.values())), strict=True) if s != w}
+class Words:
+    """Ids and text of marked words: those of the broadcast table, and a task's own, of which the older half goes."""
+
+    def __init__(self, model: Model, table: dict[str, bytes], spelled: dict[str, str]) -> None:
+        self.model, self.table, self.spelled, self.other = model, table, spelled, dict(spelled)
+        self.own: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, documents: list[list[str]]) -> None:
+        """Segment and decode the distinct words of some documents that aren't known."""
+        if len(self.own) > REMEMBERED:
+            self.own, self.older = {}, self.own
+            self.other = self.spelled | {w: t for w, t in self.other.items() if w in self.older}
+        own, older = self.own, self.older
+        missing = {w for words in documents for w in set(words).difference(self.table) if w not in own}
+        own.update((w, older[w]) for w in missing if w in older)
+        new = [w for w in missing if w not in own]
+        for at in range(0, len(new), SEGMENTED):
+            part = new[at : at + SEGMENTED]
+            ids = self.model.segment(part)
+            own.update(zip(part, ids, strict=True))
+            self.other.update((w, t) for w, t in zip(part, self.model.spell(ids), strict=True) if t != w)
+
+    def texts(self, documents: list[list[str]]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of documents given as marked words."""
+        self.learn(documents)
+        table, own, other = self.table, self.own, self.other
         out = []
-        for words, own in zip(documents, more, strict=True):
-            if own:
-                parts = [own[i][0] if i in own else self.get(w) or ids[w] for i, w in enumerate(words)]
-                spelled = [(own[i][1] if own[i][1] is not None else w) if i in own else self.spelled.get(w) or told.get(w, w) for i, w in enumerate(words)]
-            else:
-                parts = [self.get(w) or ids[w] for w in words]
-                spelled = [self.spelled.get(w) or told.get(w, w) for w in words] if self.spelled or told else words
-            out.append((b"".join(parts), " ".join(spelled)))
+        for words in documents:
+            ids = b"".join([table.get(w) or own[w] for w in words])
+            out.append((ids, " ".join([other.get(w, w) for w in words] if other else words)))
         return out
 
 
-def bounded_rank(table: DataFrame, most_words: int, most_bytes: int) -> int:
-    """The least count, a power of two, from which on the table's words fit both bounds; 2 if all do. The driver gets
+def bounded_rank(counts: DataFrame, most_words: int, most_bytes: int) -> int:
+    """The least count, a power of two from 2 on, from which on the words fit both bounds with their ids. The driver gets
     a row for each power of two."""
-    size = F.octet_length("word") + F.octet_length("ids") + F.coalesce(F.octet_length("spelled"), F.lit(0)) + 16
-    levels = table.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("level")).agg(F.count("*").alias("words"), F.sum(size).alias("bytes")).collect()
-    words = total = 0
-    least = 1 << 62
+    size = 5 * F.octet_length("word") + 16  # four bytes of ids for each of the word's, at most
+    levels = counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).alias("level")).agg(F.count("*").alias("words"), F.sum(size).alias("bytes")).collect()
+    words, total, least = 0, 0, 1 << 62
     for r in sorted(levels, key=lambda r: -r["level"]):
         words, total = words + r["words"], total + r["bytes"]
         if words > most_words or total > most_bytes:
-            return least
+            break
         least = 1 << r["level"]
-    return 2
-
-
-def _by_row(docs: DataFrame, text_col: str, table: DataFrame, known, scratch: Scratch) -> tuple[DataFrame, str]:
-    """docs with a column of the words that the broadcast table lacks: at, ids, spelled. Only words travel by a hash of
-    their own and back by row; a word that is frequent enough to make a hot key is in the broadcast table."""
-    row, found = fresh_names(docs, ["row_", "found_"])
-    numbered = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-
-    def make() -> Callable:
-        own = known.value
-
-        def run(texts: list[str | None], part: pa.RecordBatch) -> pa.RecordBatch:
-            out = [(r, i, w) for r, t in zip(part.column(1).to_pylist(), texts, strict=True) for i, w in enumerate(marked_words(t or "")) if w not in own]
-            a, b, c = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.string())], names=["row", "at", "word"])
-
-        return run
-
-    asked = flat_rows(numbered.select(text_col, row), text_col, "row long, at int, word string", make)
-    got = asked.join(table.select("word", "ids", "spelled"), "word").groupBy("row").agg(F.collect_list(F.struct("at", "ids", "spelled")).alias(found))
-    return numbered.join(got.withColumnRenamed("row", row), row, "left").drop(row), found
+    return max(2, least)
 
 
 def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, fields: list[tuple[str, str]] | None = None, make: Callable | None = None, most_words: int = BROADCAST_WORDS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -189,30 +175,20 @@ def encode(docs: DataFrame, text_col: str = "text", model: str | None = None, fi
     small_batches(spark)
     scratch = Scratch(spark, "pieces")
     counts = scratch.write(word_counts(docs, text_col).where("n > 1"), "counts")
-    table = scratch.write(word_table(counts, path), "table")
+    frequent = counts.where(F.col("n") >= bounded_rank(counts, most_words, most_bytes))
+    table = word_table(frequent, path).select("word", "ids", "spelled").toArrow()
     scratch.drop("counts")
-    least = bounded_rank(table, most_words, most_bytes)
-    known = spark.sparkContext.broadcast(Known(table.where(F.col("n") >= least).select("word", "ids", "spelled").toArrow()))
-    found = None
-    if least > 2:
-        docs, found = _by_row(docs, text_col, table, known, scratch)
+    words, ids, spelled = (table[c].to_pylist() for c in ("word", "ids", "spelled"))
+    known = spark.sparkContext.broadcast((dict(zip(words, ids, strict=True)), {w: s for w, s in zip(words, spelled, strict=True) if s is not None}))
     if fields is None:
         fields, make = list(zip(fresh_names(docs, ["pieces", "decoded"]), ["array<int>", "string"], strict=True)), _plain
 
-    at = docs.columns.index(found) if found else None
-
     def run() -> Callable:
-        own, words = Model(path), known.value
-        tell = make(*(array("I", [i]).tobytes() for i in (own.sp.bos_id(), own.sp.eos_id())))
-
-        def rows(texts: list[str | None], part: pa.RecordBatch) -> list[pa.Array]:
-            more = [{s["at"]: (s["ids"], s["spelled"]) for s in f or ()} for f in part.column(at).to_pylist()] if at is not None else [{}] * len(texts)
-            return tell(words.texts(own, [marked_words(t or "") for t in texts], more))
-
-        return rows
+        own = Words(Model(path), *known.value)
+        tell = make(*(array("I", [i]).tobytes() for i in (own.model.sp.bos_id(), own.model.sp.eos_id())))
+        return lambda texts, _: tell(own.texts([marked_words(t or "") for t in texts]))
 
-    out = annotate(docs, text_col, fields, run)
-    return out.drop(found) if found else out
+    return annotate(docs, text_col, fields, run)
 
 
 def _plain(begin: bytes, end: bytes) -> Callable:

@@ -13,6 +13,7 @@ from test_text_operators import prose
 from groundspark.llm import pieces
 
 SP = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+MODEL = pieces.Model(pieces.default_model())
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 TEXTS = [
     None, "", " ", "  ", "     ", "a", " a", "a ", " a  b   ", "\n", "a\nb\n\n c", "\tx\r\ny ", "▁", "▁▁a b▁c ▁", "ﬁ ① é é ÅΩ", "日本 語の　テスト", "\U0001f600 \U0001f468‍\U0001f469", "a\x00b \x01",
@@ -60,10 +61,10 @@ def test_query_over_documents(spark):
 
 def test_empty_table_and_clashing_names(spark):
     assert pieces.report(spark.createDataFrame([], SCHEMA)).collect() == []
-    t = spark.createDataFrame([(1, "a b a b", "x", 7, "y")], "doc_id long, text string, pieces string, row_ long, Decoded string")
+    t = spark.createDataFrame([(1, "a b a b", "x", 7, "y")], "doc_id long, text string, pieces string, word long, Decoded string")
     for bounds in ((10, 1000), (0, 0)):
         out = pieces.encode(t, most_words=bounds[0], most_bytes=bounds[1])
-        assert out.columns == ["doc_id", "text", "pieces", "row_", "Decoded", "_pieces", "_decoded"]
+        assert out.columns == ["doc_id", "text", "pieces", "word", "Decoded", "_pieces", "_decoded"]
         assert tuple(out.first()) == (1, "a b a b", "x", 7, "y", whole("a b a b"), "a b a b")
 
 
@@ -76,6 +77,22 @@ def test_each_repeated_word_is_in_the_table_once(spark):
     assert all(np.frombuffer(r.ids, "<u4").tolist() == SP.encode(r.word) and r.spelled is None for r in table)
 
 
+def test_the_table_holds_the_most_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{k}", 2**k) for k in range(1, 11)], "word string, n long")
+    assert [pieces.bounded_rank(counts, n, 10**6) for n in (0, 1, 3, 10, 99)] == [1 << 62, 1024, 256, 2, 2]
+    assert pieces.bounded_rank(counts, 99, 2 * (16 + 15)) == 512
+
+
+def test_a_task_forgets_its_oldest_words(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    monkeypatch.setattr(pieces, "SEGMENTED", 2)
+    words = pieces.Words(MODEL, {"a": MODEL.segment(["a"])[0]}, {})
+    for text in ("a b c d e", "f g", "b a f", "x", "e"):
+        ((ids, told),) = words.texts([pieces.marked_words(text)])
+        assert np.frombuffer(ids, "<u4").tolist() == SP.encode(text) and told == text
+    assert len(words.own) + len(words.older) <= 12
+
+
 def test_decoding_any_ids(spark):
     r = np.random.default_rng(5)
     lists = [r.integers(0, 32_000, n).tolist() for n in (1, 2, 5, 40, 400)] + [r.integers(0, 300, 200).tolist() for _ in range(5)]
@@ -85,9 +102,6 @@ def test_decoding_any_ids(spark):
     assert {g.decoded: g._decoded for g in got} == {i: None if x is None else SP.decode(x) for i, x in enumerate(lists)}
 
 
-MODEL = pieces.Model(pieces.default_model())
-
-
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(" ▁a bcé\n\t\x00日Åﬁ<>0\r{});\U0001f600")))
 def test_words_give_what_whole_texts_give(text):
