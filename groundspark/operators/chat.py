@@ -26,9 +26,14 @@ def in_context(text: Column, previous: Column) -> Column:
     return F.when(previous.isNotNull() & (previous != "") & is_referential(text), with_topic).otherwise(text)
 
 
-def follow_ups(chat: DataFrame) -> DataFrame:
-    """thread_id, sender, turn, text, query: a referential question carries the same sender's previous one."""
-    before = F.lag("text").over(Window.partitionBy("thread_id", "sender").orderBy("turn"))
+def follow_ups(chat: DataFrame, ttl_seconds: float | None = None) -> DataFrame:
+    """thread_id, sender, turn, text, query: a referential question carries the same sender's previous one; with a time
+    to live only one that was said (said_at) at most so long before."""
+    order = Window.partitionBy("thread_id", "sender").orderBy(*([] if ttl_seconds is None else ["said_at"]), "turn")
+    before = F.lag("text").over(order)
+    if ttl_seconds is not None:
+        seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+        before = F.when(seconds(F.col("said_at")) - seconds(F.lag("said_at").over(order)) <= ttl_seconds, before)
     return chat.select("thread_id", "sender", "turn", "text", in_context(F.col("text"), before).alias("query"))
 
 

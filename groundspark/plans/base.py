@@ -132,9 +132,12 @@ def as_candidate_events(e: DataFrame) -> DataFrame:
 
 
 def chat_log(spark: SparkSession, d: str) -> DataFrame:
-    """conversations: thread, sender; every third turn is a short follow-up."""
-    c = table(spark, d, "conversations")
-    text = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("what about "), F.substring("text", 1, 20))).otherwise(F.col("text"))
+    """conversations: thread, sender; every third turn is a follow-up."""
+    return as_chat(table(spark, d, "conversations"))
+
+
+def as_chat(c: DataFrame) -> DataFrame:
+    text = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("what about "), "text")).otherwise(F.col("text"))
     return c.select(F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("sender"), "turn", text.alias("text"))
 
 
@@ -187,7 +190,7 @@ CTE: dict[str, str] = {
     "votes": """SELECT 'topic ' || user_id AS question, CASE WHEN event_id % 3 = 0 THEN 'down' ELSE 'up' END AS verdict, 'u' || user_id AS reporter, ts AS created_at, event_id FROM events""",
     "cands": """SELECT user_id AS id, min(ts) AS created_at, 'Topic ' || user_id AS question, CASE WHEN user_id % 5 = 0 THEN ' ' ELSE 'Answer ' || user_id END AS answer, ['approved', 'pending', 'rejected', 'approved'][user_id % 4 + 1] AS status FROM events GROUP BY user_id""",
     "cevents": """SELECT user_id AS id, ts AS "at", event_id AS seq, ['submit', 'approve', 'reject', 'down', 'revoke', 'down', 'down', 'quarantine'][event_id % 8 + 1] AS kind, 'u' || (user_id % 3) AS author, 'U' || (event_id % 5) AS approver FROM events""",
-    "chat": """SELECT conv_id::VARCHAR AS thread_id, role AS sender, turn, CASE WHEN turn % 3 = 2 THEN 'what about ' || substr(text, 1, 20) ELSE text END AS text FROM conversations""",
+    "chat": """SELECT conv_id::VARCHAR AS thread_id, role AS sender, turn, CASE WHEN turn % 3 = 2 THEN 'what about ' || text ELSE text END AS text FROM conversations""",
 }
 _NEEDS = {
     "chunks": ["docs"], "vec": ["chunks"], "qvec": ["questions"], "sims": ["vec", "qvec"], "dense": ["sims"], "postings": ["chunks", "stops"],

@@ -780,7 +780,10 @@ def i10(spark, d):
 # --- j: conversations
 
 
-@query("j1_follow_ups", sql("chat", "SELECT thread_id, sender, turn, CASE WHEN p <> '' AND (starts_with(l, 'and ') OR starts_with(l, 'what about') OR starts_with(l, 'how about') OR starts_with(l, 'what else') OR starts_with(l, 'tell me more') OR starts_with(l, 'more about') OR starts_with(l, 'also ') OR starts_with(l, 'what''s ') OR starts_with(l, 'explain ') OR (len(w) <= 4 AND list_has_any(w, ['it', 'that', 'this', 'they', 'those', 'these', 'them']))) THEN text || ' (in the context of: ' || p || ')' ELSE text END AS query FROM (SELECT *, trim(lower(text)) AS l, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w, lag(text) OVER (PARTITION BY thread_id, sender ORDER BY turn) AS p FROM chat)"))
+_FOLLOW = sql("chat", "SELECT thread_id, sender, turn, CASE WHEN p <> '' AND (starts_with(l, 'and ') OR starts_with(l, 'what about') OR starts_with(l, 'how about') OR starts_with(l, 'what else') OR starts_with(l, 'tell me more') OR starts_with(l, 'more about') OR starts_with(l, 'also ') OR starts_with(l, 'what''s ') OR starts_with(l, 'explain ') OR (len(w) <= 4 AND list_has_any(w, ['it', 'that', 'this', 'they', 'those', 'these', 'them']))) THEN text || ' (in the context of: ' || p || ')' ELSE text END AS query FROM (SELECT *, trim(lower(text)) AS l, list_filter(string_split_regex(trim(lower(text)), '\\s+'), lambda x: x <> '') AS w, lag(text) OVER (PARTITION BY thread_id, sender ORDER BY turn) AS p FROM chat)")
+
+
+@query("j1_follow_ups", _FOLLOW)
 def j1(spark, d):
     return chat.follow_ups(b.chat_log(spark, d)).select("thread_id", "sender", "turn", "query")
 
@@ -920,6 +923,15 @@ def l3(spark, d):
     return _drained(spark, jobs.stream_quarantine(b.as_candidate_events(events).withColumn("at", F.col("at").cast("timestamp"))), "l3").select("id", F.col("at").cast("timestamp_ntz").alias("at"))
 
 
+@query("l4_stream_follow_ups", f"SELECT *, false AS late FROM ({_FOLLOW})")
+def l4(spark, d):
+    """Conversations as a stream in event time, a minute for each turn: it ends with the files."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    said = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parquet*")
+    timed = b.as_chat(said).withColumn("said_at", F.timestamp_seconds(1_700_000_000 + F.col("turn") * 60))
+    return _drained(spark, jobs.stream_follow_ups(timed.withColumn("turn", F.col("turn").cast("long")), watermark="7 days"), "l4").select("thread_id", "sender", "turn", "query", "late")
+
+
 @query("l1_stream_ingest", sql("docs", "SELECT space, sum(1 + greatest(0, ceil((len(toks) - 500) / 440.0)))::BIGINT AS chunks, count(*) AS docs FROM docs WHERE len(toks) > 0 GROUP BY space"))
 def l1(spark, d):
     """documents as a stream into a chunk store."""

@@ -107,30 +107,49 @@ def stream_quarantine(events: DataFrame, threshold: int = QUARANTINE_AT) -> Data
 
 
 class _Memory(StatefulProcessor):
-    """The last question of a sender in a thread, forgotten after the time to live."""
+    """The last question of a sender in a thread and when it was asked; a timer in event time forgets it.
+
+    A key's rows of one batch are taken in order of time. A row older than what is remembered comes too late: it gets no
+    context, and changes nothing."""
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "text string", self.ttl_ms)
+        self.handle, self.state = handle, handle.getValueState("last", "text string, said_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last = self.state.get()[0] if self.state.exists() else None
-        frame = pd.concat(list(rows)).sort_values("turn")
-        before = []
-        for text in frame.text:
-            before.append(last)
-            last = text
-        self.state.update((last,))
-        yield pd.DataFrame({"thread_id": key[0], "sender": key[1], "turn": frame.turn.to_numpy(), "text": frame.text.to_numpy(), "previous": before})
+        last, at = self.state.get() if self.state.exists() else (None, None)
+        frame = pd.concat(list(rows)).sort_values(["said_at", "turn"], kind="stable")
+        said = frame.said_at.astype("datetime64[ms]").astype("int64")
+        late = (said < at) if at is not None else pd.Series(False, index=frame.index)
+        fresh, when = frame.text[~late], said[~late]
+        before, before_at = fresh.shift(fill_value=last), when.shift(fill_value=at if at is not None else 0)
+        in_time = when - before_at <= self.ttl_ms
+        previous = pd.Series(None, index=frame.index, dtype=object)
+        previous[~late] = before.where(in_time, None)
+        if len(fresh):
+            if at is not None:
+                self.handle.deleteTimer(at + self.ttl_ms + 1)
+            at = int(when.iloc[-1])
+            self.state.update((fresh.iloc[-1], at))
+            self.handle.registerTimer(at + self.ttl_ms + 1)
+        yield pd.DataFrame({"thread_id": key[0], "sender": key[1], "turn": frame.turn.to_numpy(), "text": frame.text.to_numpy(), "previous": previous.to_numpy(), "late": late.to_numpy()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield pd.DataFrame({"thread_id": pd.Series(dtype=object), "sender": pd.Series(dtype=object), "turn": pd.Series(dtype="int64"), "text": pd.Series(dtype=object), "previous": pd.Series(dtype=object), "late": pd.Series(dtype=bool)})
 
     def close(self) -> None:
         pass
 
 
-def stream_follow_ups(messages: DataFrame, ttl_ms: int = TTL_MS) -> DataFrame:
-    """L4: thread_id, sender, turn, text, query, as follow_ups; only the previous question is kept as state, the rest is SQL."""
-    schema = "thread_id string, sender string, turn long, text string, previous string"
-    said = messages.groupBy("thread_id", "sender").transformWithStateInPandas(_Memory(ttl_ms), schema, "Append", "ProcessingTime")
-    return said.select("thread_id", "sender", "turn", "text", chat.in_context(F.col("text"), F.col("previous")).alias("query"))
+def stream_follow_ups(messages: DataFrame, ttl_ms: int = TTL_MS, watermark: str = WATERMARK) -> DataFrame:
+    """L4: thread_id, sender, turn, text, query, late, as follow_ups over messages (thread_id, sender, turn, text, said_at).
+
+    A question counts as the previous one for ttl_ms of event time; behind the watermark its state is dropped, and Spark
+    drops rows that are older. Only the previous question is kept as state, the rest is SQL."""
+    schema = "thread_id string, sender string, turn long, text string, previous string, late boolean"
+    timed = messages.withColumn("said_at", F.col("said_at").cast("timestamp")).withWatermark("said_at", watermark)
+    said = timed.groupBy("thread_id", "sender").transformWithStateInPandas(_Memory(ttl_ms), schema, "Append", "EventTime")
+    return said.select("thread_id", "sender", "turn", "text", chat.in_context(F.col("text"), F.col("previous")).alias("query"), "late")

@@ -1,7 +1,6 @@
 """Files, exports, the chunk store, and the streams against their batch twins."""
 
 import json
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -210,13 +209,29 @@ def test_stateful_streams_equal_their_batch_twins(spark, tmp_path):
     life.coalesce(1).write.parquet(str(tmp_path / "life"))
     stream = spark.readStream.schema(life.schema).parquet(str(tmp_path / "life"))
     assert rows(drain(spark, jobs.stream_quarantine(stream), "quarantined").select("id", "at")) == rows(feedback.quarantine(life)) != []
-    chat_log = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(F.col("conv_id").cast("string").alias("thread_id"), F.col("role").alias("sender"), F.col("turn").cast("long").alias("turn"), F.when(F.col("turn") > 2, F.concat(F.lit("and "), F.col("text"))).otherwise(F.col("text")).alias("text"))
-    chat_log.coalesce(1).write.parquet(str(tmp_path / "chat"))
-    stream = jobs.stream_follow_ups(spark.readStream.schema(chat_log.schema).parquet(str(tmp_path / "chat")))
-    query = stream.writeStream.format("memory").queryName("follow_ups").start()  # its clock never lets it end by itself
-    until = time.time() + 120
-    while spark.table("follow_ups").count() < chat_log.count() and time.time() < until:
-        time.sleep(1)
-    query.stop()
-    said = spark.table("follow_ups")
-    assert rows(said.select("thread_id", "sender", "turn", "text", "query")) == rows(chat.follow_ups(chat_log))
+
+
+def test_follow_ups_in_event_time(spark, tmp_path):
+    """Questions live for an hour; a question said earlier than what is remembered is late."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    minute = lambda *rows: spark.createDataFrame([(t, s, n, x, 1_700_000_000 + m * 60) for t, s, n, x, m in rows], "thread_id string, sender string, turn long, text string, m long").select("thread_id", "sender", "turn", "text", F.timestamp_seconds("m").alias("said_at"))
+    batches = [
+        minute(("t", "a", 1, "What is a VPN?", 0), ("t", "b", 2, "and it?", 1), ("t", "a", 3, "how about it", 30)),
+        minute(("t", "a", 4, "and now it", 70), ("t", "a", 5, "and that", 200)),
+        minute(("t", "a", 6, "and late", 100), ("t", "b", 7, "and them?", 210), ("t", "a", 8, None, 211), ("t", "a", 9, "and it", 212)),
+    ]
+    folder = tmp_path / "said"
+    for k, rows_of in enumerate(batches):
+        rows_of.coalesce(1).write.mode("append").parquet(str(folder))
+        stream = jobs.stream_follow_ups(spark.readStream.schema(rows_of.schema).parquet(str(folder)), ttl_ms=3_600_000, watermark="5 hours")
+        done = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert done.awaitTermination(240)
+    got = {r.turn: (r.query, r.late) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    topic = lambda x, y: (f"{x} (in the context of: {y})", False)
+    assert got == {
+        1: ("What is a VPN?", False), 2: ("and it?", False), 3: topic("how about it", "What is a VPN?"), 4: topic("and now it", "how about it"), 5: ("and that", False),
+        6: ("and late", True), 7: ("and them?", False), 8: (None, False), 9: ("and it", False),
+    }
+    on_time = batches[0].union(batches[1]).union(batches[2].where("turn <> 6"))
+    assert {r.turn: r.query for r in chat.follow_ups(on_time, 3600).collect()} == {k: q for k, (q, late) in got.items() if not late}
