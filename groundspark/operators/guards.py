@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundspark.functions.text import content_tokens, let
-from groundspark.functions.vectors import cosine, hash_embedding
+from groundspark.functions.vectors import hash_embedding
+from groundspark.operators.vectors import unit_rows
 from groundspark.sources.scratch import written
 
 # Phrases of refusals and of editorial openers.
@@ -61,6 +64,8 @@ _CUT = "\uE002"
 
 OVERLAP_FLOOR, LEAST_ANSWER_TOKENS, LEAST_SOURCE_TOKENS = 0.48, 12, 200
 SENTENCE_FLOOR, LEAST_SENTENCE_TOKENS = 0.55, 6
+#: Slices of questions, in which sentences meet hits, for each shuffle partition.
+SLICES = 4
 
 
 def _any(text: Column, phrases: list[str]) -> Column:
@@ -96,10 +101,12 @@ def is_refusal(answer: Column) -> Column:
 
 def strip_trailing_refusal(answer: Column) -> Column:
     """Refusing lines at the end dropped; an answer of nothing else stays as it is."""
-    lines = F.split(F.regexp_replace(F.coalesce(answer, F.lit("")), r"(?U)\s+$", ""), "\n")
+    text = _strip_end(F.coalesce(answer, F.lit("")))
+    lines = F.split(text, "\n")
     kept = F.transform(lines, lambda x, i: F.when(is_refusal(x), 0).otherwise(i + 1))
     cut = _strip_end(F.array_join(F.slice(lines, F.lit(1), F.array_max(kept)), "\n"))
-    return F.when(cut == "", answer).otherwise(cut)
+    # most answers end in another line, and their lines needn't be looked at
+    return F.when(~is_refusal(F.substring_index(text, "\n", -1)), text).when(cut == "", answer).otherwise(cut)
 
 
 def _strip_end(text: Column) -> Column:
@@ -175,15 +182,36 @@ def prose(answer: Column) -> Column:
     return F.regexp_replace(F.coalesce(answer, F.lit("")), CODE, " ")
 
 
+def _best_cosines(said: pa.Table, held: pa.Table) -> pa.Table:
+    """The rows of `said` whose question has vectors in `held`, with the best cosine; question by question in one product."""
+    n = said.num_rows
+    codes, _ = pd.factorize(np.concatenate([np.array(t["question_id"].to_pylist(), object) for t in (said, held)]))
+    left, right = np.argsort(codes[:n], kind="stable"), np.argsort(codes[n:], kind="stable")
+    width = len(said["embedding"][0]) if n else 1
+    a, b = unit_rows(said["embedding"], width)[left], unit_rows(held["embedding"], width)[right]
+    mine, theirs = codes[:n][left], codes[n:][right]
+    kinds = np.unique(mine)
+    ends = [np.searchsorted(x, kinds, side=s) for x in (mine, theirs) for s in ("left", "right")]
+    best = np.full(n, np.nan)
+    for i, j, k, m in zip(*(e.tolist() for e in ends), strict=True):
+        if m > k:
+            best[left[i:j]] = (a[i:j] @ b[k:m].T).max(1)
+    return pa.table([*(said[c] for c in ("question_id", "n", "sentence")), pa.array(best)], names=["question_id", "n", "sentence", "best"]).filter(pa.array(~np.isnan(best)))
+
+
 def unsupported_sentences(answers: DataFrame, hits: DataFrame, floor: float = SENTENCE_FLOOR, width: int = 64, embedder: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """question_id, n, sentence, best: prose sentences of six content words at least whose best cosine to any hit of
-    their question is below the floor. embedder appends `embedding` for a text column; the built-in one is SQL."""
+    their question is below the floor. embedder appends `embedding` for a text column; the built-in one is SQL.
+
+    Sentences and hits meet by slices of questions; a slice's vectors are multiplied question by question."""
     embedder = embedder or (lambda df, text: df.withColumn("embedding", hash_embedding(F.col(text), width)))
     parts = answers.select("question_id", F.posexplode(F.split(prose(F.col("answer")), SENTENCE_END)).alias("n", "s"))
     parts = parts.where(F.size(content_tokens(F.col("s"))) >= LEAST_SENTENCE_TOKENS).select("question_id", "n", _strip(F.col("s")).alias("sentence"))
-    said = embedder(parts, "sentence").withColumnRenamed("embedding", "a")
-    held = embedder(hits.select("question_id", F.concat_ws(". ", "title", "text").alias("t")), "t").select("question_id", F.col("embedding").alias("b"))
-    best = said.join(held, "question_id").groupBy("question_id", "n", "sentence").agg(F.max(cosine(F.col("a"), F.col("b"))).alias("best"))
+    slices = F.lit(SLICES * int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    by_slice = lambda df, *columns: df.where("embedding IS NOT NULL").select("question_id", *columns, "embedding", F.pmod(F.xxhash64("question_id"), slices).alias("slice")).groupBy("slice")
+    said = by_slice(embedder(parts, "sentence"), "n", "sentence")
+    held = by_slice(embedder(hits.select("question_id", F.concat_ws(". ", "title", "text").alias("t")), "t"))
+    best = said.cogroup(held).applyInArrow(_best_cosines, f"question_id {dict(answers.dtypes)['question_id']}, n int, sentence string, best double")
     return best.where(F.col("best") < floor)
 
 

@@ -51,9 +51,9 @@ def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """benchmark items as questions: all their words but for `or`."""
+    """benchmark items as questions: all their words; an `or` among them joins alternatives."""
     found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(F.filter(found, lambda w: w != "or"), " ").alias("question"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array_join(found, " ").alias("question"))
 
 
 def embedded_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ CTE: dict[str, str] = {
     "vec": """SELECT * EXCLUDE (c), list_transform(c, lambda x: (x / sqrt(list_sum(list_transform(c, lambda y: y * y))))::FLOAT) AS embedding FROM (
         SELECT * EXCLUDE (b), list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM (
         SELECT *, list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(sha256(w), 1, 2))::INT % 64) AS b FROM chunks))""",
-    "questions": """SELECT item_id AS question_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w <> 'or'), ' ') AS question FROM benchmark""",
+    "questions": """SELECT item_id AS question_id, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS question FROM benchmark""",
     "qvec": """SELECT * EXCLUDE (c), list_transform(c, lambda x: (x / CASE WHEN list_sum(list_transform(c, lambda y: y * y)) = 0 THEN 1 ELSE sqrt(list_sum(list_transform(c, lambda y: y * y))) END)::FLOAT) AS q FROM (
         SELECT * EXCLUDE (b), list_transform(range(0, 64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS c FROM (
         SELECT *, list_transform(list_filter(string_split_regex(lower(question), '\\s+'), lambda x: x <> ''), lambda w: ('0x' || substr(sha256(w), 1, 2))::INT % 64) AS b FROM questions))""",
@@ -158,10 +158,16 @@ CTE: dict[str, str] = {
     "dense": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(vector_score, 9) DESC, chunk_id) AS rank FROM sims) WHERE rank <= 32""",
     "stops": "SELECT unnest(string_split('{stops}', ' ')) AS term",
     "postings": """SELECT chunk_id, term, pos FROM (SELECT chunk_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+') AS t FROM chunks)) WHERE term NOT IN (SELECT term FROM stops)""",
-    "terms": """SELECT question_id, n + 1 AS grp, n, term, 'word' AS kind, 0 AS place FROM (SELECT question_id, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS n FROM (SELECT question_id, string_split(question, ' ') AS t FROM questions)) WHERE term NOT IN (SELECT term FROM stops)""",
-    "matched": """SELECT question_id, chunk_id FROM (SELECT DISTINCT t.question_id, t.grp, p.chunk_id FROM terms t JOIN postings p USING (term)) m JOIN (SELECT question_id, count(DISTINCT grp) AS g FROM terms GROUP BY 1) s USING (question_id) GROUP BY question_id, chunk_id, g HAVING count(*) = g""",
+    "raws": """SELECT *, raw <> 'or' AND coalesce(lag(raw) OVER (PARTITION BY question_id ORDER BY n) = 'or', false) AS joins FROM (SELECT question_id, unnest(r) AS raw, generate_subscripts(r, 1) - 1 AS n FROM (SELECT question_id, regexp_extract_all(lower(question), '-?"[^"]*"|-?[^\\s"]+') AS r FROM questions))""",
+    "terms": """SELECT question_id, grp, n, unnest(t) AS term, kind, generate_subscripts(t, 1) - 1 AS place FROM (SELECT question_id, n, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY question_id ORDER BY n) AS grp,
+        CASE WHEN starts_with(raw, '-') THEN 'not' WHEN contains(raw, '"') THEN 'phrase' ELSE 'word' END AS kind, regexp_extract_all(raw, '[a-z0-9]+') AS t FROM raws WHERE raw <> 'or')""",
+    "asked": "SELECT * FROM terms WHERE term NOT IN (SELECT term FROM stops)",
+    "parts": """SELECT DISTINCT question_id, grp, kind, chunk_id FROM (SELECT s.question_id, s.grp, s.n, s.kind, s.size, p.chunk_id, p.pos - s.place AS at, count(DISTINCT s.place) AS m
+        FROM (SELECT *, count(*) OVER (PARTITION BY question_id, n) AS size FROM asked) s JOIN postings p USING (term) GROUP BY ALL) WHERE m = size""",
+    "matched": """SELECT p.question_id, p.chunk_id FROM parts p JOIN (SELECT question_id, count(DISTINCT grp) AS g FROM asked WHERE kind <> 'not' GROUP BY 1) USING (question_id)
+        WHERE kind <> 'not' AND NOT EXISTS (SELECT 1 FROM parts x WHERE x.kind = 'not' AND x.question_id = p.question_id AND x.chunk_id = p.chunk_id) GROUP BY p.question_id, p.chunk_id, g HAVING count(DISTINCT p.grp) = g""",
     "loose": """SELECT DISTINCT question_id, term FROM (SELECT question_id, unnest(list_filter(regexp_extract_all(lower(question), '[a-z0-9]+'), lambda x: len(x) >= 2)[1:12]) AS term FROM questions WHERE question_id NOT IN (SELECT question_id FROM matched)) WHERE term NOT IN (SELECT term FROM stops)""",
-    "occ": """SELECT w.question_id, p.chunk_id, w.term, p.pos, w.size FROM (SELECT question_id, term, count(*) OVER (PARTITION BY question_id) AS size FROM (SELECT DISTINCT question_id, term FROM terms)) w JOIN postings p USING (term) JOIN matched m ON m.question_id = w.question_id AND m.chunk_id = p.chunk_id""",
+    "occ": """SELECT w.question_id, p.chunk_id, w.term, p.pos, w.size FROM (SELECT question_id, term, count(*) OVER (PARTITION BY question_id) AS size FROM (SELECT DISTINCT question_id, term FROM asked WHERE kind <> 'not')) w JOIN postings p USING (term) JOIN matched m ON m.question_id = w.question_id AND m.chunk_id = p.chunk_id""",
     "covers": """SELECT question_id, chunk_id, size, l, min(r) AS r FROM (
         SELECT question_id, chunk_id, size, r, min(last) AS l FROM (
           SELECT a.question_id, a.chunk_id, a.size, a.pos AS r, b.term, max(b.pos) AS last FROM occ a JOIN occ b ON a.question_id = b.question_id AND a.chunk_id = b.chunk_id AND b.pos <= a.pos GROUP BY ALL)
@@ -194,7 +200,7 @@ CTE: dict[str, str] = {
 }
 _NEEDS = {
     "chunks": ["docs"], "vec": ["chunks"], "qvec": ["questions"], "sims": ["vec", "qvec"], "dense": ["sims"], "postings": ["chunks", "stops"],
-    "terms": ["questions", "stops"], "matched": ["terms", "postings"], "loose": ["matched"], "occ": ["matched"], "covers": ["occ"], "lexed": ["covers", "loose"],
+    "raws": ["questions"], "terms": ["raws"], "asked": ["terms", "stops"], "parts": ["asked", "postings"], "matched": ["parts"], "loose": ["matched"], "occ": ["matched"], "covers": ["occ"], "lexed": ["covers", "loose"],
     "words": ["lexed"], "fused": ["dense", "words"], "hits": ["fused"], "conf": ["hits"],
 }
 

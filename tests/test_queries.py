@@ -4,8 +4,12 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from groundspark.plans import registry
+from groundspark.functions.text import STOP_WORDS
+from groundspark.operators import guards
+from groundspark.plans import base, registry
 
 SF = "/root/testdata/sf0.001"
 NAMES = list(registry.QUERIES)
@@ -40,13 +44,52 @@ def reranked(got):
         assert (own["score"].diff().dropna() <= 1e-9).all() and own["score"].between(-4, 4).all()
 
 
+def cited(answer, hits):
+    """An answer's text and sources, token by token. hits: rank -> (title, url, text)."""
+    out, numbers, sources = [], {}, []
+    key = lambda t, u: (u or "").strip() or f"title::{t}"
+    for k, piece in enumerate(re.split(r"(?s)(```.*?(?:```|$)|`[^`\n]+`)", answer)):
+        if k % 2:
+            out.append(piece)
+            continue
+        before, first = None, False
+        for token in re.findall(r"(?s)\[\d+\]|(?:(?!\[\d+\]).)+", piece):
+            behind = before is not None and re.fullmatch(r"\[\d+\]", before) is not None
+            glued = before is not None and re.search(r"\w$", before) is not None
+            shown = token
+            if re.fullmatch(r"\[\d+\]", token):
+                there = int(token[1:-1]) in hits
+                first = first if behind else not glued or there
+                if there:
+                    title, url, _ = hits[int(token[1:-1])]
+                    if key(title, url) not in numbers:
+                        numbers[key(title, url)] = len(numbers) + 1
+                        sources.append(url.strip())
+                    shown = f"[{numbers[key(title, url)]}]"
+                elif first if behind else not glued:
+                    shown = ""
+            out.append(shown)
+            before = token
+    text = "".join(out)
+    if not sources and hits:
+        words = lambda x: {w for w in re.findall("[a-z0-9]+", x.lower()) if len(w) >= 2 and w not in STOP_WORDS}
+        sources = [min(hits.items(), key=lambda h: (-len(words(text) & words(f"{h[1][0]} {h[1][2]}")), h[0]))[1][1]]
+    return text, sources
+
+
 def citations(got):
-    """Marks in the text are 1 to the number of citations, each source once."""
-    assert len(got) > 0
-    for r in got.itertuples():
-        marks = {int(x) for x in re.findall(r"\[(\d+)\]", r.answer or "")}
-        urls = (r.urls or "").split()
-        assert len(urls) == max(0, r.n_citations) and (not marks or marks == set(range(1, len(urls) + 1)))
+    """All drafts, against a loop over each one's tokens."""
+    spark = SparkSession.getActiveSession()
+    drafts = base.drafts(spark, SF).select("question_id", guards.strip_sources_block(F.col("answer")).alias("answer")).collect()
+    hits = {}
+    for h in base.draft_hits(spark, SF).collect():
+        hits.setdefault(h.question_id, {})[h["rank"]] = (h.title, h.url, h.text)
+    rows = {r.question_id: r for r in got.itertuples()}
+    assert len(rows) == len(got) == len(drafts) > 0
+    for r in drafts:
+        text, urls = cited(r.answer, hits.get(r.question_id, {}))
+        assert rows[r.question_id].answer == text and (rows[r.question_id].urls or "") == " ".join(urls)
+        assert rows[r.question_id].n_citations in (len(urls), -1) and (urls or rows[r.question_id].n_citations <= 0)
 
 
 def sweep(got):
@@ -75,8 +118,6 @@ def test_query(spark, duck, name):
 
 
 def test_recall_sweep_asks_every_title(spark):
-    from groundspark.plans import base
-
     titles = {r.title for r in base.docs(spark, SF).collect() if r.title}
     got = registry.QUERIES["k4_recall_sweep"](spark, SF).collect()
     assert {r.title for r in got} == titles and len(got) == len(titles)
