@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundspark.functions.text import words
 
+#: Words whose hashes a task remembers.
+REMEMBERED = 200_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
@@ -28,21 +33,37 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _scaled_counts(buckets: pd.Series, width: pd.Series) -> pd.Series:
-    """How often each of `width` numbers is in a row, scaled to length 1."""
-    n = int(width.iloc[0]) if len(width) else 1
-    sizes = np.array([len(x) for x in buckets], np.int64)
-    flat = np.concatenate([np.asarray(x, np.int64) for x in buckets]) if sizes.sum() else np.zeros(0, np.int64)
-    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * n + flat, minlength=n * len(sizes)).reshape(-1, n).astype(float)
+class _FirstBytes(dict):
+    """Word -> first byte of its sha256; forgotten when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = first = hashlib.sha256(word.encode()).digest()[0]
+        return first
+
+
+_FIRST = _FirstBytes()
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _hashed_counts(words: pa.Array, width: pa.Array) -> pa.Array:
+    """How many of each row's words have each first byte (modulo the width), scaled to length 1. Words that repeat in a
+    batch are hashed once."""
+    n = width[0].as_py() if len(width) else 1
+    sizes = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    first = np.array([_FIRST[w] for w in coded.dictionary.to_pylist()], np.int64) % n
+    bucket = first[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * n + bucket, minlength=n * len(sizes)).reshape(-1, n).astype(float)
     length = np.sqrt((counts**2).sum(1, keepdims=True))
-    return pd.Series(list((counts / np.where(length == 0, 1, length)).astype(np.float32)))
+    scaled = (counts / np.where(length == 0, 1, length)).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * n, pa.int32()), pa.array(scaled.ravel()))
 
 
 def hash_embedding(text: Column, width: int = 64) -> Column:
     """Words (lower case, between white space) counted by the first byte of their sha256, scaled to length 1.
 
-    Words are hashed in the JVM; the counts of a batch of texts are one pass in NumPy.
+    Words are cut in the JVM and hashed and counted by the batch.
     """
-    bucket = lambda w: F.conv(F.substring(F.sha2(w, 256), 1, 2), 16, 10).cast("int") % width
-    return _scaled_counts(F.transform(words(F.lower(text)), bucket), F.lit(width))
+    return _hashed_counts(words(F.lower(text)), F.lit(width))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,24 +90,36 @@ def _strip(text: Column) -> Column:
 def is_refusal(answer: Column) -> Column:
     """G1: empty; begins (behind a hedge) with a refusal; or cites nothing and has a strong phrase, or a weak one about
     the sources."""
-    low = F.lower(_strip(F.coalesce(answer, F.lit(""))))
-    opener = F.regexp_replace(low, r"^[*_`\"' ]+", "")
-    unhedged = opener
-    for hedge in reversed(HEDGES):
-        unhedged = F.when(F.startswith(opener, F.lit(hedge)), F.ltrim(F.substring(opener, len(hedge) + 1, 1 << 30))).otherwise(unhedged)
+    return let(F.lower(_strip(F.coalesce(answer, F.lit("")))), _refuses)
+
+
+def _refuses(low: Column) -> Column:
+    def opens(opener: Column) -> Column:
+        unhedged = opener
+        for hedge in reversed(HEDGES):
+            unhedged = F.when(F.startswith(opener, F.lit(hedge)), F.ltrim(F.substring(opener, len(hedge) + 1, 1 << 30))).otherwise(unhedged)
+        return let(unhedged, lambda u: _begins(u, REFUSAL_OPENERS))
+
     uncited = ~F.contains(low, F.lit("["))
     hedging = _any(low, REFUSAL_STRONG) | (_any(low, REFUSAL_WEAK) & _any(low, REFUSAL_ANCHORS))
-    return (low == "") | _begins(unhedged, REFUSAL_OPENERS) | (uncited & hedging)
+    return (low == "") | let(F.regexp_replace(low, r"^[*_`\"' ]+", ""), opens) | (uncited & hedging)
 
 
 def strip_trailing_refusal(answer: Column) -> Column:
     """Refusing lines at the end dropped; an answer of nothing else stays as it is."""
     text = _strip_end(F.coalesce(answer, F.lit("")))
-    lines = F.split(text, "\n")
-    kept = F.transform(lines, lambda x, i: F.when(is_refusal(x), 0).otherwise(i + 1))
-    cut = _strip_end(F.array_join(F.slice(lines, F.lit(1), F.array_max(kept)), "\n"))
-    # most answers end in another line, and their lines needn't be looked at
-    return F.when(~is_refusal(F.substring_index(text, "\n", -1)), text).when(cut == "", answer).otherwise(cut)
+    start = F.struct(F.lit(0).alias("dropped"), F.lit(False).alias("done"))
+
+    def step(state: Column, line: Column) -> Column:
+        """Lines in front of one that is kept aren't looked at."""
+        refused = F.struct((state["dropped"] + 1).alias("dropped"), F.lit(False).alias("done"))
+        return F.when(state["done"], state).when(is_refusal(line), refused).otherwise(F.struct(state["dropped"].alias("dropped"), F.lit(True).alias("done")))
+
+    def kept(lines: Column) -> Column:
+        n = F.size(lines) - F.aggregate(F.reverse(lines), start, step)["dropped"]
+        return F.when(n == F.size(lines), text).otherwise(_strip_end(F.array_join(F.slice(lines, F.lit(1), n), "\n")))
+
+    return let(let(F.split(text, "\n"), kept), lambda cut: F.when(cut == "", answer).otherwise(cut))
 
 
 def _strip_end(text: Column) -> Column:
@@ -184,6 +197,7 @@ def prose(answer: Column) -> Column:
 
 def _best_cosines(said: pa.Table, held: pa.Table) -> pa.Table:
     """The rows of `said` whose question has vectors in `held`, with the best cosine; question by question in one product."""
+    said, held = (t.filter(pc.is_valid(t["embedding"])) for t in (said, held))
     n = said.num_rows
     codes, _ = pd.factorize(np.concatenate([np.array(t["question_id"].to_pylist(), object) for t in (said, held)]))
     left, right = np.argsort(codes[:n], kind="stable"), np.argsort(codes[n:], kind="stable")
@@ -208,7 +222,7 @@ def unsupported_sentences(answers: DataFrame, hits: DataFrame, floor: float = SE
     parts = answers.select("question_id", F.posexplode(F.split(prose(F.col("answer")), SENTENCE_END)).alias("n", "s"))
     parts = parts.where(F.size(content_tokens(F.col("s"))) >= LEAST_SENTENCE_TOKENS).select("question_id", "n", _strip(F.col("s")).alias("sentence"))
     slices = F.lit(SLICES * int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    by_slice = lambda df, *columns: df.where("embedding IS NOT NULL").select("question_id", *columns, "embedding", F.pmod(F.xxhash64("question_id"), slices).alias("slice")).groupBy("slice")
+    by_slice = lambda df, *columns: df.select("question_id", *columns, "embedding", F.pmod(F.xxhash64("question_id"), slices).alias("slice")).groupBy("slice")
     said = by_slice(embedder(parts, "sentence"), "n", "sentence")
     held = by_slice(embedder(hits.select("question_id", F.concat_ws(". ", "title", "text").alias("t")), "t"))
     best = said.cogroup(held).applyInArrow(_best_cosines, f"question_id {dict(answers.dtypes)['question_id']}, n int, sentence string, best double")
@@ -245,6 +259,13 @@ def tidy_answer(answer: Column) -> Column:
     return _strip(F.array_join(F.transform(split_code(out), lambda s, i: F.when(i % 2 == 0, clean(s)).otherwise(s)), ""))
 
 
+def _nothing_left(answer: Column) -> Column:
+    """Whether tidying empties an answer. It takes an opener's letters and digits only, so one with more isn't tidied."""
+    most = max(map(len, EDITORIAL_OPENERS))
+    some = F.length(F.regexp_replace(F.substring(answer, 1, 20 * most), "[^A-Za-z0-9]", ""))
+    return F.when(some > most, False).otherwise(_strip(tidy_answer(answer)) == "")
+
+
 def strip_sources_block(answer: Column) -> Column:
     """A trailing list of references dropped, if it stands under a heading for sources or is bare `[n]` lines."""
     def last(bare: Column, keep, upto: Column) -> Column:
@@ -399,6 +420,6 @@ def decide(answers: DataFrame, gated: DataFrame, hits: DataFrame, verdicts: Data
     reason = (
         F.when(F.col("escalate"), "gate").when(is_refusal(F.col("answer")), "refusal").when(F.col("s"), "specifics")
         .when(F.col("n"), "numbers").when(F.col("o"), "overlap").when(F.col("u"), "sentences").when(failed, "verdict")
-        .when(_strip(tidy_answer(F.col("answer"))) == "", "empty")
+        .when(_nothing_left(F.col("answer")), "empty")
     )
     return out.select("question_id", reason.isNull().alias("answered"), reason.alias("reason"))
