@@ -193,17 +193,18 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Sequences are gapless from offset 0. Items that fill a sequence have one of their own. Items must be distinct;
     an empty table gives no rows.
     """
-    full = items.where(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("level"))
+    # numbers below 0 for these, so that items of any size don't overflow
+    full = items.where(F.col("length") == capacity).select("item", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest, done, level = items.where(F.col("length") < capacity).select("item", "length"), [full], 0
     count = rest.count()
     while count:
         placed = written(pack_blocks(rest, count, capacity, level), f"packed-{level}")
-        sequence = (F.col("block") * BLOCK * 16 + F.col("bin")).alias("sequence_id")
+        sequence = ((F.col("block") * BLOCK * 16 + F.col("bin")) * 1024 + level).alias("sequence_id")
         close = F.col("free") <= int(capacity * LOOSE)
         # the blocks of a turn are dealt anew, so what one turn can't close the next may; if it closes nothing, none will
         last = count <= BLOCK or (level > 0 and placed.where(close).count() < WORTHWHILE * count)
         tight = F.lit(True) if last else close
-        done.append(placed.where(tight).select("item", sequence, "offset", F.lit(level).alias("level")))
+        done.append(placed.where(tight).select("item", sequence, "offset"))
         if last:
             break
         rest = written(rest.join(placed.where(~tight).select("item"), "item"), f"loose-{level}")
@@ -211,7 +212,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("item", (F.col("sequence_id") * 1024 + F.col("level") + 1).alias("sequence_id"), "offset")
+    return out
 
 
 def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
