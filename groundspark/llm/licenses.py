@@ -73,6 +73,11 @@ TEMPLATES = {
 }
 #: Directories with a licence that are broadcast (a path and a name each); beyond, documents are joined by a salted shuffle.
 BROADCAST_DIRECTORIES, SALTS = 100_000, 32
+#: Names of SPDX that older files use, by what they are called here; all names are told apart without case.
+SPDX_NAMES = {n.lower(): n for n in (*TEMPLATES, "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later")}
+SPDX_NAMES |= {f"{f}-{v}{mark}".lower(): f"{f}-{v}-{kind}" for f, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0")) for mark, kind in (("", "only"), ("+", "or-later"))}
+_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*(\(*[a-z0-9][a-z0-9.+-]*\)*(?:[ \t]+(?-i:AND|OR|WITH)[ \t]+\(*[a-z0-9][a-z0-9.+-]*\)*)*)").search
+_COPYRIGHT = re.compile(r"(?i)[^a-z0-9(©]*(?:copyright\b|\(c\)|©|all rights reserved|spdx-)").match
 _DENIES = re.compile(r"\b(?:not|never|no longer|isn't|aren't|wasn't)\s+(?:\w+\s+){0,2}?(?:licen[sc]ed|released|distributed|available|offered|covered|published|under)\b").search
 _WORDS = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*").findall
 _VERSION = re.compile(r"(?:[al]?gpl)?v?([0-9](?:\.[0-9]+)*)").fullmatch
@@ -179,19 +184,26 @@ class LicenceTexts:
     def _weights(self, terms: Counter) -> dict[str, float]:
         return {t: (1 + math.log(c)) * self.idf.get(t, self.unseen) for t, c in terms.items()}
 
-    def best(self, terms: Counter, text: str) -> tuple[str | None, float]:
-        """Name and cosine of the nearest licence that agrees with the title and reaches FILE_TEXT."""
+    def best(self, terms: Counter, lines: list[str]) -> tuple[str | None, float]:
+        """Name and cosine of the nearest licence that agrees with the title and reaches FILE_TEXT. What stands in front of
+        the title may be a preface: the text from the title on is compared, too."""
         if not self.idf or len(self.idf.keys() & terms.keys()) < self.least:
             return None, 0.0
+        at, title = title_of(lines)
+        found = self._near(terms, title)
+        if at:
+            found += self._near(Counter(w for line in lines[at:] for w in _WORDS(line.lower())), title)
+        return (min(found)[1], -min(found)[0]) if found else (None, 0.0)
+
+    def _near(self, terms: Counter, title: set[str]) -> list[tuple[float, str]]:
         own = self._weights(terms)
         norm = math.sqrt(sum(w * w for w in own.values()))
-        title = title_of(text)
         found = []
         for names, v in zip(self.names, self.vectors, strict=True):
             cosine = sum(w * v[t] for t, w in own.items() if t in v) / norm
             if cosine >= FILE_TEXT:
                 found += [(-round(cosine, 12), name) for name in names if self._fits(name, title, terms)]
-        return (min(found)[1], -min(found)[0]) if found else (None, 0.0)
+        return found
 
     @staticmethod
     def _fits(name: str, title: set[str], terms: Counter) -> bool:
@@ -201,51 +213,74 @@ class LicenceTexts:
         return agrees(name, title, False) if title else not name.startswith("CC-BY")
 
 
-def title_of(text: str) -> set[str]:
-    """Words of the first of the upper lines that names a licence, and of the next line."""
-    lines = [x for x in (set(_WORDS(line.lower())) for line in text[:4000].split("\n")) if x][:10]
+def title_of(lines: list[str]) -> tuple[int, set[str]]:
+    """Place of the first line that names a licence, and the words of it and of the next one; 0 and none without one."""
     for k, line in enumerate(lines):
-        if not line.isdisjoint({"license", "licence", "attribution", "legal"}) and "permission" not in line:
-            return line.union(*lines[k + 1 : k + 2])
-    return set()
+        words = set(_WORDS(line.lower()))
+        if not words.isdisjoint({"license", "licence", "attribution", "legal"}) and "permission" not in words:
+            return k, words.union(*(_WORDS(x.lower()) for x in lines[k + 1 : k + 2]))
+    return 0, set()
+
+
+def spdx(text: str) -> str | None:
+    """The first SPDX-License-Identifier expression of a text, in the names used here; null without one, or if it says
+    that there is none. Names that aren't known stay as they are."""
+    found = _SPDX(text)
+    if not found or found[1].upper() in ("NONE", "NOASSERTION"):
+        return None
+    parts = re.split(r"([()\s]+)", found[1])
+    said = "".join(SPDX_NAMES.get(p.lower(), p) for p in parts).strip()
+    return said + ")" * (said.count("(") - said.count(")"))
 
 
 def own_licences(texts: list[str | None], templates: Templates, licences: LicenceTexts) -> list[tuple]:
-    """(header licence, cosine, file licence, cosine) of each text; the best unit at or above the threshold."""
+    """(header licence, cosine, file licence, cosine, all header licences in order of name) of each text; the best unit at or
+    above the threshold. An SPDX expression is the header, whatever else is there. Lines of copyright belong to no unit
+    but their own."""
     out = []
     for text in texts:
-        header, score = None, 0.0
+        header, score, every = None, 0.0, set()
         whole: Counter = Counter()
         block: Counter = Counter()
         lines: list[str] = []
+        prose: list[str] = []
         for line in [*(text or "").split("\n"), ""]:
             terms = Counter(_WORDS(line.lower()))
             units = []
             if terms:
-                block.update(terms)
-                lines.append(line)
                 units = [(terms, line)]
+                if not _COPYRIGHT(line):
+                    block.update(terms)
+                    lines.append(line)
             else:
                 if len(lines) > 1:
                     units = [(block, "\n".join(lines))]
                 whole.update(block)
+                prose += lines
                 block, lines = Counter(), []
             for unit, words in units:
                 if not templates.telling.isdisjoint(unit):
                     name, cosine = templates.best(unit, HEADER, lambda n, unit=unit: agrees(n, unit))
-                    if name and cosine >= HEADER and (-cosine, name) < (-score, header or "~") and not _DENIES(words.lower()):
-                        header, score = name, cosine
-        file, likeness = licences.best(whole, text or "")
+                    if name and cosine >= HEADER and not _DENIES(words.lower()):
+                        every.add(name)
+                        if (-cosine, name) < (-score, header or "~"):
+                            header, score = name, cosine
+        stated = spdx(text or "")
+        if stated:
+            header, score = stated, 1.0
+            every |= {p for p in re.split(r"[()\s]+", stated) if p and p not in ("AND", "OR", "WITH")}
+        file, likeness = licences.best(whole, prose)
         if not file and not templates.telling.isdisjoint(whole):
             file, likeness = templates.best(whole, FILE, lambda n, whole=whole: agrees(n, whole))
             if file and _DENIES(text.lower()):
                 file, likeness = None, 0.0
-        out.append((header, score, file, likeness))
+        out.append((header, score, file, likeness, sorted(every)))
     return out
 
 
 def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict[str, list[str]] | None = None, texts: dict[str, str] | None = None, keep_text: bool = True) -> tuple[DataFrame, list[str]]:
-    """Append licence, cosine, origin (file, header, inherited, none) and directory (from which it is inherited).
+    """Append licence, cosine, origin (file, header, inherited, none), directory (from which it is inherited) and stated (all
+    licences of the document's own header units and SPDX expression, in order of name; an empty list without any).
 
     path_col has paths separated by "/"; a document lies in the directory that its path names but for the last part, a
     relative path without "/" in ".", which is above all relative directories as "" is above the absolute ones.
@@ -253,9 +288,9 @@ def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict
     speaks for itself. Null texts have no licence of their own; null paths inherit nothing. Repeated rows each have
     their result and each count as a licence file. Other columns may have any name. templates are notices, texts whole
     licences; those of this module by default, own templates without texts have none. The annotated rows are written
-    once to the shared folder, without the text if keep_text is off. Returns the table and the four columns' names.
+    once to the shared folder, without the text if keep_text is off. Returns the table and the five columns' names.
     """
-    names = fresh_names(docs, ["licence", "cosine", "origin", "directory"])
+    names = fresh_names(docs, ["licence", "cosine", "origin", "directory", "stated"])
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "licences")
     chosen = spark.sparkContext.broadcast((templates or TEMPLATES, texts if texts is not None else {} if templates else licence_texts()))
 
@@ -264,7 +299,7 @@ def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict
 
         def rows(texts: list[str | None], _: pa.RecordBatch) -> list[pa.Array]:
             found = own_licences(texts, own, whole)
-            return [pa.array([x[0] for x in found], pa.string()), pa.array(np.array([x[1] for x in found], float)), pa.array([x[2] for x in found], pa.string()), pa.array(np.array([x[3] for x in found], float))]
+            return [pa.array([x[0] for x in found], pa.string()), pa.array(np.array([x[1] for x in found], float)), pa.array([x[2] for x in found], pa.string()), pa.array(np.array([x[3] for x in found], float)), pa.array([x[4] for x in found], pa.list_(pa.string()))]
 
         return rows
 
@@ -272,7 +307,7 @@ def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict
     columns = [c for c in docs.columns if keep_text or c != text_col]
     row = F.struct(*[F.col(f"`{c}`") for c in columns if c != text_col], F.lit(0).alias("_")).alias("row")
     place = F.when(F.contains(F.col(path_col), F.lit("/")), F.regexp_extract(path_col, r"(?s)^(.*)/[^/]*$", 1)).when(F.col(path_col).isNotNull(), ".").alias("dir")
-    fields = [("header", "string"), ("header_cosine", "double"), ("file", "string"), ("file_cosine", "double")]
+    fields = [("header", "string"), ("header_cosine", "double"), ("file", "string"), ("file_cosine", "double"), ("stated", "array<string>")]
     found = annotate(docs.select(row, place, F.xxhash64(path_col).alias("salt"), F.col(text_col).alias("text")), "text", fields, make)
     found = scratch.write(found if keep_text else found.drop("text"), "found")
 
@@ -295,13 +330,13 @@ def scan(docs: DataFrame, path_col: str, text_col: str = "text", templates: dict
     origin = F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     cosine = F.when(F.col("file").isNotNull(), F.col("file_cosine")).when(F.col("header").isNotNull(), F.col("header_cosine")).otherwise(0.0)
     directory = F.when(F.col("file").isNull() & F.col("header").isNull(), F.col("near.holder"))
-    values = [licence, cosine, origin, directory]
+    values = [licence, cosine, origin, directory, F.col("stated")]
     own = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns]
     return out.select(*own, *(v.alias(n) for v, n in zip(values, names, strict=True))), names
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, path, licence, cosine, origin, directory of every document; its path is source/language/document."""
+    """doc_id, path, licence, cosine, origin, directory and stated of every document; its path is source/language/document."""
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string")).alias("path")
     out, names = scan(docs.select("doc_id", "text", path), "path", keep_text=False)
     return out.select("doc_id", "path", *names)

@@ -480,6 +480,55 @@ def test_licence_report_equals_brute_force(spark):
     assert [rows_out[p] for p, _ in rows] == want
 
 
+def scanned(*texts):
+    return licenses.own_licences(list(texts), licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(licenses.licence_texts()))
+
+
+def test_spdx_expressions():
+    want = {
+        "// SPDX-License-Identifier: MIT": "MIT", "/* spdx-license-identifier: apache-2.0 */": "Apache-2.0", "# SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later", "SPDX-License-Identifier: lgpl-2.1": "LGPL-2.1-only",
+        "<!-- SPDX-License-Identifier: (MIT OR Apache-2.0) -->": "(MIT OR Apache-2.0)", "SPDX-License-Identifier: GPL-2.0 WITH Classpath-exception-2.0\nint x;": "GPL-2.0-only WITH Classpath-exception-2.0",
+        "SPDX-License-Identifier: NONE": None, "SPDX-License-Identifier:": None, "no statement": None, "SPDX-License-Identifier: LicenseRef-Own": "LicenseRef-Own",
+    }
+    found = scanned(*want)
+    assert [r[0] for r in found] == list(want.values())
+    assert [r[1] for r in found] == [1.0 if x else 0.0 for x in want.values()]
+    assert found[4][4] == ["Apache-2.0", "MIT"] and found[5][4] == ["Classpath-exception-2.0", "GPL-2.0-only"]
+
+
+def test_copyright_lines_and_prefaces_in_front_of_licence_texts():
+    texts = licenses.licence_texts()
+    holders = "".join(f"Copyright (c) {2000 + k} Holder Number {k} of Some Town and All Their Heirs\n" for k in range(14))
+    preface = "".join(f"Line {k} of what this project has to say about itself, at some length, first.\n" for k in range(40))
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "GPL-2.0-only", "GPL-3.0-only", "AGPL-3.0-only", "LGPL-2.1-only", "CC-BY-SA-4.0", "CC0-1.0"):
+        assert [r[2] for r in scanned(holders + texts[name], holders + "\n" + texts[name])] == [name, name], name
+    for name in ("Apache-2.0", "GPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "CC-BY-SA-4.0"):  # with a title of their own
+        assert scanned(preface + "\n" + holders + "\n" + texts[name])[0][2] == name
+    ((*_, file, _, stated),) = scanned(prose(90, 30_000, 2000) + "\n\nReleased under the MIT License.\n\n" + prose(91, 30_000, 2000))
+    assert file is None and stated == ["MIT"]  # a long text with a notice is no licence file
+
+
+def test_several_licences_of_one_file():
+    ((header, _, _, _, stated),) = scanned("Released under the MIT License.\n\nLicensed under the Apache License, Version 2.0.\n")
+    assert header in stated and stated == ["Apache-2.0", "MIT"]
+
+
+def test_directories_inherit_behind_a_preface(spark):
+    texts = licenses.licence_texts()
+    holders = "".join(f"Copyright 20{k:02d} Author {k}\n" for k in range(14))
+    rows = [("a/LICENSE", holders + texts["MIT"]), ("a/b/c.py", "code"), ("a/d.py", "# SPDX-License-Identifier: Apache-2.0\ncode"), ("e/f", "code")]
+    got = {r.path: (r.licence, r.origin, r.stated) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string"), "path")[0].collect()}
+    assert got["a/LICENSE"][:2] == ("MIT", "file") and got["a/b/c.py"] == ("MIT", "inherited", []) and got["e/f"] == (None, "none", [])
+    assert got["a/d.py"] == ("Apache-2.0", "header", ["Apache-2.0"])
+
+
+def test_sequence_numbers_of_large_items(spark):
+    """Items are numbered by partitions: of a million of them, too."""
+    items = spark.createDataFrame([((1 << 62) + k, 4096 if k % 2 else 1000) for k in range(10)], "item long, length int")
+    got = packing.pack(items).collect()
+    assert len({r.sequence_id for r in got}) == 7 and sorted(r.item for r in got) == [(1 << 62) + k for k in range(10)]
+
+
 def test_denials_bear_no_licence():
     own, whole = licenses.Templates(licenses.TEMPLATES), licenses.LicenceTexts(licenses.licence_texts())
     texts = ["This code is not released under the MIT License.", "It isn't licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0."]
