@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.functions.text import cache_key, question_key
+from groundspark.operators import heavy
 from groundspark.operators.corpus import CURATED_PREFIX, CURATED_SPACE
 from groundspark.operators.ordered import Slices
 
@@ -18,11 +19,19 @@ def ask_events(asks: DataFrame, keep_text: bool = True) -> DataFrame:
     return asks.withColumn("question_sha256", digest).withColumn("question", F.col("question") if keep_text else F.lit(""))
 
 
-def gaps(events: DataFrame, limit: int = 50) -> DataFrame:
-    """Escalated questions by key: question_key, asked, last_asked, avg_confidence; most asked first, 1 to 500 rows."""
-    rows = events.where("escalated AND question <> ''").groupBy(question_key(F.col("question")).alias("question_key"))
-    out = rows.agg(F.count("*").alias("asked"), F.max("asked_at").alias("last_asked"), F.avg("confidence").alias("avg_confidence"))
-    return out.orderBy(F.desc("asked"), F.desc("last_asked"), "question_key").limit(max(1, min(500, limit)))
+def gaps(events: DataFrame, limit: int = 50, capacity: int = heavy.CAPACITY) -> DataFrame:
+    """Escalated questions by key: question_key, asked, last_asked, avg_confidence; most asked first, 1 to 500 rows.
+
+    Summaries of bounded size say which keys can be among the first, and only those are counted: of any number of keys
+    few are shuffled. Where keys are so evenly frequent that summaries can't tell, all are counted.
+    """
+    limit = max(1, min(500, limit))
+    rows = events.where("escalated AND question <> ''").withColumn("question_key", question_key(F.col("question")))
+    some = heavy.candidates(rows, F.col("question_key"), limit, capacity)
+    if some is not None:
+        rows = rows.join(F.broadcast(some), F.col("question_key") == F.col("key"), "left_semi")
+    out = rows.groupBy("question_key").agg(F.count("*").alias("asked"), F.max("asked_at").alias("last_asked"), F.avg("confidence").alias("avg_confidence"))
+    return out.orderBy(F.desc("asked"), F.desc("last_asked"), "question_key").limit(limit)
 
 
 def metrics(events: DataFrame, feedback: DataFrame) -> DataFrame:

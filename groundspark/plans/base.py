@@ -101,7 +101,10 @@ def draft_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def ask_log(spark: SparkSession, d: str) -> DataFrame:
     """events as an ask log: errors escalate, the user is the question's key."""
-    e = table(spark, d, "events")
+    return as_asks(table(spark, d, "events"))
+
+
+def as_asks(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"), F.col("ts").alias("asked_at"), F.concat(F.lit("Topic  "), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, " ").otherwise("")).alias("question"),
         (F.col("event_type") == "error").alias("escalated"), (F.col("value") / 200).alias("confidence"), F.floor("value").cast("long").alias("duration_ms"), (F.col("event_id") % 7 == 0).alias("cache_hit"),

@@ -929,6 +929,21 @@ def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+@query("l5_frequent_gaps", "SELECT count(*) AS asked, true AS bounds_hold, true AS frequent_found FROM events WHERE event_type = 'error'")
+def l5_frequent(spark, d):
+    """The ask log as a stream into summaries of 20 keys for each of 4 shards: what they say of every key's true number."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    log = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    found = _drained(spark, jobs.stream_frequent_gaps(b.as_asks(log), capacity=20, shards=4), "l5")
+    now = found.withColumn("last", F.max("total").over(Window.partitionBy("shard"))).where("total = last")
+    state = now.groupBy("shard").agg(F.max("total").alias("total"), F.max("lost").alias("lost"))
+    keys = b.ask_log(spark, d).where("escalated AND question <> ''").groupBy(tx.question_key(F.col("question")).alias("question_key")).agg(F.count("*").alias("n"))
+    keys = keys.withColumn("shard", F.pmod(F.xxhash64("question_key"), F.lit(4)).cast("int")).join(state, "shard")
+    told = keys.join(now.select("question_key", "at_least", "at_most"), "question_key", "left")
+    holds = F.col("n").between(F.coalesce("at_least", F.lit(0)), F.coalesce("at_most", "lost")) & (F.col("lost") * 21 <= F.col("total"))
+    return told.agg(F.sum("n").alias("asked"), F.bool_and(holds).alias("bounds_hold"), F.bool_and((F.col("n") * 21 <= F.col("total")) | F.col("at_least").isNotNull()).alias("frequent_found"))
+
+
 @query("l3_stream_quarantine", sql("cevents", _QUAR))
 def l3(spark, d):
     """All events of candidates as a stream with state: kinds other than approve and down change nothing."""

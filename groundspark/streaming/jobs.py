@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from groundspark.functions.text import question_key
-from groundspark.operators import chat, corpus
+from groundspark.operators import chat, corpus, heavy
 from groundspark.operators.feedback import QUARANTINE_AT
 from groundspark.sources.store import ChunkStore, Conflict
 
@@ -73,6 +74,50 @@ def stream_gaps(events: DataFrame, watermark: str = WATERMARK, window: str = WIN
     return out.select(F.col("w.start").alias("window_start"), "question_key", "asked", "last_asked")
 
 
+class _Frequent(StatefulProcessor):
+    """A summary of bounded size; each batch gives all of it, with the number of rows so far."""
+
+    def __init__(self, capacity: int) -> None:
+        self.capacity = capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("summary", "keys array<string>, counts array<long>, lost long, total long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        counts, lost, total = pd.Series(dtype="int64"), 0, 0
+        if self.state.exists():
+            keys, held, lost, total = self.state.get()
+            counts = pd.Series(list(held), index=list(keys), dtype="int64")
+        for frame in rows:
+            total += int(frame.n.sum())
+            found = frame.groupby("question_key").n.sum()
+            counts, gone = heavy.shortened(counts.add(found, fill_value=0).astype("int64"), self.capacity)
+            lost += gone
+        self.state.update((counts.index.tolist(), counts.tolist(), lost, total))
+        yield pd.DataFrame({"shard": pd.Series([key[0]] * len(counts), dtype="int32"), "question_key": counts.index.astype(object), "at_least": counts.to_numpy(), "at_most": counts.to_numpy() + lost, "lost": lost, "total": total})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_frequent_gaps(events: DataFrame, capacity: int = 1000, shards: int = 16) -> DataFrame:
+    """L5 with bounded state: shard, question_key, at_least, at_most, lost, total: after each batch the summary of every
+    shard of keys that had rows. The rows of a shard's largest `total` are its current ones.
+
+    State is shards * capacity keys at most, however long the stream is. A batch is counted in its tasks first, so a
+    frequent key is few rows."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(0).value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["question_key", "n"])
+
+    keys = events.where("escalated AND question <> ''").select(question_key(F.col("question")).alias("question_key"))
+    partial = keys.mapInArrow(counted, "question_key string, n long").withColumn("shard", F.pmod(F.xxhash64("question_key"), F.lit(shards)).cast("int"))
+    schema = "shard int, question_key string, at_least long, at_most long, lost long, total long"
+    return partial.groupBy("shard").transformWithStateInPandas(_Frequent(capacity), schema, "Append", "None")
+
+
 class _Votes(StatefulProcessor):
     """Down-votes since the last approval; a row when they first reach the threshold. Other kinds of events don't count."""
 
