@@ -51,9 +51,10 @@ query("flagship", sql("conf hits", """SELECT c.question_id, c.question, h.rank,
 
 
 def _landed_files(spark: SparkSession, d: str) -> str:
-    """The texts of documents as text files, one for each source; returns their folder."""
+    """The texts of documents as text files, one for each source and 500 ids; returns their folder."""
     folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
-    table(spark, d, "documents").where("text IS NOT NULL").select("source", "text").repartition("source").write.partitionBy("source").text(folder)
+    texts = table(spark, d, "documents").where("text IS NOT NULL").select("source", F.floor(F.col("doc_id") / 500).alias("part"), "text")
+    texts.repartition("source", "part").write.partitionBy("source", "part").text(folder)
     return folder
 
 
@@ -65,7 +66,7 @@ def _landed_json(rows: DataFrame, name: str) -> str:
     return folder
 
 
-@query("a1_scan_files", "SELECT source, 1::BIGINT AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY source")
+@query("a1_scan_files", "SELECT source, count(DISTINCT doc_id // 500) AS files, sum(length(text) + 1)::BIGINT AS chars FROM documents WHERE text IS NOT NULL GROUP BY source")
 def a1(spark, d):
     scanned = files.scan_files(spark, _landed_files(spark, d), 1 << 30).where("status = 'ok'")
     return scanned.groupBy(F.regexp_extract("doc_id", "^source=([^/]*)/", 1).alias("source")).agg(F.count("*").alias("files"), F.sum(F.length("body")).cast("long").alias("chars"))
@@ -81,7 +82,7 @@ def a2(spark, d):
     return table(spark, d, "documents").select("doc_id", files.decode_bytes(content).alias("body"))
 
 
-@query("a4_skip_report", "SELECT 'too large' AS reason, count(*) AS files FROM (SELECT source FROM documents WHERE text IS NOT NULL GROUP BY source HAVING sum(strlen(text) + 1) > 100000) HAVING count(*) > 0")
+@query("a4_skip_report", "SELECT 'too large' AS reason, count(*) AS files FROM (SELECT source FROM documents WHERE text IS NOT NULL GROUP BY source, doc_id // 500 HAVING sum(strlen(text) + 1) > 100000) HAVING count(*) > 0")
 def a4(spark, d):
     return files.skip_report(files.scan_files(spark, _landed_files(spark, d), 100_000))
 
@@ -298,8 +299,8 @@ def c8(spark, d):
 
 @query("c8_all_partitions", _KNN.format(on="true"))
 def c8_all(spark, d):
-    """With radii that hold all of a part's vectors nothing is missed."""
-    return _rounded(partitions.approx_knn(_asked(spark, d), _items(spark, d), 10, share=1.0))
+    """With parts left out only where none of their vectors can be near enough, nothing is missed."""
+    return _rounded(partitions.approx_knn(_asked(spark, d), _items(spark, d), 10, missed=0.0))
 
 
 @query("c8_recall", f"SELECT count(DISTINCT question_id) AS questions, true AS mean_from_095, true AS least_from_06 FROM ({_KNN.format(on='true')})")
@@ -392,14 +393,25 @@ def e4(spark, d):
     return search.with_normalized(b.questions(spark, d).select("question_id", F.concat(lead, "question", F.lit(" thanks!")).alias("question")))
 
 
-@query("e5_parse_variants", sql("questions", "SELECT question_id, question || ' again' AS first, CASE WHEN question_id % 2 = 0 THEN 'other ' || question END AS second FROM questions"))
+_CLEANED = "regexp_replace(x, '^[\\s\\-*•\\d.)\"'']+|[\\s\"'']+$', '', 'g')"
+_VARIANTS = f"""SELECT question_id, v[1] AS first, v[2] AS second FROM (SELECT question_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i) AS v
+    FROM (SELECT question_id, list_filter(list_transform(string_split(m, chr(10)), lambda x: {_CLEANED}), lambda x: x <> '' AND lower(x) <> lower(trim(question))) AS l
+    FROM (SELECT *, '1. "' || question || ' again"' || chr(10) || '2) ' || question || chr(10) || chr(10) || '- ' || question || ' AGAIN' || chr(10) || CASE WHEN question_id % 2 = 0 THEN '3. other ' || question ELSE '' END AS m FROM questions)))"""
+
+
+@query("e5_parse_variants", sql("questions", _VARIANTS))
 def e5(spark, d):
     q = F.col("question")
     model = F.concat(F.lit('1. "'), q, F.lit(' again"\n2) '), q, F.lit("\n\n- "), q, F.lit(" AGAIN\n"), F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("3. other "), q)).otherwise(""))
     return b.questions(spark, d).select("question_id", search.parse_variants(model, q).alias("v")).select("question_id", F.get("v", F.lit(0)).alias("first"), F.get("v", F.lit(1)).alias("second"))
 
 
-@query("e6_accept_rewrite", sql("questions", "SELECT question_id, CASE WHEN question_id % 3 = 0 THEN 'better ' || question ELSE question END AS question FROM questions"))
+_REWRITTEN = """SELECT question_id, CASE WHEN first <> '' AND length(first) <= greatest(140, 2 * length(question)) THEN first ELSE question END AS question
+    FROM (SELECT question_id, question, regexp_replace(split_part(trim(coalesce(m, '')), chr(10), 1), '^[\\s"''`]+|[\\s"''`]+$', '', 'g') AS first
+    FROM (SELECT *, CASE question_id % 3 WHEN 0 THEN '"better ' || question || '"' || chr(10) || 'because' WHEN 1 THEN repeat('long ', 400) END AS m FROM questions))"""
+
+
+@query("e6_accept_rewrite", sql("questions", _REWRITTEN))
 def e6(spark, d):
     q = F.col("question")
     model = F.when(F.col("question_id") % 3 == 0, F.concat(F.lit('"better '), q, F.lit('"\nbecause'))).when(F.col("question_id") % 3 == 1, F.repeat(F.lit("long "), F.lit(400)))
@@ -695,7 +707,10 @@ def h7(spark, d):
     return corpus.ingest(b.docs(spark, d).drop("id"), none, _hashes(spark, d))["summary"]
 
 
-@query("h8_quarantine_bad_docs", sql("docs", "SELECT doc_id, CASE WHEN id % 9 = 0 THEN 'no body' ELSE 'unknown type' END AS error FROM docs WHERE id % 9 = 0 OR id % 11 = 0"))
+_BROKEN = "SELECT doc_id, CASE WHEN id % 9 <> 0 THEN body END AS body, CASE WHEN id % 11 = 0 THEN 'zip' ELSE 'text' END AS type FROM docs"
+
+
+@query("h8_quarantine_bad_docs", sql("docs", f"SELECT * FROM (SELECT doc_id, CASE WHEN body IS NULL THEN 'no body' WHEN type NOT IN ('html', 'markdown', 'text') THEN 'unknown type' END AS error FROM ({_BROKEN})) WHERE error IS NOT NULL"))
 def h8(spark, d):
     broken = b.docs(spark, d).withColumn("body", F.when(F.col("id") % 9 != 0, F.col("body"))).withColumn("content_type", F.when(F.col("id") % 11 == 0, "zip").otherwise("text"))
     return corpus.quarantine_bad_docs(broken)[1]
@@ -777,6 +792,12 @@ def i10(spark, d):
     return feedback.list_candidates(b.candidates(spark, d), "pending", 20, 5).select("id", "created_at", "status")
 
 
+@query("i10_get_candidate", sql("cands", "SELECT id, created_at, status, question FROM cands WHERE id = (SELECT max(user_id) FROM events)"))
+def i10_get(spark, d):
+    last = table(spark, d, "events").agg(F.max("user_id").alias("n")).first()["n"]
+    return feedback.get_candidate(b.candidates(spark, d), last).select("id", "created_at", "status", "question")
+
+
 # --- j: conversations
 
 
@@ -969,9 +990,3 @@ def l1(spark, d):
     stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(f"{d}/documents.parquet*")
     jobs.stream_ingest(b.as_docs(stream).drop("id"), store, f"{folder}/checkpoint").awaitTermination()
     return store.chunks().groupBy("space").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"))
-
-
-def first_hits(spark: SparkSession, d: str) -> DataFrame:
-    """The best hit of each question."""
-    one = Window.partitionBy("question_id").orderBy("rank")
-    return b.hits(spark, d).withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")

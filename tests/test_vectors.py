@@ -65,10 +65,10 @@ def test_halves(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_partitions_with_whole_radii_miss_nothing(spark, seed):
+def test_partitions_that_may_miss_nothing_miss_nothing(spark, seed):
     x = np.vstack([clustered(seed=seed), np.random.default_rng(seed).normal(size=(200, 16)), np.tile(clustered(seed=seed)[:1], (300, 1))])
     t, q = table(spark, x, ODD).repartition(4), asked(spark, x)
-    assert listed(partitions.approx_knn(q, t, 10, width=16, share=1.0)) == brute(x, 30, 10)
+    assert listed(partitions.approx_knn(q, t, 10, width=16, missed=0.0)) == brute(x, 30, 10)
 
 
 def test_partitions_ask_few_parts(spark):
@@ -81,6 +81,23 @@ def test_partitions_ask_few_parts(spark):
     unit = x[:30] / np.linalg.norm(x[:30], axis=1, keepdims=True)
     floor = np.array([[min(r.vector_score for r in near.where(F.col("question_id") == k).collect())] for k in range(3)])
     assert (index.bounds(unit[:3]) >= floor).mean() < 0.5
+    assert (index.expected(unit[:3], floor[:, 0]) > 0.02).mean() < 0.2
+
+
+def test_expected_neighbours_of_isotropic_vectors(spark):
+    """What a part is expected to hold is about what it holds, and the effective dimension about the width."""
+    x = np.random.default_rng(3).normal(size=(4000, 16))
+    index = partitions.partitioned(table(spark, x), 16)
+    assert 10 < index.dimension <= 16
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosines, floor = unit[:20] @ unit.T, np.full(20, 0.5)
+    held = np.zeros((20, len(index.centres)))
+    np.add.at(held.T, (unit @ index.centres.T).argmax(1), (cosines >= 0.5).T)
+    told = index.expected(unit[:20], floor).astype(float)
+    assert abs(told.sum() / held.sum() - 1) < 0.3 and np.corrcoef(told.ravel(), held.ravel())[0, 1] > 0.8
+    near = partitions.search(asked(spark, x), index, 10)
+    exact = vectors.knn(asked(spark, x), table(spark, x), 10, width=16)
+    assert vectors.recall_at_k(exact, near, 10).agg(F.avg("recall")).first()[0] >= 0.95
 
 
 def test_partitions_of_no_rows_and_few(spark):
