@@ -1,9 +1,10 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 A line that more than a share of a host's pages hold is boilerplate there and is dropped from all of that host's pages.
-Pages of a host with the same lines are copies and count once, for the line and for the host: a document that was copied
-often is no boilerplate. Lines are counted as hashes with partial sums before the shuffle. A host's boilerplate is small
-by construction: its lines per page divided by the ratio bound the number of lines above it.
+Every page counts, copies too; but a line must also stand on some distinct pages, so that a document that was copied
+often is no boilerplate. Pages of a host with the same lines travel as one with their number, and lines are counted as
+hashes with partial sums before the shuffle. A host's boilerplate is small by construction: its lines per page divided
+by the ratio bound the number of lines above it.
 """
 
 from __future__ import annotations
@@ -55,13 +56,14 @@ def line_hashes(lines: Column) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float, scratch: Scratch) -> DataFrame:
-    """host, drop (hashes of the host's lines above the ratio), from pages with columns host and hashes; copies count
-    once. A line on fewer than LEAST_HOLDERS pages isn't above it."""
+    """host, drop (hashes of the host's lines above the ratio), from pages with columns host and hashes. The ratio is
+    over all pages; a line on fewer than LEAST_HOLDERS distinct ones isn't above it."""
     pages = pages.where(F.col("host").isNotNull()).select("host", F.array_compact("hashes").alias("hashes"))
-    pages = pages.groupBy("host", F.xxhash64("hashes").alias("page")).agg(F.first(F.array_distinct("hashes")).alias("hashes"))
+    pages = pages.groupBy("host", F.xxhash64("hashes").alias("page")).agg(F.first(F.array_distinct("hashes")).alias("hashes"), F.count("*").alias("copies"))
     pages = scratch.write(pages, "distinct-pages")
-    totals = pages.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("total"))
-    counts = pages.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_HOLDERS)
+    totals = pages.groupBy(F.col("host").alias("h")).agg(F.sum("copies").alias("total"))
+    held = pages.select("host", "copies", F.explode("hashes").alias("line")).groupBy("host", "line")
+    counts = held.agg(F.sum("copies").alias("n"), F.count("*").alias("holders")).where(F.col("holders") >= LEAST_HOLDERS)
     above = counts.join(totals, F.col("host") == F.col("h")).where(F.col("n") > ratio * F.col("total"))
     return above.groupBy("host").agg(F.collect_set("line").alias("drop"))
 
@@ -86,8 +88,8 @@ def drop_lines(docs: DataFrame, host: Column, text_col: str, ratio: float = RATI
 
     The added columns are the counts of non-blank lines and of dropped ones. Lines are compared trimmed, with runs of
     blanks as one; blank lines are never counted or dropped, and kept lines stay as they are. Rows without host or with
-    null text keep everything; a line on fewer than LEAST_HOLDERS distinct pages stays. Rows of a host with the same
-    lines are one page; a document whose lines all go keeps an empty text. Other columns may have any name.
+    null text keep everything; a line on fewer than LEAST_HOLDERS distinct pages stays, so hosts of fewer distinct pages
+    keep all. Repeated rows count each; a document whose lines all go keeps an empty text. Other columns may have any name.
     """
     n_lines, n_dropped = fresh_names(docs, ["n_lines", "n_dropped"])
     scratch = Scratch(docs.sparkSession, "lines")
@@ -137,10 +139,9 @@ lines AS (
 whole AS (
   SELECT r.page_id, r.host, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos), '') AS t
   FROM raw r LEFT JOIN lines l USING (page_id) WHERE r.host IS NOT NULL GROUP BY r.page_id, r.host),
-once AS (SELECT host, min(page_id) AS page_id FROM whole GROUP BY host, t),
-totals AS (SELECT host, count(*) AS total FROM once GROUP BY host),
-held AS (SELECT l.host, l.line, count(DISTINCT l.page_id) AS n FROM lines l JOIN once o ON l.host = o.host AND l.page_id = o.page_id GROUP BY l.host, l.line),
-bad AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host WHERE h.n > 0.1 * t.total AND h.n >= 3),
+totals AS (SELECT host, count(*) AS total FROM whole GROUP BY host),
+held AS (SELECT l.host, l.line, count(DISTINCT l.page_id) AS n, count(DISTINCT w.t) AS holders FROM lines l JOIN whole w ON l.host = w.host AND l.page_id = w.page_id GROUP BY l.host, l.line),
+bad AS (SELECT h.host, h.line FROM held h JOIN totals t ON h.host = t.host WHERE h.n > 0.1 * t.total AND h.holders >= 3),
 marked AS (SELECT l.*, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN bad b ON l.host = b.host AND l.line = b.line),
 told AS (
   SELECT page_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text

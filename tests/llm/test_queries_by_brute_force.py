@@ -120,21 +120,21 @@ def test_packing_query(spark, tables):
 
 
 def brute_lines(rows, ratio=line_dedup.RATIO, least=line_dedup.LEAST_HOLDERS):
-    """(id, host, text) -> text without lines that more than a share of the host's distinct pages hold."""
+    """(id, host, text) -> text without lines that more than a share of the host's pages hold and at least `least` distinct ones."""
     trim = lambda x: re.sub("[ \t\r]+", " ", x).strip(" ")
     pages = {}
     for _, host, text in rows:
         if host is not None and text is not None:
-            pages.setdefault(host, set()).add(tuple(trim(x) for x in text.split("\n") if trim(x)))
+            pages.setdefault(host, []).append(tuple(trim(x) for x in text.split("\n") if trim(x)))
         elif host is not None:
-            pages.setdefault(host, set()).add(None)
+            pages.setdefault(host, []).append(())
     bad = {}
     for host, own in pages.items():
         held = {}
         for page in own:
-            for line in set(page or ()):
-                held[line] = held.get(line, 0) + 1
-        bad[host] = {x for x, n in held.items() if n >= least and n > ratio * len(own)}
+            for line in set(page):
+                held.setdefault(line, []).append(page)
+        bad[host] = {x for x, on in held.items() if len(set(on)) >= least and len(on) > ratio * len(own)}
     return {i: text if text is None else "\n".join(x for x in text.split("\n") if trim(x) not in bad.get(host, ())) for i, host, text in rows}
 
 

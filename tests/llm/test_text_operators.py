@@ -409,6 +409,18 @@ def test_line_dedup_judges_small_hosts(spark):
     assert got == {i: f"own line {i}" if i < 10 else t for i, _, t in rows}
 
 
+def test_line_dedup_divides_by_all_pages_of_the_host(spark):
+    rows = [(k, "copies", "first\nsecond") for k in range(40)]
+    # 36 copies of one page hold the note, and so do two others: 38 of 70 pages; the tip is on 3 distinct ones of 70
+    rows += [(100 + k, "h", "note\nlong story") for k in range(36)] + [(200 + k, "h", f"{'note' if k < 2 else 'tip' if k < 5 else 'none'}\nown {k}") for k in range(34)]
+    rows += [(300 + k, "two", f"shared\nown {k % 2}") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in line_dedup.clean_documents(docs).collect()}
+    assert all(got[k] == "first\nsecond" for k in range(40))  # one distinct page
+    assert got[100] == "long story" and got[200] == "own 0" and got[202] == "tip\nown 2" and got[205] == "own 5"
+    assert all(got[i] == t for i, host, t in rows if host == "two")  # two distinct pages
+
+
 def test_line_dedup_by_shuffle_gives_the_same(spark, monkeypatch):
     rows = [(k, "h", f"menu\nown line {k}\nfooter") for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
