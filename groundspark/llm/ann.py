@@ -102,9 +102,10 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def fit(rows: DataFrame, count: int, sample_rows: int = SAMPLE_ROWS) -> Quantiser | None:
-    """Fit on about sample_rows rows, chosen by a hash of the id: the same at every run."""
+    """Fit on about sample_rows rows, chosen by a hash of the id: the same at every run. A repeated id counts once, with
+    its greatest vector."""
     rate = min(1.0, sample_rows / max(1, count))
-    some = rows.where(sampled(F.col("id"), rate))
+    some = rows.where(sampled(F.col("id"), rate)).groupBy("id").agg(F.max("vec").alias("vec"))
     found = sorted(some.toArrow().to_pylist(), key=lambda r: (r["id"], r["vec"]))
     return fit_sample(np.array([r["vec"] for r in found])) if found else None
 

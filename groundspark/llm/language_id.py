@@ -113,7 +113,8 @@ def fit_codes(rows: np.ndarray, langs: list[str], steps: int = 100) -> Codes:
 def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Codes:
     """Fit on about sample_rows rows with text and language for which learn_from holds; the same rows at every run.
 
-    The rows' grams are counted in tasks; texts don't come to the driver.
+    The rows' grams are counted in tasks; texts don't come to the driver. Of several rows with one id and language, one is
+    learned (by a hash of the text), so that a repeated id brings no more than that.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn_from is not None:
@@ -134,8 +135,8 @@ def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id
 
         return counted
 
-    found = annotate(some, "text", [("grams", "array<binary>")], make).where("size(grams) > 0").select("id", "lang", F.xxhash64("text").alias("key"), "grams").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["lang"][i].as_py(), found["key"][i].as_py()))
+    found = annotate(some, "text", [("grams", "array<binary>")], make).where("size(grams) > 0").groupBy("id", "lang").agg(F.max_by("grams", F.xxhash64("text")).alias("grams")).toArrow()
+    order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["lang"][i].as_py()))
     rows_, langs = np.zeros((2 * len(order), GRAMS), np.float32), [found["lang"][i].as_py() for i in order]
     for k, i in enumerate(order):
         own = found["grams"][i].as_py()

@@ -132,15 +132,15 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", chars_col: str | None = "n_chars", sample_rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on about sample_rows labelled rows for which learn_from (over id_col) holds.
 
-    The sample is taken by a hash of the id at a rate set from the count of labels, so it is the same at every run and
-    its rows are bounded; it is broadcast to the documents, and its features' numbers come to the driver (66 kB a row at
-    most). Rows with a null id or
-    label aren't used; an id with several labels counts as its mean, at least a half as 1.
+    The sample is taken by a hash of the id at a rate set from the count of labelled ids, so it is the same at every run
+    and its ids are bounded; it is broadcast to the documents, and its features' numbers come to the driver (66 kB an id
+    at most; of several rows with one id, the one of the greatest numbers). Rows with a null id or label aren't used; an
+    id with several labels counts as its mean, at least a half as 1.
     """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isNotNull())
     if learn_from is not None:
         rows = rows.withColumnRenamed("_id", id_col).where(learn_from).withColumnRenamed(id_col, "_id")
-    count = rows.count()
+    count = rows.select("_id").distinct().count()
     rate = min(1.0, sample_rows / max(1, count))
     rows = rows.where(sampled(F.col("_id"), rate)).groupBy("_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     chars = F.col(chars_col).cast("long") if chars_col and chars_col in docs.columns else F.lit(None).cast("long")
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, id
         return rows_of
 
     # two bytes for each distinct feature: a row has FEATURES of them at most, however long its text
-    found = annotate(sample, "_text", [("_numbers", "binary")], make).select("_id", "_y", "_numbers").toArrow()
+    found = annotate(sample, "_text", [("_numbers", "binary")], make).groupBy("_id", "_y").agg(F.max("_numbers").alias("_numbers")).toArrow()
     raws = found["_numbers"].to_pylist()
     order = np.lexsort((np.array([len(x) for x in raws]), np.array(found["_id"].to_pylist(), dtype=object).astype(str))) if found.num_rows else np.array([], np.int64)
     data = [np.frombuffer(raws[int(i)], "<u2") for i in order]
