@@ -351,10 +351,11 @@ class Unit:
         for query, other in ((self.a, self.b), (self.b, self.a)):
             asked = np.flatnonzero(several[owner[other]])
             if len(asked):
-                pair, back = np.unique(np.stack([query[asked], owner[other[asked]]]), axis=1, return_inverse=True)
-                lacks, _ = both.missing(pair[0], len(bins.rows) + place[pair[1]])
-                n = self.n[pair[0]]
-                keep[asked] &= (n - lacks >= -(-self.percent * n // 100))[back.ravel()]
+                pair, back = np.unique(query[asked] * len(several) + owner[other[asked]], return_inverse=True)
+                asking, group = np.divmod(pair, len(several))
+                lacks, _ = both.missing(asking, len(bins.rows) + place[group])
+                n = self.n[asking]
+                keep[asked] &= (n - lacks >= -(-self.percent * n // 100))[back]
         self.a, self.b = self.a[keep], self.b[keep]
 
     def bound(self, bins: Bins) -> np.ndarray:
@@ -367,6 +368,21 @@ class Unit:
         return ((n + m - x - y) / (2 * need))[keep]
 
 
+def _few_units(batches: list[pa.RecordBatch], percent: int) -> Iterator[Unit]:
+    """The whole units of the batches, of as many pairs at a time as one large unit has: so many stay in memory."""
+    table = pa.Table.from_batches(batches)
+    keys = np.stack([table[c].to_numpy().astype(np.int64) for c in ("token", "lo", "hi")])
+    ends = np.append(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, table.num_rows)
+    sizes = np.diff(ends, prepend=0)
+    pairs = np.cumsum(sizes * (sizes - 1) // 2)
+    at = start = 0
+    while at < len(ends):
+        done = pairs[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(pairs, done + 2 * BLOCK * BLOCK, "right")))
+        yield Unit(table.slice(start, ends[at - 1] - start), percent)
+        start = ends[at - 1]
+
+
 def _whole_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[Unit]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -376,14 +392,14 @@ def _whole_units(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[Un
         first = int(np.flatnonzero((keys != keys[:, -1:]).any(0)).max(initial=-1)) + 1
         same = held and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in ("token", "lo", "hi"))
         if held and not same:
-            yield Unit(pa.Table.from_batches(held), percent)
+            yield from _few_units(held, percent)
             held = []
         if first:
-            yield Unit(pa.Table.from_batches([*held, batch.slice(0, first)]), percent)
+            yield from _few_units([*held, batch.slice(0, first)], percent)
             held = []
         held.append(batch.slice(first))
     if held:
-        yield Unit(pa.Table.from_batches(held), percent)
+        yield from _few_units(held, percent)
 
 
 def _worked(rows: DataFrame, groups: DataFrame, schema: str, work, scratch: Scratch, name: str, bins: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """How rows of the token-group matrix are dealt to units."""
 
+import pyarrow as pa
 import pytest
 
 from groundspark.llm import jaccard_join
@@ -45,3 +46,21 @@ def test_a_large_group_is_dealt_in_proportion(spark):
         assert dealt(spark, alone, 1024) == []
         counts[n] = len(dealt(spark, [*alone, *((7, n + i, 100 + i) for i in range(20))], 1024))
     assert counts[3000] <= 3000 + 20 * 4 and counts[12_000] <= 12_000 + 20 * 13
+
+
+def test_units_of_one_batch_are_worked_on_a_few_at_a_time(monkeypatch):
+    """Each unit is whole and comes once, and those that come together have no more pairs than a large one."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 10)
+    sizes = [1, 20, 3, 3, 3, 12, 1, 1, 2, 20, 30, 1]
+    rows = [(token, 0, 0, 0, 100 * token + i, 50, 50, i) for token, n in enumerate(sizes) for i in range(n)]
+    names = ["token", "lo", "hi", "block", "set", "n", "rest", "group"]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(names)})
+    for length in (7, 40, len(rows)):
+        units = list(jaccard_join._whole_units(iter(table.to_batches(length)), 80))
+        assert pa.concat_tables([u.table for u in units]).equals(table)
+        pairs = 0
+        for u in units:
+            tokens = set(u.table["token"].to_pylist())
+            assert len(tokens) == 1 or sum(sizes[t] * (sizes[t] - 1) // 2 for t in tokens) <= 200
+            pairs += len(u.a)
+        assert pairs == sum(n * (n - 1) // 2 for n in sizes)
