@@ -5,7 +5,8 @@ every benchmark item is binary-searched in it. The range that shares a whole win
 window. Longest verbatim matches start from these locations: each is looked up in a suffix array of the other side, by
 doubling the length, so a location costs the logarithm of the lengths however often its words repeat. A document lies
 wholly within one shard, so nothing is shuffled; the benchmark travels to the tasks in blocks of a bounded number of
-words, one after another: each has a pass of its own, and passes leave rows for texts that are hit only.
+words, one after another. Before several blocks a sieve of all their windows, of a bounded size, goes over the documents
+once: the blocks then pass only over the texts that it leaves, and leave rows for texts that are hit only.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundspark.llm.common import Scratch, annotate, flat_rows, fresh_names
+from groundspark.llm.hashed import WordHashes, mix, runs
 
 WINDOW = 13
-#: Words of benchmark text in one broadcast block (about 100 MB as Python objects at most); it is one pass over the documents.
+#: Words of benchmark text in one broadcast block (about 100 MB as Python objects at most); it is one pass over the texts.
 BLOCK_WORDS = 500_000
+#: Bits of the sieve for a word of the benchmark, its bits at most (64 MB), and the bits of one window. A fuller sieve
+#: leaves more texts to the blocks, which find the same in them.
+SIEVE_WORD, SIEVE_BITS, PROBES = 64, 1 << 29, 8
 #: Texts hit by a benchmark of several blocks that are broadcast with their spans; beyond, documents are joined by a shuffle.
 BROADCAST_HITS = 100_000
 #: A-Z folded; every other ASCII character but digits and lower-case letters ends a word.
@@ -224,12 +229,15 @@ class _Shard:
         return np.searchsorted(self.starts, place, side="right") - 1
 
 
+def _texts_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    return rows.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+
+
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int = BLOCK_WORDS) -> Iterator[Benchmark]:
     """The benchmark as blocks; the driver reads the items as a stream and holds one block at a time."""
-    rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     items, n, any_ = [], 0, False
-    for row in rows.toLocalIterator():
+    for row in _texts_of(benchmark, item_col, text_col).toLocalIterator():
         words = split_words(row.text)
         if not words:
             continue
@@ -242,6 +250,65 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, window: int, b
         yield Benchmark(items, window)
 
 
+class Sieve:
+    """Which texts may hold a window of an item: bits for the hashes of all windows, of a bounded size. None is missed."""
+
+    def __init__(self, window: int, words: int) -> None:
+        self.size = min(SIEVE_BITS, max(1 << 16, 1 << (SIEVE_WORD * words - 1).bit_length()))
+        self.window, self.bits, self.lengths = window, np.zeros(self.size // 8, np.uint8), set()
+
+    def _bits_of(self, hashes: np.ndarray, probe: int) -> tuple[np.ndarray, np.ndarray]:
+        place = mix(hashes + np.uint64(probe + 1)) & np.uint64(self.size - 1)
+        return (place >> np.uint64(3)).astype(np.int64), (place & np.uint64(7)).astype(np.uint8)
+
+    def add(self, words: np.ndarray) -> None:
+        """The windows of an item, from its words' hashes."""
+        length = min(len(words), self.window)
+        self.lengths.add(length)
+        windows = runs(words, length)
+        for probe in range(PROBES):
+            byte, bit = self._bits_of(windows, probe)
+            np.bitwise_or.at(self.bits, byte, np.uint8(1) << bit)
+
+    def may_hold(self, words: np.ndarray) -> bool:
+        for length in sorted(self.lengths, reverse=True):
+            left = runs(words, length)
+            for probe in range(PROBES):
+                byte, bit = self._bits_of(left, probe)
+                left = left[((self.bits[byte] >> bit) & 1).astype(bool)]
+                if not len(left):
+                    break
+            if len(left):
+                return True
+        return False
+
+
+def sieved(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of which the text may hold a window of the benchmark, in one pass: all that do, and hardly any other.
+
+    Null and word-free texts hold none. The driver reads the items as a stream and holds the sieve alone.
+    """
+    items, hashes = _texts_of(benchmark, item_col, bench_text), WordHashes()
+    # a word and the character behind it: two bytes at least
+    sieve = Sieve(window, (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 + 1)
+    for row in items.toLocalIterator():
+        words = split_words(row.text)
+        if words:
+            sieve.add(hashes.of(words))
+    sent = docs.sparkSession.sparkContext.broadcast(sieve)
+    (name,) = fresh_names(docs, ["may_hold"])
+
+    def make():
+        own = WordHashes()
+
+        def judge(texts: list[str | None], _: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array([sent.value.may_hold(own.of(split_words(t))) for t in texts], pa.bool_())]
+
+        return judge
+
+    return annotate(docs, text_col, [(name, "boolean")], make).where(F.col(name)).drop(name)
+
+
 @dataclass
 class Found:
     """What a block's windows hit in a shard: spans of covered words (document, first word and the word behind the last),
@@ -299,7 +366,8 @@ def annotate_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     has already get underscores in front.
     Null and word-free texts have 0 words. Items without id or words are left out; equal item ids count once.
     Repeated documents are each judged. An empty benchmark hits nothing.
-    A benchmark of one block takes one pass without a shuffle; of several, each is a pass, and what they hit is joined.
+    A benchmark of one block takes one pass without a shuffle. Of several, a sieve of all windows takes one, each block
+    one over the texts that it leaves, and what they hit is joined.
     """
     names = fresh_names(docs, [n for n, _ in FIELDS])
     fields = [(n, t) for n, (_, t) in zip(names, FIELDS, strict=True)]
@@ -321,10 +389,11 @@ def annotate_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     spark, text = docs.sparkSession, F.col(text_col)
     scratch, parts = Scratch(spark, "decontaminate"), []
+    near = scratch.write(sieved(docs.select(text.alias("text")), benchmark, "text", item_col, bench_text, window), "near")
     for k, block in enumerate(chain((first, second), blocks)):
         sent = spark.sparkContext.broadcast(block)
         del block
-        parts.append(scratch.write(_hit_texts(docs.select(text.alias("text")), sent, k), f"block-{k}"))
+        parts.append(scratch.write(_hit_texts(near, sent, k), f"block-{k}"))
         sent.destroy()
     found = parts[0]
     for part in parts[1:]:
@@ -384,14 +453,19 @@ def _hit_texts(texts: DataFrame, sent: Broadcast, block: int) -> DataFrame:
     return flat_rows(texts.select("text", *_text_keys(F.col("text"))), "text", schema, make)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW) -> DataFrame:
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Longest verbatim match of every benchmark suffix over all shards, with its location: item_id, item_start,
     n_words, doc_id, doc_start (words from 0). Suffixes without a match of a whole window have no row. A shard gives
     for each suffix one of its longest matches; of equally long ones of several shards the smallest (doc_id, doc_start)
-    is taken."""
+    is taken. Null and word-free texts match nothing; rows with equal ids are each looked at, null ids come first. An
+    empty benchmark or table gives no rows. Of several blocks each passes over the texts that a sieve leaves."""
     spark, kind, scratch, parts = docs.sparkSession, dict(docs.dtypes)[id_col], Scratch(docs.sparkSession, "longest"), []
     schema = f"item_id string, item_start long, n_words long, doc_id {kind}, doc_start long"
-    for k, block in enumerate(blocks_of(benchmark, item_col, bench_text, window)):
+    docs, blocks = docs.select(id_col, text_col), blocks_of(benchmark, item_col, bench_text, window, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        docs = scratch.write(sieved(docs, benchmark, text_col, item_col, bench_text, window), "near")
+    for k, block in enumerate(chain((first,), () if second is None else (second,), blocks)):
         sent = spark.sparkContext.broadcast(block)
 
         def make(sent=sent):
@@ -407,7 +481,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
             return rows
 
-        parts.append(scratch.write(flat_rows(docs.select(id_col, text_col), text_col, schema, make), f"block-{k}"))
+        parts.append(scratch.write(flat_rows(docs, text_col, schema, make), f"block-{k}"))
         sent.destroy()
     best = parts[0]
     for part in parts[1:]:
@@ -429,7 +503,8 @@ def is_contaminated(n_hit: str, n_words: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that aren't contaminated, with their columns; one pass, no shuffle."""
+    """The documents that aren't contaminated, with their columns. Null and word-free texts stay, repeated rows are each
+    judged; a benchmark of one block takes one pass without a shuffle, see annotate_hits for several."""
     marked, (n_words, n_hit, *_) = annotate_hits(docs, benchmark, text_col, **options)
     return marked.where(~is_contaminated(n_hit, n_words)).select(*docs.columns)
 

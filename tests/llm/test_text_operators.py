@@ -110,6 +110,36 @@ def test_longest_matches_equal_brute_force(spark):
     assert suffixes[("20", 0)].n_words == 40 and ("20", 28) not in suffixes
 
 
+def test_sieve_misses_no_window_and_leaves_little(spark):
+    items = [(k, prose(300 + k, 3 if k % 5 == 0 else 40, 5000)) for k in range(60)]
+    bench = spark.createDataFrame([*items, (None, prose(9, 30)), (60, None), (61, "!!")], "item_id long, text string")
+    texts = [prose(1000 + k, 200, 5000) for k in range(400)]
+    for k in range(60):
+        words = items[k][1].split()
+        texts[5 * k] += " " + " ".join(words[-13:])  # the last window of an item, or the whole of a short one
+    rows = [*enumerate(texts), (400, None), (401, ""), (402, " ".join(items[1][1].split()[:12])), (None, items[2][1]), (7, items[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("may_hold", F.col("doc_id"))
+    left = decontaminate.sieved(docs, bench)
+    assert left.columns == docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert {5 * k for k in range(60)} | {None, 7} <= set(ids) and not {400, 401, 402} & set(ids)
+    assert len(ids) <= 62 + 2
+    # blocks after the sieve find what one block finds
+    one, several = ({(r.doc_id, r.text): r[3:] for r in decontaminate.annotate_hits(docs, bench, block_words=n)[0].collect()} for n in (10**6, 200))
+    assert one == several
+    one, several = (set(map(tuple, decontaminate.longest_matches(docs, bench, block_words=n).collect())) for n in (10**6, 200))
+    assert {x[:3] for x in one} == {x[:3] for x in several} and len(one) > 100
+
+
+def test_full_sieve_changes_nothing(spark, docs, monkeypatch):
+    """A sieve that leaves every text gives the same rows."""
+    bench = spark.createDataFrame([(1, prose(2, 20)), (2, prose(5, 40)), (3, "one two")], "item_id long, text string")
+    rows = lambda: sorted(map(repr, decontaminate.annotate_hits(docs, bench, block_words=10)[0].collect()))
+    expected = rows()
+    monkeypatch.setattr(decontaminate.Sieve, "may_hold", lambda self, words: True)
+    assert rows() == expected
+
+
 def test_repeated_words_and_a_shared_prompt_take_little(spark):
     """Equal words in items and documents, and a prompt of 10,000 items, are no product of places and suffixes."""
     prompt = prose(50, 14)
