@@ -114,7 +114,8 @@ def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id
     """Fit on about sample_rows rows with text and language for which learn_from holds; the same rows at every run.
 
     The rows' grams are counted in tasks; texts don't come to the driver. Of several rows with one id and language, one is
-    learned (by a hash of the text), so that a repeated id brings no more than that.
+    learned (by a hash of the text), so that a repeated id brings no more than that. A table without such rows teaches
+    nothing.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     if learn_from is not None:
@@ -124,6 +125,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, id_col: str = "doc_id
     wanted = F.greatest(F.lit(sample_rows) / F.lit(max(1, n)), F.lit(LEAST_ROWS))
     rates = per.select("_lang", F.least(F.lit(1.0), wanted / F.col("_n")).alias("_rate"))
     chosen = F.pmod(F.xxhash64(id_col), F.lit(1 << 52)) < F.col("_rate") * (1 << 52)
+    rows = rows.select(F.col(text_col), F.col(id_col), F.col(lang_col))
     some = rows.join(F.broadcast(rates) if n <= BROADCAST_LANGUAGES else rates, F.col(lang_col) == F.col("_lang")).where(chosen)
     some = some.select(F.col(text_col).alias("text"), F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"))
 

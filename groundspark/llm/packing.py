@@ -245,7 +245,7 @@ def pieces(docs: DataFrame, end_id: int, capacity: int = CAPACITY, id_col: str =
 
 
 def report(docs: DataFrame, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece, in the form of query op7."""
+    """One row per piece, in the form of query op7. An empty table has no pieces; see `pieces` for null and repeated rows."""
     numbered = written(pieces(docs, end_id, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
     packed = pack(numbered.select("item", "length"), capacity)
     out = numbered.join(packed, "item")

@@ -201,7 +201,11 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score at least the threshold, with their columns."""
+    """The documents that score at least the threshold, with their columns.
+
+    Null, empty and very long texts are scored like all others, rows of equal or null ids each by their own text. Without
+    labelled rows every score is 0.5; an empty table stays empty.
+    """
     machine = fit(docs, labels, learning_rows())
     scored, name = score(docs, machine)
     return scored.where(F.col(name) >= threshold).select(*docs.columns)
