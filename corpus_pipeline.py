@@ -1,4 +1,8 @@
-"""Corpus pipeline: documents through the operators of the llm subpackage, stage by stage."""
+"""Corpus pipeline: documents through the operators of the llm subpackage, stage by stage.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, further columns of any name and tables
+without rows (which stay empty); what becomes of such rows is said with each.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,28 @@ from groundspark.llm.common import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Null and empty texts are scored too, repeated rows each."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
+    """Documents without the boilerplate lines of their source; n_chars follows the text. None goes: a text of boilerplate
+    alone is empty, a null one stays null."""
     return line_dedup.clean_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies. Of equal rows one stays; rows without id, and null or word-free texts, stay."""
     return jaccard_join.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't contain benchmark text."""
+    """Documents that don't contain benchmark text. Null and word-free texts stay; repeated rows are each judged."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences. A null text is its end id alone; repeated and null ids have pieces each."""
     return packing.report(docs)
 
 
