@@ -213,3 +213,12 @@ def test_quality_flags(spark):
     flags = lambda a, n: one(spark, lambda c: evaluate.quality_flags(c, F.lit(n)), a)
     assert flags("Fine [1].", 1) == [] and flags("Cut off [3]", 1) == ["MARKER>SOURCES", "MARKERS_NONCONTIGUOUS"]
     assert "DOUBLE_SPACE" in flags("a  b.", 0) and flags("`a  b` and f() ok.", 0) == [] and "TRUNCATED_MIDSENTENCE" in flags("it ends", 0)
+
+
+def test_facts_of_copied_pages_meet_each_text_once(spark):
+    cases = spark.createDataFrame([(i, "in_scope", ["Alpha" if i % 2 else "beta"]) for i in range(300)] + [(300, "in_scope", [None]), (301, "other", ["beta"]), (302, "in_scope", ["x"])], "id long, category string, expect_any array<string>")
+    cited = spark.createDataFrame([(i, "T") for i in range(302)] + [(302, None), (302, "unknown")], "id long, title string")
+    chunks = spark.createDataFrame([("T", f"an alpha {i}") for i in range(300)] + [(None, "x")], "title string, text string")
+    checked = evaluate.grounded_check(cases, cited, chunks)
+    got = {r.id: r.grounded for r in checked.collect()}
+    assert got == {i: bool(i % 2) for i in range(300)} | {300: None}
