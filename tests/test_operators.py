@@ -222,3 +222,10 @@ def test_facts_of_copied_pages_meet_each_text_once(spark):
     checked = evaluate.grounded_check(cases, cited, chunks)
     got = {r.id: r.grounded for r in checked.collect()}
     assert got == {i: bool(i % 2) for i in range(300)} | {300: None}
+
+
+def test_entities_without_a_semicolon(spark):
+    html = "<h1>Cut short &amp</h1><p>&amp;&amp;amp &eacute; &copy &lt;b&gt; &bogus; &#39; &#x41;</p>"
+    assert one(spark, tx.clean_html, html) == "# Cut short &\n&&amp é © <b> &bogus; ' A"
+    assert one(spark, lambda c: tx.clean_html(c, bare_entities=False), html) == "# Cut short &amp\n&&amp é &copy <b> &bogus; ' A"
+    assert one(spark, lambda c: tx.clean_html(c, bare_entities=False), "<h1>x &amp</h1>") == "# x &amp"
