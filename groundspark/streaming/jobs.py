@@ -94,6 +94,8 @@ class _Frequent(StatefulProcessor):
             counts, gone = heavy.shortened(counts.add(found, fill_value=0).astype("int64"), self.capacity)
             lost += gone
         self.state.update((counts.index.tolist(), counts.tolist(), lost, total))
+        if counts.empty:  # all of its keys were equally frequent: still its numbers must be told
+            counts = pd.Series([0], index=[None], dtype="int64")
         yield pd.DataFrame({"shard": pd.Series([key[0]] * len(counts), dtype="int32"), "question_key": counts.index.astype(object), "at_least": counts.to_numpy(), "at_most": counts.to_numpy() + lost, "lost": lost, "total": total})
 
     def close(self) -> None:
@@ -102,7 +104,8 @@ class _Frequent(StatefulProcessor):
 
 def stream_frequent_gaps(events: DataFrame, capacity: int = 1000, shards: int = 16) -> DataFrame:
     """L5 with bounded state: shard, question_key, at_least, at_most, lost, total: after each batch the summary of every
-    shard of keys that had rows. The rows of a shard's largest `total` are its current ones.
+    shard of keys that had rows. The rows of a shard's largest `total` are its current ones. A summary that is left
+    without keys is one row of a null key.
 
     State is shards * capacity keys at most, however long the stream is. A batch is counted in its tasks first, so a
     frequent key is few rows."""

@@ -78,3 +78,14 @@ def test_a_stream_keeps_bounded_state(spark, tmp_path):
     assert all(r.at_least <= true[r.question_key] <= r.at_most and 31 * r.lost <= r.total for r in now)
     lost, told = max(r.lost for r in now), {r.question_key for r in now}
     assert all(k in told for k, n in true.items() if n > lost) and true.most_common(1)[0][0] in told
+
+
+def test_a_summary_without_keys_tells_its_numbers(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    t = spark.createDataFrame([(f"k{i % 40}", True) for i in range(80)], "question string, escalated boolean").coalesce(1)
+    t.write.parquet(str(tmp_path / "log"))
+    stream = jobs.stream_frequent_gaps(spark.readStream.schema(t.schema).parquet(str(tmp_path / "log")), capacity=5, shards=1)
+    done = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert done.awaitTermination(240)
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(0, None, 0, 2, 2, 80)]
