@@ -229,3 +229,9 @@ def test_entities_without_a_semicolon(spark):
     assert one(spark, tx.clean_html, html) == "# Cut short &\n&&amp é © <b> &bogus; ' A"
     assert one(spark, lambda c: tx.clean_html(c, bare_entities=False), html) == "# Cut short &amp\n&&amp é &copy <b> &bogus; ' A"
     assert one(spark, lambda c: tx.clean_html(c, bare_entities=False), "<h1>x &amp</h1>") == "# x &amp"
+
+
+def test_lead_ins_without_articles(spark):
+    short = [p for p in tx.LEAD_INS if not p.endswith(" the")]
+    assert one(spark, tx.normalize_question, "Show me the broker thanks!") == "broker"
+    assert one(spark, lambda q: tx.normalize_question(q, short), "Show me the broker thanks!") == "the broker"
