@@ -113,3 +113,21 @@ def test_halving_balances():
     centres = partitions.halved(x, 16)
     assert len(centres) == 16 and np.allclose(np.linalg.norm(centres, axis=1), 1)
     assert len(partitions.halved(x[:3], 16)) == 3
+
+
+def test_neighbours_within_a_document(spark):
+    """Few large documents and many small ones, in batches: against all pairs, of which there are too many to join."""
+    rng = np.random.default_rng(3)
+    docs = [f"d{i % 2}" if i < 400 else f"s{i // 3}" for i in range(900)]
+    rows = [(f"c{i}", doc, [float(x) for x in rng.integers(-2, 3, 4)]) for i, doc in enumerate(docs)]
+    rows += [("null", "d0", None), ("short", "d0", [1.0]), ("nowhere", None, [1.0, 0.0, 0.0, 0.0])]
+    schema = "chunk_id string, doc_id string, embedding array<float>"
+    asked = [(i, docs[i], rows[i][2]) for i in range(0, 900, 7)] + [(1000, "unknown", [1.0] * 4), (1001, None, [1.0] * 4)]
+    got = vectors.knn_within(spark.createDataFrame(asked, "question_id long, doc_id string, embedding array<float>"), spark.createDataFrame(rows, schema).repartition(3), 5, 4)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = {}
+    for q, doc, v in asked:
+        near = sorted((-round(float(unit(v) @ unit(e)), 9), c) for c, d, e in rows if doc is not None and d == doc and e is not None and len(e) == 4)[:5]
+        want |= {(q, k + 1): c for k, (_, c) in enumerate(near)}
+    assert {(r.question_id, r["rank"]): r.chunk_id for r in got.collect()} == want
