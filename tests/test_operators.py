@@ -222,6 +222,8 @@ def test_facts_of_copied_pages_meet_each_text_once(spark):
     checked = evaluate.grounded_check(cases, cited, chunks)
     got = {r.id: r.grounded for r in checked.collect()}
     assert got == {i: bool(i % 2) for i in range(300)} | {300: None}
+    by_id = next(x for x in checked._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [id" in x)
+    assert "Contains" not in by_id  # texts are tested before they meet ids
 
 
 def test_entities_without_a_semicolon(spark):
@@ -235,3 +237,13 @@ def test_lead_ins_without_articles(spark):
     short = [p for p in tx.LEAD_INS if not p.endswith(" the")]
     assert one(spark, tx.normalize_question, "Show me the broker thanks!") == "broker"
     assert one(spark, lambda q: tx.normalize_question(q, short), "Show me the broker thanks!") == "the broker"
+
+
+def test_first_words_and_windows_of_odd_white_space(spark):
+    text = "\u00a0 one\ttwo\n\n three\r\rfour \x00fi\x07ve\u2003six "
+    assert one(spark, tx.words, text) == ["one", "two", "three", "four", "\x00fi\x07ve", "six"]
+    for n in (0, 1, 3, 6, 9):
+        assert one(spark, lambda c, n=n: tx.first_words(c, n), text) == one(spark, tx.words, text)[:n]
+    assert one(spark, lambda c: tx.first_words(c, 8), None) == one(spark, lambda c: tx.first_words(c, 8), " \n") == []
+    docs = spark.createDataFrame([("a", "", "u", "s", text, "text")], "doc_id string, title string, url string, space string, body string, content_type string")
+    assert [r.text for r in chunking.chunk_documents(docs, 4, 1).orderBy("ordinal").collect()] == ["one two three four", "four five six"]
