@@ -131,3 +131,10 @@ def test_neighbours_within_a_document(spark):
         near = sorted((-round(float(unit(v) @ unit(e)), 9), c) for c, d, e in rows if doc is not None and d == doc and e is not None and len(e) == 4)[:5]
         want |= {(q, k + 1): c for k, (_, c) in enumerate(near)}
     assert {(r.question_id, r["rank"]): r.chunk_id for r in got.collect()} == want
+
+
+def test_ids_are_held_as_bytes_in_their_order():
+    ids = ["z", "é", "日", "a#10", "a#2"]
+    near = vectors.Nearest(4, 1)
+    near.add(vectors.vector_ids(pa.array(ids)), np.ones((5, 1)))
+    assert near.chunk.itemsize == 4 and near.batch(pa.array([7])).column(1).to_pylist() == sorted(ids)[:4]
