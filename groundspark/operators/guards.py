@@ -316,21 +316,22 @@ def finalize_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     out of range are dropped. An answer without a usable mark cites the hit that shares most content words with it.
     """
     clean = answers.select("question_id", strip_sources_block(F.col("answer")).alias("answer"))
-    ranked = hits.select("question_id", "rank", "title", F.trim("url").alias("url"), _source_key().alias("key"), content_tokens(F.concat_ws(" ", "title", "text")).alias("tokens"))
+    ranked = hits.select("question_id", "rank", "title", F.trim("url").alias("url"), _source_key().alias("key"), "text")
     counts = ranked.groupBy("question_id").agg(F.max("rank").alias("n_hits"))
     pieces = clean.join(counts, "question_id", "left").select("question_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.posexplode(split_code(F.col("answer"))).alias("seg", "piece"))
     # prose is cut into text and marks; a mark keeps the character in front of it for the test of being glued
-    tokens = F.when(F.col("seg") % 2 == 0, F.regexp_extract_all("piece", F.lit(r"(?s)\[\d+\]|(?:(?!\[\d+\]).)+"), 0)).otherwise(F.array("piece"))
+    tokens = F.when(F.col("seg") % 2 == 0, F.regexp_extract_all("piece", F.lit(r"\[\d+\]|[^\[]+|\["), 0)).otherwise(F.array("piece"))
     parts = pieces.select("question_id", "n_hits", "seg", F.posexplode(tokens).alias("i", "tok"))
     order = Window.partitionBy("question_id", "seg").orderBy("i")
     parts = parts.withColumn("bracket", (F.col("seg") % 2 == 0) & F.col("tok").rlike(r"^\[\d+\]$"))
     parts = parts.withColumn("before", F.lag("tok").over(order)).withColumn("n", F.when(F.col("bracket"), F.regexp_extract("tok", r"\d+", 0).try_cast("int")))
     in_range = F.coalesce((F.col("n") >= 1) & (F.col("n") <= F.col("n_hits")), F.lit(False))
-    glued = F.coalesce(F.col("before").rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
+    glued = F.coalesce(F.right("before", F.lit(3)).rlike(r"[\p{L}\p{N}_]$"), F.lit(False))
     # a bracket behind a bracket follows a mark, if that is one: the first of a chain decides
     first = F.last(F.when(~F.coalesce(F.lag("bracket").over(order), F.lit(False)), ~glued | in_range), ignorenulls=True).over(order)
     parts = parts.withColumn("mark", F.col("bracket") & ((~glued & F.coalesce(~F.col("before").rlike(r"^\[\d+\]$"), F.lit(True))) | in_range | (F.coalesce(F.col("before").rlike(r"^\[\d+\]$"), F.lit(False)) & first)))
-    parts = parts.withColumn("valid", F.col("mark") & in_range)
+    # read by the citations and by the text
+    parts = written(parts.select("question_id", "seg", "i", "tok", "n", "mark", (F.col("mark") & in_range).alias("valid")), "parts")
     cited = parts.where("valid").join(ranked, (parts["question_id"] == ranked["question_id"]) & (parts["n"] == ranked["rank"])).select(parts["question_id"], "seg", "i", "key", "title", "url")
     firsts = cited.groupBy("question_id", "key").agg(F.min(F.struct("seg", "i", "title", "url")).alias("f"))
     numbered = firsts.withColumn("no", F.row_number().over(Window.partitionBy("question_id").orderBy("f.seg", "f.i")))
@@ -340,7 +341,7 @@ def finalize_citations(answers: DataFrame, hits: DataFrame) -> DataFrame:
     whole = clean.select("question_id").join(whole, "question_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     lists = numbered.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", F.col("f.title").alias("title"), F.col("f.url").alias("url")))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"))).alias("citations"))
     shared = whole.join(lists.select("question_id"), "question_id", "left_anti").join(ranked, "question_id")
-    shared = shared.withColumn("common", F.size(F.array_intersect(content_tokens(F.col("answer")), F.col("tokens"))))
+    shared = shared.withColumn("common", F.size(F.array_intersect(content_tokens(F.col("answer")), content_tokens(F.concat_ws(" ", "title", "text")))))
     fallback = shared.groupBy("question_id").agg(F.array(F.min_by(F.struct("title", "url"), F.struct(-F.col("common"), "rank"))).alias("citations"))
     return whole.join(lists.unionByName(fallback), "question_id", "left")
 
