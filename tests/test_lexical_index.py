@@ -152,3 +152,31 @@ def test_blocks_below_the_best_scores_are_skipped():
     asked = [lexical_index.Asked(loose=["a"])]
     list(lexical_index.answered(asked, iter([block(5), block(2), block(7), block(4)]), 2, True, False))
     assert opened == [5, 7]
+
+
+@pytest.mark.parametrize(("pool", "block", "filtered"), [(1, 100, False), (5, 100, False), (5, 4, True), (1000, 100, True)])
+def test_many_questions_find_what_few_find(spark, world, monkeypatch, pool, block, filtered):
+    """Full matches of all questions at once, the fallback only for those that match nothing."""
+    monkeypatch.setattr(lexical_index, "TOGETHER", 0)
+    test_best_of_all_blocks(spark, world, pool, block, filtered)
+
+
+def test_full_matches_of_many_questions_open_few_lists(world, monkeypatch):
+    """Words that no chunk has together, and plain matches, cost no step for each question."""
+    asked, own, index, _ = world
+    opened = []
+    monkeypatch.setattr(lexical_index.Block, "matches", lambda self, q, among=None: opened.append(q))
+    plain = [q for q in QUESTIONS if "or" not in q.split() and not re.search(r"(^|\s)-", q)]
+    parsed = [[words for _, _, words in groups_of(q)] for q in plain]
+    questions = [lexical_index.Asked({k: [w] for k, w in enumerate(parts)}, [], list(dict.fromkeys(w for ws in parts for _, w in ws))) for parts in parsed]
+    words = sorted({w for q in questions for w in q.wanted})
+    rows = index.where(index.term.isin([*words, lexical_index.IDS])).sort("block").toArrow().select(["block", "term", "best", "chunks", "places", "ids"])
+    needs = lexical_index._needs(questions, words)
+    got = {}
+    for which, ids, scores in lexical_index.strict_answers(questions, needs, lexical_index._flat_blocks(iter(rows.to_batches()), needs), 1000, False):
+        for k, c, s in zip(which.tolist(), ids.to_pylist(), scores.to_pylist(), strict=True):
+            got.setdefault(k, {})[c] = s
+    for k, q in enumerate(plain):
+        full, want, _ = brute(q, own)
+        assert got.get(k, {}) == (pytest.approx(want) if full else {}), q
+    assert not opened

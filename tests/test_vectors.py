@@ -138,3 +138,33 @@ def test_ids_are_held_as_bytes_in_their_order():
     near = vectors.Nearest(4, 1)
     near.add(vectors.vector_ids(pa.array(ids)), np.ones((5, 1)))
     assert near.chunk.itemsize == 4 and near.batch(pa.array([7])).column(1).to_pylist() == sorted(ids)[:4]
+
+
+@pytest.mark.parametrize("pool", [1, 7, 500])
+def test_products_in_single_precision_lose_nothing(pool):
+    """Cosines that single precision can't tell apart, copies, and batches of all sizes: as from exact products, merged once."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[1000:1500] = x[0] + 1e-8 * rng.normal(size=(500, 16))
+    x[2000:2200] = x[1]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(3000)]
+    q = x[rng.permutation(3000)[:700]]
+    ids = vectors.vector_ids(pa.array([f"c{i}" for i in range(3000)]))
+    merges = []
+
+    class Counting(vectors.Nearest):
+        def merge(self, found):
+            merges.append(len(found))
+            super().merge(found)
+
+    near = Counting(pool, len(q))
+    for a, b in [(0, 3), (3, 40), (40, 2600), (2600, 3000)]:
+        near.multiply(ids[a:b], x[a:b], q)
+    near.settle()
+    rough = np.round(x @ q.T, 9)
+    got = {}
+    for k, c in zip(near.question.tolist(), near.chunk.tolist(), strict=True):
+        got.setdefault(k, set()).add(c)
+    assert len(merges) == 1
+    for k in range(len(q)):
+        assert got[k] == {ids[i] for i in np.lexsort((ids, -rough[:, k]))[:pool]}
