@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,19 +104,23 @@ def quarantine_bad_docs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("error IS NULL").drop("error"), marked.where("error IS NOT NULL").select("doc_id", "error")
 
 
-def ingest(docs: DataFrame, chunks: DataFrame, hashes: DataFrame, target: int = TARGET, overlap: int = OVERLAP, width: int = 64) -> dict[str, DataFrame]:
+def ingest(docs: DataFrame, chunks: DataFrame, hashes: DataFrame, target: int = TARGET, overlap: int = OVERLAP, width: int = 64) -> dict[str, DataFrame | Callable[[DataFrame], DataFrame]]:
     """H1, H2, H7 as one plan: chunks, hashes and summary after new and changed documents are chunked, embedded and replaced.
 
     Unchanged documents are neither chunked nor embedded; all embedding is in the plan of the new rows, before any swap.
-    The differences are written once: they bound what is chunked, and what the stored chunks are joined with.
+    The differences are written once: they bound what is chunked, and what the stored chunks are joined with. Where nothing is
+    unchanged, all documents are chunked where they are. `stamp` makes the hashes from the chunks as they were stored, which
+    spares cutting them again.
     """
     good, bad = quarantine_bad_docs(docs)
     hashed = with_hash(good, target, overlap)
     diff = written(diff_corpus(hashed, hashes), "diff")
     todo = diff.where("change <> 'unchanged'").select("doc_id", "content_hash")
-    new = vectors.with_hash_embedding(chunk_documents(hashed.join(todo.select("doc_id"), "doc_id", "left_semi"), target, overlap), "text", width)
+    changed = hashed if diff.where("change = 'unchanged'").isEmpty() else hashed.join(_bounded(todo.select("doc_id")), "doc_id", "left_semi")
+    new = vectors.with_hash_embedding(chunk_documents(changed, target, overlap), "text", width)
     after, stamped = replace_docs(chunks, hashes, new, todo)
-    return {"chunks": after, "hashes": stamped, "summary": ingest_summary(diff, new, bad), "new": new, "seen": docs.select("doc_id")}
+    stamp = lambda stored: replace_docs(chunks, hashes, stored, todo)[1]
+    return {"chunks": after, "hashes": stamped, "stamp": stamp, "summary": ingest_summary(diff, new, bad), "new": new, "seen": docs.select("doc_id")}
 
 
 def ingest_summary(diff: DataFrame, new: DataFrame, bad: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +63,9 @@ class ChunkStore:
         """The buckets of some documents (doc_id)."""
         return sorted(r[0] for r in docs.select(self.bucket(F.col("doc_id")).alias("b")).distinct().collect())
 
-    def commit(self, chunks: DataFrame, hashes: DataFrame, batch: str = "", buckets: list[int] | None = None, base: int | None = None) -> str:
-        """Write both tables and make them current; a batch that is committed already is not written again.
+    def commit(self, chunks: DataFrame, hashes: DataFrame | Callable[[DataFrame], DataFrame], batch: str = "", buckets: list[int] | None = None, base: int | None = None) -> str:
+        """Write both tables and make them current; a batch that is committed already is not written again. hashes may be a
+        function of the chunks that have been written.
 
         buckets: those that the tables hold all documents of; all others stay as they are. Without it the tables are the
         whole store. base: seq() from before the replaced rows were read (the newest commit if they weren't read); if
@@ -77,6 +79,7 @@ class ChunkStore:
         start, modulus = (last["seq"] if last else -1) if base is None else base, last["buckets"] if last else self._new
         name = f"snapshot-{uuid.uuid4().hex[:12]}"
         for table, rows in (("chunks", chunks), ("hashes", hashes)):
+            rows = rows(self.spark.read.schema(chunks.schema).parquet(f"{self.path}/{name}/chunks")) if callable(rows) else rows
             rows = rows.withColumn("doc_bucket", self.bucket(F.col("doc_id"), modulus))
             rows = rows if buckets is None else rows.where(F.col("doc_bucket").isin(buckets))
             # adaptive execution cuts a large bucket into several tasks

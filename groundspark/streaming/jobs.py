@@ -35,7 +35,7 @@ def stream_ingest(docs: DataFrame, store: ChunkStore, checkpoint: str, width: in
             base, touched = store.seq(), store.buckets_of(batch)
             done = corpus.ingest(batch, *_tables(store, batch, touched), width=width)
             try:
-                store.commit(done["chunks"], done["hashes"], batch=f"{checkpoint}:{batch_id}", buckets=touched, base=base)
+                store.commit(done["chunks"], done["stamp"], batch=f"{checkpoint}:{batch_id}", buckets=touched, base=base)
                 return
             except Conflict:
                 if attempt == ATTEMPTS - 1:

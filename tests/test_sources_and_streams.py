@@ -235,3 +235,18 @@ def test_follow_ups_in_event_time(spark, tmp_path):
     }
     on_time = batches[0].union(batches[1]).union(batches[2].where("turn <> 6"))
     assert {r.turn: r.query for r in chat.follow_ups(on_time, 3600).collect()} == {k: q for k, (q, late) in got.items() if not late}
+
+
+def test_all_new_documents_are_cut_once_where_they_are(spark, tmp_path):
+    """No join before the chunks where nothing is unchanged; hashes from the stored chunks are those from the new ones."""
+    store = ChunkStore(spark, str(tmp_path / "store"), buckets=4)
+    docs = spark.createDataFrame([(f"d{k}", "T", "", " \n" if k % 5 == 0 else f"body {k}", "s", "text") for k in range(20)], DOCS)
+    done = corpus.ingest(docs, *jobs._tables(store, docs, []))
+    assert "LeftSemi" not in done["new"]._jdf.queryExecution().optimizedPlan().toString()
+    store.commit(done["chunks"], done["stamp"])
+    hashes = lambda df: sorted(map(tuple, df.select("doc_id", "content_hash").collect()))
+    assert len(hashes(store.hashes())) == 16 and hashes(store.hashes()) == hashes(done["hashes"])
+    done = corpus.ingest(docs.withColumn("body", F.when(F.col("doc_id") == "d3", "").otherwise(F.col("body"))), store.chunks().drop("doc_bucket"), store.hashes())
+    assert "LeftSemi" in done["new"]._jdf.queryExecution().optimizedPlan().toString()
+    store.commit(done["chunks"], done["stamp"])
+    assert {r.doc_id for r in store.hashes().collect()} == {r.doc_id for r in store.chunks().collect()} == {f"d{k}" for k in range(20) if k % 5 and k != 3}
