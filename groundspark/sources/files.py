@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundspark.sources.scratch import written
 
@@ -15,6 +13,10 @@ SKIP_DIRS = [".git", ".hg", ".svn", ".bzr", "node_modules", "__pycache__", ".ven
 MAX_BYTES = 10 << 20
 #: Share of replacement and control characters above which bytes aren't text.
 GARBAGE = 0.05
+#: Characters by which CP1252 differs from ISO-8859-1, what they are there, and characters that are counted as garbage.
+C1 = "".join(map(chr, range(0x80, 0xA0)))
+C1_CP1252 = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+BAD = "\ufffd" + "".join(chr(c) for c in range(32) if chr(c) not in "\t\n\r")
 WIKI = (
     "results ARRAY<STRUCT<id: STRING, title: STRING, body: STRUCT<storage: STRUCT<value: STRING>>, space: STRUCT<key: STRING>, "
     "metadata: STRUCT<labels: STRUCT<results: ARRAY<STRUCT<name: STRING>>>>, version: STRUCT<`when`: STRING>, "
@@ -34,35 +36,41 @@ def content_type(path: Column) -> Column:
     return F.when(ext.isin(HTML), "html").when(ext.isin(MARKDOWN), "markdown").otherwise("text")
 
 
-@F.pandas_udf(T.StringType())
-def _cp1252(raw: pd.Series) -> pd.Series:
-    def one(data: bytes | None) -> str | None:
-        text = bytes(data).decode("cp1252", "replace") if data is not None else ""
-        bad = sum(c == "�" or (ord(c) < 32 and c not in "\t\n\r") for c in text)
-        return text.replace("\0", "") if text and bad / len(text) <= GARBAGE else None
-
-    return raw.map(one)
+def _cp1252(content: Column) -> Column:
+    """Text of bytes in CP1252, null if more than GARBAGE of it is replacement and control characters."""
+    text = F.translate(F.decode(content, "ISO-8859-1"), C1, C1_CP1252)
+    good = F.length(F.translate(text, BAD, ""))
+    return F.when((F.length(text) - good) / F.length(text) <= GARBAGE, text)
 
 
 def decode_bytes(content: Column) -> Column:
-    """A2: text of a file's bytes, null if they are none: UTF-16 by its mark, UTF-8, else CP1252 with few bad characters.
-
-    Only what is neither of the first two leaves the JVM.
-    """
+    """A2: text of a file's bytes, null if they are none: UTF-16 by its mark, UTF-8, else CP1252 with few bad characters."""
     mark = F.hex(F.substring(content, 1, 2))
-    utf8 = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
     wide = F.when(mark.isin("FFFE", "FEFF"), F.decode(content, "UTF-16"))
-    rest = F.when(~mark.isin("FFFE", "FEFF") & ~F.is_valid_utf8(content.cast("string")), content)
-    return F.when(F.length(content) == 0, "").otherwise(F.replace(F.coalesce(wide, utf8, _cp1252(rest)), F.lit("\0"), F.lit("")))
+    bare = F.when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.substring(content, 4, 1 << 30)).otherwise(content)
+    utf8 = F.try_validate_utf8(bare.cast("string"))
+    return F.when(F.length(content) == 0, "").otherwise(F.replace(F.coalesce(wide, utf8, _cp1252(content)), F.lit("\0"), F.lit("")))
+
+
+def _listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files below a folder. By default Spark lists every folder in a task of its own, up to 10,000 at a level; here as many
+    folders share a task as leave two for each core."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    finally:
+        spark.conf.set(key, before)
 
 
 def scan_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A1: every file below a folder but for hidden and junk folders: doc_id (relative path), title, url, space, content_type,
     body, status (ok, unsupported, too large, undecodable, no text, empty).
 
-    Files that are too large or of no supported type aren't opened: the length and the path are checked first.
+    Files that are too large aren't opened: Spark is asked for their names alone. Those of no supported type aren't decoded.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    raw = _listed_files(spark, folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/"
     path = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
     relative = F.substring(path, len(root) + 1, 1 << 30)
@@ -70,15 +78,18 @@ def scan_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) ->
     folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
     visible = ~F.exists(folders, lambda d: F.startswith(d, F.lit(".")) | d.isin(SKIP_DIRS))
     known = extension(F.col("path")).isin(MARKDOWN + PLAIN + HTML + PDF)
-    large = F.col("length") > max_bytes
     is_pdf = extension(F.col("path")).isin(PDF)
-    body = F.when(known & ~large & ~is_pdf, decode_bytes(F.col("content")))
-    docs = raw.where(visible).select(relative.alias("doc_id"), F.regexp_extract(relative, r"([^/]+?)(\.[^./]*)?$", 1).alias("title"), F.concat(F.lit("file://"), path).alias("url"), F.lit("files").alias("space"), content_type(F.col("path")).alias("content_type"), body.alias("body"), known.alias("_k"), large.alias("_l"), is_pdf.alias("_p"))
-    status = (
-        F.when(~F.col("_k"), "unsupported").when(F.col("_l"), "too large").when(F.col("_p"), "no text")
-        .when(F.col("body").isNull(), "undecodable").when(F.trim("body") == "", "empty").otherwise("ok")
-    )
-    return docs.withColumn("status", status).drop("_k", "_l", "_p")
+    columns = [relative.alias("doc_id"), F.regexp_extract(relative, r"([^/]+?)(\.[^./]*)?$", 1).alias("title"), F.concat(F.lit("file://"), path).alias("url"), F.lit("files").alias("space"), content_type(F.col("path")).alias("content_type")]
+    body = F.when(known & ~is_pdf, decode_bytes(F.col("content")))
+    small, cores = raw.where(visible & (F.col("length") <= max_bytes)), spark.sparkContext.defaultParallelism
+    # Spark counts 4 MB for opening a file, so few small ones fill a task; eight such tasks' files go to one.
+    small = small.coalesce(max(4 * cores, small.rdd.getNumPartitions() // 8))
+    read = small.select(*columns, body.alias("body"), known.alias("_k"), is_pdf.alias("_p"))
+    # Each body is decoded for one expression: null if undecodable, else whether it is empty.
+    judged = F.coalesce(F.elt((F.trim("body") == "").cast("int") + 1, F.lit("ok"), F.lit("empty")), F.lit("undecodable"))
+    read = read.withColumn("status", F.when(~F.col("_k"), "unsupported").when(F.col("_p"), "no text").otherwise(judged)).drop("_k", "_p")
+    large = raw.where(visible & (F.col("length") > max_bytes)).coalesce(2 * cores)
+    return read.unionByName(large.select(*columns, F.lit(None).cast("string").alias("body"), F.when(known, "too large").otherwise("unsupported").alias("status")))
 
 
 def skip_report(scanned: DataFrame) -> DataFrame:

@@ -23,6 +23,49 @@ def test_scan_files(spark, tmp_path):
     assert files.skip_report(files.scan_files(spark, str(tmp_path), 1000)).agg(F.sum("files")).first()[0] == 5
 
 
+def test_files_above_the_limit_are_not_opened(spark, tmp_path):
+    (tmp_path / "big.txt").write_bytes(b"x" * 2000)
+    (tmp_path / "big.docx").write_bytes(b"x" * 2000)
+    (tmp_path / "a.txt").write_bytes(b"x" * 1000)
+    key = "spark.sql.sources.binaryFile.maxLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1500")  # Spark refuses to open what is longer
+    try:
+        assert {r.doc_id: r.status for r in files.scan_files(spark, str(tmp_path), 1000).collect()} == {"big.txt": "too large", "big.docx": "unsupported", "a.txt": "ok"}
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"f{i}").mkdir()
+        (tmp_path / f"f{i}" / "a.txt").write_text("x")
+    key, context = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    context.setJobGroup("listing", "listing")
+    try:
+        scanned = files.scan_files(spark, str(tmp_path))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert 0 < sum(tracker.getStageInfo(s).numTasks for s in stages) <= 2 * context.defaultParallelism
+    assert spark.conf.get(key) == before and scanned.count() == 60
+
+
+def test_one_byte_texts_are_decoded_without_python(spark):
+    def expected(raw):
+        text = raw.decode("cp1252", "replace")
+        bad = sum(c == "\ufffd" or (ord(c) < 32 and c not in "\t\n\r") for c in text)
+        return text.replace("\0", "") if bad / len(text) <= 0.05 else None
+
+    words = b"caf\xe9 "
+    some = [words * 4 + bytes([c]) for c in range(256)] + [words * n + b"\0\x81" for n in range(1, 12)] + [bytes(range(128, 256)), bytes(range(256)), b"\xef\xbb\xbf\xff" + words * 9]
+    rows = spark.createDataFrame(list(enumerate(some)), "id int, raw binary").select("id", files.decode_bytes(F.col("raw")).alias("text"))
+    assert {r.id: r.text for r in rows.collect()} == {i: expected(raw) for i, raw in enumerate(some)}
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wiki_export_and_subtree(spark, tmp_path):
     page = lambda i, title, parent=None, body="<p>x</p>": {"id": i, "title": title, "body": {"storage": {"value": body}}, "space": {"key": "K"}, "metadata": {"labels": {"results": [{"name": "l"}, {"name": ""}]}}, "ancestors": [{"id": parent}] if parent else [], "_links": {"webui": "/x", "base": "https://h/wiki"}}
     (tmp_path / "p.json").write_text(json.dumps({"results": [page("1", "Root"), page("2", "Kid", "1"), page("3", "", "2", ""), page("4", "Other"), page(" ", "no id")]}))
