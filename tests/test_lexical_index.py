@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from groundspark.functions.text import STOP_WORDS
@@ -180,3 +181,24 @@ def test_full_matches_of_many_questions_open_few_lists(world, monkeypatch):
         full, want, _ = brute(q, own)
         assert got.get(k, {}) == (pytest.approx(want) if full else {}), q
     assert not opened
+
+
+def test_many_questions_leave_a_task_with_their_best_only(world):
+    """Needs of all questions come from columns; blocks of a task share the best, with scores beyond what a cosine can be."""
+    asked, own, index, _ = world
+    ids = pa.array(range(len(QUESTIONS)), pa.int64())
+    needs, other = lexical_index._needs_of_terms(ids, lexical.query_terms(asked).toArrow())
+    rows = index.where(index.term.isin([*needs.terms, lexical_index.IDS])).sort("block").toArrow().select(["block", "term", "best", "chunks", "places", "ids"])
+    found = list(lexical_index.strict_answers(other, needs, lexical_index._flat_blocks(iter(rows.to_batches()), needs), 2, False))
+    assert len(index.select("block").distinct().collect()) > 2 and all(chunk.null_count == len(chunk) for _, chunk, _ in found[:-1])
+    got = {}
+    for k, c, s in zip(found[-1][0].tolist(), found[-1][1].to_pylist(), found[-1][2].to_pylist(), strict=True):
+        got.setdefault(k, {})[c] = s
+    for k, q in enumerate(QUESTIONS):
+        full, want, order = brute(q, own)
+        assert got.get(k, {}) == (pytest.approx({c: want[c] for c in order[:2]}) if full else {}), q
+    assert set(other) == {k for k in range(len(QUESTIONS)) if not needs.plain[k]}
+    best = lexical_index.Nearest(2, 3)
+    best.wait(np.array([2, 1, 1, 1]), np.array([9e4, 5.0, 7.5, 1e5]), np.array([b"a", b"b", b"c", b"d"]))
+    best.settle()
+    assert set(zip(best.question.tolist(), best.chunk.tolist())) == {(1, b"c"), (1, b"d"), (2, b"a")}

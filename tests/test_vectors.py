@@ -168,3 +168,49 @@ def test_products_in_single_precision_lose_nothing(pool):
     assert len(merges) == 1
     for k in range(len(q)):
         assert got[k] == {ids[i] for i in np.lexsort((ids, -rough[:, k]))[:pool]}
+
+
+def words_counted(n, few, seed):
+    """Hashed counts: n of up to 200 words, the first `few` of up to 8."""
+    r = np.random.default_rng(seed)
+    sizes = np.append(r.integers(1, 9, few), r.integers(1, 201, n - few))
+    return np.array([np.bincount(r.integers(0, 64, k) ** 3 // 4096, minlength=64) for k in sizes], float)
+
+
+def test_more_questions_than_a_block_meet_all_chunks_in_one_task(spark, monkeypatch):
+    """Questions in groups, chunks in packs: the same neighbours, and of a question only the best leave its task."""
+    x = np.vstack([words_counted(300, 40, 1), np.tile(words_counted(1, 1, 2), (40, 1))])
+    chunks, questions = table(spark, x, [("null", None), ("short", [1.0] * 8), ("hole", [None] + [1.0] * 63), ("nan", [float("nan")] * 64)]).repartition(4), asked(spark, x, 60)
+    monkeypatch.setattr(vectors, "QUESTION_BLOCK", 10)
+    monkeypatch.setattr(vectors, "GROUP", 8)
+    monkeypatch.setattr(vectors, "PACK", 50)
+    left = []
+    ranked = vectors.ranked
+    monkeypatch.setattr(vectors, "ranked", lambda scored, pool: left.append(scored) or ranked(scored, pool))
+    want = brute(x, 60, 10)
+    assert listed(vectors.knn(questions, chunks, 10, width=64)) == want
+    assert len(left) == 1 and left[0].count() == 600
+    half = chunks.select("chunk_id", vectors.to_fp16("embedding").alias("embedding"))
+    assert {q: len(c) for q, c in listed(vectors.knn(questions, half, 10, width=64)).items()} == dict.fromkeys(range(60), 10)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sums_of_counts_find_what_products_find(seed):
+    """Questions of few and many words, with repeated ones, and chunks that aren't counts, are short of a byte or beyond it."""
+    r = np.random.default_rng(seed)
+    chunks = np.vstack([words_counted(900, 200, seed), 300 * np.eye(64)[:3], r.random((20, 64)), r.normal(size=(20, 64)), np.zeros((1, 64)), np.full((1, 64), np.nan)])
+    few = np.vstack([words_counted(150, 140, seed + 9), 8 * np.eye(64)[:2], r.normal(size=(3, 64)), np.zeros((1, 64))])
+    units = [vectors._units(v.astype(np.float32).astype(float)) for v in (chunks, few)]
+    ids, weighed = np.array([f"c{i}" for i in range(len(chunks))], "S"), []
+    for pool in (1, 10, 2000):
+        plain, summed = vectors.Nearest(pool, len(few)), vectors.Nearest(pool, len(few))
+        plain.multiply(ids, *units)
+        plain.settle()
+        weigh = summed.weigh
+        summed.weigh = lambda c, rows, a, row, q, weigh=weigh: weighed.append(len(row)) or weigh(c, rows, a, row, q)
+        for at in range(0, len(chunks), 300):
+            summed.sum_up(ids[at : at + 300], units[0][at : at + 300], units[1], vectors.FewWords(units[1]))
+            summed.settle()
+        got, want = ({(q, c): s for q, c, s in zip(n.question, n.chunk, n.score)} for n in (summed, plain))
+        assert got.keys() == want.keys() and len(got) == len(summed.question) and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+        assert pool > 10 or sum(weighed) < 0.5 * len(chunks) * len(few)
